@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationlake.llm import bpe, language, quality, simhash
-from stationlake.llm.common import documents, labels, remainder
+from stationlake.llm import bpe, language, mixing, quality, simhash
+from stationlake.llm.common import WORD, cut, documents, labels, remainder
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,17 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    docs = cut(documents(spark, sf_dir).select("doc_id", words.alias("size"), F.array("source").alias("sources")))
+    mixed, sizes, quota = mixing.mix(docs, "size", "sources", order=["doc_id"])
+    rows = [(s, n, float(quota[s])) for s, n in sizes.items()]
+    of = spark.createDataFrame(rows, "s string, source_size long, target double")
+    source = F.element_at("sources", 1)
+    joined = mixed.join(F.broadcast(of), source.eqNullSafe(F.col("s")))
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.rules(documents(spark, sf_dir).select("doc_id", "text"), labels(spark, sf_dir))
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "quality_score")
@@ -46,6 +57,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op4_byte_bpe": op4_byte_bpe,
+    "op7_mixing": op7_mixing,
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
 }
