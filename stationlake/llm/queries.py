@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationlake.llm import bpe, language, mixing, orderhash, quality, simhash
+from stationlake.llm import bpe, language, mixing, orderhash, private, quality, simhash
 from stationlake.llm.common import WORD, cut, documents, labels, remainder
 
 
@@ -58,6 +58,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.replace(documents(spark, sf_dir).select("doc_id", "text"), count="n_entities")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_minhash": op1_order_minhash,
     "op2_simhash": op2_simhash,
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
+    "op10_surrogates": op10_surrogates,
 }
 
 ORACLES: dict[str, str] = {}
