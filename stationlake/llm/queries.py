@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationlake.llm import bpe, language, mixing, orderhash, private, quality, simhash
+from stationlake.llm import bpe, language, mixing, orderhash, private, quality, simhash, toxicity
 from stationlake.llm.common import WORD, cut, documents, labels, remainder
 
 
@@ -34,6 +34,13 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    scored = toxicity.score(docs, toxicity.learn(docs, labels(spark, sf_dir), ~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     docs = cut(documents(spark, sf_dir).select("doc_id", words.alias("size"), F.array("source").alias("sources")))
@@ -66,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_minhash": op1_order_minhash,
     "op2_simhash": op2_simhash,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_toxicity": op5_toxicity,
     "op7_mixing": op7_mixing,
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
