@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationlake.llm import bpe, language, mixing, orderhash, private, quality, simhash, toxicity, urls
+from stationlake.llm import bpe, language, mixing, orderhash, private, quality, repeats, simhash, toxicity, urls
 from stationlake.llm.common import WORD, cut, documents, labels, remainder
 
 
@@ -45,6 +45,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = repeats.remove(documents(spark, sf_dir))
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return gone.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     docs = cut(documents(spark, sf_dir).select("doc_id", words.alias("size"), F.array("source").alias("sources")))
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_toxicity": op5_toxicity,
+    "op6_repeats": op6_repeats,
     "op7_mixing": op7_mixing,
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
