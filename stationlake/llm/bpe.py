@@ -1,10 +1,12 @@
 """Byte-level BPE as a finite-state transducer.
 
-Encoding. The transducer reads the bytes of one pretoken. Its state is the last token that is
-certain, and the bytes since: for each of them the last token of the encoding that ends there is
-known, since a sequence of tokens is an encoding exactly if each two neighbours are (``joins``).
-A token leaves as soon as every encoding that may still follow contains it; that takes at most as
-many more bytes as the longest token has. States and transitions are made when first met, and kept.
+Encoding. Two lazily determinised parts read the bytes of one pretoken. The first has as its state the
+longest suffix from which a token may still grow; each state knows the tokens that end there. The second
+is the relation of tokens that may be neighbours (``joins``): since a sequence of tokens is an encoding
+exactly if each two neighbours are, just one of the tokens that end at a byte fits the token before it.
+States, transitions and pairs are made when first met, and kept. A token is certain, and leaves, once
+all encodings that may still follow contain it: at the latest when no token that begins before its end
+can grow any more, so after fewer bytes than the longest token has.
 
 Decoding. A UTF-8 automaton of eight states reads the bytes of the tokens. Its steps over whole
 tokens are kept too, so that text streams out and a character that is split over tokens waits.
@@ -17,9 +19,9 @@ from __future__ import annotations
 
 import base64
 import gc
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: What a worker keeps, at most; when full, it starts anew. This bounds memory and changes no result.
-KEPT_STATES, KEPT_PIECES = 200_000, 400_000
+KEPT_STATES, KEPT_PAIRS, KEPT_PIECES = 100_000, 400_000, 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -41,26 +43,23 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
+        self.tokens = {rank: token for token, rank in ranks.items()}
+        self.longest = max(map(len, ranks))
         self.openings = {token[:n] for token in ranks for n in range(1, len(token))}
         self.spines: dict[tuple[bytes, bool], list[tuple[bytes, int]]] = {}
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.forget()
 
     def forget(self) -> None:
-        self.numbers: dict[tuple[bytes | None, bytes], int] = {}
-        #: Of each state: the last sure token; the bytes since; for each end of their prefixes, the last
-        #: token of the encoding that ends there (empty: none may) and the end of its first token; the
-        #: ends from which a token may still grow over the next byte.
-        self.states: list[tuple[bytes | None, bytes, list[bytes | None], list[int], list[int]]] = []
-        self.steps: dict[int, tuple[int, list[int]]] = {}
-        self.ends: dict[int, list[int]] = {}
-        self.state(None, b"", [None], [0], [0])
-
-    def state(self, before: bytes | None, *more) -> int:
-        key = (before, more[0])
-        if (number := self.numbers.get(key)) is None:
-            number = self.numbers[key] = len(self.states)
-            self.states.append((before, *more))
+        self.numbers: dict[bytes, int] = {}
+        self.states: list[bytes] = []
+        self.steps: dict[int, tuple[int, list[tuple[int, int]]]] = {}
+        self.state(b"")
+
+    def state(self, suffix: bytes) -> int:
+        if (number := self.numbers.get(suffix)) is None:
+            number = self.numbers[suffix] = len(self.states)
+            self.states.append(suffix)
         return number
 
     def parts(self, token: bytes) -> list[bytes]:
@@ -86,85 +85,100 @@ class Encoder:
     def joins(self, left: bytes, right: bytes) -> bool:
         """Whether the encoding of both together is the two of them: no merge over their border comes
         before the merges that hide the border; of equal ranks the one further left comes first."""
-        if (known := self.pairs.get((left, right))) is None:
-            if len(self.pairs) > 10 * KEPT_STATES:
-                self.pairs.clear()
-            over, under, i, k, known = self.spine(left, True), self.spine(right, False), 0, 0, True
-            while known:
-                (a, a_ends), (b, b_ends) = over[i], under[k]
-                rank = self.ranks.get(a + b, 1 << 60)
-                if rank < a_ends and rank <= b_ends:
-                    known = False
-                elif a_ends == b_ends == 1 << 60:
-                    break
-                elif a_ends <= b_ends:
-                    i += 1
-                else:
-                    k += 1
-            self.pairs[left, right] = known
-        return known
+        over, under, i, k = self.spine(left, True), self.spine(right, False), 0, 0
+        while True:
+            (a, a_ends), (b, b_ends) = over[i], under[k]
+            rank = self.ranks.get(a + b, 1 << 60)
+            if rank < a_ends and rank <= b_ends:
+                return False
+            if a_ends == b_ends == 1 << 60:
+                return True
+            if a_ends <= b_ends:
+                i += 1
+            else:
+                k += 1
 
-    def step(self, number: int, byte: int) -> tuple[int, list[int]]:
+    def step(self, number: int, byte: int) -> tuple[int, list[tuple[int, int]]]:
+        """The next state; rank and length of each token that ends here, the longest first."""
         if bytes([byte]) not in self.ranks:
             raise ValueError(f"byte {byte} is not in the vocabulary")
-        before, window, found, first, alive = self.states[number]
-        window += bytes([byte])
-        end, last = len(window), b""
-        for start in alive:  # the longest token first; only one fits
-            token, left = window[start:], found[start]
-            if token in self.ranks and (left is None or self.joins(left, token)):
-                last = token
-                break
-        alive = [start for start in alive if window[start:] in self.openings]
-        found, first = [*found, last], [*first, last and (first[end - len(last)] or end) or 0]
-        if last:
-            alive.append(end)
-        out: list[int] = []
-        while alive and alive[0] and len(ends := {first[i] for i in alive}) == 1:
-            (cut,) = ends  # all that may follow begins with this token
-            before = found[cut]
-            out.append(self.ranks[before])
-            window, alive = window[cut:], [i - cut for i in alive]
-            found = [x if not i or len(x) <= i else b"" for i, x in enumerate(found[cut:])]
-            first = [0] * len(found)
-            for i in range(1, len(found)):
-                if found[i]:
-                    first[i] = first[i - len(found[i])] or i
-        step = self.steps[number << 8 | byte] = self.state(before, window, found, first, alive), out
+        grown = self.states[number] + bytes([byte])
+        tails = [grown[i:] for i in range(len(grown))]
+        ends = [(self.ranks[x], len(x)) for x in tails if x in self.ranks]
+        step = self.steps[number << 8 | byte] = self.state(next((x for x in tails if x in self.openings), b"")), ends
         return step
 
     def encode(self, piece: bytes) -> list[int]:
+        """The ids of one pretoken."""
         if len(self.states) > KEPT_STATES:
             self.forget()
-        now, out, steps = 0, [], self.steps
+        if len(self.pairs) > KEPT_PAIRS:
+            self.pairs.clear()
+        now, steps, pairs, out, most = 0, self.steps, self.pairs, [], 4 * self.longest
+        ranks, lengths = [-1], [0]  # the token that ends after each byte; length 0: none may
         for byte in piece:
-            now, emitted = steps.get(now << 8 | byte) or self.step(now, byte)
-            out += emitted
-        if (rest := self.ends.get(now)) is None:
-            _, window, found, _, _ = self.states[now]
-            rest, end = [], len(window)
-            while end:
-                rest.append(self.ranks[found[end]])
-                end -= len(found[end])
-            rest = self.ends[now] = rest[::-1]
-        return out + rest
+            now, ends = steps.get(now << 8 | byte) or self.step(now, byte)
+            here = len(ranks)
+            for rank, n in ends:
+                if n > here or (left := ranks[here - n]) == -2:
+                    continue
+                if left != -1:
+                    if (fits := pairs.get(key := left << 32 | rank)) is None:
+                        fits = pairs[key] = self.joins(self.tokens[left], self.tokens[rank])
+                    if not fits:
+                        continue
+                ranks.append(rank)
+                lengths.append(n)
+                break
+            else:
+                ranks.append(-2)
+                lengths.append(0)
+            if here > most:  # a long pretoken: let the certain tokens leave
+                first = here - len(self.states[now])
+                open_ends = [i for i in range(first, here + 1) if lengths[i]] if first > 0 else [0]
+                paths = [self.walk(lengths, end) for end in open_ends]
+                sure = 0
+                while paths and all(len(p) > sure and p[sure] == paths[0][sure] for p in paths):
+                    sure += 1
+                if sure:
+                    cut = paths[0][sure - 1]
+                    out += [ranks[end] for end in paths[0][:sure]]
+                    lengths = [0, *(n if n <= i else 0 for i, n in enumerate(lengths[cut + 1 :], 1))]
+                    ranks = [ranks[cut], *(r if n else -2 for r, n in zip(ranks[cut + 1 :], lengths[1:], strict=True))]
+        return out + [ranks[end] for end in self.walk(lengths, len(lengths) - 1)]
+
+    @staticmethod
+    def walk(lengths: list[int], end: int) -> list[int]:
+        """The ends of the tokens on the way to an end."""
+        ends = []
+        while end > 0:
+            ends.append(end)
+            end -= lengths[end]
+        return ends[::-1]
 
 
 class Pieces(dict):
-    """Ids by pretoken: whole runs of the transducer, kept."""
+    """Ids by pretoken, as the bytes of their array: whole runs of the transducer, kept. When full, what
+    was kept becomes the older half, from which a pretoken that is met again comes back."""
 
     def __init__(self, encoder: Encoder):
         super().__init__()
         self.encoder = encoder
+        self.older: dict[str, bytes] = {}
 
-    def __missing__(self, piece: str) -> list[int]:
-        ids = self.encoder.encode(piece.encode("utf-8", "surrogatepass"))
+    def __missing__(self, piece: str) -> bytes:
+        if (ids := self.older.get(piece)) is None:
+            ids = array("i", self.encoder.encode(piece.encode("utf-8", "surrogatepass"))).tobytes()
         if len(piece) <= 64:
             if len(self) >= KEPT_PIECES:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
+    def ids(self, pieces: list[str]) -> np.ndarray:
+        return np.frombuffer(b"".join([self[x] for x in pieces]), np.intc)
+
 
 #: States of the UTF-8 automaton: continuation bytes still to come, and the range of the next one.
 STARTS = [
@@ -248,41 +262,44 @@ def _decoder(path: str) -> Decoder:
     return Decoder(read_ranks(path))
 
 
-def _with(df: DataFrame, name: str, kind: T.DataType, of: str, make) -> DataFrame:
-    """df with one more column, made by Arrow batches from the column ``of``."""
-    rest = [c for c in df.columns if c != name]
-    schema = T.StructType([*(df.schema[c] for c in rest), T.StructField(name, kind)])
+def _with(df: DataFrame, fields: list[T.StructField], of: str, make: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """df with more columns, which ``make`` makes from some hundred rows of the column ``of`` at a time."""
+    names = [f.name for f in fields]
+    rest = [c for c in df.columns if c not in names]
+    schema = T.StructType([*(df.schema[c] for c in rest), *fields])
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in frames:
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), make(b.column(of))], [*rest, name])
+        for frame in frames:
+            for start in range(0, frame.num_rows, 256):
+                b = frame.slice(start, 256)
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *make(b.column(of))], [*rest, *names])
 
     return df.mapInArrow(batches, schema)
 
 
-def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """Adds ``ids`` (array of int): the tokens of each match of ``pattern``, by the ranks in the file
-    ``vocabulary`` (a path that each worker can read)."""
+    ``vocabulary`` (a path that each worker can read); with ``decoded``, also what these tokens spell."""
+    fields = [T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])]
 
-    def make(column: pa.Array) -> pa.Array:
+    def make(column: pa.Array) -> list[pa.Array]:
         import regex
 
         pieces, split = _encoder(vocabulary), regex.compile(pattern).findall
-        offsets, parts = [0], []
-        for value in column:
-            found = list(chain.from_iterable([pieces[x] for x in split(value.as_py() or "")]))
-            parts.append(np.array(found, dtype=np.int32))
-            offsets.append(offsets[-1] + len(found))
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
+        parts = [pieces.ids(split(value.as_py() or "")) for value in column]
+        offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32))
+        made = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts), pa.int32()))]
+        return [*made, pa.array([_decoder(vocabulary).text(x.tolist()) for x in parts], pa.string())] if decoded else made
 
-    return _with(df, ids, T.ArrayType(T.IntegerType()), text, make)
+    return _with(df, fields, text, make)
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Adds ``text``: what the tokens in ``ids`` spell; null or no tokens: empty."""
 
-    def make(column: pa.Array) -> pa.Array:
-        decoder = _decoder(vocabulary)
-        return pa.array([decoder.text(value.as_py() or []) for value in column], pa.string())
+    def make(column: pa.Array) -> list[pa.Array]:
+        decoder, lengths = _decoder(vocabulary), [0 if x is None else x for x in column.value_lengths().to_pylist()]
+        values, ends = column.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum(lengths).tolist()
+        return [pa.array([decoder.text(values[end - n : end]) for n, end in zip(lengths, ends, strict=True)], pa.string())]
 
-    return _with(df, text, T.StringType(), ids, make)
+    return _with(df, [T.StructField(text, T.StringType())], ids, make)
