@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stationlake.operators import availability as av
 from stationlake.operators import cdc, documents, episodes, feed, fleet, health, marts, quality
 from stationlake.sources import adapters as src
+from stationlake.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -107,6 +108,22 @@ def _replica(spark: SparkSession, d: str) -> DataFrame:
     return cdc.merge(once, second)
 
 
+def _availability_stream(spark: SparkSession, d: str) -> DataFrame:
+    rows = jobs.source(spark, jobs.as_files(src.status(spark, d)))
+    return jobs.drain(jobs.availability(rows), spark).select("window_start", "station_id", "samples")
+
+
+def _episodes_stream(spark: SparkSession, d: str) -> DataFrame:
+    rows = jobs.source(spark, jobs.as_files(src.status(spark, d)))
+    return jobs.folded_episodes(jobs.drain(jobs.episode_events(rows), spark))
+
+
+def _deduped_stream(spark: SparkSession, d: str) -> DataFrame:
+    rows = jobs.source(spark, jobs.as_files(src.status(spark, d)))
+    kept = jobs.drain(jobs.distinct_rows(rows).select("station_id", "snapshot_ts"), spark)
+    return kept.groupBy("station_id").agg(F.count(F.lit(1)).alias("n"), F.max("snapshot_ts").alias("newest"))
+
+
 HOURS = ", ".join(f"max(CASE WHEN hour_of_day = {h} THEN share_empty END) AS h{h:02d}" for h in range(24))
 END_LATE = "(epoch_us((start_clock + to_seconds(duration_s)) AT TIME ZONE 'America/Los_Angeles') // 1000000)"
 
@@ -123,6 +140,9 @@ ENTRIES: dict[str, tuple[Query, str]] = {
     "unchanged_days": (lambda s, d: feed.unchanged(src.status(s, d)), f"WITH {STATUS}, c AS (SELECT station_id, snapshot_ts // 86400 AS day, sha256(string_agg(lpad(CAST(snapshot_ts % 86400 AS VARCHAR), 5, '0') || ',' || bikes, ';' ORDER BY lpad(CAST(snapshot_ts % 86400 AS VARCHAR), 5, '0') || ',' || bikes)) AS content FROM status GROUP BY 1, 2) SELECT *, coalesce(content = lag(content) OVER (PARTITION BY station_id ORDER BY day), false) AS unchanged FROM c"),
     "availability_5m": (lambda s, d: _rounded(av.windows(src.status(s, d))), f"WITH {WINDOWS} SELECT window_start, window_end, station_id, samples, min_bikes, round(avg_bikes, 6) AS avg_bikes, max_bikes, round(avg_docks, 6) AS avg_docks, capacity, round(share_empty, 6) AS share_empty, round(share_full, 6) AS share_full, round(share_offline, 6) AS share_offline FROM w"),
     "episodes_batch": (lambda s, d: episodes.episodes(src.status(s, d)), f"WITH {STATUS}, {EPISODES} SELECT * FROM episodes"),
+    "availability_5m_stream": (_availability_stream, f"WITH {STATUS} SELECT snapshot_ts - snapshot_ts % 300 AS window_start, station_id, count(DISTINCT snapshot_ts) AS samples FROM status GROUP BY 1, 2 HAVING window_start + 300 <= (SELECT max(snapshot_ts) - 600 FROM status)"),
+    "episodes_stream": (_episodes_stream, f"WITH {STATUS}, {EPISODES} SELECT * FROM episodes"),
+    "dedupe_stream": (_deduped_stream, f"WITH {STATUS} SELECT station_id, count(DISTINCT snapshot_ts) AS n, max(snapshot_ts) AS newest FROM status GROUP BY 1"),
     "alerts": (lambda s, d: episodes.alerts(src.status(s, d)), f"WITH {STATUS}, {EPISODES}, {ALERTS} SELECT * FROM alerts"),
     "latest_state": (lambda s, d: documents.latest(src.status(s, d)).select("station_id", "snapshot_ts", "state", "bikes", "docks", "capacity"), f"WITH {STATUS} SELECT station_id, snapshot_ts, state, bikes, docks, capacity FROM status QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY snapshot_ts DESC, event_id DESC) = 1"),
     "mart_station_availability_daily": (lambda s, d: _daily(s, d), f"WITH {DAILY} SELECT * FROM daily"),
