@@ -1,0 +1,334 @@
+"""The corpus operators against brute force, and on nulls, empty and odd texts, ties, repeats and clashing names."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from stationlake.llm import language, mixing, orderhash, private, quality, repeats, simhash, toxicity, urls
+
+LONG = " ".join(f"word{i % 97} and{i % 13}" for i in range(4000))
+ODD = [(1, None), (2, ""), (3, "   \n\t "), (4, "one"), (5, "日本語 é 🙂"), (6, LONG), (7, "one"), (7, "one"), (None, "no id here at all"), (8, "a b c d e f g"), (9, "A B C D E F G")]
+
+
+@pytest.fixture
+def odd(spark):
+    return spark.createDataFrame([(i, t, "x", "y", 1) for i, t in ODD], "doc_id long, text string, fp string, score string, n_words int")
+
+
+def words(rnd, n):
+    return " ".join(rnd.choice(["alpha", "beta", "gam", "délta", "x", "of", "the"]) + str(rnd.randint(0, 60)) for _ in range(n))
+
+
+# --- 1: order-keeping fingerprints
+
+
+def test_edited_texts_and_likeness(spark):
+    rnd = random.Random(4)
+    rows = [(i * 7 % 101, words(rnd, rnd.randint(0, 80))) for i in range(60)] + [(500, None), (501, ""), (502, "same text here"), (503, "same text here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in orderhash.compare(df).collect()}
+    order = sorted(((i, t or "") for i, t in rows), reverse=True)
+    assert len(got) == len(rows)
+    for (i, x), (_, y) in zip(order, [*order[1:], order[0]], strict=True):
+        h = len(x) // 2
+        assert got[i].n_chars == len(x)
+        assert got[i].edited_sha256 == hashlib.sha256((x[: len(x) - h] + y[:h]).encode()).hexdigest()
+        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
+    assert got[502].fingerprint == got[503].fingerprint != "" and got[503].near_next == 1.0
+    assert got[500].fingerprint == "" and got[501].near_next == 1.0
+
+
+def test_fingerprints_feel_order_and_edits(spark):
+    a = " ".join(f"w{i}" for i in range(200))
+    swapped = " ".join(f"w{i}" for i in [*range(100, 200), *range(100)])
+    typo = a.replace("w50 ", "v50 ").replace("w150 ", "v150 ")
+    df = spark.createDataFrame([(a, a), (a, typo), (a, swapped), (a, "other words " * 90)], "x string, y string")
+    e = orderhash.entries(orderhash.entries(df, "x", "ex"), "y", "ey")
+    same, near, moved, far = (r[0] for r in e.select(orderhash.likeness(F.col("ex"), F.col("ey"))).collect())
+    assert same == 1.0 and 0.7 < near < 1 and far < 0.05 and far < moved < near
+
+
+def test_order_minhash_on_odd_rows(odd):
+    rows = orderhash.compare(odd).collect()
+    assert len(rows) == len(ODD) and orderhash.compare(odd.limit(0)).count() == 0
+    assert len({r.fingerprint for r in rows if r.doc_id == 7}) == 1
+
+
+# --- 2: fingerprints and their components
+
+
+def plain_fingerprint(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(w[k : k + 4]) for k in range(max(1, len(w) - 3))] if w else []
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def components(fps):
+    label = list(range(len(fps)))
+
+    def top(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= 4:
+                a, b = sorted((top(i), top(j)))
+                label[b] = a
+    return [top(i) for i in range(len(fps))]
+
+
+@pytest.mark.parametrize("crowd", [2048, 3])
+def test_components_as_by_all_pairs(spark, monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rnd = random.Random(6)
+    centres = [rnd.getrandbits(64) for _ in range(6)]
+    fps = [c ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 6))) for c in centres for _ in range(12)] + [0, 1 << 63]
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    found = {r.fp: r.component for r in simhash.classes(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()}
+    want = components(fps)
+    assert all((found[signed[i]] == found[signed[j]]) == (want[i] == want[j]) for i in range(len(fps)) for j in range(i))
+
+
+def test_near_duplicates_on_odd_rows(odd):
+    rows = simhash.near_duplicates(odd).collect()
+    assert len(rows) == len(ODD) and simhash.near_duplicates(odd.limit(0)).count() == 0
+    of = {r.doc_id: r for r in rows}
+    assert of[1].fp == of[2].fp == of[3].fp == 0 and of[3].component_id == 1
+    assert of[8].fp == of[9].fp and of[9].component_id == 8 and of[7].component_id == 4 and of[None].component_id is None
+    assert all(of[i].fp % (1 << 64) == plain_fingerprint(t) for i, t in ODD)
+
+
+# --- 3: URLs
+
+
+def test_rules_and_templates(spark):
+    cases = {
+        "https://A.Example.NET/en/1": ("a.example.net", "/en/1", "example.net/en/", "allow"), "http://x.net": ("x.net", "", None, "allow"), "http://x.net/": ("x.net", "/", "net/", "block"),
+        "https://example.com/de/7?x#y": ("example.com", "/de/7", "example.com/de/", "block"), "http://notexample.com/de/": ("notexample.com", "/de/", None, "allow"),
+        "http://a.org/fr/": ("a.org", "/fr/", "org/fr/", "allow"), "a://b://c/d": ("b:", "//c/d", None, "allow"), "no scheme": ("", "", None, "allow"), "": ("", "", None, "allow"), None: ("", "", None, "allow"),
+    }
+    df = spark.createDataFrame([(i, u, 1) for i, u in enumerate([*cases, *cases])], "page_id long, url string, host int")
+    rows = {r.page_id: r for r in urls.judge(df).collect()}
+    assert len(rows) == 2 * len(cases) and urls.judge(df.limit(0)).count() == 0
+    for i, want in enumerate([*cases.values()] * 2):
+        assert (rows[i].host, rows[i].path, rows[i].rule, rows[i].verdict) == want
+
+
+def test_templates_generalise_and_reject(spark):
+    rules = [("bad.com", "/shop/1", "block")]
+    rows = [f"http://bad.com/shop/{n}" for n in range(100, 200)] + [f"http://bad.com/shop/{n}" for n in range(200, 205)] + [f"http://bad.com/news/{n}" for n in range(100)] + ["http://bad.com/" + "/".join("abcdefghijkl")]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = {r.page_id: r for r in urls.judge(df, rules).collect()}
+    assert got[100].template == "/shop/*9" and got[100].rule is None and got[100].verdict == "block"
+    assert got[110].template == "/news/*9" and got[110].verdict == "allow"
+
+
+# --- 5: toxicity
+
+
+def test_maximal_segments_as_by_all_pairs():
+    model = toxicity.Model({"bad": 2.0, "awful": 3.0}, -0.5, 1.0)
+    rnd = random.Random(3)
+    for _ in range(200):
+        text = " ".join(rnd.choice(["bad", "awful", "fine", "good", "nice", "day"]) for _ in range(rnd.randint(0, 25)))
+        w = [model.weight(x) if model.weight(x) is not None else -0.5 for x in text.split()]
+        found, n = model.segments(text)
+        assert n == len(w)
+        best = max((sum(w[a : b + 1]) for a in range(n) for b in range(a, n)), default=0)
+        assert not found or abs(max(s for *_, s in found) - best) < 1e-9
+        assert all(abs(sum(w[a : b + 1]) - s) < 1e-9 for a, b, s in found)
+        assert all(b < c for (_, b, _), (c, _, _) in zip(found, found[1:], strict=False))
+        assert bool(found) == any(x > 0 for x in w)
+
+
+def test_toxicity_learns_words_and_beginnings(spark):
+    rnd = random.Random(8)
+    rows, marks = [], []
+    for i in range(600):
+        toxic = i % 5 == 0
+        w = words(rnd, 40).split()
+        if toxic:
+            w.insert(rnd.randint(0, 40), rnd.choice(["rotten", "smellyish", "smellyous", "smellyment", "smellyful", "smellyness", "smellyard"]))
+        rows.append((i, " ".join(w)))
+        marks.append((i, int(toxic)))
+    docs = spark.createDataFrame([*rows, (1000, None), (1001, ""), (1001, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([*marks, (1000, None)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels, F.col("doc_id") % 3 != 0)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert np.mean([(got[i] >= 0.3) == bool(y) for i, y in marks]) > 0.97
+    assert got[1000] == got[1001] < 0.3
+    assert toxicity.learn(docs, labels.limit(0), F.lit(True)).weights == {}
+    assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+# --- 6: repeats
+
+
+def plain_removal(texts):
+    data = [(t or "").encode() for t in texts]
+    times = Counter(b[i : i + 200] for b in data for i in range(len(b) - 199))
+    out = []
+    for b in data:
+        gone = bytearray(len(b))
+        for i in range(len(b) - 199):
+            if times[b[i : i + 200]] > 1:
+                gone[i : i + 200] = b"\1" * 200
+        out.append((len(b), sum(gone), bytes(x for x, y in zip(b, gone, strict=True) if not y)))
+    return out
+
+
+@pytest.mark.parametrize("crowd", [512, 8])
+def test_removal_as_by_counting(spark, monkeypatch, crowd):
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    rnd = random.Random(2)
+    shared = [words(rnd, 60) for _ in range(3)]
+    texts = [None, "", "short", "ab" * 400, "z" * 500, LONG, LONG[:-40] + "?" + LONG[-39:]] + [words(rnd, rnd.randint(1, 120)) for _ in range(15)]
+    for _ in range(30):
+        p, a = rnd.choice(shared), rnd.randint(0, 120)
+        texts.append(words(rnd, 10) + p[a : rnd.randint(a, len(p))] + words(rnd, 10))
+    texts += [words(rnd, 6) + shared[0] + words(rnd, 6) for _ in range(20)] + [texts[10], texts[10]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, sum(x.end - x.start for x in r.removed), bytes(r.kept)) for r in repeats.remove(df).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_removal(texts)
+
+
+def test_removal_on_odd_rows(odd):
+    rows = repeats.remove(odd).collect()
+    assert len(rows) == len(ODD) and repeats.remove(odd.limit(0)).count() == 0
+
+
+def test_suffixes_are_sorted():
+    rnd = random.Random(5)
+    for prefix in (b"", b"x" * 90):
+        s = [prefix + bytes(rnd.choice(b"ab") for _ in range(rnd.randint(0, 120))) for _ in range(200)] + [prefix + b"a" * 100] * 3
+        order = repeats.deep_shallow(s)
+        assert sorted(order) == list(range(len(s))) and [s[i] for i in order] == sorted(s)
+
+
+# --- 7: mixing
+
+
+def test_targets_share_out_the_excess():
+    assert mixing.targets({"a": 10, "b": 100, None: 50}) == {"a": 30.0, "b": pytest.approx(130 * 2 / 3), None: pytest.approx(130 / 3)}
+    assert mixing.targets({}) == {} and mixing.targets({"a": 0, "b": 4})["a"] == 0
+
+
+def test_flow_prefers_few_copies():
+    flow = mixing.route({frozenset("a"): 10, frozenset("ab"): 10, frozenset("b"): 10}, {"a": 15, "b": 15})
+    assert flow == {frozenset("a"): 10, frozenset("ab"): 10, frozenset("b"): 10}
+    assert mixing.route({frozenset("a"): 10, frozenset("ab"): 4}, {"a": 0, "b": 9}) == {frozenset("a"): 0, frozenset("ab"): 9}
+
+
+def test_mix_comes_near_its_targets(spark):
+    rnd = random.Random(9)
+    rows = [(i, rnd.randint(0, 60), [rnd.choice(["a", "b", "c", None])]) for i in range(3000)] + [(None, None, ["a"]), (3, 5, []), (3, 5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, size long, sources array<string>")
+    mixed, sizes, quota = mixing.mix(df, "size", "sources", order=["doc_id"])
+    got = mixed.collect()
+    assert len(got) == len(rows) and all(0 <= r.copies <= 3 for r in got)
+    for s, t in quota.items():
+        assert abs(sum(r.copies * (r["size"] or 0) for r in got if r.sources and r.sources[0] == s) - t) <= 60
+    again, _, _ = mixing.mix(df.repartition(7), "size", "sources", order=["doc_id"])
+    assert sorted(map(str, again.collect())) == sorted(map(str, got))
+    assert mixing.mix(df.limit(0), "size", "sources")[0].count() == 0
+
+
+# --- 8: quality
+
+
+def plain_counts(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    times, marked = Counter(windows), set()
+    for i, x in enumerate(windows):
+        if times[x] > 1:
+            marked |= set(range(i, i + 5))
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return [len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(marked)]
+
+
+def test_counts_as_by_hand():
+    rnd = random.Random(1)
+    texts = ["", "a", "a b c d e", "a b c d e a b c d e", "x\n\nx\n \n ", "é ü  a\nb\x0b\x0c", LONG] + [words(rnd, 30) + "\n" + rnd.choice(["#|", "x"]) * 3 for _ in range(30)]
+    texts += ["".join(rnd.choice("ab \n#\t") for _ in range(rnd.randint(0, 300))) for _ in range(200)]
+    assert all(quality.count(t)[:5] == plain_counts(t) for t in texts)
+
+
+def test_trees_keep_their_signs():
+    rnd = np.random.default_rng(0)
+    x = rnd.uniform(size=(3000, len(quality.FEATURES)))
+    y = (x[:, 2] + 0.3 * rnd.normal(size=3000) < 0.5).astype(float)
+    model = quality.fit(x, y, list(quality.FEATURES.values()))
+    assert ((model.score(x) >= 0.5) == (y > 0)).mean() > 0.8
+    for f, sign in enumerate(quality.FEATURES.values()):
+        if sign:
+            probe = np.repeat(x[:200], 9, axis=0)
+            probe[:, f] = np.tile(np.linspace(0, 1, 9), 200)
+            assert (sign * np.diff(model.score(probe).reshape(200, 9), axis=1) >= -1e-12).all()
+
+
+def test_quality_on_odd_rows(odd, spark):
+    labels = spark.createDataFrame([(6, 1), (4, 0), (5, None)], "doc_id long, quality int")
+    rows = quality.rules(odd, labels).collect()
+    assert len(rows) == len(ODD) and {r.doc_id: r.n_words for r in rows}[1] == 0
+    assert all(r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) for r in rows)
+    assert quality.rules(odd.limit(0), labels).count() == 0
+
+
+# --- 9: languages
+
+
+def test_languages_are_told_apart(spark):
+    rnd = random.Random(3)
+    stems = {"en": "the and ing tion wh ough", "de": "der ung sch keit ein ü", "fr": "eau que les ez ou é", "es": "ción los que ar ñ í"}
+    rows = [(i, " ".join("".join(rnd.choices(stems[l].split(), k=2)) for _ in range(30)), l) for i, l in enumerate(rnd.choices(list(stems), k=400))]
+    odd = [(1000, None, "en"), (1001, "", None), (1002, "123 !!", "fr"), (1003, "the thing", None)]
+    df = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    tree = language.learn(df, F.col("doc_id") % 5 != 0)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(df, tree).collect()}
+    assert np.mean([got[i][0] == l for i, _, l in rows if i % 5 == 0]) > 0.97
+    assert all(got[i] == ("und", 0.0) for i in (1000, 1001, 1002)) and got[1003][0] in stems
+    assert all(0 <= s <= 1 for _, s in got.values())
+    assert language.learn(df.limit(0), F.lit(True)) is None and language.predict(df, None).count() == len(rows) + 4
+
+
+# --- 10: personal data
+
+
+def test_surrogates_keep_kind_and_coreference(spark):
+    text = "Mail Bob.Smith@Corp.example.com or bob.smith@corp.example.com, +1 (966) 555-0400 / +19665550400; card 4111 1111 1111 1111, 4111-1111-1111-1111. Mrs. Anna Miller, Mrs. Anna Miller; 10.2.33.244, 123-45-6789"
+    rows = [(1, text), (1, text), (2, "no entity here 3. or 4.0"), (3, None), (4, ""), (5, "Mr Otto Kern and Госпожа Анна Каренина")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(private.replace(df, count="n").collect(), key=lambda r: r.doc_id)
+    new = got[0].text
+    assert got[0] == got[1] and got[2].text == rows[2][1] and got[3].text is None and got[4].text == "" and got[3].n == 0
+    mails = re.findall(r"\S+@\S+\.com", new)
+    assert mails[0].lower() == mails[1] and mails[0][0].isupper() and "smith" not in new.lower() and mails[1] != "bob.smith@corp.example.com"
+    phones = re.search(r"\+(\d) \((\d{3})\) (\d{3})-(\d{4}) / \+(\d{11});", new)
+    assert "".join(phones.groups()[:4]) == phones[5] != "19665550400"
+    cards = re.search(r"card ([\d ]{19}), ([\d-]{19})\.", new)
+    digits = [int(c) for c in cards[1].replace(" ", "")]
+    assert cards[1].replace(" ", "") == cards[2].replace("-", "") != "4111111111111111" and digits[0] == 4
+    assert sum(d if i % 2 else 2 * d - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
+    assert len(set(re.findall(r"Mrs\. (\w+ \w+)", new))) == 1 and "Miller" not in new
+    assert all(0 <= int(x) <= 255 for x in re.search(r"(\d+)\.(\d+)\.(\d+)\.(\d+)", new).groups())
+    assert re.search(r"^Mr [A-Z][a-z]+ [A-Z][a-z]+ and Госпожа [А-Яё][а-яё]+ [А-Яё][а-яё]+ва$", got[5].text) and "Анна" not in got[5].text
+    assert [r.text for r in sorted(private.replace(df, key="other").collect(), key=lambda r: r.doc_id)][0] != new
+    assert private.replace(df.limit(0)).count() == 0
+
+
+def test_surrogates_stay_distinct(spark):
+    rows = [(i, f"Mr Aa Bb{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i // 100]} 10.0.0.{i % 256}") for i in range(600)]
+    got = private.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    names = {r.doc_id: re.match(r"Mr (\S+ \S+) ", r.text)[1] for r in got}
+    hosts = {r.doc_id % 256: r.text.split()[-1] for r in got}
+    assert len(set(names.values())) == 600 and len(set(hosts.values())) == 256
