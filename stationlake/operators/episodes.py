@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stationlake.functions.exprs import PROBLEMS, Thresholds, episode_id
+from stationlake.functions.exprs import PACIFIC, PROBLEMS, Thresholds, episode_id, wall
 
 
 def first_rows(status: DataFrame) -> DataFrame:
@@ -41,3 +41,11 @@ def alerts(status: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     resolved = found.where("end_ts is not null").select("episode_id", "station_id", "kind", "start_ts", F.col("end_ts").alias("ts"), F.lit("resolved").alias("action"))
     both = raised.unionByName(resolved)
     return both.select(F.concat_ws(":", "episode_id", "action").alias("alert_id"), "episode_id", "station_id", "kind", "action", "start_ts", (F.col("ts") - F.col("start_ts")).alias("duration_s"), "ts")
+
+
+def alert_texts(alerts: DataFrame, stations: DataFrame) -> DataFrame:
+    """Subject (100 characters at most) and body of each raised alert, with Pacific clock time."""
+    named = alerts.where("action = 'raised'").join(stations.select("station_id", "station_name"), "station_id", "left")
+    name = F.coalesce("station_name", F.concat(F.lit("Station "), "station_id"))
+    subject = F.concat(name, F.lit(" is "), "kind", F.lit(" for "), F.round(F.col("duration_s") / 60).cast("long").cast("string"), F.lit(" min"))
+    return named.select("alert_id", F.substring(subject, 1, 100).alias("subject"), F.concat(F.lit("since "), F.date_format(wall(F.col("start_ts"), PACIFIC), "HH:mm")).alias("body"))
