@@ -9,13 +9,12 @@ hash, and how far it reaches to the left and right.
 Stretches whose anchor is met once are dropped. Equal stretches are counted; where there are two, all
 their bytes go. Where stretches with equal anchors differ, one of each kind is fetched from its text, and
 those of one anchor are sorted as suffixes from the anchor on: multikey quicksort by eight bytes at a
-time down to ``SHALLOW``, blind tries for what is equal so far. In sorted order the bytes that two
-neighbours share are known, so for each stretch one walks outward while a common string can still be long
-enough, and compares what lies left of the anchors. An anchor with over ``CROWD`` kinds of stretches isn't
-sorted in one task: its strings are dealt out by their place and 128-bit hash, and counted.
+time down to ``SHALLOW``, blind tries for what is equal so far. From the innermost group of suffixes
+outward, members are compared by what lies left of their anchors. An anchor with over ``CROWD`` kinds of
+stretches isn't sorted in one task: its strings are dealt out by their place and 128-bit hash, and counted.
 
 Nulls count as empty texts. Rows with equal doc_id and text are two documents with the same result: each
-repeats the other. Nothing is compared across documents.
+repeats the other. No string spans two documents.
 """
 
 from __future__ import annotations
@@ -31,7 +30,8 @@ from pyspark.sql import functions as F
 
 from stationlake.llm.common import cut, tasks
 
-SPAN, GRAM, SHALLOW, CROWD = 200, 64, 80, 512
+#: CROWD bounds the memory of a task: so many stretches of under 350 bytes.
+SPAN, GRAM, SHALLOW, CROWD = 200, 64, 80, 16384
 #: Bytes of a text that are looked at together; longer ones are taken in blocks that overlap.
 BLOCK = 1 << 20
 #: Keys of texts (24 bytes each) up to this number are broadcast; more are joined by a shuffle.
@@ -172,29 +172,37 @@ def deep_shallow(strings: list[bytes]) -> list[int]:
 
 def shared_ranges(lefts: list[bytes], rights: list[bytes]) -> list[list[tuple[int, int]]]:
     """For stretches cut at their anchors: ranges (bytes left of the anchor, bytes from it on) of strings of
-    SPAN bytes that some other stretch has too."""
+    SPAN bytes that some other stretch has too.
+
+    The sorted suffixes are a tree of groups that share ever fewer bytes. From the innermost group outward,
+    its members are kept in order of what lies left of their anchors, read backwards, where each has the
+    most in common with a neighbour."""
     order = deep_shallow(rights)
-    after = [common(rights[a], rights[b]) for a, b in zip(order, order[1:], strict=False)]
-    back = [int.from_bytes(x[::-1], "little") for x in lefts]
+    back = [x[::-1] for x in lefts]
+    least, most = SPAN - max(map(len, lefts)), [-1] * len(lefts)
     out: list[list[tuple[int, int]]] = [[] for _ in lefts]
-    for at, i in enumerate(order):
-        least, best = SPAN - len(lefts[i]), []
-        for step in (1, -1):
-            k, right, most = at, SPAN, -1
-            while 0 <= (k := k + step) < len(order):
-                right = min(right, after[k - 1] if step == 1 else after[k])
-                if right < least:
-                    break
-                j = order[k]
-                n = min(len(lefts[i]), len(lefts[j]))
-                differ = back[i] ^ back[j]
-                left = min(n, ((differ & -differ).bit_length() - 1) // 8) if differ else n
-                if left > most and left + right >= SPAN:
-                    best.append((left, right))
-                    most = left
-                if most == len(lefts[i]):
-                    break
-        out[i] = best
+
+    def report(right: int, members: list[int]) -> None:
+        shared = [0, *(common(back[x], back[y]) for x, y in zip(members, members[1:], strict=False)), 0]
+        for k, i in enumerate(members):
+            left = max(shared[k], shared[k + 1])
+            if left > most[i] and left + right >= SPAN:
+                out[i].append((left, right))
+                most[i] = left
+
+    stack: list[tuple[int, list[int]]] = []
+    for k, i in enumerate(order):
+        right = min(SPAN, common(rights[i], rights[order[k + 1]])) if k + 1 < len(order) else -1
+        right = right if right >= least else -1
+        members = [i]
+        while stack and stack[-1][0] > right:
+            shared, before = stack.pop()
+            members = sorted(before + members, key=back.__getitem__)
+            report(shared, members)
+        if stack and stack[-1][0] == right:
+            stack[-1][1].extend(members)
+        elif right >= 0:
+            stack.append((right, members))
     return out
 
 
