@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stationlake.functions.exprs import row_hash
+from stationlake.operators.tables import TableStore
 
 KEY = ["order_id", "line"]
 DATA = ["quantity", "status"]
@@ -58,3 +61,80 @@ def difference(left: DataFrame, right: DataFrame, key: list[str], columns: list[
     side = lambda d, n: d.select(*key, row_hash(*(F.col(c) for c in columns)).alias(n))
     both = side(left, "l").join(side(right, "r"), key, "full_outer").where(~F.col("l").eqNullSafe(F.col("r")))
     return both.select(*key, F.when(F.col("l").isNull(), "only right").when(F.col("r").isNull(), "only left").otherwise("differs").alias("problem"))
+
+
+#: Types of the envelope's fields, by name or by semantic name, as Spark reads them.
+TYPES = {"int16": "int", "int32": "int", "int64": "bigint", "float64": "double", "double": "double", "boolean": "boolean", "string": "string"}
+SEMANTIC = {"io.debezium.time.ZonedTimestamp": "string", "io.debezium.time.MicroTimestamp": "bigint"}
+ZONED = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:\d{2})$"
+
+
+def fields(schema: str) -> list[tuple[str, str, str | None]]:
+    """(name, type to read, semantic name) of the columns that an envelope's schema (JSON text) declares."""
+    row = next(f for f in json.loads(schema)["fields"] if f["field"] in ("after", "before"))
+    out = []
+    for f in row["fields"]:
+        kind = SEMANTIC.get(f["name"]) if f.get("name") else TYPES.get(f["type"])
+        if kind is None:
+            raise TypeError(f"column {f['field']}: no type for {f.get('name') or f['type']}")
+        out.append((f["field"], kind, f.get("name")))
+    return out
+
+
+def _typed(c: Column, semantic: str | None) -> Column:
+    if semantic is None:
+        return c
+    if semantic.endswith("MicroTimestamp"):
+        return F.timestamp_micros(c)
+    read = F.when(c.rlike(ZONED), F.try_to_timestamp(c)).otherwise(F.raise_error(F.concat(F.lit("not a zoned timestamp: "), c)))
+    return F.when(c.isNotNull(), read)
+
+
+def decode(messages: DataFrame) -> DataFrame:
+    """Rows of one table's change messages (value as JSON text, offset): its columns, op, lsn, offset and the
+    source's time. A deletion has the row as it was; a message without a value is a tombstone and is left out.
+
+    Schemas are few: each different one is read once, the columns of all are merged in order of their lsn,
+    and a column that changed its type is refused."""
+    at = lambda p: F.get_json_object("value", p)
+    known = messages.where(F.col("value").isNotNull()).withColumns({"op": at("$.payload.op"), "lsn": at("$.payload.source.lsn").cast("long"), "schema": at("$.schema")})
+    wrong = known.where(~F.col("op").isin("c", "u", "d", "r") | F.col("op").isNull() | F.col("schema").isNull()).limit(1).count()
+    if wrong:
+        raise ValueError("a message without schema, or with an unknown operation")
+    columns: dict[str, tuple[str, str | None]] = {}
+    for row in known.groupBy("schema").agg(F.min("lsn").alias("lsn")).orderBy("lsn").collect():
+        for name, kind, semantic in fields(row["schema"]):
+            if columns.setdefault(name, (kind, semantic)) != (kind, semantic):
+                raise TypeError(f"column {name} was {columns[name]}, now {(kind, semantic)}")
+    image = F.when(F.col("op") == "d", at("$.payload.before")).otherwise(at("$.payload.after"))
+    body = F.from_json(image, ", ".join(f"`{n}` {k}" for n, (k, _) in columns.items()) or "none string")
+    rows = known.withColumn("r", body)
+    return rows.select(*(_typed(F.col("r")[n], semantic).alias(n) for n, (_, semantic) in columns.items()), "op", "lsn", "offset", F.timestamp_millis(at("$.payload.source.ts_ms").cast("long")).alias("source_ts"))
+
+
+def apply(store: TableStore, table: str, batch: DataFrame, key: list[str]) -> int:
+    """One batch of decoded events into a replica: new columns come last and are null before; rows after it."""
+    data = [c for c in batch.columns if c not in (*key, "op", "lsn", "offset", "source_ts")]
+    stored = store.read(table) if store.exists(table) else empty(batch, key, data)
+    order = [c for c in stored.columns if c not in (*key, "lsn")]
+    order += [c for c in data if c not in order]
+    kinds = dict(batch.dtypes)
+    for c in order:
+        if c not in stored.columns:
+            stored = stored.withColumn(c, F.lit(None).cast(kinds[c]))
+        elif c in kinds and dict(stored.dtypes)[c] != kinds[c]:
+            raise TypeError(f"column {c} was {dict(stored.dtypes)[c]}, now {kinds[c]}")
+        elif c not in kinds:
+            batch = batch.withColumn(c, F.lit(None).cast(dict(stored.dtypes)[c]))
+    return store.write(table, merge(stored, batch, key, order).select(*key, *order, "lsn"))
+
+
+def replicate(stream: DataFrame, store: TableStore, table: str, key: list[str], checkpoint: str):
+    """A stream of messages (value, offset) applied batch by batch until its source is read; replays change nothing."""
+
+    def batch(messages: DataFrame, _: int) -> None:
+        if messages.limit(1).count():
+            apply(store, table, decode(messages), key)
+
+    query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()

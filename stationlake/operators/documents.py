@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stationlake.functions.exprs import STATES, view
@@ -79,3 +81,27 @@ def document(rows: DataFrame, columns: list[str], order: list[str], meta: dict[s
     head = ",".join(f'"{k}":"{v}"' for k, v in meta.items())
     text = F.concat(F.lit("{" + head + ("," if head else "") + '"columns":["' + '","'.join(columns) + '"],"rows":['), "b", F.lit("]}"))
     return body.select(text.alias("document"), F.octet_length(text).alias("bytes"))
+
+
+def export(spark: SparkSession, folder: str, documents: dict[str, DataFrame], data_as_of: int, generated_at: int, most_bytes: int = 1_000_000) -> dict:
+    """Writes site documents (one row each: document, bytes) and, last, their manifest; the manifest.
+
+    No file is written if one of them is over its budget. If the data are no newer than the last manifest's,
+    nothing is written and that manifest is given back."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    path = lambda name: fs.Path(f"{folder.rstrip('/')}/{name}")
+    store = path("manifest.json").getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(path("manifest.json")):
+        last = json.loads(spark.read.text(f"{folder.rstrip('/')}/manifest.json", wholetext=True).first()[0])
+        if last["data_as_of"] >= data_as_of:
+            return last
+    made = {name: df.first() for name, df in documents.items()}
+    over = [name for name, row in made.items() if row["bytes"] > most_bytes]
+    if over:
+        raise ValueError(f"over {most_bytes} bytes: {', '.join(sorted(over))}")
+    manifest = {"data_as_of": data_as_of, "generated_at": generated_at, "documents": {name: row["bytes"] for name, row in sorted(made.items())}}
+    for name, text in [*((f"{name}.json", row["document"]) for name, row in made.items()), ("manifest.json", json.dumps(manifest))]:
+        out = store.create(path(name), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+    return manifest
