@@ -39,13 +39,13 @@ SEGMENTS = [(0, 21, 1), (21, 21, 1), (42, 22, 0)]
 CROWD = 2048
 
 
-def fingerprint(text: str | None, size: int = 4, seed: int = SEED) -> int:
-    """The fingerprint, as a signed 64-bit number."""
+def hashes(text: str | None, size: int, seed: int = SEED) -> np.ndarray:
+    """The XXH64 hash of each shingle: of all words if there are no more than ``size``."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z, ASCII white space
     if not words:
-        return 0
+        return np.array([], np.uint64)
     if len(words) <= size:
         shingles = [b" ".join(words)]
     else:
@@ -54,7 +54,13 @@ def fingerprint(text: str | None, size: int = 4, seed: int = SEED) -> int:
         starts = np.concatenate([[0], ends[:-1] + 1])
         shingles = [line[a:b] for a, b in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(x, seed) for x in shingles], np.uint64)
+    return np.array([digest(x, seed) for x in shingles], np.uint64)
+
+
+def fold(hashes: np.ndarray) -> int:
+    """The fingerprint of a text's hashes, as a signed 64-bit number."""
+    if not len(hashes):
+        return 0
     total = np.zeros(64, np.int64)
     for part in np.array_split(hashes, len(hashes) // 65536 + 1):
         total += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -62,6 +68,11 @@ def fingerprint(text: str | None, size: int = 4, seed: int = SEED) -> int:
     return int(bits.view("<i8")[0])
 
 
+def fingerprint(text: str | None, size: int = 4, seed: int = SEED) -> int:
+    """The fingerprint, as a signed 64-bit number."""
+    return fold(hashes(text, size, seed))
+
+
 def fingerprints(df: DataFrame, text: str = "text", name: str = "fp", size: int = 4, seed: int = SEED) -> DataFrame:
     """df without its text, with its fingerprint as a long."""
     rest = [c for c in df.columns if c not in (text, name)]
