@@ -39,21 +39,22 @@ _TITLE = "|".join(sorted((TITLES["m"] + " " + TITLES["f"]).split(), key=len, rev
 #: Kinds in order of precedence at one place.
 KINDS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "password": r"(?i:password|passwd|pwd)\s?[=:]\s?[^\s\"']+",
-    "token": r"(?i:token|secret|api_?key)\s?[=:]\s?\"[A-Za-z0-9_+/=-]{16,}\"",
+    "password": r"(?i:password|passwd|pwd)\s?[=:]\s?(?:\"[^\"\r\n]+\"|'[^'\r\n]+'|[^\s\"']+)",
+    "token": r"(?i:token|secret|api_?key)\s?[=:]\s?(?:\"[A-Za-z0-9_+/=-]{16,}\"|'[A-Za-z0-9_+/=-]{16,}'|[A-Za-z0-9_+/=-]{16,})",
     "access_key": r"\bAKIA[0-9A-Z]{16}\b",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "phone": r"\+\d{1,3}(?: \d{1,3})(?: \d{2}){4}(?!\d)|\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}\b|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<![\d-])[2-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d-])",
+    "card": r"(?<![\d-])(?:3[47]\d{2}[ -]\d{6}[ -]\d{5}|[2-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7})(?![\d-])",
     "name": rf"\b(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Texts without any of these hold no entity; a cheap look before the pattern.
-HINT = rf"[0-9@]|[=:]|(?:{_TITLE})\.? \p{{Lu}}"
-#: The part of an entity that is not replaced.
-HEAD = r"^(?:(?i:password|passwd|pwd|token|secret|api_?key)\s?[=:]\s?|AKIA)"
+HINT = rf"[0-9@]|[=:]|AKIA|(?:{_TITLE})\.? \p{{Lu}}"
+#: The parts of an entity that are not replaced: before it, and a closing quote.
+HEAD = r"^(?:(?i:password|passwd|pwd|token|secret|api_?key)\s?[=:]\s?[\"']?|AKIA)"
+TAIL = r"[\"']$"
 UPPER, LOWER = {"latin": ("A", 26), "cyrillic": ("А", 32)}, {"latin": ("a", 26), "cyrillic": ("а", 32)}
 
 
@@ -70,7 +71,7 @@ def _canonical(kind: Column, written: Column) -> Column:
         F.when(kind.isin("phone", "ssn", "card"), digits)
         .when(kind == "iban", F.replace(written, F.lit(" "), F.lit("")))
         .when(kind == "email", F.lower(written))
-        .when(kind.isin("password", "token"), F.regexp_replace(written, HEAD, ""))
+        .when(kind.isin("password", "token"), F.regexp_replace(F.regexp_replace(written, HEAD, ""), TAIL, ""))
         .when(kind == "name", F.lower(F.regexp_replace(written, rf"^(?:{_TITLE})\.? ", "")))
         .otherwise(written)
     )
@@ -149,13 +150,13 @@ def _rewritten(kind: Column, written: Column, canon: Column, new: Column) -> Col
     numbers = F.array_join(F.transform(F.split(written, ""), lambda c, i: char(c, i, "0-9")), "")
     iban = F.array_join(F.transform(F.split(written, ""), lambda c, i: char(c, i, "0-9A-Z")), "")
     cased = F.array_join(F.transform(F.split(written, ""), lambda c, i: F.when((F.lower(c) != c) & (F.length(written) == F.length(new)), F.upper(F.substring(new, i + 1, F.lit(1)))).otherwise(F.substring(new, i + 1, F.lit(1)))), "")
-    head = F.regexp_extract(written, HEAD, 0)
+    head, tail = F.regexp_extract(written, HEAD, 0), F.regexp_extract(written, TAIL, 0)
     title = F.regexp_extract(written, rf"^(?:{_TITLE})\.? ", 0)
     bare = F.substring(written, F.length(title) + 1, F.length(written))
     name = F.when(F.upper(bare) == bare, F.upper(new)).otherwise(F.initcap(new))
     return (
         F.when(kind.isin("phone", "ssn", "card"), numbers).when(kind == "iban", iban).when(kind == "email", cased)
-        .when(kind.isin("password", "token"), F.concat(head, new)).when(kind == "name", F.concat(title, name)).otherwise(new)
+        .when(kind.isin("password", "token"), F.concat(head, new, tail)).when(kind == "name", F.concat(title, name)).otherwise(new)
     )
 
 
