@@ -4,7 +4,8 @@ Entities are found by one pattern over whole texts. An entity's canonical form (
 lower case of an address) is what its surrogate hangs on, by SHA-256 with a secret key; so one person's
 number is replaced alike wherever and however it is written. A surrogate keeps length, separators, case
 and script of each character, the scheme and check digit of a card, the ranges of an IP address, the
-last label of a host, the title of a name and with it the gender. Two entities never share a surrogate,
+last label of a host, the title of a name and with it the gender; but other characters of a password are
+replaced too, and where all surrogates of a length are taken it grows. Two entities never share a surrogate,
 and no surrogate is an entity of the corpus: those that would are drawn again, all others stay.
 
 Only texts with an entity are shuffled, and only once; all is DataFrame expressions. Nulls stay null,
@@ -55,6 +56,10 @@ HINT = rf"[0-9@]|[=:]|AKIA|(?:{_TITLE})\.? \p{{Lu}}"
 #: The parts of an entity that are not replaced: before it, and a closing quote.
 HEAD = r"^(?:(?i:password|passwd|pwd|token|secret|api_?key)\s?[=:]\s?[\"']?|AKIA)"
 TAIL = r"[\"']$"
+#: What stands for other characters of a password: one of these if ASCII, else a letter.
+MARKS = "!#$%&*+-.?@^_~"
+#: From these attempts on, surrogates of secrets and addresses, and of numbers, grow: their space may be full.
+GROW, GROW_NUMBER = 3, 8
 UPPER, LOWER = {"latin": ("A", 26), "cyrillic": ("А", 32)}, {"latin": ("a", 26), "cyrillic": ("а", 32)}
 
 
@@ -83,8 +88,8 @@ def _number(seed: Column, place: Column | int) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
-def _letters(canon: Column, seed: Column) -> Column:
-    """Each digit and letter replaced by one of its kind; all else as it is."""
+def _letters(canon: Column, seed: Column, others: Column | None = None) -> Column:
+    """Each digit and letter replaced by one of its kind; all else as it is, but for ``others`` by other marks or letters."""
 
     def one(c: Column, i: Column) -> Column:
         n = _number(seed, i)
@@ -94,6 +99,9 @@ def _letters(canon: Column, seed: Column) -> Column:
                 pattern = f"^[{first}-{chr(ord(first) + count - 1)}]$"
                 alphabet = "".join(chr(ord(first) + k) for k in range(count))
                 out = out.when(c.rlike(pattern), F.substring(F.lit(alphabet), (n % count + 1).cast("int"), F.lit(1)))
+        if others is not None:
+            out = out.when(others & c.rlike(r"^[!-~]$"), F.substring(F.lit(MARKS), (n % len(MARKS) + 1).cast("int"), F.lit(1)))
+            out = out.when(others & c.rlike(r"^[^\x00-\x7F]$"), F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), (n % 26 + 1).cast("int"), F.lit(1)))
         return out.otherwise(c)
 
     return F.array_join(F.transform(F.split(canon, ""), one), "")
@@ -113,27 +121,30 @@ def _luhn(digits: Column) -> Column:
 def _surrogate(kind: Column, canon: Column, gender: Column, key: str, attempt: int) -> Column:
     """The surrogate of a canonical form, itself in canonical form."""
     seed = F.concat_ws("|", F.lit(key), kind, canon, F.lit(str(attempt)))
-    plain = _letters(canon, seed)
+    more, digits = "a" * max(0, attempt - GROW + 1), "0" * max(0, attempt - GROW_NUMBER + 1)
+    longer = F.concat(canon, F.when(kind.isin("phone", "ssn", "card", "iban"), F.lit(digits)).otherwise(F.lit(more)))
+    plain = _letters(longer, seed, kind == "password")
     lead = F.when(kind == "phone", F.substring(canon, 1, 1)).when(kind == "card", F.substring(canon, 1, 1)).when(kind == "iban", F.substring(canon, 1, 2))
     led = F.coalesce(F.concat(lead, F.substring(plain, F.length(lead) + 1, F.length(plain))), plain)
     ssn = F.concat((_number(seed, 0) % 6 + 1).cast("string"), F.substring(plain, F.lit(2), F.length(plain)))
     body = F.substring(led, F.lit(1), F.length(led) - 1)
     check = (10 - _luhn(F.concat(body, F.lit("0"))) % 10) % 10
     card = F.when(_luhn(canon) % 10 == 0, F.concat(body, check.cast("string"))).otherwise(led)
-    octet = lambda x, i: F.when(F.length(x) == 1, _number(seed, i) % 9 + 1).when(F.length(x) == 2, _number(seed, i) % 90 + 10).otherwise(_number(seed, i) % 156 + 100).cast("string")
+    wide = lambda x: F.length(x) + min(2, len(more))
+    octet = lambda x, i: F.when(wide(x) == 1, _number(seed, i) % 9 + 1).when(wide(x) == 2, _number(seed, i) % 90 + 10).otherwise(_number(seed, i) % 156 + 100).cast("string")
     ip = F.array_join(F.transform(F.split(canon, r"\."), octet), ".")
     # a host's surrogate hangs on the host alone, so that colleagues stay colleagues; its last label stays
     host = F.substring_index(canon, "@", -1)
     top = F.concat(F.lit("."), F.substring_index(host, ".", -1))
     stem = F.substring(host, F.lit(1), F.length(host) - F.length(top))
-    email = F.concat(_letters(F.substring_index(canon, "@", 1), seed), F.lit("@"), _letters(stem, F.concat_ws("|", F.lit(key), F.lit("host"), host)), top)
+    email = F.concat(_letters(F.concat(F.substring_index(canon, "@", 1), F.lit(more)), seed), F.lit("@"), _letters(stem, F.concat_ws("|", F.lit(key), F.lit("host"), host)), top)
     names = F.lit(None).cast("string")
     for (script, g), given in NAMES.items():
         family = F.concat(*(_pick(SYLLABLES[script], _number(seed, k)) for k in range(1, 4 + attempt)), F.lit(ENDS[script, g]))
         both = F.when(canon.contains(" "), F.concat(F.lower(_pick(given, _number(seed, 0))), F.lit(" "), family)).otherwise(family)
         is_script = canon.rlike(r"\p{IsCyrillic}") if script == "cyrillic" else ~canon.rlike(r"\p{IsCyrillic}")
         names = F.when((gender == g) & is_script, both).otherwise(names)
-    secret = F.when(kind == "access_key", F.concat(F.lit("AKIA"), _letters(F.substring(canon, F.lit(5), F.length(canon)), seed)))
+    secret = F.when(kind == "access_key", F.concat(F.lit("AKIA"), _letters(F.substring(longer, F.lit(5), F.length(longer)), seed)))
     return (
         F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "ssn", ssn)
         .when(kind == "name", F.coalesce(names, plain)).when(kind == "access_key", secret).otherwise(led)
@@ -147,15 +158,18 @@ def _rewritten(kind: Column, written: Column, canon: Column, new: Column) -> Col
         before = F.length(F.regexp_replace(F.substring(written, F.lit(1), i), f"[^{significant}]", ""))
         return F.when(c.rlike(f"^[{significant}]$"), F.substring(new, before + 1, F.lit(1))).otherwise(c)
 
-    numbers = F.array_join(F.transform(F.split(written, ""), lambda c, i: char(c, i, "0-9")), "")
-    iban = F.array_join(F.transform(F.split(written, ""), lambda c, i: char(c, i, "0-9A-Z")), "")
+    def all_of(significant: str) -> Column:
+        used = F.length(F.regexp_replace(written, f"[^{significant}]", ""))
+        return F.concat(F.array_join(F.transform(F.split(written, ""), lambda c, i: char(c, i, significant)), ""), F.substring(new, used + 1, F.length(new)))
+
+    numbers, iban = all_of("0-9"), all_of("0-9A-Z")
     cased = F.array_join(F.transform(F.split(written, ""), lambda c, i: F.when((F.lower(c) != c) & (F.length(written) == F.length(new)), F.upper(F.substring(new, i + 1, F.lit(1)))).otherwise(F.substring(new, i + 1, F.lit(1)))), "")
     head, tail = F.regexp_extract(written, HEAD, 0), F.regexp_extract(written, TAIL, 0)
     title = F.regexp_extract(written, rf"^(?:{_TITLE})\.? ", 0)
     bare = F.substring(written, F.length(title) + 1, F.length(written))
     name = F.when(F.upper(bare) == bare, F.upper(new)).otherwise(F.initcap(new))
     return (
-        F.when(kind.isin("phone", "ssn", "card"), numbers).when(kind == "iban", iban).when(kind == "email", cased)
+        F.when(kind.isin("phone", "ssn", "card"), numbers).when(kind == "iban", iban).when((kind == "email") & (F.length(written) == F.length(new)), cased)
         .when(kind.isin("password", "token"), F.concat(head, new, tail)).when(kind == "name", F.concat(title, name)).otherwise(new)
     )
 
@@ -168,7 +182,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, gender, canon, new) for distinct (kind, gender, canon): distinct surrogates that are no entity.
 
     All whose draw is taken, by an entity or by a smaller canonical form, draw again; each round leaves
-    only those, and each draw comes from a space that the entities fill sparsely."""
+    only those. Where entities fill the space of their length, later draws are longer."""
     names = ["kind", "gender", "canon"]
     pending, settled = entities.select(*names), None
     real = entities.select("kind", F.col("canon").alias("new")).distinct()

@@ -349,3 +349,14 @@ def test_surrogates_of_each_written_form(spark):
         shape = lambda t: re.sub(r"[a-z]", "a", re.sub(r"\d", "0", t))
         assert shape(row.text.split("=")[-1]) == shape(f"see {form} now".split("=")[-1]) or "AKIA" in form, form
     assert got[7].text.replace(" ", "") == got[8].text.replace("-", "").replace(" ", "")
+
+
+def test_surrogates_grow_where_their_space_is_full(spark):
+    texts = ["password: ***", "pwd=____", "pwd=密码密码", *(f"pwd={k}" for k in range(10))]
+    texts += [" ; ".join(f"{a}.{b}.{c}.{d}" for c in range(1, 10) for d in range(1, 10)) for a in range(1, 10) for b in range(1, 10)]
+    got = sorted(private.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect(), key=lambda r: r.doc_id)
+    new = [re.split("[:=] ?", r.text, maxsplit=1)[1] for r in got[:13]]
+    assert len(set(new)) == 13 and not set(new) & {"***", "____", "密码密码", *"0123456789"}
+    old, ips = ({x for t in rows for x in t.split(" ; ")} for rows in (texts[13:], [r.text for r in got[13:]]))
+    assert len(old) == len(ips) == 6561 and not old & ips
+    assert all(0 < int(x) < 256 for ip in ips for x in ip.split("."))
