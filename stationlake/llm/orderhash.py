@@ -1,15 +1,20 @@
 """Order MinHash: fingerprints that keep the order of what they draw.
 
 A text is its runs of ``K`` tokens (a token: a CJK character, or up to 32 characters without white
-space), each with its occurrence number: how often the same run came before. A hash of run and number
-deals them into ``BINS`` bins; in each bin the ``DRAWN`` of smallest hash are chosen, set in the order of
-the text, and hashed together to the bin's entry. So an entry is equal in two texts if both have the
-chosen runs, as often, and in the same order, which gets rarer with each edit between the texts.
-Likeness is the share of equal entries among the bins that either text fills.
+space), each with its occurrence number: how often the same run came before. A hash puts each numbered
+run on a circle. Entry j of ``ENTRIES`` starts at the point j / ENTRIES of the circle and takes the
+``DRAWN`` runs that follow; they are set in the order of the text and hashed together. A start point is a
+random rotation of one hash, so each entry by itself is the draw of an Order MinHash with a hash function
+of its own: the ``DRAWN`` minimal numbered runs, in text order. It is equal in two texts if both have
+these runs, as often, and in the same order, which gets rarer with each edit between the texts. One hash
+instead of ENTRIES costs variance in texts of few runs only, whose entries share draws. Likeness is the
+share of equal entries.
 
 All of it is array expressions over one row; nothing is exploded or shuffled. A text of fewer than K
-tokens is one run; null and empty texts have no entry, an empty fingerprint, and likeness 1 with each
-other. Equal texts have equal fingerprints. The work is a few sorts of longs for each text.
+tokens is one run; a text of fewer than DRAWN runs gives all it has to each entry. Null and empty texts
+have no entry, an empty fingerprint, likeness 1 with each other and 0 with any other. Equal texts, and so
+repeated rows, have equal fingerprints. A text may have 2**28 tokens, as many as an array of longs can
+hold. Other columns, whatever their names, are neither read nor kept by ``compare``; ``entries`` keeps them.
 """
 
 from __future__ import annotations
@@ -17,97 +22,104 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stationlake.llm.common import tasks
+from stationlake.llm.common import fresh, tasks
 
-K, BINS, DRAWN = 3, 64, 2
+K, ENTRIES, DRAWN = 3, 64, 2
 TOKEN = r"[぀-鿿]|[^\s぀-鿿]{1,32}"
 #: Bits of a position within a text, and of a hash above them.
-PLACE = 24
+PLACE = 28
 
 
 def entries(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df with the fingerprint's entries as an array of ints: bin * 65536 + 16 bits of hash, by bin."""
+    """df with the fingerprint's ``ENTRIES`` entries, 16 bits of hash each, as an array of ints."""
     mask = (1 << PLACE) - 1
     keep = df.columns
+    tok, run, start, circle, drawn = (fresh(x) for x in ("tok", "run", "start", "circle", "drawn"))
     tokens = F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0)), lambda x: F.xxhash64(x))
-    a = df.select(*keep, tokens.alias("_t"))
+    a = df.select(*keep, tokens.alias(tok))
     # a run's hash above its place; sorted, equal runs stand together in the order of the text
     runs = F.transform(
-        F.slice("_t", F.lit(1), F.greatest(F.size("_t") - (K - 1), F.least(F.size("_t"), F.lit(1)))),
-        lambda x, i: F.xxhash64(x, *(F.get("_t", i + j) for j in range(1, K))).bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long")),
+        F.slice(tok, F.lit(1), F.greatest(F.size(tok) - (K - 1), F.least(F.size(tok), F.lit(1)))),
+        lambda x, i: F.xxhash64(x, *(F.get(tok, i + j) for j in range(1, K))).bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long")),
     )
-    b = a.select(*keep, F.sort_array(runs).alias("_r"))
+    b = a.select(*keep, F.sort_array(runs).alias(run))
     same = lambda x, y: x.bitwiseXOR(y).bitwiseAND(F.lit(~mask)) == 0
-    # where a sequence of equal runs starts, and one end more
-    starts = F.filter(F.transform("_r", lambda x, i: F.when((i > 0) & F.coalesce(same(x, F.get("_r", i - 1)), F.lit(False)), F.lit(-1)).otherwise(i)), lambda i: i >= 0)
-    c = b.select(*keep, "_r", starts.alias("_s"))
-    dealt = lambda x, n: F.xxhash64(F.shiftright(x, PLACE), n).bitwiseAND(F.lit((1 << 63) - 1 - mask)).bitwiseOR(x.bitwiseAND(F.lit(mask)))
-    numbered = F.flatten(F.transform("_s", lambda s, k: F.transform(F.slice("_r", s + 1, F.coalesce(F.get("_s", k + 1), F.size("_r")) - s), lambda x, n: dealt(x, n))))
-    # the leading bits are the bin: sorted, the smallest hashes of each bin come first
-    d = c.select(*keep, F.sort_array(F.when(F.size("_s") == F.size("_r"), F.transform("_r", lambda x: dealt(x, F.lit(0)))).otherwise(numbered)).alias("_d"))
-    bin_of = lambda x: F.shiftright(x, 63 - (BINS - 1).bit_length())
-    drawn = F.filter("_d", lambda x, i: (i < DRAWN) | (bin_of(F.get("_d", i - DRAWN)) != bin_of(x)))
-    e = d.select(*keep, drawn.alias("_e"))
+    # where a sequence of equal runs starts
+    starts = F.filter(F.transform(run, lambda x, i: F.when((i > 0) & F.coalesce(same(x, F.get(run, i - 1)), F.lit(False)), F.lit(-1)).otherwise(i)), lambda i: i >= 0)
+    c = b.select(*keep, run, starts.alias(start))
+    point = lambda x, n: F.xxhash64(F.shiftright(x, PLACE), n).bitwiseAND(F.lit((1 << 63) - 1 - mask)).bitwiseOR(x.bitwiseAND(F.lit(mask)))
+    numbered = F.flatten(F.transform(start, lambda s, k: F.transform(F.slice(run, s + 1, F.coalesce(F.get(start, k + 1), F.size(run)) - s), lambda x, n: point(x, n))))
+    d = c.select(*keep, F.sort_array(F.when(F.size(start) == F.size(run), F.transform(run, lambda x: point(x, F.lit(0)))).otherwise(numbered)).alias(circle))
+    # between two start points, no entry takes more than the first runs
+    arc = lambda x: F.shiftright(x, 63 - (ENTRIES - 1).bit_length()).cast("int")
+    first = F.filter(circle, lambda x, i: (i < DRAWN) | (arc(F.get(circle, i - DRAWN)) != arc(x)))
+    e = d.select(*keep, first.alias(drawn))
     place = lambda x: x.bitwiseAND(F.lit(mask))
     what = lambda x: F.shiftright(x, PLACE)
+    in_order = lambda x, y: F.when(place(x) < place(y), F.xxhash64(what(x), what(y))).otherwise(F.xxhash64(what(y), what(x)))
 
-    def entry(x: Column, i: Column) -> Column:
-        after = F.get("_e", i + 1)
-        pair = F.when(after.isNull() | (bin_of(after) != bin_of(x)), F.xxhash64(what(x))).when(place(x) < place(after), F.xxhash64(what(x), what(after))).otherwise(F.xxhash64(what(after), what(x)))
-        first = (i == 0) | (bin_of(F.get("_e", i - 1)) != bin_of(x))
-        return F.when(first, bin_of(x).cast("int") * 65536 + pair.bitwiseAND(F.lit(65535)).cast("int")).otherwise(F.lit(-1))
+    def made(x: Column, i: Column) -> Column:
+        """The entry that starts before run i, once for each start point since the run before it."""
+        after = F.get(drawn, F.pmod(i + 1, F.size(drawn)))
+        entry = F.when(F.size(drawn) == 1, F.xxhash64(what(x))).otherwise(in_order(x, after)).bitwiseAND(F.lit(65535)).cast("int")
+        since = F.when(i == 0, F.lit(-1)).otherwise(arc(F.get(drawn, i - 1)))
+        return F.array_repeat(entry, arc(x) - since)
 
-    return e.select(*[c for c in keep if c != name], F.filter(F.transform("_e", entry), lambda x: x >= 0).alias(name))
+    turns = F.flatten(F.transform(drawn, made))
+    # start points after the last run go round to the first
+    whole = F.concat(turns, F.array_repeat(F.get(turns, F.lit(0)), ENTRIES - F.size(turns)))
+    return e.select(*[c for c in keep if c != name], F.when(F.size(drawn) > 0, whole).otherwise(F.array().cast("array<int>")).alias(name))
 
 
 def text_of(entries: Column) -> Column:
-    """The fingerprint as a string: six hexadecimal digits for each entry."""
-    return F.array_join(F.transform(entries, lambda x: F.lower(F.lpad(F.hex(x), 6, "0"))), "")
+    """The fingerprint as a string: four hexadecimal digits for each entry."""
+    return F.lower(F.array_join(F.transform(entries, lambda x: F.substring(F.hex(x + 65536), 2, 4)), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of equal entries among the bins that either fills; 1 if neither fills any."""
-    bins = lambda x: F.transform(x, lambda e: F.shiftright(e, 16))
-    filled = F.size(F.array_union(bins(a), bins(b)))
-    return F.when(filled == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / filled)
+    """The share of equal entries; 1 if both have none, 0 if one has."""
+    alike = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + F.coalesce(x, F.lit(0)))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(alike / F.greatest(F.size(a), F.size(b)))
 
 
 def with_next(df: DataFrame, key: str, *columns: str, per_task: int = 4) -> DataFrame:
     """df with ``next_<column>``: the value in the row that follows in descending order of key (null keys
     last; ties by the columns), after the last row that of the first.
 
-    The keys are cut at quantiles into ranges, a few for each task; each range also gets the first row
-    of the range below it, so that one shuffle gives each row its follower."""
+    The keys are cut at quantiles, which are keys themselves, into ranges, a few for each task; each range
+    also gets the first rows of the range below it, so that one shuffle gives each row its follower. Rows of
+    one key, or without one, are sorted together."""
     most = min(16384, per_task * tasks(df.sparkSession))
-    rough = df.agg(F.percentile_approx(key, [i / most for i in range(1, most)], 100 * most)).first()[0] or []
-    edges = sorted(set(rough))
+    quantiles, top, nulls, n = df.agg(F.percentile_approx(key, [i / most for i in range(1, most)], 100 * most), F.max(key), F.count_if(F.col(key).isNull()), F.count(F.lit(1))).first()
+    if not n:
+        return df.select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
+    edges = sorted(set(quantiles or ()) - {top})
     step = max(1, round(len(edges) ** 0.5))
     parts = [edges[i : i + step] for i in range(0, len(edges), step)]
     longs = lambda xs: "array(" + ",".join(f"{x}L" for x in xs) + ")"
+    last = len(edges)
     if parts:
-        fine = F.expr(f"array({','.join(longs(p) for p in parts)})")
-        coarse = F.expr(longs([p[-1] for p in parts]))
-        at = F.size(F.filter(coarse, lambda x: x < F.col(key)))
-        range_of = F.coalesce(at * step + F.size(F.filter(F.get(fine, at), lambda x: x < F.col(key))), F.lit(len(edges)))
+        at = F.size(F.filter(F.expr(longs([p[-1] for p in parts])), lambda x: x < F.col(key)))
+        part = F.get(F.expr(f"array({','.join(longs(p) for p in parts)})"), at)
+        within_part = F.size(F.filter(part, lambda x: x < F.col(key)))
+        inside = at < len(parts)
+        range_of, edge = F.when(inside, at * step + within_part).otherwise(last), F.when(inside, F.get(part, within_part)).otherwise(F.lit(top))
     else:
-        range_of = F.lit(0)
+        range_of, edge = F.lit(last), F.lit(top)
     # null keys come last in descending order: a range below all others
-    ranged = df.withColumn("_range", F.when(F.col(key).isNull(), F.lit(-1)).otherwise(range_of))
-    tops = {r["_range"]: r["top"] for r in ranged.groupBy("_range").agg(F.max(key).alias("top")).collect()}
-    order = sorted(tops, reverse=True)
-    # the range that comes before, for the first row of each; the very first row also follows the last
-    before = {r: order[i - 1] for i, r in enumerate(order)}
-    if not order:
-        return df.select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
-    by_range = F.create_map(*(F.lit(v) for r in order for v in (r, before[r])))
-    top_of = F.create_map(*(F.lit(v) for r in order if tops[r] is not None for v in (r, tops[r]))) if any(v is not None for v in tops.values()) else None
-    is_top = F.col(key).isNull() if top_of is None else F.coalesce(F.col(key) == F.element_at(top_of, F.col("_range")), F.col("_range") == -1)
-    copies = F.when(is_top, F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("guest")), F.struct(F.element_at(by_range, F.col("_range")).alias("r"), F.lit(1).alias("guest"))))
-    dealt = ranged.select("*", F.explode(F.coalesce(copies, F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("guest"))))).alias("_to"))
+    own, to = fresh("range"), fresh("to")
+    lowest = -1 if nulls else 0
+    ranged = df.withColumn(own, F.when(F.col(key).isNull(), F.lit(-1)).otherwise(range_of))
+    # the largest key of a range is its edge; its rows also go to the range before, those of the first to the last
+    is_top = F.col(key).isNull() if top is None else F.coalesce(F.col(key) == edge, F.lit(True))
+    before = F.when(F.col(own) == (last if top is not None else -1), F.lit(lowest)).otherwise(F.col(own) + 1)
+    stays = F.struct(F.col(own).alias("r"), F.lit(0).alias("guest"))
+    copies = F.when(is_top, F.array(stays, F.struct(before.alias("r"), F.lit(1).alias("guest")))).otherwise(F.array(stays))
+    dealt = ranged.select("*", F.explode(copies).alias(to))
     # guests stand after the range's own rows, in their own order: the first of them is the follower
-    within = Window.partitionBy("_to.r").orderBy("_to.guest", F.col(key).desc(), *columns)
-    led = dealt.select("*", *(F.lead(c).over(within).alias(f"next_{c}") for c in columns))
-    return led.where("_to.guest = 0").drop("_range", "_to")
+    order = Window.partitionBy(f"{to}.r").orderBy(f"{to}.guest", F.col(key).desc(), *columns)
+    led = dealt.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns))
+    return led.where(F.col(f"{to}.guest") == 0).drop(own, to)
 
 
 def compare(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
