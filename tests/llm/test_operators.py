@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from stationlake.llm import language, mixing, orderhash, private, quality, repeats, simhash, toxicity, urls
+from stationlake.llm import language, mixing, orderhash, private, quality, repeats, simhash, urls
 
 LONG = " ".join(f"word{i % 97} and{i % 13}" for i in range(4000))
 ODD = [(1, None), (2, ""), (3, "   \n\t "), (4, "one"), (5, "日本語 é 🙂"), (6, LONG), (7, "one"), (7, "one"), (None, "no id here at all"), (8, "a b c d e f g"), (9, "A B C D E F G")]
@@ -132,44 +132,6 @@ def test_templates_generalise_and_reject(spark):
     assert got[110].template == "/news/*9" and got[110].verdict == "allow"
 
 
-# --- 5: toxicity
-
-
-def test_maximal_segments_as_by_all_pairs():
-    model = toxicity.Model({"bad": 2.0, "awful": 3.0}, -0.5, 1.0)
-    rnd = random.Random(3)
-    for _ in range(200):
-        text = " ".join(rnd.choice(["bad", "awful", "fine", "good", "nice", "day"]) for _ in range(rnd.randint(0, 25)))
-        w = [model.weight(x) if model.weight(x) is not None else -0.5 for x in text.split()]
-        found, n = model.segments(text)
-        assert n == len(w)
-        best = max((sum(w[a : b + 1]) for a in range(n) for b in range(a, n)), default=0)
-        assert not found or abs(max(s for *_, s in found) - best) < 1e-9
-        assert all(abs(sum(w[a : b + 1]) - s) < 1e-9 for a, b, s in found)
-        assert all(b < c for (_, b, _), (c, _, _) in zip(found, found[1:], strict=False))
-        assert bool(found) == any(x > 0 for x in w)
-
-
-def test_toxicity_learns_words_and_beginnings(spark):
-    rnd = random.Random(8)
-    rows, marks = [], []
-    for i in range(600):
-        toxic = i % 5 == 0
-        w = words(rnd, 40).split()
-        if toxic:
-            w.insert(rnd.randint(0, 40), rnd.choice(["rotten", "smellyish", "smellyous", "smellyment", "smellyful", "smellyness", "smellyard"]))
-        rows.append((i, " ".join(w)))
-        marks.append((i, int(toxic)))
-    docs = spark.createDataFrame([*rows, (1000, None), (1001, ""), (1001, "")], "doc_id long, text string")
-    labels = spark.createDataFrame([*marks, (1000, None)], "doc_id long, toxic int")
-    model = toxicity.learn(docs, labels, F.col("doc_id") % 3 != 0)
-    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
-    assert np.mean([(got[i] >= 0.3) == bool(y) for i, y in marks]) > 0.97
-    assert got[1000] == got[1001] < 0.3
-    assert toxicity.learn(docs, labels.limit(0), F.lit(True)).weights == {}
-    assert toxicity.score(docs.limit(0), model).count() == 0
-
-
 # --- 6: repeats
 
 
