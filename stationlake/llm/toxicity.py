@@ -4,7 +4,9 @@ Weights. In how many toxic and other documents a term occurs is counted over all
 that may be learned from; terms are the words of a text in lower case, and the beginnings of words of
 four to six letters, which inflected words share. A term's weight is the log-odds of both counts, each
 with a Dirichlet prior in proportion to the term's share of all documents. It is kept if its z-score, of
-either sign, is so high that among all terms that could reach it ``FALSE`` are expected to do so by chance.
+either sign, is so high that among all terms that could reach it ``FALSE`` are expected to do so by chance,
+and if its log-odds are ``LEAST`` or more: with more documents ever smaller differences are sure, those of
+documents' lengths among them, and they say nothing of a word.
 Copies of one text, or of a passage, would make terms of all its words; so toxic terms are counted again,
 words once for each different pair of neighbours, beginnings once for each different word: ``CONTEXTS`` of
 these must be in toxic documents, and half of all. All other words share one weight, the log-odds of a
@@ -42,8 +44,8 @@ from pyspark.sql import types as T
 
 from stationlake.llm.common import cut
 
-#: False terms to expect; different contexts of a term; E of a significant segment.
-FALSE, CONTEXTS, SIGNIFICANT = 0.1, 5, 1e-2
+#: Least log-odds; false terms to expect; different contexts of a term; E of a significant segment.
+LEAST, FALSE, CONTEXTS, SIGNIFICANT = 1.5, 0.1, 5, 1e-2
 #: At most so many rounds to find how dense terms are in passages.
 ROUNDS = 20
 #: Labels (16 bytes each) up to this number are broadcast; more are joined by a shuffle.
@@ -207,7 +209,7 @@ def learn(docs: DataFrame, labels: DataFrame, use: Column, rows: int = 20_000, s
     scored = cut(_counts(known).select("term", w.alias("w"), z.alias("z"), "toxic"))
     could = scored.where(F.col("toxic") >= CONTEXTS).count()
     sure = NormalDist().inv_cdf(1 - FALSE / max(1, could))
-    weights = {r["term"]: (r["w"], r["z"]) for r in scored.where(F.abs("z") >= sure).collect()}
+    weights = {r["term"]: (r["w"], r["z"]) for r in scored.where((F.abs("z") >= sure) & (F.abs("w") >= LEAST)).collect()}
     raised = {term for term, (w, _) in weights.items() if w > 0}
     if raised:
         diverse = (F.col("toxic") >= CONTEXTS) & (F.col("toxic") >= F.col("clean"))
