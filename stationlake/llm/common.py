@@ -19,15 +19,35 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written once to the shared folder in spark.checkpoint.dir, so that later reads neither
-    compute it again nor depend on an executor. A folder of its own is set only where none is."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's own checkpoint folder.
+    Only a local session, as in tests, gets one where none is set."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(base or "/tmp/checkpoints")
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written once to the shared folder, so that later reads neither compute it again nor depend on an executor."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The same as a Parquet table: for whole texts, of which later steps may read some columns or rows only."""
+    path = f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
+    """df, to be broadcast if it has few enough rows."""
+    return F.broadcast(df) if rows <= most else df
+
+
 def fresh(prefix: str) -> str:
     """A column name that no input has."""
     return f"__{prefix}_{uuid.uuid4().hex[:8]}"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationlake.llm import bpe, language, mixing, orderhash, private, quality, repeats, simhash, toxicity, urls
-from stationlake.llm.common import WORD, cut, documents, labels, remainder
+from stationlake.llm.common import WORD, cut, documents, labels, remainder, small
 
 
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +21,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    """Pages judged by the rules, else by templates that learn from the labels of the documents that pages show."""
+    bad = (F.col("toxic") == 1) | (F.col("quality") == 0)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return urls.judge(urls.tied(pages, documents(spark, sf_dir), labels(spark, sf_dir), bad).drop("html"), bad="bad")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +61,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(s, n, float(quota[s])) for s, n in sizes.items()]
     of = spark.createDataFrame(rows, "s string, source_size long, target double")
     source = F.element_at("sources", 1)
-    joined = mixed.join(F.broadcast(of), source.eqNullSafe(F.col("s")))
+    joined = mixed.join(small(of, len(rows)), source.eqNullSafe(F.col("s")))
     return joined.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
