@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +38,7 @@ def count(text: str) -> list[int]:
     n = len(words)
     blanks = sum(text.count(c) for c in " \t\n\v\f\r")
     lines = [x for x in text.split("\n") if x.strip(" \t\v\f\r")]
-    codes = np.fromiter(map(hash, words), np.int64, n).view(np.uint64)
+    codes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
     repeated = 0
     if n >= 5:
         windows = codes[: n - 4].copy()
