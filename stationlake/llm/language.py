@@ -48,17 +48,33 @@ def vector(text: str | None) -> np.ndarray | None:
     return np.sqrt(counts / counts.sum()).astype(np.float32)
 
 
-def machine(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 12, seed: int = 3) -> np.ndarray:
-    """Weights (the last: the offset) of a linear support vector machine for signs y, by dual coordinate descent."""
-    x = np.column_stack([x, np.ones(len(x), np.float32)])
-    weights, alpha, norms = np.zeros(x.shape[1], np.float32), np.zeros(len(x)), (x * x).sum(axis=1)
+def sparse(x: np.ndarray) -> bytes:
+    """A vector as its places (2 bytes) and values (4 bytes) that are not zero."""
+    at = np.flatnonzero(x)
+    return at.astype("<u2").tobytes() + x[at].astype("<f4").tobytes()
+
+
+def dense(b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(b) // 6
+    return np.frombuffer(b, "<u2", n).astype(np.int64), np.frombuffer(b, "<f4", n, 2 * n)
+
+
+def machine(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost: float = 10.0, rounds: int = 12, seed: int = 3) -> np.ndarray:
+    """Weights (the last: the offset) of a linear support vector machine for signs y, by dual coordinate descent
+    over sparse rows."""
+    weights, alpha = np.zeros(SIZE + 1, np.float32), np.zeros(len(rows))
+    norms = np.array([1.0 + float(v @ v) for _, v in rows])
     caps = np.where(y > 0, 0.5 * len(y) / max(1, (y > 0).sum()), 0.5 * len(y) / max(1, (y < 0).sum())) * cost
     order = np.random.default_rng(seed)
     for _ in range(rounds):
-        for i in order.permutation(len(x)):
-            new = min(max(alpha[i] - (y[i] * float(x[i] @ weights) - 1) / norms[i], 0.0), caps[i])
+        for i in order.permutation(len(rows)):
+            at, v = rows[i]
+            margin = y[i] * (float(v @ weights[at]) + float(weights[SIZE]))
+            new = min(max(alpha[i] - (margin - 1) / norms[i], 0.0), caps[i])
             if new != alpha[i]:
-                weights += np.float32((new - alpha[i]) * y[i]) * x[i]
+                step = np.float32((new - alpha[i]) * y[i])
+                weights[at] += step * v
+                weights[SIZE] += step
                 alpha[i] = new
     return weights
 
@@ -92,7 +108,7 @@ class Tree:
         return names[best], score * float(sure[best]) / (len(names) - 1)
 
 
-def fit(x: np.ndarray, lang: list[str]) -> Tree:
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], lang: list[str]) -> Tree:
     names = sorted(set(lang))
     lang_of = np.array(lang, dtype=object)
     groups: dict[str, list[str]] = {}
@@ -100,21 +116,21 @@ def fit(x: np.ndarray, lang: list[str]) -> Tree:
         groups.setdefault(FAMILY.get(name, f"only {name}"), []).append(name)
     families = [groups[k] for k in sorted(groups)]
     zero = np.zeros((1, SIZE + 1), np.float32)
-    family_weights = np.stack([machine(x, np.where(np.isin(lang_of, f), 1.0, -1.0)) for f in families]) if len(families) > 1 else zero
+    family_weights = np.stack([machine(rows, np.where(np.isin(lang_of, f), 1.0, -1.0)) for f in families]) if len(families) > 1 else zero
     duels, weights = [], []
     for f in families:
         duels.append(list(combinations(range(len(f)), 2)))
         made = []
         for i, j in duels[-1]:
-            rows = np.isin(lang_of, [f[i], f[j]])
-            made.append(machine(x[rows], np.where(lang_of[rows] == f[i], 1.0, -1.0)))
+            of = np.flatnonzero(np.isin(lang_of, [f[i], f[j]]))
+            made.append(machine([rows[k] for k in of], np.where(lang_of[of] == f[i], 1.0, -1.0)))
         weights.append(np.stack(made) if made else zero[:0])
     return Tree(families, family_weights, duels, weights)
 
 
 def learn(docs: DataFrame, use: Column, per_language: int = 1000, seed: int = 11) -> Tree | None:
     """A tree from about ``per_language`` rows of each language (text, lang, doc_id) for which ``use`` holds,
-    drawn by a hash of doc_id and text; None if no row has a language."""
+    drawn by a hash of doc_id; None if no row has a language. Only the places of a vector that are not zero reach the driver."""
     known = docs.where(use & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not sizes:
@@ -125,13 +141,13 @@ def learn(docs: DataFrame, use: Column, per_language: int = 1000, seed: int = 11
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in frames:
-            made = [(lang.as_py(), v.tobytes(), i.as_py()) for text, lang, i in zip(b.column("text"), b.column("lang"), b.column("doc_id"), strict=True) if (v := vector(text.as_py())) is not None]
+            made = [(lang.as_py(), sparse(v), i.as_py()) for text, lang, i in zip(b.column("text"), b.column("lang"), b.column("doc_id"), strict=True) if (v := vector(text.as_py())) is not None]
             yield pa.RecordBatch.from_pylist([dict(zip(("lang", "x", "doc_id"), m, strict=True)) for m in made], pa.schema([("lang", pa.string()), ("x", pa.binary()), ("doc_id", pa.int64())]))
 
     rows = sorted(known.where(draw).select("text", "lang", F.col("doc_id").cast("long")).mapInArrow(batches, schema).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, bytes(r["x"])))
     if not rows:
         return None
-    return fit(np.stack([np.frombuffer(r["x"], np.float32) for r in rows]), [r["lang"] for r in rows])
+    return fit([dense(bytes(r["x"])) for r in rows], [r["lang"] for r in rows])
 
 
 def predict(df: DataFrame, tree: Tree | None, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
