@@ -92,8 +92,14 @@ def age_text(s: Column) -> Column:
 
 
 def canonical(x: Column) -> Column:
-    """A value's text in checksums; NULL has its own."""
-    return F.coalesce(x.cast("string"), F.lit("\\N"))
+    """A value's text in checksums, the same whatever engine holds it: booleans as t and f, instants in ISO form with
+    microseconds and zone, decimals without trailing zeros, NULL as a text of its own; all else as Spark writes it."""
+    text = x.cast("string")
+    instant = F.concat(F.date_format(F.try_to_timestamp(text), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+    plain = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    kind = F.typeof(x)
+    by_kind = F.when(kind == "boolean", F.when(text == "true", "t").otherwise("f")).when(kind == "timestamp", instant).when(kind.startswith("decimal"), plain).otherwise(text)
+    return F.coalesce(by_kind, F.lit("\\N"))
 
 
 def row_hash(*columns: Column) -> Column:

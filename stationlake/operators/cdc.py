@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationlake.functions.exprs import row_hash
-from stationlake.operators.tables import TableStore
+from stationlake.operators.tables import Lake, evolve
 
 KEY = ["order_id", "line"]
 DATA = ["quantity", "status"]
@@ -66,7 +66,6 @@ def difference(left: DataFrame, right: DataFrame, key: list[str], columns: list[
 #: Types of the envelope's fields, by name or by semantic name, as Spark reads them.
 TYPES = {"int16": "int", "int32": "int", "int64": "bigint", "float64": "double", "double": "double", "boolean": "boolean", "string": "string"}
 SEMANTIC = {"io.debezium.time.ZonedTimestamp": "string", "io.debezium.time.MicroTimestamp": "bigint"}
-ZONED = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:\d{2})$"
 
 
 def fields(schema: str) -> list[tuple[str, str, str | None]]:
@@ -86,8 +85,9 @@ def _typed(c: Column, semantic: str | None) -> Column:
         return c
     if semantic.endswith("MicroTimestamp"):
         return F.timestamp_micros(c)
-    read = F.when(c.rlike(ZONED), F.try_to_timestamp(c)).otherwise(F.raise_error(F.concat(F.lit("not a zoned timestamp: "), c)))
-    return F.when(c.isNotNull(), read)
+    # a zone is Z or an offset at the end; Spark reads up to nine digits of a second and keeps six
+    zoned = F.when(c.endswith("Z") | F.substring(c, -6, 1).isin("+", "-"), F.try_to_timestamp(c))
+    return F.when(c.isNotNull(), F.coalesce(zoned, F.raise_error(F.concat(F.lit("not a zoned timestamp: "), c)).cast("timestamp")))
 
 
 def decode(messages: DataFrame) -> DataFrame:
@@ -112,29 +112,114 @@ def decode(messages: DataFrame) -> DataFrame:
     return rows.select(*(_typed(F.col("r")[n], semantic).alias(n) for n, (_, semantic) in columns.items()), "op", "lsn", "offset", F.timestamp_millis(at("$.payload.source.ts_ms").cast("long")).alias("source_ts"))
 
 
-def apply(store: TableStore, table: str, batch: DataFrame, key: list[str]) -> int:
-    """One batch of decoded events into a replica: new columns come last and are null before; rows after it."""
+def apply(lake: Lake, table: str, batch: DataFrame, key: list[str]) -> None:
+    """One batch of decoded events into a replica: new columns come last and are null before; only the buckets of
+    keys that the batch has are written."""
     data = [c for c in batch.columns if c not in (*key, "op", "lsn", "offset", "source_ts")]
-    stored = store.read(table) if store.exists(table) else empty(batch, key, data)
-    order = [c for c in stored.columns if c not in (*key, "lsn")]
-    order += [c for c in data if c not in order]
-    kinds = dict(batch.dtypes)
-    for c in order:
-        if c not in stored.columns:
-            stored = stored.withColumn(c, F.lit(None).cast(kinds[c]))
-        elif c in kinds and dict(stored.dtypes)[c] != kinds[c]:
-            raise TypeError(f"column {c} was {dict(stored.dtypes)[c]}, now {kinds[c]}")
-        elif c not in kinds:
-            batch = batch.withColumn(c, F.lit(None).cast(dict(stored.dtypes)[c]))
-    return store.write(table, merge(stored, batch, key, order).select(*key, *order, "lsn"))
-
-
-def replicate(stream: DataFrame, store: TableStore, table: str, key: list[str], checkpoint: str):
-    """A stream of messages (value, offset) applied batch by batch until its source is read; replays change nothing."""
+
+    def rule(stored: DataFrame, rows: DataFrame) -> DataFrame:
+        known = stored.select(*key, *(c for c in stored.columns if c not in (*key, "lsn", "op", "offset", "source_ts")), "lsn")
+        evolve(known.schema, rows.select(*key, *data).schema)
+        order = [*(c for c in known.columns if c not in (*key, "lsn"))]
+        order += [c for c in data if c not in order]
+        kinds = dict(known.dtypes) | dict(rows.dtypes)
+        filled = lambda d: d.withColumns({c: F.lit(None).cast(kinds[c]) for c in order if c not in d.columns})
+        return merge(filled(known), filled(rows), key, order).select(*key, *order, "lsn")
+
+    lake.merge(table, batch, key, rule)
+
+
+def table_of(topic: Column) -> Column:
+    """The table that a change topic (server.schema.table) is about."""
+    return F.element_at(F.split(topic, r"\."), -1)
+
+
+def keys(messages: DataFrame) -> dict[str, list[str]]:
+    """The key columns of each table, as the schema of its messages' keys declares them. Topics are few."""
+    at = F.get_json_object("key", "$.schema.fields[*].field")
+    found = messages.where(F.col("key").isNotNull()).groupBy(table_of(F.col("topic")).alias("table")).agg(F.collect_set(at).alias("k")).collect()
+    out = {}
+    for r in found:
+        if len(r["k"]) != 1:
+            raise ValueError(f"{r['table']}: keys of different columns")
+        names = json.loads(r["k"][0])
+        out[r["table"]] = [names] if isinstance(names, str) else names
+    return out
+
+
+def decoded(messages: DataFrame) -> dict[str, tuple[DataFrame, list[str]]]:
+    """Of each table among change messages (topic, key, value, offset): its events and its key columns."""
+    return {t: (decode(messages.where(table_of(F.col("topic")) == t)), k) for t, k in sorted(keys(messages).items())}
+
+
+def apply_all(lake: Lake, messages: DataFrame) -> list[str]:
+    """A batch of messages of many tables into their replicas; the tables."""
+    found = decoded(messages)
+    for table, (events, key) in found.items():
+        apply(lake, table, events, key)
+    return list(found)
+
+
+def source(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
+    """Change messages of all tables as a stream of files (topic, key, value, offset), ``files`` in a trigger."""
+    return spark.readStream.schema("topic string, key string, value string, offset long").option("maxFilesPerTrigger", files).parquet(path)
+
+
+def kafka(spark: SparkSession, servers: str, pattern: str) -> DataFrame:
+    """The same from all topics of a pattern, from the earliest offset, a thousand messages in a trigger."""
+    options = {"kafka.bootstrap.servers": servers, "subscribePattern": pattern, "startingOffsets": "earliest", "maxOffsetsPerTrigger": 1000}
+    read = spark.readStream.format("kafka").options(**options).load()
+    return read.select("topic", F.col("key").cast("string"), F.col("value").cast("string"), "offset")
+
+
+def replicate(stream: DataFrame, lake: Lake, checkpoint: str) -> None:
+    """A stream of messages applied batch by batch until its source is read; replays change nothing."""
 
     def batch(messages: DataFrame, _: int) -> None:
         if messages.limit(1).count():
-            apply(store, table, decode(messages), key)
+            apply_all(lake, messages)
 
     query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def reset(lake: Lake, tables: list[str], checkpoint: str | None = None) -> None:
+    """Drops replicas, and the checkpoint of the stream that made them, so that the next run starts anew."""
+    lake.drop(*tables)
+    if checkpoint:
+        fs, at = lake._hadoop(checkpoint)
+        fs.delete(at, True)
+
+
+def digest(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row: rows, and the SHA-256 of all row hashes in order of the hashes: for tables of up to some million rows,
+    whose hashes one task can hold; ``checksum`` is for larger ones. Columns that begin with _ are metadata."""
+    names = columns or [c for c in df.columns if not c.startswith("_")]
+    each = df.select(row_hash(*(F.col(c) for c in names)).alias("h"))
+    return each.agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("digest"))
+
+
+def replica_report(sources: dict[str, DataFrame], replicas: dict[str, DataFrame], evolved: dict[str, str] | None = None) -> DataFrame:
+    """One row for each table: rows, columns and checksum on both sides, rows that have the evolved column, and
+    whether the sides are equal."""
+    out = None
+    for table in sorted(sources):
+        left, right = sources[table], replicas[table]
+        names = sorted(c for c in left.columns if not c.startswith("_"))
+        own = sorted(c for c in right.columns if not c.startswith("_"))
+        missing = [c for c in names if c not in own]
+        known = [c for c in names if c in own]
+        a, b = checksum(left, known).toDF("source_rows", "source_digest"), checksum(right, known).toDF("replica_rows", "replica_digest")
+        column = (evolved or {}).get(table)
+        filled = right.agg((F.count(column) if column else F.lit(None).cast("long")).alias("evolved_rows"))
+        same = (F.col("source_rows") == F.col("replica_rows")) & (F.col("source_digest").eqNullSafe(F.col("replica_digest"))) & F.lit(names == own)
+        line = a.join(b).join(filled).select(F.lit(table).alias("table_name"), "source_rows", "replica_rows", F.lit(",".join(missing)).alias("missing_columns"), "evolved_rows", same.alias("equal"))
+        out = line if out is None else out.unionByName(line)
+    return out
+
+
+def expected_counts(events: DataFrame, expected: DataFrame, by: str = "table_name") -> DataFrame:
+    """Change events of each table by operation against what was expected (by, op, n): both sides, and whether all agree."""
+    found = events.groupBy(by, "op").agg(F.count(F.lit(1)).alias("found"))
+    both = found.join(expected.withColumnRenamed("n", "expected"), [by, "op"], "full_outer").na.fill(0, ["found", "expected"])
+    return both.withColumn("ok", F.col("found") == F.col("expected"))

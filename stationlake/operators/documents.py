@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stationlake.functions.exprs import STATES, view
+from stationlake.functions.exprs import STATES, view, wall
 
 
 def latest(status: DataFrame) -> DataFrame:
@@ -19,10 +19,10 @@ def latest(status: DataFrame) -> DataFrame:
 
 def live(status: DataFrame, stations: DataFrame) -> DataFrame:
     """The live list: latest states with names, in order of state and name; unknown stations stay."""
-    joined = latest(status).join(stations.select("station_id", "station_name", "region_id", F.col("capacity").alias("known_capacity")), "station_id", "left")
+    joined = latest(status).join(stations.select("station_id", "station_name", "region_id", "lat", "lon", F.col("capacity").alias("known_capacity")), "station_id", "left")
     place = F.array_position(F.array(*map(F.lit, STATES)), F.col("state"))
     named = joined.select(
-        "station_id", F.coalesce("station_name", F.lit("Unknown station")).alias("name"), view(F.col("region_id"), F.lit(37.8), F.lit(-122.4)).alias("view"), "state",
+        "station_id", F.coalesce("station_name", F.lit("Unknown station")).alias("name"), view(F.col("region_id"), F.col("lat"), F.col("lon")).alias("view"), "state",
         "bikes", "docks", F.coalesce(F.col("known_capacity").cast("long"), "capacity").alias("capacity"), "snapshot_ts", place.alias("place"),
     )
     return named.orderBy("place", "name", "station_id")
@@ -37,10 +37,10 @@ def live_counts(live_list: DataFrame) -> DataFrame:
 
 
 def alerts_folded(alerts: DataFrame) -> DataFrame:
-    """One row for each alerted episode: when it was raised and resolved, and for how long it went on."""
+    """One row for each alerted episode: when it was raised and, once it is, resolved, and for how long it went on."""
     at = lambda a: F.max(F.when(F.col("action") == a, F.col("ts")))
     folded = alerts.groupBy("episode_id", "station_id", "kind").agg(F.min("start_ts").alias("started"), at("raised").alias("raised"), at("resolved").alias("resolved"))
-    return folded.withColumn("duration_s", F.coalesce("resolved", "raised") - F.col("started"))
+    return folded.withColumn("duration_s", F.col("resolved") - F.col("started"))
 
 
 def frames(status: DataFrame, step_s: int = 3600) -> DataFrame:
@@ -105,3 +105,129 @@ def export(spark: SparkSession, folder: str, documents: dict[str, DataFrame], da
         out.write(bytearray(text.encode()))
         out.close()
     return manifest
+
+
+def iso(seconds: Column) -> Column:
+    """An epoch as ISO 8601 text in UTC, with Z."""
+    return F.date_format(wall(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def alerts_lists(alerts: DataFrame, stations: DataFrame, kept: int = 20) -> DataFrame:
+    """The alerts page: open alerts, the longest first, then the last ``kept`` resolved ones, the newest first; each
+    with its station's name, code and view. ``place`` counts within each list (open, resolved).
+
+    The lists are ranked among open alerts (a station has one at most) and among the newest resolved ones only."""
+    folded = alerts_folded(alerts).withColumn("list", F.when(F.col("resolved").isNull(), "open").otherwise("resolved"))
+    last = folded.where("list = 'resolved'").orderBy(F.desc("resolved"), "episode_id").limit(kept)
+    some = folded.where("list = 'open'").unionByName(last)
+    first = F.when(F.col("list") == "open", F.col("started")).otherwise(-F.col("resolved"))
+    named = some.join(stations.select("station_id", "station_name", "short_name", "region_id", "lat", "lon"), "station_id", "left")
+    place = F.row_number().over(Window.partitionBy("list").orderBy(first, "episode_id"))
+    return named.select(
+        "list", place.cast("long").alias("place"), "episode_id", "station_id", "kind", F.coalesce("station_name", F.lit("Unknown station")).alias("name"), F.col("short_name").alias("code"),
+        view(F.col("region_id"), F.col("lat"), F.col("lon")).alias("view"), iso(F.col("started")).alias("started"), iso(F.col("raised")).alias("raised"), iso(F.col("resolved")).alias("resolved"), "duration_s",
+    )
+
+
+def live_totals(live_list: DataFrame) -> DataFrame:
+    """One row for each view and for all: stations, bikes, those that need attention, and how recent it is."""
+    both = live_list.withColumn("view", F.explode(F.array(F.col("view"), F.lit("all"))))
+    return both.groupBy("view").agg(F.count(F.lit(1)).alias("stations"), F.sum("bikes").alias("bikes"), F.count_if(F.col("state") != "ok").alias("problems"), iso(F.max("snapshot_ts")).alias("data_as_of"))
+
+
+def filtered(live_list: DataFrame, view: str | None = None, only_problems: bool = False) -> DataFrame:
+    """The stations that a visitor asked for: of one view, or only those not in order."""
+    kept = live_list if view is None else live_list.where(F.col("view") == view)
+    return kept.where(F.col("state") != "ok") if only_problems else kept
+
+
+def natural(text: Column, width: int = 12) -> Column:
+    """A key that sorts text with its numbers by their value: digits are padded to ``width``."""
+    parts = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, width, "0")).otherwise(p)), "")
+
+
+def sorted_list(df: DataFrame, column: str, descending: bool = False, tie: str = "station_id", numeric: bool = False) -> DataFrame:
+    """df in order of a column, nulls last in both directions, ties by ``tie``; text in natural order. Adds ``place``:
+    for lists that a page shows, of a fleet's stations at most."""
+    key = F.col(column) if numeric else natural(F.col(column))
+    order = key.desc_nulls_last() if descending else key.asc_nulls_last()
+    return df.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(order, natural(F.col(tie)))).cast("long"))
+
+
+def replay_frames(moved: DataFrame, step_s: int = 3600) -> DataFrame:
+    """The replay's frames: time, and one flat array of (station_index, state, bikes, docks) of all stations that
+    changed, by index. A frame holds a fleet's stations at most."""
+    state = F.array_position(F.array(*map(F.lit, STATES)), F.col("state")) - 1
+    one = F.struct("station_index", state.alias("s"), "bikes", "docks")
+    rows = moved.groupBy("frame").agg(F.array_sort(F.collect_list(one)).alias("rows"))
+    flat = F.flatten(F.transform("rows", lambda r: F.array(r["station_index"], r["s"], r["bikes"], r["docks"]).cast("array<bigint>")))
+    return rows.select("frame", iso(F.col("frame") * step_s).alias("t"), flat.alias("d"))
+
+
+def unframed(frames: DataFrame, index: DataFrame, frame: int) -> DataFrame:
+    """Every seen station as it stood at a frame, read back from the arrays; index: (station_index, station_id)."""
+    seen = frames.where((F.col("frame") <= frame) & (F.size("d") > 0))
+    rows = seen.select("frame", "d", F.explode(F.sequence(F.lit(0), (F.size("d") / 4).cast("int") - 1)).alias("i"))
+    at = lambda k: F.get("d", (F.col("i") * 4 + k).cast("int"))
+    each = rows.select("frame", at(0).alias("station_index"), F.struct(at(1).alias("s"), at(2).alias("bikes"), at(3).alias("docks")).alias("v"))
+    last = each.groupBy("station_index").agg(F.max_by("v", "frame").alias("v"))
+    state = F.get(F.array(*map(F.lit, STATES)), F.col("v.s").cast("int"))
+    return last.join(index, "station_index").select("station_id", state.alias("state"), F.col("v.bikes").alias("bikes"), F.col("v.docks").alias("docks"))
+
+
+def newest_dates(daily: DataFrame, days: int = 30) -> DataFrame:
+    """Rows of the newest service dates of the daily mart."""
+    top = daily.agg(F.max("service_date").alias("newest"))
+    return daily.join(F.broadcast(top), F.col("service_date") > F.date_sub("newest", days)).drop("newest")
+
+
+def header(mart: DataFrame, constants: list[str]) -> DataFrame:
+    """One row: the mart's constant columns, which a document holds once; a column that is not constant fails."""
+    once = lambda c: F.when(F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit("\0"))) > 1, F.raise_error(F.lit(f"{c} is not constant"))).otherwise(F.first(F.col(c).cast("string")))
+    return mart.agg(*(once(c).alias(c) for c in constants))
+
+
+def literal(c: Column, kind: str) -> Column:
+    """A value as documents hold it: dates and times in ISO form, fractions with three digits at most."""
+    if kind == "date":
+        return c.cast("string")
+    return F.bround(c, 3) if kind == "double" else c
+
+
+def packed(mart: DataFrame, constants: list[str]) -> DataFrame:
+    """A mart as its document's rows: stations as indexes by their first use in order of id, dates as indexes, constants
+    and names left out."""
+    kinds = dict(mart.dtypes)
+    s = mart.select("station_id").distinct().withColumn("station", (F.row_number().over(Window.partitionBy().orderBy("station_id")) - 1).cast("long"))
+    out = mart.join(F.broadcast(s), "station_id")
+    if "service_date" in kinds:
+        d = mart.select("service_date").distinct().withColumn("day", (F.row_number().over(Window.partitionBy().orderBy("service_date")) - 1).cast("long"))
+        out = out.join(F.broadcast(d), "service_date")
+    left_out = {"station_id", "station_name", "region_id", "service_date", *constants}
+    return out.select("station", *(["day"] if "service_date" in kinds else []), *(literal(F.col(c), kinds[c]).alias(c) for c in mart.columns if c not in left_out))
+
+
+def mart_windows(daily: DataFrame, rebalancing: DataFrame, hourly: DataFrame) -> DataFrame:
+    """(mart, n, first, last) for the manifest: what time each mart covers."""
+    line = lambda d, name, a, b: d.agg(F.lit(name).alias("mart"), F.count(F.lit(1)).alias("n"), F.min(a).cast("string").alias("first"), F.max(b).cast("string").alias("last"))
+    return line(daily, "daily", "service_date", "service_date").unionByName(line(rebalancing, "rebalancing", "window_first_day", "window_last_day")).unionByName(line(hourly, "hourly", "trip_first_month", "trip_last_month"))
+
+
+def hour_label(hour: Column) -> Column:
+    """An hour of the day as people say it: 11 AM–12 PM."""
+    said = lambda h: F.concat((F.pmod(h + 11, F.lit(12)) + 1).cast("string"), F.when(F.pmod(h, F.lit(24)) < 12, " AM").otherwise(" PM"))
+    return F.concat(said(hour), F.lit("–"), said(hour + 1))
+
+
+def duration_text(seconds: Column) -> Column:
+    """2 h 5 min, 45 min, or 30 s."""
+    part = lambda n, unit: F.concat(n.cast("long").cast("string"), F.lit(unit))
+    minutes = F.floor(seconds / 60)
+    long = F.concat(part(F.floor(minutes / 60), " h"), F.when(minutes % 60 > 0, F.concat(F.lit(" "), part(minutes % 60, " min"))).otherwise(F.lit("")))
+    return F.when(seconds.isNull(), F.lit(None).cast("string")).when(seconds < 60, part(seconds, " s")).when(minutes < 60, part(minutes, " min")).otherwise(long)
+
+
+def freshness_word(age_s: Column) -> Column:
+    """What the site says of its data: live, delayed or paused."""
+    return F.when(age_s < 120, "live").when(age_s <= 300, "delayed").otherwise("paused")

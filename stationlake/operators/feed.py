@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stationlake.functions.exprs import Thresholds, capacity, station_state
+
 MESSAGE = (
     "station_id string, last_updated long, last_reported long, num_bikes_available long, num_docks_available long,"
     " num_bikes_disabled long, is_renting boolean, fetched_at long"
@@ -21,7 +23,7 @@ def violations(parsed: DataFrame) -> DataFrame:
     """parsed with the names of the rules that each row breaks."""
     rules = {
         "no station": F.col("station_id").isNull(), "no snapshot": F.col("last_updated").isNull(), "negative bikes": F.col("num_bikes_available") < 0,
-        "negative docks": F.col("num_docks_available") < 0, "too many bikes": F.col("num_bikes_available") > 14,
+        "negative docks": F.col("num_docks_available") < 0,
     }
     return parsed.withColumn("errors", F.array_compact(F.array(*(F.when(bad, F.lit(name)) for name, bad in rules.items()))))
 
@@ -62,3 +64,39 @@ def unchanged(status: DataFrame) -> DataFrame:
     content = status.groupBy("station_id", day.alias("day")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ";"), 256).alias("content"))
     by = Window.partitionBy("station_id").orderBy("day")
     return content.withColumn("unchanged", F.coalesce(F.col("content") == F.lag("content").over(by), F.lit(False)))
+
+
+#: The fields that a status message may have.
+STATUS_FIELDS = (
+    "station_id string, num_bikes_available int, num_bikes_disabled int, num_docks_available int, num_docks_disabled int, num_ebikes_available int,"
+    " is_installed boolean, is_renting boolean, is_returning boolean, last_reported bigint, feed_last_updated bigint, feed_version string, fetched_at double,"
+    " snapshot_id string, num_scooters_available int, num_scooters_unavailable int"
+)
+#: Columns that came later; a table has them last.
+LATER = ("num_scooters_available", "num_scooters_unavailable")
+
+
+def bronze(raw: DataFrame) -> DataFrame:
+    """The status topic as it arrived: typed fields, the topic's own columns, the raw text, later fields last.
+
+    Times are epoch seconds. Text that is no JSON gives nulls, and stays in raw_json."""
+    stamps = {"last_reported": "last_reported_ts", "feed_last_updated": "snapshot_ts", "fetched_at": "fetched_ts"}
+    read = raw.withColumn("v", F.from_json(F.col("value").cast("string"), STATUS_FIELDS))
+    names = [x.split()[0] for x in STATUS_FIELDS.split(",")]
+    first = [F.col(f"v.{n}").alias(stamps.get(n, n)) for n in names if n not in LATER]
+    own = [F.col("topic").alias("kafka_topic"), F.col("partition").alias("kafka_partition"), F.col("offset").alias("kafka_offset"), F.col("timestamp").alias("kafka_ts"), F.col("value").cast("string").alias("raw_json")]
+    return read.select(*first, *own, *(F.col(f"v.{n}") for n in LATER))
+
+
+def silver(rows: DataFrame, processed: Column, t: Thresholds = Thresholds()) -> DataFrame:
+    """Bronze rows that have a station and a time, with capacity, state and when they were processed; what only
+    bronze keeps is left out."""
+    bikes, docks = F.col("num_bikes_available"), F.col("num_docks_available")
+    valid = rows.where(F.col("station_id").isNotNull() & F.col("snapshot_ts").isNotNull())
+    sized = valid.withColumn("capacity", capacity(bikes, docks, F.col("num_bikes_disabled"), F.col("num_docks_disabled")))
+    working, age = F.col("is_installed") & F.col("is_renting"), F.col("snapshot_ts") - F.col("last_reported_ts")
+    state = station_state(bikes, docks, F.col("capacity"), working, age, t)
+    return sized.select(
+        "station_id", "snapshot_ts", "last_reported_ts", "num_bikes_available", "num_bikes_disabled", "num_ebikes_available", "num_docks_available", "num_docks_disabled", "capacity",
+        "is_installed", "is_renting", "is_returning", state.alias("state"), "fetched_ts", "kafka_ts", processed.alias("processed_ts"), "num_scooters_available",
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stationlake.functions.exprs import epoch, local_epoch
+from stationlake.functions.exprs import local_epoch
 
 
 def unfinished(jobs: DataFrame) -> DataFrame:
@@ -14,8 +14,14 @@ def unfinished(jobs: DataFrame) -> DataFrame:
 
 
 def due(episodes: DataFrame, jobs: DataFrame, after_s: int = 1200) -> DataFrame:
-    """Alerted empty episodes of that length at stations without an open job."""
-    return episodes.where((F.col("kind") == "empty") & (F.col("duration_s") >= after_s)).join(jobs.where("status = 'open'").select("station_id").distinct(), "station_id", "left_anti").select("episode_id", "station_id", "start_ts", "duration_s")
+    """Empty episodes of that length for which no job was open at their station at any time while they went on."""
+    long = episodes.where((F.col("kind") == "empty") & (F.col("duration_s") >= after_s))
+    ends = long.select("station_id", (F.col("start_ts") + F.col("duration_s")).alias("t"), F.lit(0).alias("is_job"), F.lit(None).cast("long").alias("closed"), "episode_id", "start_ts", "duration_s")
+    opens = jobs.select("station_id", F.col("opened_at").alias("t"), F.lit(1).alias("is_job"), F.coalesce("closed_at", F.lit(1 << 60)).alias("closed"))
+    # of all jobs opened before an episode's end, the one that closed last: no pairs of jobs and episodes are made
+    before = Window.partitionBy("station_id").orderBy("t", "is_job").rowsBetween(Window.unboundedPreceding, 0)
+    marked = ends.unionByName(opens, allowMissingColumns=True).withColumn("busy", F.max("closed").over(before))
+    return marked.where((F.col("is_job") == 0) & F.coalesce(F.col("busy") <= F.col("start_ts"), F.lit(True))).select("episode_id", "station_id", "start_ts", "duration_s")
 
 
 def assign(jobs: DataFrame, vans: DataFrame) -> DataFrame:
@@ -79,8 +85,22 @@ def layout(files: DataFrame) -> DataFrame:
     return files.groupBy("spec").agg(F.count_distinct("partition").alias("partitions"), F.count_distinct("file").alias("files"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
 
 
-def opened(jobs: DataFrame):
-    return jobs.groupBy("status").agg(F.count(F.lit(1)).alias("jobs"), F.min("opened_at").alias("first"), F.max("opened_at").alias("last"))
+def open_tickets(tickets: DataFrame) -> DataFrame:
+    """Unfinished tickets of each dock (one at most, if the rules hold), and how long the oldest has been open for
+    the newest opening of all: a scalar that each row is held against."""
+    newest = tickets.agg(F.max("opened_at").alias("now"))
+    of = tickets.where("status = 'open'").groupBy("station_id", "dock_no").agg(F.count(F.lit(1)).alias("tickets"), F.min_by("ticket_id", F.struct("opened_at", "ticket_id")).alias("oldest_ticket"), F.min("opened_at").alias("oldest"))
+    return of.join(F.broadcast(newest)).withColumn("open_s", F.col("now") - F.col("oldest")).drop("now")
 
 
-__all__ = ["unfinished", "due", "assign", "month_status", "mapped", "raw_trips", "checked", "day_stats", "pick_days", "layout", "opened", "epoch"]
+def docks(stations: DataFrame) -> DataFrame:
+    """One row for each dock of each station: docks 1 to its capacity."""
+    return stations.select("station_id", F.explode(F.sequence(F.lit(1), F.col("capacity"))).alias("dock_no")).withColumn("dock_id", F.concat_ws("-", "station_id", "dock_no"))
+
+
+def busiest_partition(files: DataFrame) -> DataFrame:
+    """Of each table (table_name, partition, file): the partition with most files, if it has more than one; in doubt
+    the first by name. It is the one that is worth compacting."""
+    n = files.groupBy("table_name", "partition").agg(F.count_distinct("file").alias("files")).where("files > 1")
+    top = n.groupBy("table_name").agg(F.max("files").alias("files"))
+    return n.join(top, ["table_name", "files"]).groupBy("table_name", "files").agg(F.min("partition").alias("partition"))

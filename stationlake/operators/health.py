@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationlake.functions.exprs import age_text, freshness
@@ -32,7 +32,8 @@ def series(status: DataFrame, minutes: int = 1440) -> DataFrame:
     first = F.broadcast(end.select((F.col("m1") - 60 * (minutes - 1)).alias("m0")))
     placed = lambda at, name: status.select((at - F.pmod(at, F.lit(60))).alias("m")).join(first).groupBy(F.greatest("m", F.col("m0") - 60).alias("minute")).agg(F.count(F.lit(1)).alias(name))
     flow = placed(F.col("kafka_ts"), "published").join(placed(done_at, "done"), "minute", "full_outer")
-    lines = spine.join(flow, "minute", "full_outer").join(per_minute(status), "minute", "left").join(latency(status), "minute", "left")
+    recent = lambda c: status.join(first, F.col(c) >= F.col("m0"))
+    lines = spine.join(flow, "minute", "full_outer").join(per_minute(recent("kafka_ts")), "minute", "left").join(latency(recent("processed_ts")), "minute", "left")
     run = Window.partitionBy().orderBy("minute")
     backlog = F.sum(F.coalesce("published", F.lit(0)) - F.coalesce("done", F.lit(0))).over(run)
     out = lines.select("minute", F.coalesce("events", F.lit(0)).alias("events"), F.coalesce("processed", F.lit(0)).alias("processed"), "p50", "p95", backlog.alias("lag_records"))
@@ -46,19 +47,23 @@ def tiles(lines: DataFrame) -> DataFrame:
     return hour.agg(F.round(F.sum("events") / F.count(F.lit(1)), 1).alias("events_per_min"), F.max("p95").alias("latency_p95_s"), F.first("lag_records").alias("lag_records"))
 
 
-def table_freshness(tables: dict[str, tuple[DataFrame, str]], now: int) -> DataFrame:
+def table_freshness(tables: dict[str, tuple[DataFrame, str]], now: int, streamed: tuple[str, ...] = ("status",)) -> DataFrame:
     """(table, rows, oldest, newest, status, age) of each table by its time column."""
     out = None
     for name, (df, c) in tables.items():
         line = df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n"), F.min(c).alias("oldest"), F.max(c).alias("newest"))
         out = line if out is None else out.unionByName(line)
     age = F.lit(now) - F.col("newest")
-    return out.withColumns({"status": freshness(age), "age": age_text(age)})
+    return out.withColumns({"status": table_status(F.col("table_name").isin(*streamed), age), "age": age_text(age)})
 
 
 def weighted_ranks(df: DataFrame, group: list[str], value: str, ranks: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
     """Exact nearest-rank percentiles of values with weights: the first whose running weight reaches the rank."""
-    counted = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("w"))
+    return ranked(df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("w")), group, value, ranks)
+
+
+def ranked(counted: DataFrame, group: list[str], value: str, ranks: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """The same of values that are counted already (w)."""
     whole = Window.partitionBy(*group)
     run = counted.withColumn("seen", F.sum("w").over(whole.orderBy(value))).withColumn("total", F.sum("w").over(whole))
     at = lambda q: F.min(F.when(F.col("seen") >= F.greatest(F.ceil(F.col("total") * F.lit(q)), F.lit(1)), F.col(value)))
@@ -73,21 +78,93 @@ def window_report(status: DataFrame) -> DataFrame:
 
 
 def pair_batches(batches: DataFrame, commits: DataFrame, key: str = "table_name", slack_s: int = 900) -> DataFrame:
-    """Each batch (key, batch_ts, n), in time order, takes the first later commit (key, commit_ts, n) of equal
-    size that none before it has taken. Sequential within a table: a table's few batches are one group."""
-
-    def pairs(pdf):
-        import pandas as pd
-
-        events = sorted(pdf.itertuples(index=False), key=lambda r: (r.ts, r.is_commit))
-        b, c, at, out = [r for r in events if not r.is_commit], [r for r in events if r.is_commit], 0, []
-        last = max((r.ts for r in b), default=0) + slack_s
-        for r in b:
-            hit = next((j for j in range(at, len(c)) if r.ts < c[j].ts <= last and c[j].n == r.n), None)
-            out.append((r[0], r.ts, r.n, None if hit is None else c[hit].ts))
-            at = at if hit is None else hit + 1
-        return pd.DataFrame(out, columns=["k", "ts", "n", "commit_ts"]).astype({"commit_ts": "Int64"})
-
-    both = batches.select(F.col(key).alias("k"), F.col("batch_ts").alias("ts"), "n", F.lit(False).alias("is_commit")).unionByName(commits.select(F.col(key).alias("k"), F.col("commit_ts").alias("ts"), "n", F.lit(True).alias("is_commit")))
-    made = both.groupBy("k").applyInPandas(pairs, "k string, ts long, n long, commit_ts long")
-    return made.select(F.col("k").alias(key), F.col("ts").alias("batch_ts"), "n", "commit_ts")
+    """Each batch (key, batch_ts, n) with the commit (key, commit_ts, n) that holds it: of its size, later than it,
+    no later than ``slack_s`` after the last batch, and taken by none before it; in doubt the first.
+
+    Among batches and commits of one table and size, numbered by time: batch i can take no commit before the
+    first later one, f(i), nor the one that batch i - 1 took. So it takes number max(f(j) + i - j) over all j up to
+    i, a running maximum. A pair that would put a batch's commit before that of an earlier batch is undone."""
+    of = [key, "n"]
+    ends = batches.groupBy(key).agg((F.max("batch_ts") + slack_s).alias("end"))
+    near = commits.join(F.broadcast(ends), key).where(F.col("commit_ts") <= F.col("end")).select(*of, F.col("commit_ts").alias("ts"), F.lit(1).alias("commit"))
+    both = batches.select(*of, F.col("batch_ts").alias("ts"), F.lit(0).alias("commit")).unionByName(near)
+    # a commit at a batch's own second is not later than it
+    timeline = Window.partitionBy(*of).orderBy("ts", F.desc("commit"))
+    numbered = both.withColumn("commits", F.sum("commit").over(timeline)).withColumn("batches", F.sum(1 - F.col("commit")).over(timeline))
+    waiting = numbered.where("commit = 0").withColumn("lead", F.max(F.col("commits") + 1 - F.col("batches")).over(timeline))
+    wanted = waiting.select(*of, F.col("ts").alias("batch_ts"), (F.col("lead") + F.col("batches")).alias("number"))
+    taken = numbered.where("commit = 1").select(*of, F.col("commits").alias("number"), F.col("ts").alias("commit_ts"))
+    found = wanted.join(taken, [*of, "number"], "left")
+    before = Window.partitionBy(key).orderBy("batch_ts").rowsBetween(Window.unboundedPreceding, -1)
+    in_order = F.coalesce(F.col("commit_ts") > F.max("commit_ts").over(before), F.lit(True))
+    return found.select(key, "batch_ts", "n", F.when(in_order, F.col("commit_ts")).alias("commit_ts"))
+
+
+def sustained(groups: DataFrame, pairs: DataFrame, trigger_s: int = 60, key: str = "table_name") -> DataFrame:
+    """One row for each table: batches, those without a commit, nearest-rank durations of batches and latencies up
+    to the commit, and whether each batch was committed within a trigger. groups: (key, batch_ts, fetched_ts, n)."""
+    took = pairs.withColumn("batch_s", F.col("commit_ts") - F.col("batch_ts"))
+    spans = weighted_ranks(took.where("batch_s is not null"), [key], "batch_s").select(key, F.col("p50").alias("batch_p50_s"), F.col("p95").alias("batch_p95_s"), F.col("largest").alias("batch_max_s"))
+    late = groups.join(took.select(key, "batch_ts", "commit_ts"), [key, "batch_ts"]).where("commit_ts is not null").select(key, (F.col("commit_ts") - F.col("fetched_ts")).alias("latency"), F.col("n").alias("w"))
+    commit = ranked(late.groupBy(key, "latency").agg(F.sum("w").alias("w")), [key], "latency").select(key, F.col("p50").alias("commit_p50_s"), F.col("p95").alias("commit_p95_s"))
+    counts = took.groupBy(key).agg(F.count(F.lit(1)).alias("batches"), F.count_if(F.col("commit_ts").isNull()).alias("unpaired"))
+    good = (F.col("unpaired") == 0) & F.coalesce(F.col("batch_max_s") < trigger_s, F.lit(False))
+    return counts.join(spans, key, "left").join(commit, key, "left").withColumn("sustained", good)
+
+
+#: Ages (seconds) up to which a stream, and a daily job, is in order.
+STREAM_S, DAY_S, TWO_DAYS_S = 300, 86400, 172800
+ORDER = ("ok", "warn", "fail")
+
+
+def worst(statuses: Column) -> Column:
+    """The worst of an array of statuses: fail, else warn, else ok."""
+    return F.when(F.array_contains(statuses, "fail"), "fail").when(F.array_contains(statuses, "warn"), "warn").otherwise("ok")
+
+
+def table_status(streamed: Column, age_s: Column) -> Column:
+    """A streamed table by its age (ok, warn, fail); any other only warns, after two days or without a commit."""
+    return F.when(streamed & age_s.isNotNull(), freshness(age_s)).when(F.coalesce(age_s <= TWO_DAYS_S, F.lit(False)), "ok").otherwise("warn")
+
+
+def newest_run(runs: DataFrame) -> DataFrame:
+    """Rows of the maintenance run that finished last: (run_id, table_name, status, finished_at, ...)."""
+    top = runs.agg(F.max_by("run_id", F.struct("finished_at", "run_id")).alias("run_id"))
+    return runs.join(F.broadcast(top), "run_id")
+
+
+def components(status: DataFrame, gate: DataFrame, runs: DataFrame, now: int) -> DataFrame:
+    """(name, status, detail) of stream, quality and maintenance, and the worst of them as ``overall``.
+
+    gate: one row (passed, rules_passed, rules_failed, problems), or none; runs: all maintenance runs' rows."""
+    when = lambda s: F.concat(age_text(s), F.lit(" ago"))
+    age = F.lit(now) - F.col("newest")
+    stream = status.agg(F.max("processed_ts").alias("newest")).select(F.lit("stream").alias("name"), freshness(age).alias("status"), F.coalesce(F.concat(F.lit("newest row reached silver "), when(age)), F.lit("no silver rows yet")).alias("detail"))
+    told = gate.agg(F.first("passed").alias("passed"), F.first("rules_passed").alias("good"), F.first("rules_failed").alias("bad"), F.first("problems").alias("problems"))
+    tests = F.concat((F.col("good") + F.col("bad")).cast("string"), F.lit(" rules, "), F.col("bad").cast("string"), F.lit(" failed"))
+    quality = told.select(F.lit("quality").alias("name"), F.when(F.col("passed").isNull(), "warn").when(F.col("passed"), "ok").otherwise("fail").alias("status"),
+                          F.when(F.col("passed").isNull(), "no quality gate yet").when(F.col("passed"), tests).otherwise(F.concat(F.lit("quality gate failed: "), F.substring("problems", 1, 300))).alias("detail"))
+    last = newest_run(runs).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "error").alias("bad"), F.max("finished_at").alias("end"))
+    since = F.lit(now) - F.col("end")
+    done = F.when(F.col("n") == 0, "warn").when(F.col("bad") > 0, "fail").when(F.coalesce(since <= TWO_DAYS_S, F.lit(False)), "ok").otherwise("warn")
+    text = F.concat(F.col("bad").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" tables failed, "), F.coalesce(F.concat(F.lit("finished "), when(since)), F.lit("not finished")))
+    upkeep = last.select(F.lit("maintenance").alias("name"), done.alias("status"), F.when(F.col("n") == 0, "no maintenance run yet").otherwise(text).alias("detail"))
+    parts = stream.unionByName(quality).unionByName(upkeep)
+    return parts.unionByName(parts.agg(F.collect_list("status").alias("s")).select(F.lit("overall").alias("name"), worst(F.col("s")).alias("status"), F.lit("").alias("detail")))
+
+
+def median_run(runs: DataFrame) -> DataFrame:
+    """Median, least and largest seconds of each query's timed runs (query, seconds)."""
+    return runs.groupBy("query").agg(F.percentile("seconds", F.lit(0.5)).alias("median_s"), F.min("seconds").alias("least_s"), F.max("seconds").alias("most_s"), F.count(F.lit(1)).alias("runs"))
+
+
+def coverage(bronze: DataFrame, silver: DataFrame, published: DataFrame) -> DataFrame:
+    """After a crash: one row with ``duplicates`` (repeated offsets and repeated silver keys) and ``missing`` (gaps,
+    and offsets that had been published before it but are not in bronze). published: (partition, end_offset)."""
+    by = bronze.groupBy("partition").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("offset").alias("d"), F.min("offset").alias("low"), F.max("offset").alias("high"))
+    held = published.join(by, "partition", "full_outer")
+    late = F.greatest(F.col("end_offset") - 1 - F.coalesce("high", F.lit(-1)), F.lit(0))
+    sums = held.agg(F.coalesce(F.sum(F.col("n") - F.col("d")), F.lit(0)).alias("repeats"), (F.coalesce(F.sum(F.col("high") - F.col("low") + 1 - F.col("d")), F.lit(0)) + F.coalesce(F.sum(late), F.lit(0))).alias("missing"))
+    twice = silver.groupBy("station_id", "snapshot_ts").agg(F.count(F.lit(1)).alias("k")).agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("twice"))
+    out = sums.join(F.broadcast(twice)).select((F.col("repeats") + F.col("twice")).alias("duplicates"), "missing")
+    return out.withColumn("zero_loss", (F.col("duplicates") == 0) & (F.col("missing") == 0))

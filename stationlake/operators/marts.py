@@ -43,17 +43,15 @@ def newest_months(trips: DataFrame, months: int = 12) -> DataFrame:
 def trips_vs_availability(staged: DataFrame, trips: DataFrame, stations: DataFrame, months: int = 12) -> DataFrame:
     """Profile of each station by hour of day: trips a day against shares; hours without live data are absent."""
     t = newest_months(trips, months)
-    covered = t.select("trip_month").distinct().agg(F.sum(F.dayofmonth(F.last_day("trip_month"))).alias("trip_days"), F.min("trip_month").alias("trip_first_month"), F.max("trip_month").alias("trip_last_month"))
+    ends = F.array(*(F.struct(F.col(c).alias("short_name"), F.col(h).alias("hour_of_day"), F.lit(i).alias("i")) for i, (c, h) in enumerate((("start_code", "start_hour"), ("end_code", "end_hour")))))
+    # starts and ends are counted in one pass, by month, code and hour, before any station is looked up
+    counts = t.select("trip_month", F.explode(ends).alias("e")).groupBy("trip_month", "e.short_name", "e.hour_of_day").agg(F.count_if(F.col("e.i") == 0).alias("s"), F.count_if(F.col("e.i") == 1).alias("e"))
+    covered = counts.select("trip_month").distinct().agg(F.sum(F.dayofmonth(F.last_day("trip_month"))).alias("trip_days"), F.min("trip_month").alias("trip_first_month"), F.max("trip_month").alias("trip_last_month"))
     code = stations.select("station_id", "short_name")
-
-    def counted(c: str, hour: str, name: str) -> DataFrame:
-        # trips are counted by code and hour before the station is looked up
-        n = t.groupBy(F.col(c).alias("short_name"), F.col(hour).alias("hour_of_day")).agg(F.count(F.lit(1)).alias(name))
-        return n.join(code, "short_name").select("station_id", "hour_of_day", name)
-
+    used = counts.join(code, "short_name").groupBy("station_id", "hour_of_day").agg(F.sum("s").alias("s"), F.sum("e").alias("e"))
     avail = staged.groupBy("station_id", "hour_of_day").agg(r6(clamp(F.avg("share_empty"))).alias("share_empty"), r6(clamp(F.avg("share_full"))).alias("share_full"), F.count_distinct("service_date").alias("live_days"))
     keys = ["station_id", "hour_of_day"]
-    joined = avail.join(stations.select("station_id", "station_name", "region_id"), "station_id").join(counted("start_code", "start_hour", "s"), keys, "left").join(counted("end_code", "end_hour", "e"), keys, "left").join(F.broadcast(covered))
+    joined = avail.join(stations.select("station_id", "station_name", "region_id"), "station_id").join(used, keys, "left").join(F.broadcast(covered))
     per_day = lambda c: r6(F.coalesce(c, F.lit(0)) / F.col("trip_days").cast("double"))
     return joined.select(
         "station_id", "station_name", "region_id", "hour_of_day", per_day("s").alias("trips_started_per_day"), per_day("e").alias("trips_ended_per_day"),
@@ -71,7 +69,10 @@ def kpis(daily_mart: DataFrame, profile: DataFrame) -> DataFrame:
 
 
 def station_means(profile: DataFrame) -> DataFrame:
-    return profile.groupBy("station_id", "station_name").agg(r6(F.avg("share_empty")).alias("mean_share"), r6(F.sum("trips_started_per_day")).alias("trips_per_day"))
+    """Mean share and trips a day of each station. The mean is taken in whole millionths, so that its last digit does
+    not hang on the order in which shares are added."""
+    n, total = F.count(F.lit(1)), F.sum(F.round(F.col("share_empty") * 1e6).cast("long"))
+    return profile.groupBy("station_id", "station_name").agg((F.floor((2 * total + n) / (2 * n)) / 1e6).alias("mean_share"), r6(F.sum("trips_started_per_day")).alias("trips_per_day"))
 
 
 def heatmap(profile: DataFrame, top: int = 25) -> DataFrame:

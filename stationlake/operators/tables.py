@@ -1,98 +1,168 @@
-"""Tables as versioned Parquet folders: a write makes a new version, and a pointer that is set last names it.
+"""Partitioned Parquet tables in a lake: appends, and writes that replace partitions and leave all others alone.
 
-For lakes without a table format; where the catalog has one with MERGE, its tables do the same in one
-statement. All paths go through Spark's file systems, so a lake may lie in any store that Spark reads."""
+Spark's dynamic partition overwrite does the replacing: what is written is checked first, and only partitions that
+hold changed rows are written anew, by day or month, or by a bucket of the key. Where the catalog has a table
+format, its MERGE and its compaction procedures do the same in one statement."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+BUCKET = "bucket"
+
 
-class TableStore:
-    """Tables under one folder; ``write`` replaces a table, ``append``, ``replace_where`` and ``upsert`` build
-    the next version from the current one. A failed write leaves the pointer, and so the table, as it was."""
+class Lake:
+    """Tables below one folder, each partitioned by its own columns."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-
-    def _fs(self, name: str):
-        return self._path(name).getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def path(self, table: str) -> str:
+        return f"{self.root}/{table}"
 
-    def version(self, table: str) -> int | None:
-        """The current version's number: that of the newest pointer file."""
-        folder = self._path(f"{table}/_current")
-        if not self._fs(table).exists(folder):
-            return None
-        return max((int(f.getPath().getName()) for f in self._fs(table).listStatus(folder)), default=None)
+    def _hadoop(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
     def exists(self, table: str) -> bool:
-        return self.version(table) is not None
-
-    def read(self, table: str, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{table}/v={self.version(table) if version is None else version}")
-
-    def write(self, table: str, df: DataFrame, partition_by: tuple[str, ...] = (), check: Column | None = None) -> int:
-        """A new version; refused before the pointer moves if a row fails ``check``. Gives the row count."""
-        new = (self.version(table) or 0) + 1
-        path = f"{self.root}/{table}/v={new}"
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-        written = self.spark.read.parquet(path)
-        n, bad = written.agg(F.count(F.lit(1)), F.count_if(~F.coalesce(check, F.lit(False))) if check is not None else F.lit(0)).first()
+        fs, at = self._hadoop(self.path(table))
+        return fs.exists(at)
+
+    def existing(self, tables: list[str]) -> list[str]:
+        """Those of the tables that are there: a report leaves out the others."""
+        return [t for t in tables if self.exists(t)]
+
+    def read(self, table: str) -> DataFrame:
+        """The table; columns that came later are null in older files."""
+        return self.spark.read.option("mergeSchema", True).parquet(self.path(table))
+
+    def replace(self, table: str, df: DataFrame, by: tuple[str, ...] = ()) -> None:
+        """The whole table anew: for small ones, such as dimensions."""
+        df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*by).parquet(self.path(table))
+
+    def append(self, table: str, df: DataFrame, by: tuple[str, ...] = ()) -> None:
+        """Further rows; columns may be added, a change of type is refused."""
+        if self.exists(table):
+            evolve(self.read(table).schema, df.schema)
+        df.write.mode("append").partitionBy(*by).parquet(self.path(table))
+
+    def replace_partitions(self, table: str, df: DataFrame, by: tuple[str, ...], check: Column | None = None) -> int:
+        """The partitions that df has rows of are replaced by them, and counted back. Refused before anything is
+        written if a row fails ``check``. Gives the number of rows."""
+        n, bad = df.agg(F.count(F.lit(1)), F.count_if(~F.coalesce(check, F.lit(False))) if check is not None else F.lit(0)).first()
         if bad:
             raise ValueError(f"{table}: {bad} of {n} rows fail the check")
-        pointer = self._path(f"{table}/_current/{new}")
-        self._fs(table).create(pointer, False).close()
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(self.path(table))
+        touched = df.select(*by).distinct()
+        stored = self.read(table).join(F.broadcast(touched), list(by), "left_semi").count()
+        if stored != n:
+            raise ValueError(f"{table}: {n} rows written, {stored} read back")
         return n
 
-    def append(self, table: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> int:
-        """Columns that only one side has are added, null on the other; a change of type is refused."""
+    def _rewrite(self, table: str, touched: DataFrame, rows: DataFrame, by: tuple[str, ...]) -> None:
+        """rows become all there is in the touched partitions; those that are left without rows go."""
+        path = f"{self.root}/_next/{table}"
+        # as many as partitions: days, months or buckets
+        before = {tuple(r) for r in touched.select(*by).collect()}
+        # what is read must not be overwritten while it is read
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+        new = self.spark.read.schema(rows.schema).parquet(path)
+        after = {tuple(r) for r in new.select(*by).distinct().collect()}
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(self.path(table))
+        for gone in before - after:
+            fs, at = self._hadoop("/".join([self.path(table), *(f"{c}={v}" for c, v in zip(by, gone, strict=True))]))
+            fs.delete(at, True)
+
+    def replace_where(self, table: str, df: DataFrame, where: Column, by: tuple[str, ...]) -> None:
+        """Rows that ``where`` holds for go, and df comes; only partitions that either touches are written."""
         if not self.exists(table):
-            return self.write(table, df, partition_by)
-        old = self.read(table)
-        evolve(old.schema, df.schema)
-        return self.write(table, old.unionByName(df, allowMissingColumns=True), partition_by)
+            return self.append(table, df, by)
+        stored = self.read(table)
+        touched = stored.where(where).select(*by).union(df.select(*by)).distinct()
+        near = stored.join(F.broadcast(touched), list(by), "left_semi").where(~F.coalesce(where, F.lit(False)))
+        return self._rewrite(table, touched, near.unionByName(df, allowMissingColumns=True), by)
 
-    def replace_where(self, table: str, df: DataFrame, where: Column, partition_by: tuple[str, ...] = (), check: Column | None = None) -> int:
-        """Rows that ``where`` holds for go, and df comes: a month, or a window of time."""
-        kept = self.read(table).where(~F.coalesce(where, F.lit(False))) if self.exists(table) else df.limit(0)
-        return self.write(table, kept.unionByName(df, allowMissingColumns=True), partition_by, check)
-
-    def upsert(self, table: str, df: DataFrame, key: list[str], newer: str) -> int:
+    def upsert(self, table: str, df: DataFrame, key: list[str], newer: str, buckets: int = 16) -> None:
         """One row of each key: the stored one, unless df has one whose ``newer`` is not older. Replays change nothing."""
-        if not self.exists(table):
-            return self.write(table, df)
-        rest = [c for c in self.read(table).columns if c not in key]
-        both = self.read(table).withColumn("_new", F.lit(0)).unionByName(df.withColumn("_new", F.lit(1)))
-        best = both.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(newer, "_new")).alias("r"))
-        return self.write(table, best.select(*key, "r.*"))
 
-    def drop(self, table: str) -> None:
-        self._fs(table).delete(self._path(table), True)
+        def best(stored: DataFrame, rows: DataFrame) -> DataFrame:
+            rest = [c for c in rows.columns if c not in key]
+            both = stored.withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+            return both.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(newer, "_new")).alias("r")).select(*key, "r.*")
+
+        self.merge(table, df, key, best, buckets)
+
+    def merge(self, table: str, df: DataFrame, key: list[str], rule, buckets: int = 16) -> None:
+        """``rule(stored, df)`` for the buckets of the key that df has rows of; the table is partitioned by bucket."""
+        bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+        dealt = df.withColumn(BUCKET, bucket)
+        touched = dealt.select(BUCKET).distinct()
+        if self.exists(table):
+            stored = self.read(table).join(F.broadcast(touched), BUCKET, "left_semi").drop(BUCKET)
+        else:
+            stored = None
+        out = rule(df.limit(0) if stored is None else stored, df)
+        self._rewrite(table, touched, out.withColumn(BUCKET, bucket), (BUCKET,))
+
+    def rows(self, table: str) -> DataFrame:
+        """A merged table without its bucket."""
+        return self.read(table).drop(BUCKET)
+
+    def drop(self, *tables: str) -> None:
+        for t in tables:
+            fs, at = self._hadoop(self.path(t))
+            fs.delete(at, True)
 
     def files(self, table: str) -> DataFrame:
-        """(partition, file, n, bytes) of the current version's files."""
+        """(table_name, partition, file, n, bytes) of the table's files."""
         at = self.read(table).select("_metadata.file_path", "_metadata.file_size")
         files = at.groupBy("file_path", "file_size").agg(F.count(F.lit(1)).alias("n"))
-        return files.select(F.regexp_extract("file_path", r"/v=\d+/(?:(.*)/)?[^/]+$", 1).alias("partition"), F.col("file_path").alias("file"), "n", F.col("file_size").alias("bytes"))
-
-    def compact(self, table: str, sort: list[str], partition_by: tuple[str, ...] = (), target_bytes: int = 100 << 20) -> DataFrame:
-        """Rewrites a table in files of about ``target_bytes``, sorted within; rows must stay as many.
-
-        One row: files and bytes before and after."""
-        measure = lambda: self.files(table).agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
-        before = measure().first()
-        parts = max(1, -(-before["bytes"] // target_bytes))
-        rows = self.read(table)
-        dealt = rows.repartition(parts, *partition_by) if partition_by else rows.repartitionByRange(parts, *sort)
-        n = self.write(table, dealt.sortWithinPartitions(*partition_by, *sort), partition_by)
-        if n != before["n"]:
-            raise ValueError(f"{table}: {before['n']} rows before, {n} after")
-        return measure().select(F.lit(before["files"]).alias("files_before"), F.col("files").alias("files_after"), F.lit(before["bytes"]).alias("bytes_before"), F.col("bytes").alias("bytes_after"), "n")
+        part = F.array_join(F.filter(F.split("file_path", "/"), lambda x: x.contains("=")), "/")
+        return files.select(F.lit(table).alias("table_name"), part.alias("partition"), F.col("file_path").alias("file"), "n", F.col("file_size").alias("bytes"))
+
+    def compact(self, table: str, sort: list[str], by: tuple[str, ...] = (), partition: Column | None = None, target_bytes: int = 100 << 20) -> DataFrame:
+        """Rewrites a table, or one of its partitions, in files of about ``target_bytes``, sorted within; rows must stay
+        as many. One row: files, bytes and rows before and after."""
+        chosen = (lambda d: d) if partition is None else (lambda d: d.where(partition))
+        measure = lambda: chosen(self.read(table)).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("b")).groupBy("f", "b").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("files"), F.sum("b").alias("bytes"), F.sum("n").alias("n")).first()
+        before = measure()
+        rows = chosen(self.read(table))
+        parts = max(1, math.ceil((before["bytes"] or 0) / target_bytes))
+        dealt = rows.repartition(parts, *by) if by else rows.repartitionByRange(parts, *sort)
+        path = f"{self.root}/_next/{table}"
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+        new = self.spark.read.schema(dealt.schema).parquet(path)
+        if new.count() != before["n"]:
+            raise ValueError(f"{table}: {before['n']} rows before, not as many after")
+        sorted_ = (new.repartition(parts, *by) if by else new.repartitionByRange(parts, *sort)).sortWithinPartitions(*by, *sort)
+        mode = "dynamic" if by else "static"
+        sorted_.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(*by).parquet(self.path(table))
+        after = measure()
+        values = (before["files"], after["files"], before["bytes"], after["bytes"], before["n"], after["n"])
+        return self.spark.createDataFrame([values], "files_before long, files_after long, bytes_before long, bytes_after long, rows_before long, rows_after long")
+
+    def maintain(self, plan: dict[str, tuple[list[str], tuple[str, ...]]], run_id: str, started_at: int, finished_at: int) -> DataFrame:
+        """Compacts each table of the plan (sort columns, partition columns) that is there: one audit row each, with
+        status ok or error, appended to ``maintenance_runs`` in one write."""
+        out = None
+        for table in sorted(plan):
+            sort, by = plan[table]
+            base = self.spark.createDataFrame([(run_id, table, started_at, finished_at)], "run_id string, table_name string, started_at long, finished_at long")
+            if not self.exists(table):
+                continue
+            try:
+                line, status, error = self.compact(table, sort, by), "ok", None
+            except ValueError as e:
+                line, status, error = self.spark.createDataFrame([(None,) * 6], "files_before long, files_after long, bytes_before long, bytes_after long, rows_before long, rows_after long"), "error", str(e)
+            row = base.join(line).withColumns({"status": F.lit(status), "error": F.lit(error).cast("string")})
+            out = row if out is None else out.unionByName(row)
+        if out is not None:
+            out.write.mode("append").parquet(self.path("maintenance_runs"))
+        return out
 
 
 def evolve(old: T.StructType, new: T.StructType) -> list[T.StructField]:

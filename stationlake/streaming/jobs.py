@@ -8,37 +8,44 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stationlake.functions.exprs import PROBLEMS, Thresholds
+from stationlake.operators.availability import SHARES, shares
 
 STATUS = "event_id long, station_id string, snapshot_ts long, state string, bikes long, docks long, capacity long"
 EVENT = "kind string, row_type string, start_ts long, end_ts long, ts long, alerted boolean"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that all executors share: under spark.checkpoint.dir where that is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder that all executors share, under spark.checkpoint.dir; only a local session may do without it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(base or '/tmp/checkpoints').rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def as_files(status: DataFrame, parts: int = 4) -> str:
-    """status written as ``parts`` files in order of time, one for each trigger; the folder's path."""
+def as_files(status: DataFrame, parts: int = 4, rows_per_file: int = 2_000_000) -> tuple[str, int]:
+    """status written in ``parts`` portions in order of time, each of equally many files; the folder's path, and
+    that number, which a trigger is to read."""
     path = shared_dir(status.sparkSession)
-    edges = status.agg(F.min("snapshot_ts").alias("a"), F.max("snapshot_ts").alias("b")).first()
+    edges = status.agg(F.min("snapshot_ts").alias("a"), F.max("snapshot_ts").alias("b"), F.count(F.lit(1)).alias("n")).first()
     step = max(1, ((edges["b"] or 0) - (edges["a"] or 0)) // parts + 1)
+    files = max(1, edges["n"] // parts // rows_per_file)
     for i in range(parts):
         low = (edges["a"] or 0) + i * step
         chunk = status.where((F.col("snapshot_ts") >= low) & (F.col("snapshot_ts") < low + step)).select(*(f.name for f in T._parse_datatype_string(STATUS).fields))
-        chunk.coalesce(1).write.mode("append").parquet(path)
-    return path
+        chunk.repartition(files).sortWithinPartitions("snapshot_ts", "event_id").write.mode("append").parquet(path)
+    return path, files
 
 
-def source(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(STATUS).option("maxFilesPerTrigger", 1).parquet(path)
+def source(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
+    return spark.readStream.schema(STATUS).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def kafka(spark: SparkSession, servers: str, topic: str) -> DataFrame:
@@ -54,43 +61,54 @@ def distinct_rows(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
 
 def availability(stream: DataFrame, size: str = "5 minutes") -> DataFrame:
     """Windows that are final: the watermark has passed their end."""
-    share = lambda s: F.avg((F.col("state") == s).cast("double")).alias(f"share_{s}")
-    counted = distinct_rows(stream).groupBy(F.window("time", size).alias("w"), "station_id").agg(F.count(F.lit(1)).alias("samples"), share("empty"), share("full"), share("offline"))
-    return counted.select(F.unix_timestamp("w.start").alias("window_start"), "station_id", "samples", "share_empty", "share_full", "share_offline")
+    per_state = [F.count_if(F.col("state") == s).alias(f"n_{s}") for s in SHARES]
+    counted = distinct_rows(stream).groupBy(F.window("time", size).alias("w"), "station_id").agg(F.count(F.lit(1)).alias("samples"), *per_state)
+    return counted.withColumns(shares()).select(F.unix_timestamp("w.start").alias("window_start"), "station_id", "samples", *(f"share_{s}" for s in SHARES))
+
+
+def _episode_rows(station: str, rows: pd.DataFrame, kept: tuple, after_s: int) -> tuple[list[tuple], tuple]:
+    """What a station's rows of one trigger (snapshot_ts, state; in order of time) say of its episodes, and what is
+    to be kept: (kind, start, newest time, alerted) of the open one.
+
+    The rows are cut into runs of one kind; a kept episode goes before them as a run of its own, or is carried on by the first."""
+    kind, start, newest, alerted = kept
+    new = rows[rows["snapshot_ts"] > newest].drop_duplicates("snapshot_ts")
+    if new.empty:
+        return [], kept
+    ts, kinds = new["snapshot_ts"].to_numpy(), new["state"].where(new["state"].isin(PROBLEMS), "").to_numpy(str)
+    cuts = [0, *(np.flatnonzero(kinds[1:] != kinds[:-1]) + 1).tolist(), len(ts)]
+    pieces = [(kinds[i], int(ts[i]), ts[i:j], False) for i, j in zip(cuts, cuts[1:], strict=False)]
+    if kind is not None:
+        carried = pieces.pop(0)[2] if pieces[0][0] == kind else ts[:0]
+        pieces.insert(0, (kind, start, carried, alerted))
+    out: list[tuple] = []
+    for k, (of, begin, times, known) in enumerate(pieces):
+        if not of:
+            continue
+        old = int(np.searchsorted(times, begin + after_s))
+        if not known and old < len(times):
+            out.append((station, of, "raised", begin, None, int(times[old]), True))
+            known = True
+        end = pieces[k + 1][1] if k + 1 < len(pieces) else None
+        out.append((station, of, "episode", begin, end, int(ts[-1]) if end is None else end, known))
+        if end is not None and known:
+            out.append((station, of, "resolved", begin, None, end, True))
+    last = pieces[-1]
+    open_now = (last[0], last[1], int(ts[-1]), out[-1][6]) if last[0] else (None, None, int(ts[-1]), False)
+    return out, open_now
 
 
 def episode_events(stream: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """Events of each station's episodes: opened and closed ones, alerts raised and resolved.
 
     The state of a station is its open episode and its newest row; rows that are not newer are skipped, so
-    repeats and late rows change nothing. It has no timeout: stations stay."""
+    repeats and late rows change nothing. It has no timeout: stations stay. A group is what one trigger brings
+    for one station, which the source's limit for a trigger bounds."""
 
     def advance(key: tuple, frames: Iterator, state: GroupState):
-        import pandas as pd
-
-        kind, start, last, alerted = state.get if state.exists else (None, None, -1, False)
-        out, touched = [], False
-        rows = pd.concat(list(frames)).sort_values(["snapshot_ts", "event_id"], kind="stable")
-        for ts, now in zip(rows["snapshot_ts"].tolist(), rows["state"].tolist(), strict=True):
-            if ts <= last:
-                continue
-            problem = now if now in PROBLEMS else None
-            if kind is not None and problem != kind:
-                out.append((key[0], kind, "episode", start, ts, ts, alerted))
-                if alerted:
-                    out.append((key[0], kind, "resolved", start, None, ts, True))
-                kind, start, alerted, touched = None, None, False, False
-            if problem is not None and kind is None:
-                kind, start = problem, ts
-            if kind is not None:
-                touched = True
-                if not alerted and ts - start >= t.alert_after_s:
-                    alerted = True
-                    out.append((key[0], kind, "raised", start, None, ts, True))
-            last = ts
-        if kind is not None and touched:
-            out.append((key[0], kind, "episode", start, None, last, alerted))
-        state.update((kind, start, last, alerted))
+        rows = pd.concat([f[["snapshot_ts", "event_id", "state"]] for f in frames]).sort_values(["snapshot_ts", "event_id"], kind="stable")
+        out, kept = _episode_rows(key[0], rows, state.get if state.exists else (None, None, -1, False), t.alert_after_s)
+        state.update(kept)
         made = pd.DataFrame(out, columns=["station_id", "kind", "row_type", "start_ts", "end_ts", "ts", "alerted"])
         yield made.astype({"start_ts": "Int64", "end_ts": "Int64", "ts": "Int64"})
 

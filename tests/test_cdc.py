@@ -3,7 +3,7 @@ import json
 import pytest
 
 from stationlake.operators import cdc, documents
-from stationlake.operators.tables import TableStore
+from stationlake.operators.tables import Lake
 
 COLUMNS = [("dock_id", "int64", None), ("status", "string", None), ("closed_at", "string", "io.debezium.time.ZonedTimestamp"), ("made", "int64", "io.debezium.time.MicroTimestamp")]
 
@@ -38,24 +38,42 @@ def test_decode_types_tombstones_and_errors(spark):
 
 
 def test_apply_evolves_and_replays(spark, tmp_path):
-    store = TableStore(spark, str(tmp_path))
+    lake = Lake(spark, str(tmp_path))
     first = frame(spark, message("c", 1, dock(1, "ok")), message("c", 2, dock(2, "ok")), message("u", 3, dock(1, "out")))
     wide = [*COLUMNS, ("priority", "int32", None)]
     second = frame(spark, message("d", 5, None, dock(2, "ok")), message("u", 2, dock(1, "stale")), message("c", 6, dock(3, "ok", priority=2), columns=wide))
-    cdc.apply(store, "docks", cdc.decode(first), ["dock_id"])
+    cdc.apply(lake, "docks", cdc.decode(first), ["dock_id"])
     for _ in range(2):
-        cdc.apply(store, "docks", cdc.decode(second), ["dock_id"])
-        assert rows(store.read("docks")) == [(1, "out"), (3, "ok")]
-    assert {r.dock_id: r.priority for r in store.read("docks").collect()} == {1: None, 3: 2}
-
-
-def test_stream_of_messages(spark, tmp_path):
-    store = TableStore(spark, str(tmp_path / "lake"))
-    for i, values in enumerate([[message("c", 1, dock(1, "ok")), message("c", 2, dock(2, "ok"))], [message("d", 3, None, dock(1, "ok"))]]):
-        frame(spark, *values).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = spark.readStream.schema("value string, offset long").parquet(str(tmp_path / "in"))
-        cdc.replicate(stream, store, "docks", ["dock_id"], str(tmp_path / "checkpoint"))
-    assert rows(store.read("docks")) == [(2, "ok")]
+        cdc.apply(lake, "docks", cdc.decode(second), ["dock_id"])
+        assert rows(lake.rows("docks")) == [(1, "out"), (3, "ok")]
+    assert {r.dock_id: r.priority for r in lake.rows("docks").collect()} == {1: None, 3: 2}
+
+
+def key(*fields, **values):
+    return json.dumps({"schema": {"fields": [{"field": f} for f in fields]}, "payload": values})
+
+
+def test_stream_of_many_tables(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path / "lake"))
+    van = [("plate", "string", None), ("status", "string", None)]
+    batches = [
+        [("ops.public.docks", key("dock_id", dock_id=1), message("c", 1, dock(1, "ok"))), ("ops.public.docks", key("dock_id", dock_id=2), message("c", 2, dock(2, "ok"))), ("ops.public.vans", key("plate", plate="X"), message("c", 3, {"plate": "X", "status": "idle"}, columns=van))],
+        [("ops.public.docks", key("dock_id", dock_id=1), message("d", 4, None, dock(1, "ok"))), ("ops.public.docks", key("dock_id", dock_id=1), None)],
+    ]
+    for i, values in enumerate(batches):
+        made = spark.createDataFrame([(*v, 10 * i + k) for k, v in enumerate(values)], "topic string, key string, value string, offset long")
+        made.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        cdc.replicate(cdc.source(spark, str(tmp_path / "in")), lake, str(tmp_path / "checkpoint"))
+    assert rows(lake.rows("docks")) == [(2, "ok")] and lake.rows("vans").select("plate", "status").first() == ("X", "idle")
+    cdc.reset(lake, ["docks", "vans"], str(tmp_path / "checkpoint"))
+    assert lake.existing(["docks", "vans"]) == [] and not (tmp_path / "checkpoint").exists()
+    cdc.replicate(cdc.source(spark, str(tmp_path / "in"), 9), lake, str(tmp_path / "checkpoint"))
+    assert rows(lake.rows("docks")) == [(2, "ok")]
+
+
+def test_keys_of_several_columns(spark):
+    made = spark.createDataFrame([("a.b.t", key("x", "y", x=1, y=2), "{}", 1), ("a.b.u", key("z", z=1), "{}", 1)], "topic string, key string, value string, offset long")
+    assert cdc.keys(made) == {"t": ["x", "y"], "u": ["z"]}
 
 
 def test_export_is_conditional_and_bounded(spark, tmp_path):

@@ -4,51 +4,65 @@ import pytest
 from pyspark.sql import functions as F
 
 from stationlake.operators import lineage
-from stationlake.operators.tables import TableStore
+from stationlake.operators.tables import Lake
 
 
 @pytest.fixture
-def store(spark, tmp_path):
-    return TableStore(spark, str(tmp_path))
+def lake(spark, tmp_path):
+    return Lake(spark, str(tmp_path))
 
 
 def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
-def test_versions_and_refused_writes(spark, store):
-    df = spark.createDataFrame([(1, "a"), (2, None)], "id long, s string")
-    assert not store.exists("t") and store.write("t", df) == 2 and store.version("t") == 1
+def test_append_evolves_and_refuses(spark, lake):
+    assert not lake.exists("t") and lake.existing(["t"]) == []
+    lake.append("t", spark.createDataFrame([(1,)], "id long"))
+    lake.append("t", spark.createDataFrame([(2, 5)], "id long, priority int"))
+    assert rows(lake.read("t").select("id", "priority")) == [(1, None), (2, 5)] and lake.existing(["t", "u"]) == ["t"]
+    with pytest.raises(TypeError):
+        lake.append("t", spark.createDataFrame([("x",)], "id string"))
+    lake.drop("t")
+    assert not lake.exists("t")
+
+
+def test_replaced_partitions_and_refused_ones(spark, lake):
+    month = "month string, n int"
+    lake.append("m", spark.createDataFrame([("2026-01", 1), ("2026-02", 2)], month), ("month",))
+    assert lake.replace_partitions("m", spark.createDataFrame([("2026-02", 7), ("2026-02", 8)], month), ("month",), F.col("n") > 0) == 2
+    assert rows(lake.read("m").select("n")) == [(1,), (7,), (8,)]
     with pytest.raises(ValueError):
-        store.write("t", df, check=F.col("s").isNotNull())
-    assert store.version("t") == 1 and rows(store.read("t")) == [(1, "a"), (2, None)]
-    store.drop("t")
-    assert not store.exists("t")
+        lake.replace_partitions("m", spark.createDataFrame([("2026-01", -1)], month), ("month",), F.col("n") > 0)
+    assert rows(lake.read("m").select("n")) == [(1,), (7,), (8,)]
 
 
-def test_append_evolves_and_refuses(spark, store):
-    store.append("t", spark.createDataFrame([(1,)], "id long"))
-    store.append("t", spark.createDataFrame([(2, 5)], "id long, priority int"))
-    assert rows(store.read("t")) == [(1, None), (2, 5)]
-    with pytest.raises(TypeError):
-        store.append("t", spark.createDataFrame([("x",)], "id string"))
+def test_replace_a_window_across_partitions(spark, lake):
+    schema = "day int, minute long, n int"
+    lake.append("p", spark.createDataFrame([(0, 10, 1), (0, 90, 2), (1, 110, 3), (2, 210, 4)], schema), ("day",))
+    lake.replace_where("p", spark.createDataFrame([(0, 95, 9)], schema), (F.col("minute") >= 90) & (F.col("minute") < 200), ("day",))
+    assert rows(lake.read("p").select("minute", "n")) == [(10, 1), (210, 4), (95, 9)]
 
 
-def test_replace_a_month_and_upsert(spark, store):
-    store.write("m", spark.createDataFrame([("2026-01", 1), ("2026-02", 2)], "month string, n int"), ("month",))
-    store.replace_where("m", spark.createDataFrame([("2026-02", 7), ("2026-02", 8)], "month string, n int"), F.col("month") == "2026-02", ("month",))
-    assert rows(store.read("m").select("n")) == [(1,), (7,), (8,)]
+def test_upsert_and_replays(spark, lake):
     e = "id string, updated long, status string"
-    store.upsert("e", spark.createDataFrame([("a", 5, "open"), ("b", 5, "open")], e), ["id"], "updated")
+    lake.upsert("e", spark.createDataFrame([("a", 5, "open"), ("b", 5, "open")], e), ["id"], "updated")
     for _ in range(2):
-        store.upsert("e", spark.createDataFrame([("a", 5, "closed"), ("b", 4, "stale"), ("c", 1, "open")], e), ["id"], "updated")
-    assert rows(store.read("e")) == [("a", 5, "closed"), ("b", 5, "open"), ("c", 1, "open")]
-
-
-def test_compaction_keeps_rows(spark, store):
-    store.write("s", spark.range(1000).withColumn("station", F.col("id") % 7).repartition(8))
-    report = store.compact("s", ["station", "id"]).first()
-    assert report.files_before == 8 and report.files_after == 1 and report.n == 1000 and rows(store.read("s").select("id")) == [(i,) for i in sorted(range(1000), key=lambda i: repr((i,)))]
+        lake.upsert("e", spark.createDataFrame([("a", 5, "closed"), ("b", 4, "stale"), ("c", 1, "open")], e), ["id"], "updated")
+    assert rows(lake.rows("e").select("id", "updated", "status")) == [("a", 5, "closed"), ("b", 5, "open"), ("c", 1, "open")]
+
+
+def test_compaction_keeps_rows_and_records_its_run(spark, lake):
+    lake.append("s", spark.range(1000).withColumn("station", F.col("id") % 7).repartition(8))
+    lake.append("d", spark.range(60).withColumn("day", (F.col("id") % 3).cast("int")).repartition(6), ("day",))
+    report = lake.compact("s", ["station", "id"]).first()
+    assert report.files_before == 8 and report.files_after == 1 and report.rows_after == 1000 and lake.read("s").distinct().count() == 1000
+    one = lake.compact("d", ["id"], ("day",), F.col("day") == 1).first()
+    assert one.files_before > one.files_after == 1 and lake.read("d").count() == 60
+    run = lake.maintain({"d": (["id"], ("day",)), "gone": (["id"], ()), "s": (["id"], ())}, "r1", 5, 9)
+    assert [(r.table_name, r.status, r.rows_after) for r in run.orderBy("table_name").collect()] == [("d", "ok", 60), ("s", "ok", 1000)]
+    assert lake.read("maintenance_runs").count() == 2
+    assert {r.partition for r in lake.files("d").collect()} == {"day=0", "day=1", "day=2"}
 
 
 def test_lineage_by_instant(spark, tmp_path):
