@@ -165,6 +165,16 @@ def classes(fps: DataFrame) -> DataFrame:
     return first.join(tops.select(F.col("fp").alias("component"), F.col("component").alias("top")), "component").select("fp", F.col("top").alias("component"))
 
 
+def leaders(fps: DataFrame) -> DataFrame:
+    """(fp, lead): for each distinct fp, of each table entry that its balls reach, the smallest fingerprint stored
+    there, if both differ in ``LINK`` bits at most. One match an entry, so that groups do not meet in pairs: not all
+    links, but the first ones of each."""
+    stored, asked = _tables(fps.select("fp", F.col("fp").alias("component")).distinct())
+    first = stored.groupBy("segment", "value").agg(F.min("fp").alias("lead"))
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("lead"))) <= LINK
+    return asked.join(first, ["segment", "value"]).where((F.col("fp") != F.col("lead")) & near).select("fp", "lead").distinct()
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4) -> DataFrame:
     """doc_id, fp and component_id of each row of df: documents that links of fingerprints connect."""
     known = cut(fingerprints(df.select(doc_id, text), text, "fp", size))
