@@ -29,8 +29,9 @@ class Lake:
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
     def exists(self, table: str) -> bool:
-        fs, at = self._hadoop(self.path(table))
-        return fs.exists(at)
+        """Whether the table has a file or a partition; a first batch without rows leaves an empty folder."""
+        fs, at = self._hadoop(f"{self.path(table)}/[!_.]*")
+        return bool(fs.globStatus(at))
 
     def existing(self, tables: list[str]) -> list[str]:
         """Those of the tables that are there: a report leaves out the others."""
@@ -68,6 +69,8 @@ class Lake:
         path = f"{self.root}/_next/{table}"
         # as many as partitions: days, months or buckets
         before = {tuple(r) for r in touched.select(*by).collect()}
+        if not before:
+            return
         # what is read must not be overwritten while it is read
         rows.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
         new = self.spark.read.schema(rows.schema).parquet(path)
