@@ -8,6 +8,8 @@ Links. The 64 bits are cut in three segments. Of at most four differing bits, at
 first segment, or at most one in the second, or none in the third. So each fingerprint enters a table
 for each segment, and asks them for all values of its segment within the small Hamming ball (22 values
 each for the first two, one for the third); matches count if all 64 bits differ in four places at most.
+From some 20 million fingerprints on, two segments of 32 bits (at most two bits in the first, or one in the
+second) cost less: their balls are larger, but strangers seldom share a value.
 
 Groups. Near copies crowd into few table entries, where pairs would grow with the square. So before the
 tables are asked, fingerprints meet at their neighbours: each names itself and its 64 neighbours of one
@@ -34,11 +36,21 @@ from pyspark.sql import types as T
 from stationlake.llm.common import cut
 
 LINK, SEED = 4, 42
-#: (shift, width) of each segment, and the radius of the ball that is asked for in it.
-SEGMENTS = [(0, 21, 1), (21, 21, 1), (42, 22, 0)]
+#: (shift, width) of each segment, and the radius of the ball that is asked for in it: three short segments with
+#: 45 probes in all, or two long ones with 562. Four differing bits are found by either.
+SHORT, LONG = [(0, 21, 1), (21, 21, 1), (42, 22, 0)], [(0, 32, 2), (32, 32, 1)]
 CROWD = 2048
 
 
+def segments(n: int) -> list[tuple[int, int, int]]:
+    """Those for n fingerprints that cost less: each probe meets n / 2**width others by chance."""
+
+    def cost(of: list[tuple[int, int, int]]) -> float:
+        return sum(len(_masks(range(width), radius)) * (1 + n / 2**width) for _, width, radius in of)
+
+    return min((SHORT, LONG), key=cost)
+
+
 def hashes(text: str | None, size: int, seed: int = SEED) -> np.ndarray:
     """The XXH64 hash of each shingle: of all words if there are no more than ``size``."""
     import xxhash
@@ -127,10 +139,10 @@ def _entry(i: int, value: Column):
     return lambda mask: F.struct(F.lit(i).alias("segment"), value.bitwiseXOR(mask).alias("value"))
 
 
-def _tables(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _tables(nodes: DataFrame, of: list[tuple[int, int, int]]) -> tuple[DataFrame, DataFrame]:
     """(segment, value, fp, component) as stored, and the same with the values asked for."""
     stored, asked = [], []
-    for i, (shift, width, radius) in enumerate(SEGMENTS):
+    for i, (shift, width, radius) in enumerate(of):
         value = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
         stored.append(F.struct(F.lit(i).alias("segment"), value.alias("value")))
         asked.append(F.transform(_longs(_masks(range(width), radius)), _entry(i, value)))
@@ -145,7 +157,7 @@ def classes(fps: DataFrame) -> DataFrame:
     """(fp, component) of the distinct fingerprints of ``fps``; component: the smallest fp of it."""
     nodes = cut(fps.select("fp").distinct())
     first = components(nodes, _meetings(nodes, 1))
-    stored, asked = _tables(first)
+    stored, asked = _tables(first, segments(nodes.count()))
     crowded = cut(stored.groupBy("segment", "value").count().where(F.col("count") > CROWD).select("segment", "value"))
     rows = stored.select("segment", "value", F.col("fp").alias("a"), F.col("component").alias("ca"))
     probes = asked.select(F.col("segment").alias("s"), F.col("value").alias("v"), F.col("fp").alias("b"), F.col("component").alias("cb"))
@@ -169,7 +181,8 @@ def leaders(fps: DataFrame) -> DataFrame:
     """(fp, lead): for each distinct fp, of each table entry that its balls reach, the smallest fingerprint stored
     there, if both differ in ``LINK`` bits at most. One match an entry, so that groups do not meet in pairs: not all
     links, but the first ones of each."""
-    stored, asked = _tables(fps.select("fp", F.col("fp").alias("component")).distinct())
+    nodes = fps.select("fp", F.col("fp").alias("component")).distinct()
+    stored, asked = _tables(nodes, segments(nodes.count()))
     first = stored.groupBy("segment", "value").agg(F.min("fp").alias("lead"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("lead"))) <= LINK
     return asked.join(first, ["segment", "value"]).where((F.col("fp") != F.col("lead")) & near).select("fp", "lead").distinct()

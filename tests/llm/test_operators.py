@@ -86,9 +86,19 @@ def components(fps):
     return [top(i) for i in range(len(fps))]
 
 
-@pytest.mark.parametrize("crowd", [2048, 3])
-def test_components_as_by_all_pairs(spark, monkeypatch, crowd):
+def test_segments_find_all_links_and_follow_the_number():
+    rnd = random.Random(2)
+    for of in (simhash.SHORT, simhash.LONG):
+        for _ in range(500):
+            apart = rnd.sample(range(64), 4)
+            assert any(sum(shift <= b < shift + width for b in apart) <= radius for shift, width, radius in of)
+    assert simhash.segments(10**6) == simhash.SHORT and simhash.segments(10**8) == simhash.LONG
+
+
+@pytest.mark.parametrize(("crowd", "long"), [(2048, False), (3, False), (3, True)])
+def test_components_as_by_all_pairs(spark, monkeypatch, crowd, long):
     monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "segments", lambda n: simhash.LONG if long else simhash.SHORT)
     rnd = random.Random(6)
     centres = [rnd.getrandbits(64) for _ in range(6)]
     fps = [c ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 6))) for c in centres for _ in range(12)] + [0, 1 << 63]
