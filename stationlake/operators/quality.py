@@ -14,9 +14,6 @@ def newest_day(status: DataFrame) -> DataFrame:
     return status.join(F.broadcast(top), F.col("snapshot_ts") > F.col("newest") - 86400)
 
 
-ROW_RULES: dict[str, Column] = {}
-
-
 def row_rules() -> dict[str, Column]:
     """What is wrong with a row, by rule."""
     return {
@@ -61,6 +58,16 @@ def shares_out_of_range(daily: DataFrame, hourly: DataFrame) -> DataFrame:
     return bad(daily, "daily").unionByName(bad(hourly, "hourly"))
 
 
+def share_violations(marts: dict[str, DataFrame]) -> DataFrame:
+    """The rows of marts with a share outside [0, 1], each with its mart's name."""
+    bad = ~F.col("share_empty").between(0, 1) | ~F.col("share_full").between(0, 1)
+    out = None
+    for name, mart in sorted(marts.items()):
+        rows = mart.where(bad).select(F.lit(name).alias("mart"), "station_id", "share_empty", "share_full")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def offset_gaps(bronze: DataFrame) -> DataFrame:
     """Missing and repeated offsets of each partition."""
     return bronze.groupBy("partition").agg(F.count(F.lit(1)).alias("n"), (F.max("offset") - F.min("offset") + 1 - F.count_distinct("offset")).alias("missing"), (F.count(F.lit(1)) - F.count_distinct("offset")).alias("repeated"))
@@ -68,19 +75,3 @@ def offset_gaps(bronze: DataFrame) -> DataFrame:
 
 def duplicates(status: DataFrame) -> DataFrame:
     return status.groupBy("station_id", "snapshot_ts").count().agg(F.sum("count").alias("n"), F.sum(F.col("count") - 1).alias("duplicates"))
-
-
-def job_rules(jobs: DataFrame, stations: DataFrame) -> DataFrame:
-    """Violations of the operations tables' constraints: domains, ranges and references."""
-    domain = jobs.agg(F.lit("status domain").alias("rule"), F.count_if(~F.col("status").isin("open", "assigned", "done", "cancelled")).alias("n"))
-    urgent = jobs.agg(F.lit("finished but urgent").alias("rule"), F.count_if((F.col("status") == "done") & F.col("priority").startswith("1")).alias("n"))
-    lost = orphans(jobs, stations, "station_id", "station_id").agg(F.lit("unknown station").alias("rule"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    twice = repeated(jobs, ["job_id"]).agg(F.lit("unique job").alias("rule"), F.count(F.lit(1)).alias("n"))
-    return domain.unionByName(urgent).unionByName(lost).unionByName(twice)
-
-
-def gate(daily: DataFrame, rebalancing: DataFrame, hourly: DataFrame) -> DataFrame:
-    """(mart, rows, newest day, passed): a mart without rows fails."""
-    line = lambda d, name, day: d.agg(F.lit(name).alias("mart"), F.count(F.lit(1)).alias("n"), F.max(day).cast("string").alias("newest"))
-    lines = line(daily, "daily", F.col("service_date")).unionByName(line(rebalancing, "rebalancing", F.col("window_last_day"))).unionByName(line(hourly, "hourly", F.lit(None).cast("date")))
-    return lines.withColumn("passed", F.col("n") > 0)

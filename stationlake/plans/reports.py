@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationlake.functions.exprs import local_date
-from stationlake.operators import availability, documents, episodes, fleet, gate, health, marts
+from stationlake.operators import availability, documents, episodes, fleet, gate, health, marts, quality
 from stationlake.plans.fragments import ALERTS, DAILY, EPISODES, FRAMES, HOURLY, JOBS, LIVE, REBALANCING, STATIONS, STATUS, VIEW, local
 from stationlake.session import ask
 from stationlake.sources import adapters as src
@@ -36,6 +36,12 @@ def _live(s: SparkSession, d: str) -> DataFrame:
     return documents.live(src.status(s, d), src.stations(s, d))
 
 
+def _violations(s: SparkSession, d: str) -> DataFrame:
+    """Shares out of range in both marts, had they been tripled by mistake."""
+    wrong = lambda mart: mart.withColumns({c: F.col(c) * 3 for c in ("share_empty", "share_full")})
+    return quality.share_violations({"daily": wrong(_daily(s, d)), "hourly": wrong(_hourly(s, d))})
+
+
 def _results(s: SparkSession, d: str) -> DataFrame:
     """The suite's results; a column is missing, and one rule is not reported."""
     return gate.results(gate.measured(src.status(s, d), EXPECTED, NOW).where("rule != 'docks_not_negative'"))
@@ -143,7 +149,7 @@ ENTRIES: dict[str, tuple[Query, str]] = {
       m AS (SELECT (SELECT t FROM top) - max(snapshot_ts) AS late, count(*) - count(DISTINCT (station_id, snapshot_ts)) AS twice FROM silver), c AS (SELECT CASE WHEN part < 3 THEN 'bronze' ELSE 'silver' END AS t, {NOW} - max(processed_ts) AS a FROM status GROUP BY 1)
       SELECT 'silver repeats' AS "check", twice AS found, twice = 0 AS passed FROM m UNION ALL SELECT 'offsets repeated', CAST(sum(n - d) AS BIGINT), sum(n - d) = 0 FROM bp UNION ALL SELECT 'offsets missing', CAST(sum(span - d) AS BIGINT), sum(span - d) = 0 FROM bp
       UNION ALL SELECT 'partitions', count(*), count(*) = 6 FROM bp UNION ALL SELECT 'silver behind', late, late <= 300 FROM m UNION ALL SELECT 'commit age ' || t, a, a <= 3600 FROM c"""),
-    "share_violations": (lambda s, d: marts_out_of_range(s, d), f"WITH {STATUS}, {STATIONS}, d AS (SELECT 'daily' AS mart, station_id, count(*) AS n FROM status WHERE station_id IN (SELECT station_id FROM stations) GROUP BY 2) SELECT mart, station_id FROM d WHERE n < 0"),
+    "share_violations": (lambda s, d: _violations(s, d), f"SELECT * FROM (WITH {DAILY} SELECT 'daily' AS mart, station_id, share_empty * 3 AS share_empty, share_full * 3 AS share_full FROM daily) WHERE share_empty > 1 OR share_full > 1 UNION ALL SELECT * FROM (WITH {HOURLY} SELECT 'hourly' AS mart, station_id, share_empty * 3 AS share_empty, share_full * 3 AS share_full FROM hourly) WHERE share_empty > 1 OR share_full > 1"),
     "hour_range": (lambda s, d: _hourly(s, d).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("hour_of_day").between(0, 23)).alias("bad"), F.count_distinct("station_id", "hour_of_day").alias("keys")), f"WITH {HOURLY} SELECT count(*) AS n, count(*) FILTER (hour_of_day NOT BETWEEN 0 AND 23) AS bad, count(DISTINCT (station_id, hour_of_day)) AS keys FROM hourly"),
     "crash_coverage": (_coverage, f"WITH {STATUS}, x AS (SELECT part, count(*) FILTER (off < 1500 AND off % 70 = 0) AS again, max(off) AS hi, max(off) FILTER (off < 1500) AS held FROM status GROUP BY 1) SELECT CAST(sum(again) AS BIGINT) AS duplicates, CAST(sum(hi - held) AS BIGINT) AS missing, sum(again) = 0 AND sum(hi - held) = 0 AS zero_loss FROM x"),
     "timed_median": (_median, f"WITH {STATUS} SELECT state AS query, median((processed_ts - fetched_ts) / 8) AS median_s, min((processed_ts - fetched_ts) / 8) AS least_s, max((processed_ts - fetched_ts) / 8) AS most_s, count(*) AS runs FROM status GROUP BY 1"),
@@ -167,10 +173,3 @@ ENTRIES: dict[str, tuple[Query, str]] = {
     "reading_labels": (_labels, f"""WITH {STATUS}, {EPISODES}, h AS (SELECT *, CAST(start_ts // 3600 % 24 AS INTEGER) AS h, duration_s // 60 AS m FROM episodes) SELECT episode_id, CASE WHEN duration_s < 60 THEN duration_s || ' s' WHEN m < 60 THEN m || ' min' ELSE (m // 60) || ' h' || CASE WHEN m % 60 > 0 THEN ' ' || (m % 60) || ' min' ELSE '' END END AS duration,
       {HOUR12.format('h')} || '–' || {HOUR12.format('(h + 1)')} AS hours, {ISO.format('start_ts')} AS started, CASE WHEN duration_s % 600 < 120 THEN 'live' WHEN duration_s % 600 <= 300 THEN 'delayed' ELSE 'paused' END AS word FROM h"""),
 }
-
-
-def marts_out_of_range(s: SparkSession, d: str) -> DataFrame:
-    """Rows of either mart with a share outside [0, 1], each with its mart's name: none if the marts are right."""
-    bad = ~F.col("share_empty").between(0, 1) | ~F.col("share_full").between(0, 1)
-    rows = lambda df, name: df.where(bad).select(F.lit(name).alias("mart"), "station_id")
-    return rows(_daily(s, d), "daily").unionByName(rows(_hourly(s, d), "hourly"))
