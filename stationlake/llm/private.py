@@ -132,18 +132,22 @@ def _char(code: Column) -> Column:
 def _letters(canon: Column, seed: Column, others: Column | None = None) -> Column:
     """Each digit and letter replaced by one of its kind; all else as it is, but for ``others`` by other marks."""
 
+    blocks = F.array(*(F.struct(F.lit(first).alias("first"), F.lit(count).alias("count")) for first, count in BLOCKS))
+
     def one(c: Column, i: Column) -> Column:
-        n, code = _number(seed, i), F.ascii(F.translate(c, *BARE))
-        out = None
-        for first, count in BLOCKS:
-            hit, new = code.between(first, first + count - 1), _char(F.lit(first) + n % count)
-            out = F.when(hit, new) if out is None else out.when(hit, new)
-        plain = F.when(F.lower(c) == c, _char(97 + n % 26)).otherwise(_char(65 + n % 26))
-        out = out.when(c.rlike(r"^\p{L}$"), plain)
-        if others is not None:
-            out = out.when(others & c.rlike(r"^[!-~]$"), F.substring(F.lit(MARKS), (n % len(MARKS) + 1).cast("int"), F.lit(1)))
-            out = out.when(others & c.rlike(r"^[^\x00-\x7F]$"), _char(97 + n % 26))
-        return out.otherwise(c)
+        code = F.ascii(F.translate(c, *BARE))
+        block = F.get(F.filter(blocks, lambda b: (code >= b["first"]) & (code < b["first"] + b["count"])), F.lit(0))
+
+        def drawn(x: Column) -> Column:
+            n, of = x["n"], x["block"]
+            letter = F.when(c.rlike(r"^\p{L}$"), _char(F.when(F.lower(c) == c, F.lit(97)).otherwise(F.lit(65)) + n % 26))
+            if others is not None:
+                mark = F.when(c.rlike(r"^[!-~]$"), F.substring(F.lit(MARKS), (n % len(MARKS) + 1).cast("int"), F.lit(1))).when(c.rlike(r"^[^\x00-\x7F]$"), _char(97 + n % 26))
+                letter = F.coalesce(letter, F.when(others, mark))
+            return F.coalesce(_char(of["first"] + n % of["count"]), letter, c)
+
+        # number and block are made once: the array is a name for them
+        return F.get(F.transform(F.array(F.struct(_number(seed, i).alias("n"), block.alias("block"))), drawn), F.lit(0))
 
     return F.array_join(F.transform(F.split(canon, ""), one), "")
 

@@ -12,10 +12,12 @@ from stationlake.llm.common import WORD, cut, documents, labels, remainder, smal
 
 
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts and of their edited texts, and likenesses. Odd rows: see ``orderhash``."""
     return orderhash.compare(documents(spark, sf_dir))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; rows without an id are components of their own fingerprint."""
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -28,6 +30,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text by the public vocabulary, their number, and digests of ids and of what they decode to."""
     import public_tokenizers as P
 
     vocabulary = P.path("byte_bpe_50k.tiktoken")
@@ -42,6 +45,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by a model of the labels outside the held-out fold; a null id is in no fold, and not learned from."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     held_out = remainder(F.col("doc_id"), 4) == 2
     scored = toxicity.score(docs, toxicity.learn(docs, labels(spark, sf_dir), ~held_out))
@@ -49,12 +53,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeats of 200 bytes leave of every document."""
     gone = repeats.remove(documents(spark, sf_dir))
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
     return gone.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, and its source's size and target."""
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     docs = cut(documents(spark, sf_dir).select("doc_id", words.alias("size"), F.array("source").alias("sources")))
     mixed, sizes, quota = mixing.mix(docs, "size", "sources", order=["doc_id"])
@@ -66,11 +72,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document, the base rules' verdict and the trees'."""
     judged = quality.rules(documents(spark, sf_dir).select("doc_id", "text"), labels(spark, sf_dir))
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "quality_score")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document by machines of the documents outside the held-out fold."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     held_out = remainder(F.col("doc_id"), 5) == 0
     tree = language.learn(docs, ~held_out)
@@ -79,6 +87,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with surrogates for its entities, and their number."""
     return private.replace(documents(spark, sf_dir).select("doc_id", "text"), count="n_entities")
 
 
