@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationlake.llm import bpe, language, mixing, orderhash, private, quality, repeats, simhash, toxicity, urls
+from stationlake.llm import bpe, language, mixing, orderhash, periods, private, quality, repeats, simhash, toxicity, urls
 from stationlake.llm.common import WORD, cut, documents, labels, remainder, small
 
 
@@ -91,6 +91,30 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.replace(documents(spark, sf_dir).select("doc_id", "text"), count="n_entities")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, of which one in ten repeats its end as its id's checksum says; a null id changes nothing."""
+    h = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+    g = F.floor(h / 10).cast("long")
+    chosen = F.coalesce(h % 10 == 0, F.lit(False))
+    docs = documents(spark, sf_dir).select("doc_id", "text", g.alias("g"), F.when(chosen, F.regexp_extract_all("text", F.lit(WORD), 0)).alias("words"))
+    n = F.size("words").cast("long")
+    placed = docs.withColumns({"a": F.col("g") % F.when(n > 0, n), "p": F.lit(None).cast("long")})
+    placed = placed.withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)).cast("long"))
+    span = F.slice("words", (F.col("a") + 1).cast("int"), F.col("p").cast("int"))
+    times = F.ceil((n - F.col("a")) / F.col("p")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(span, times)), F.lit(1), (n - F.col("a")).cast("int"))
+    changed = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a").cast("int")), tail), " ")
+    found = periods.find(placed.select("doc_id", F.when(F.col("a").isNotNull(), changed).otherwise(F.col("text")).alias("text")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("less"))))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    best = found.withColumn("best", longest)
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.before")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.less")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.less")).cast("long").alias("exponent_milli"), F.sha2(F.encode(F.array_join(line, ""), "UTF-8"), 256).alias("runs_sha256"),
+        F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_minhash": op1_order_minhash,
     "op2_simhash": op2_simhash,
@@ -102,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_surrogates": op10_surrogates,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {}
