@@ -43,6 +43,17 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Deletes the table that ``kept`` wrote, when nothing will read it again."""
+    files = df.inputFiles()
+    if not files:
+        return
+    folder = files[0].rpartition("/")[0]
+    if folder.rpartition("/")[2].startswith("kept-"):
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def small(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
     """df, to be broadcast if it has few enough rows."""
     return F.broadcast(df) if rows <= most else df

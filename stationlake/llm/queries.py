@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationlake.llm import bpe, language, mixing, orderhash, periods, private, quality, repeats, simhash, toxicity, urls
+from stationlake.llm import bpe, centroids, language, mixing, orderhash, periods, private, quality, ranking, repeats, simhash, toxicity, urls
 from stationlake.llm.common import WORD, cut, documents, labels, remainder, small
 
 
@@ -91,6 +91,24 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.replace(documents(spark, sf_dir).select("doc_id", "text"), count="n_entities")
 
 
+def op11_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by preferences among the labels outside the held-out fold; a null id is in no fold, and not learned from."""
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    ranked = ranking.rank(documents(spark, sf_dir).select("doc_id", "text"), labels(spark, sf_dir), ~held_out)
+    return ranked.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every sound vector, its distance, and what its cluster and all of them sum to."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    assigned, found = centroids.cluster(vectors)
+    sums = centroids.inertia(assigned)
+    texts = centroids.digest(found)
+    of = spark.createDataFrame([(c, n, sum(sums.values()), texts[c]) for c, n in sums.items()], "c int, cluster_inertia long, inertia long, t string")
+    joined = assigned.join(F.broadcast(of), F.col("cluster") == F.col("c"))  # a row for each centroid
+    return joined.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2("t", 256).alias("centroid_sha256"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of every document, of which one in ten repeats its end as its id's checksum says; a null id changes nothing."""
     h = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
@@ -126,7 +144,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_surrogates": op10_surrogates,
+    "op11_quality_ranking": op11_quality_ranking,
+    "op12_centroids": op12_centroids,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
-ORACLES: dict[str, str] = {}
+
+def _centroids_sql(rounds: int = 10, clusters: int = 8, components: int = 64) -> str:
+    """The rounds one after the other; distances of whole numbers are exact in doubles as long as they are below 2^53."""
+    near = "SELECT r, any_value(v) AS v, arg_min(c, (d, c)) AS c, CAST(min(d) AS BIGINT) AS d FROM (SELECT r, v, c, vv - 2 * list_inner_product(v, w) + ww AS d FROM vectors, c{0}) GROUP BY r"
+    steps = [
+        f"sound AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = {components} AND list_count(embedding) = {components} AND len([x for x in embedding if isfinite(x)]) = {components})",
+        "vectors AS MATERIALIZED (SELECT *, list_inner_product(v, v) AS vv FROM (SELECT row_number() OVER () AS r, vec_id, [floor(1024 * CAST(x AS DOUBLE)) for x in embedding] AS v FROM sound))",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS c, v AS w, vv AS ww FROM vectors QUALIFY c < {clusters})",
+    ]
+    for i in range(rounds):
+        steps += [
+            f"a{i} AS MATERIALIZED ({near.format(i)})",
+            f"m{i} AS MATERIALIZED (SELECT c, list(m ORDER BY i) AS w FROM (SELECT c, i, floor(sum(x) / count(*)) AS m FROM (SELECT c, unnest(v) AS x, unnest(range({components})) AS i FROM a{i}) GROUP BY c, i) GROUP BY c)",
+            f"c{i + 1} AS MATERIALIZED (SELECT c, w, list_inner_product(w, w) AS ww FROM (SELECT o.c, coalesce(m.w, o.w) AS w FROM c{i} o LEFT JOIN m{i} m ON o.c = m.c))",
+        ]
+    steps.append(f"done AS MATERIALIZED ({near.format(rounds)})")
+    texts = f"texts AS (SELECT c, sha256(array_to_string([CAST(x AS BIGINT) for x in w], ',')) AS centroid_sha256 FROM c{rounds})"
+    last = "SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM done JOIN vectors USING (r) JOIN texts USING (c)"
+    return f"WITH {', '.join([*steps, texts])} {last}"
+
+
+ORACLES: dict[str, str] = {"op12_centroids": _centroids_sql()}
