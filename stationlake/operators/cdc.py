@@ -56,13 +56,6 @@ def checksum(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"), (F.sum(part) % F.lit(1 << 60).cast("decimal(38,0)")).cast("long").alias("digest"))
 
 
-def difference(left: DataFrame, right: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    """Keys that one side lacks or holds otherwise, with what is wrong."""
-    side = lambda d, n: d.select(*key, row_hash(*(F.col(c) for c in columns)).alias(n))
-    both = side(left, "l").join(side(right, "r"), key, "full_outer").where(~F.col("l").eqNullSafe(F.col("r")))
-    return both.select(*key, F.when(F.col("l").isNull(), "only right").when(F.col("r").isNull(), "only left").otherwise("differs").alias("problem"))
-
-
 #: Types of the envelope's fields, by name or by semantic name, as Spark reads them.
 TYPES = {"int16": "int", "int32": "int", "int64": "bigint", "float64": "double", "double": "double", "boolean": "boolean", "string": "string"}
 SEMANTIC = {"io.debezium.time.ZonedTimestamp": "string", "io.debezium.time.MicroTimestamp": "bigint"}
@@ -80,35 +73,56 @@ def fields(schema: str) -> list[tuple[str, str, str | None]]:
     return out
 
 
+#: A time with its zone at the end: Z, or an offset. Spark reads up to nine digits of a second and keeps six.
+ZONED = r"^\d{4,}-\d\d-\d\dT\d\d:\d\d(:\d\d(\.\d{1,9})?)?(Z|[+-]\d\d:\d\d)$"
+
+
+def zoned(c: Column) -> Column:
+    """The instant of an ISO time with a zone; null for all else, such as a date alone."""
+    whole = F.regexp_replace(c, r"T(\d\d:\d\d)([Z+-])", "T$1:00$2")  # Spark wants the seconds
+    return F.when(c.rlike(ZONED), F.try_to_timestamp(whole))
+
+
 def _typed(c: Column, semantic: str | None) -> Column:
     if semantic is None:
         return c
     if semantic.endswith("MicroTimestamp"):
         return F.timestamp_micros(c)
-    # a zone is Z or an offset at the end; Spark reads up to nine digits of a second and keeps six
-    zoned = F.when(c.endswith("Z") | F.substring(c, -6, 1).isin("+", "-"), F.try_to_timestamp(c))
-    return F.when(c.isNotNull(), F.coalesce(zoned, F.raise_error(F.concat(F.lit("not a zoned timestamp: "), c)).cast("timestamp")))
+    return F.when(c.isNotNull(), F.coalesce(zoned(c), F.raise_error(F.concat(F.lit("not a zoned timestamp: "), c)).cast("timestamp")))
 
 
-def decode(messages: DataFrame) -> DataFrame:
-    """Rows of one table's change messages (value as JSON text, offset): its columns, op, lsn, offset and the
-    source's time. A deletion has the row as it was; a message without a value is a tombstone and is left out.
+Types = dict[str, tuple[str, str | None]]
 
-    Schemas are few: each different one is read once, the columns of all are merged in order of their lsn,
-    and a column that changed its type is refused."""
-    at = lambda p: F.get_json_object("value", p)
-    known = messages.where(F.col("value").isNotNull()).withColumns({"op": at("$.payload.op"), "lsn": at("$.payload.source.lsn").cast("long"), "schema": at("$.schema")})
-    wrong = known.where(~F.col("op").isin("c", "u", "d", "r") | F.col("op").isNull() | F.col("schema").isNull()).limit(1).count()
-    if wrong:
-        raise ValueError("a message without schema, or with an unknown operation")
-    columns: dict[str, tuple[str, str | None]] = {}
-    for row in known.groupBy("schema").agg(F.min("lsn").alias("lsn")).orderBy("lsn").collect():
+
+def types_of(messages: DataFrame, known: Types | None = None) -> Types:
+    """The columns that the messages' schemas declare, after those known from earlier batches; schemas are few, and each different one
+    is read once, in order of lsn. A column that changed its type is refused."""
+    columns = dict(known or {})
+    at = messages.where(F.col("value").isNotNull()).select(F.get_json_object("value", "$.schema").alias("schema"), F.get_json_object("value", "$.payload.source.lsn").cast("long").alias("lsn"))
+    for row in at.where(F.col("schema").isNotNull()).groupBy("schema").agg(F.min("lsn").alias("lsn")).orderBy("lsn").collect():
         for name, kind, semantic in fields(row["schema"]):
             if columns.setdefault(name, (kind, semantic)) != (kind, semantic):
                 raise TypeError(f"column {name} was {columns[name]}, now {(kind, semantic)}")
+    return columns
+
+
+def decode(messages: DataFrame, known: Types | None = None) -> DataFrame:
+    """Rows of one table's change messages (value as JSON text, offset): its columns, op, lsn, offset and the
+    source's time. A deletion has the row as it was; a message without a value is a tombstone and is left out.
+    Refused: a message without a schema, with an unknown operation, or without the image that its operation must have; a
+    column of another type than in an earlier message, or than ``known``."""
+    at = lambda p: F.get_json_object("value", p)
     image = F.when(F.col("op") == "d", at("$.payload.before")).otherwise(at("$.payload.after"))
-    body = F.from_json(image, ", ".join(f"`{n}` {k}" for n, (k, _) in columns.items()) or "none string")
-    rows = known.withColumn("r", body)
+    events = messages.where(F.col("value").isNotNull()).withColumns({"op": at("$.payload.op"), "lsn": at("$.payload.source.lsn").cast("long"), "has_schema": at("$.schema").isNotNull()}).withColumn("image", image)
+    wrong = events.agg(
+        F.count_if(~F.col("has_schema")).alias("without a schema"), F.count_if(~F.coalesce(F.col("op").isin("c", "u", "d", "r"), F.lit(False))).alias("with an unknown operation"),
+        F.count_if(F.col("image").isNull()).alias("without the row's image"),
+    ).first().asDict()
+    if any(wrong.values()):
+        raise ValueError("; ".join(f"{n} messages {what}" for what, n in wrong.items() if n))
+    columns = types_of(messages, known)
+    body = F.from_json("image", ", ".join(f"`{n}` {k}" for n, (k, _) in columns.items()) or "none string")
+    rows = events.withColumn("r", body)
     return rows.select(*(_typed(F.col("r")[n], semantic).alias(n) for n, (_, semantic) in columns.items()), "op", "lsn", "offset", F.timestamp_millis(at("$.payload.source.ts_ms").cast("long")).alias("source_ts"))
 
 
@@ -147,15 +161,20 @@ def keys(messages: DataFrame) -> dict[str, list[str]]:
     return out
 
 
-def decoded(messages: DataFrame) -> dict[str, tuple[DataFrame, list[str]]]:
+def decoded(messages: DataFrame, known: dict[str, Types] | None = None) -> dict[str, tuple[DataFrame, list[str]]]:
     """Of each table among change messages (topic, key, value, offset): its events and its key columns."""
-    return {t: (decode(messages.where(table_of(F.col("topic")) == t)), k) for t, k in sorted(keys(messages).items())}
+    return {t: (decode(messages.where(table_of(F.col("topic")) == t), (known or {}).get(t)), k) for t, k in sorted(keys(messages).items())}
 
 
 def apply_all(lake: Lake, messages: DataFrame) -> list[str]:
-    """A batch of messages of many tables into their replicas; the tables."""
-    found = decoded(messages)
+    """A batch of messages of many tables into their replicas; the tables. The types that a table's columns have had are
+    kept with it, so that a batch in which one has changed is refused before anything of it is written."""
+    names = keys(messages)
+    known = {t: {n: tuple(v) for n, v in (lake.note(t, "types") or {}).items()} for t in names}
+    now = {t: types_of(messages.where(table_of(F.col("topic")) == t), known[t]) for t in names}
+    found = decoded(messages, now)
     for table, (events, key) in found.items():
+        lake.keep_note(table, "types", {n: list(v) for n, v in now[table].items()})
         apply(lake, table, events, key)
     return list(found)
 
@@ -191,14 +210,6 @@ def reset(lake: Lake, tables: list[str], checkpoint: str | None = None) -> None:
         fs.delete(at, True)
 
 
-def digest(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row: rows, and the SHA-256 of all row hashes in order of the hashes: for tables of up to some million rows,
-    whose hashes one task can hold; ``checksum`` is for larger ones. Columns that begin with _ are metadata."""
-    names = columns or [c for c in df.columns if not c.startswith("_")]
-    each = df.select(row_hash(*(F.col(c) for c in names)).alias("h"))
-    return each.agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("digest"))
-
-
 def replica_report(sources: dict[str, DataFrame], replicas: dict[str, DataFrame], evolved: dict[str, str] | None = None) -> DataFrame:
     """One row for each table: rows, columns and checksum on both sides, rows that have the evolved column, and
     whether the sides are equal."""

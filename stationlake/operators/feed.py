@@ -58,12 +58,15 @@ def slice_(status: DataFrame, skip: int, limit: int) -> DataFrame:
 
 
 def unchanged(status: DataFrame) -> DataFrame:
-    """Days of a station whose content is that of its day before, whatever the order of their rows."""
-    line = F.concat_ws(",", F.lpad(F.pmod("snapshot_ts", F.lit(86400)).cast("string"), 5, "0"), F.col("bikes").cast("string"))
+    """Days of a station whose content is that of its day before, whatever the order of their rows: their number, and the sum
+    of the leading 60 bits of each row's SHA-256, modulo 2**60. Both add up before the shuffle; no day meets in one row."""
+    line = F.concat_ws(",", F.pmod("snapshot_ts", F.lit(86400)).cast("string"), F.col("bikes").cast("string"))
+    part = F.conv(F.substring(F.sha2(line, 256), 1, 15), 16, 10).cast("decimal(38,0)")
     day = F.floor(F.col("snapshot_ts") / 86400).cast("long")
-    content = status.groupBy("station_id", day.alias("day")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ";"), 256).alias("content"))
-    by = Window.partitionBy("station_id").orderBy("day")
-    return content.withColumn("unchanged", F.coalesce(F.col("content") == F.lag("content").over(by), F.lit(False)))
+    content = status.groupBy("station_id", day.alias("day")).agg(F.count(F.lit(1)).alias("n"), (F.sum(part) % F.lit(1 << 60).cast("decimal(38,0)")).cast("long").alias("content"))
+    before = lambda c: F.lag(c).over(Window.partitionBy("station_id").orderBy("day"))
+    same = (F.col("content") == before("content")) & (F.col("n") == before("n"))
+    return content.withColumn("unchanged", F.coalesce(same, F.lit(False)))
 
 
 #: The fields that a status message may have.
@@ -88,9 +91,9 @@ def bronze(raw: DataFrame) -> DataFrame:
     return read.select(*first, *own, *(F.col(f"v.{n}") for n in LATER))
 
 
-def silver(rows: DataFrame, processed: Column, t: Thresholds = Thresholds()) -> DataFrame:
+def silver(rows: DataFrame, processed: Column, t: Thresholds = Thresholds(), keep: list[str] | None = None) -> DataFrame:
     """Bronze rows that have a station and a time, with capacity, state and when they were processed; what only
-    bronze keeps is left out."""
+    bronze keeps is left out, but for the columns ``keep``."""
     bikes, docks = F.col("num_bikes_available"), F.col("num_docks_available")
     valid = rows.where(F.col("station_id").isNotNull() & F.col("snapshot_ts").isNotNull())
     sized = valid.withColumn("capacity", capacity(bikes, docks, F.col("num_bikes_disabled"), F.col("num_docks_disabled")))
@@ -98,5 +101,5 @@ def silver(rows: DataFrame, processed: Column, t: Thresholds = Thresholds()) ->
     state = station_state(bikes, docks, F.col("capacity"), working, age, t)
     return sized.select(
         "station_id", "snapshot_ts", "last_reported_ts", "num_bikes_available", "num_bikes_disabled", "num_ebikes_available", "num_docks_available", "num_docks_disabled", "capacity",
-        "is_installed", "is_renting", "is_returning", state.alias("state"), "fetched_ts", "kafka_ts", processed.alias("processed_ts"), "num_scooters_available",
+        "is_installed", "is_renting", "is_returning", state.alias("state"), "fetched_ts", "kafka_ts", processed.alias("processed_ts"), "num_scooters_available", *(keep or ()),
     )

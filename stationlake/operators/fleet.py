@@ -13,24 +13,52 @@ def unfinished(jobs: DataFrame) -> DataFrame:
     return jobs.where(F.col("status").isin("open", "assigned")).groupBy("station_id").agg(F.count(F.lit(1)).alias("jobs"), F.min("opened_at").alias("oldest"))
 
 
-def due(episodes: DataFrame, jobs: DataFrame, after_s: int = 1200) -> DataFrame:
-    """Empty episodes of that length for which no job was open at their station at any time while they went on."""
-    long = episodes.where((F.col("kind") == "empty") & (F.col("duration_s") >= after_s))
-    ends = long.select("station_id", (F.col("start_ts") + F.col("duration_s")).alias("t"), F.lit(0).alias("is_job"), F.lit(None).cast("long").alias("closed"), "episode_id", "start_ts", "duration_s")
-    opens = jobs.select("station_id", F.col("opened_at").alias("t"), F.lit(1).alias("is_job"), F.coalesce("closed_at", F.lit(1 << 60)).alias("closed"))
-    # of all jobs opened before an episode's end, the one that closed last: no pairs of jobs and episodes are made
-    before = Window.partitionBy("station_id").orderBy("t", "is_job").rowsBetween(Window.unboundedPreceding, 0)
-    marked = ends.unionByName(opens, allowMissingColumns=True).withColumn("busy", F.max("closed").over(before))
-    return marked.where((F.col("is_job") == 0) & F.coalesce(F.col("busy") <= F.col("start_ts"), F.lit(True))).select("episode_id", "station_id", "start_ts", "duration_s")
+HOUR = 3600
+
+
+def _hours(df: DataFrame, start: str, end: str) -> DataFrame:
+    """A row for each hour that [start, end) touches: the hour's first second as ``hour``, and the part within as a and b."""
+    hours = F.sequence(F.floor(F.col(start) / HOUR) * HOUR, F.floor((F.col(end) - 1) / HOUR) * HOUR, F.lit(HOUR).cast("long"))
+    pieces = df.where(F.col(end) > F.col(start)).withColumn("hour", F.explode(hours))
+    return pieces.withColumns({"a": F.greatest(start, "hour"), "b": F.least(F.col(end), F.col("hour") + HOUR)})
+
+
+def due(episodes: DataFrame, jobs: DataFrame, handled: DataFrame | None = None, after_s: int = 1200, tick_s: int = 60) -> DataFrame:
+    """Empty episodes that get a job, each with the tick that opens it: the first one, at least ``after_s`` after its start and before
+    its end, at which no job is unfinished at its station. handled: episodes (episode_id) that have had one.
+
+    Episodes and jobs are dealt to the hours they touch, so no window and no join is by station alone. Within an hour the jobs
+    leave gaps; an episode's tick is the first one in a gap of any of its hours. A job that is not closed goes on to the end of the last episode."""
+    long = episodes.where((F.col("kind") == "empty") & (F.col("duration_s") > after_s)).select("episode_id", "station_id", "start_ts", "duration_s")
+    if handled is not None:
+        long = long.join(handled.select("episode_id").distinct(), "episode_id", "left_anti")
+    long = long.withColumns({"from": F.col("start_ts") + after_s, "to": F.col("start_ts") + F.col("duration_s")})
+    last = F.broadcast(long.agg(F.max("to").alias("last")))
+    busy = _hours(jobs.select("station_id", "opened_at", "closed_at").join(last).select("station_id", "opened_at", F.coalesce("closed_at", "last").alias("until")), "opened_at", "until")
+    within = Window.partitionBy("station_id", "hour").orderBy("a", "b")
+    # what earlier jobs of the hour leave before each, and what the last leaves of the hour
+    before = F.coalesce(F.max("b").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.col("hour"))
+    gaps = busy.select("station_id", "hour", before.alias("g0"), F.col("a").alias("g1"))
+    rest = busy.groupBy("station_id", "hour").agg(F.max("b").alias("g0")).withColumn("g1", F.col("hour") + HOUR)
+    gaps = gaps.unionByName(rest.select("station_id", "hour", "g0", "g1"))
+    asked = _hours(long, "from", "to")
+    met = asked.join(gaps, ["station_id", "hour"], "left").withColumns({"g0": F.coalesce("g0", "a"), "g1": F.coalesce("g1", "b")})
+    tick = F.ceil(F.greatest("a", "g0") / tick_s) * tick_s
+    first = met.where(tick < F.least("b", "g1")).groupBy("episode_id", "station_id", "start_ts", "duration_s").agg(F.min(tick).alias("due_at"))
+    return first.select("episode_id", "station_id", "start_ts", "duration_s", F.col("due_at").cast("long").alias("due_at"))
 
 
 def assign(jobs: DataFrame, vans: DataFrame) -> DataFrame:
-    """Waiting jobs, the longest first, each with an idle van by plate, while there are vans."""
-    idle = vans.where("status = 'idle'").withColumn("n", F.row_number().over(Window.partitionBy().orderBy("plate")))
-    # no more jobs are ranked than there are vans to give them
-    waiting = jobs.where("status = 'open'").orderBy("opened_at", "station_id", "job_id").limit(max(1, vans.count()))
-    ranked = waiting.withColumn("n", F.row_number().over(Window.partitionBy().orderBy("opened_at", "station_id", "job_id")))
-    return ranked.join(F.broadcast(idle.select("n", "van_id", "plate")), "n").select("job_id", "station_id", "opened_at", "van_id", "plate")
+    """Waiting jobs, the longest first, each with an idle van by plate, while there are vans.
+
+    Jobs are numbered within the day they were opened on, days by what came before; vans are a fleet's, so one task numbers them."""
+    waiting = jobs.where("status = 'open'").withColumn("day", F.floor(F.col("opened_at") / 86400))
+    days = waiting.groupBy("day").agg(F.count(F.lit(1)).alias("jobs"))
+    ahead = days.select("day", (F.sum("jobs").over(Window.orderBy("day")) - F.col("jobs")).alias("ahead"))
+    place = F.row_number().over(Window.partitionBy("day").orderBy("opened_at", "station_id", "job_id"))
+    ranked = waiting.join(ahead, "day").withColumn("n", F.col("ahead") + place)
+    idle = vans.where("status = 'idle'").withColumn("n", F.row_number().over(Window.orderBy("plate")).cast("long"))
+    return ranked.join(idle.select("n", "van_id", "plate"), "n").select("job_id", "station_id", "opened_at", "van_id", "plate")
 
 
 def month_status(trips: DataFrame) -> DataFrame:

@@ -78,6 +78,14 @@ class Lake:
         finally:
             stream.close()
 
+    def note(self, table: str, name: str) -> dict | None:
+        """What is kept beside a table under a name."""
+        return self._get(f"{self.root}/_schemas/{table}.{name}.json")
+
+    def keep_note(self, table: str, name: str, value: dict) -> None:
+        if self.note(table, name) != value:
+            self._put(f"{self.root}/_schemas/{table}.{name}.json", value)
+
     def _names(self, path: str) -> list[str]:
         fs, at = self._hadoop(f"{path}/[!_.]*")
         return sorted(s.getPath().getName() for s in fs.globStatus(at) or ())
@@ -165,6 +173,8 @@ class Lake:
     def replace(self, table: str, df: DataFrame, by: tuple[str, ...] = ()) -> int:
         """The whole table anew: for small ones, such as dimensions, and marts. Its columns may be others than before."""
         self.recover(table)
+        if not self.exists(table):
+            return self._write(table, df, by, "overwrite", "overwrite", "static")
         staged, n, path = self._stage(table, df)
         self._delete(f"{self.root}/_schemas/{table}.json")
         self._swap(table, path, staged.schema, by, [], "overwrite", "static")
@@ -182,6 +192,7 @@ class Lake:
         dies between the two leaves what ``committed`` does not read, and the next delivery writes it anew; one
         that dies after the ledger is told finds it there."""
         if batch <= self.newest_batch(table, query):
+            df.write.format("noop").mode("overwrite").save()  # a stateful query keeps its state only if its rows are computed
             return False
         self._delete(f"{self.path(table)}/{BATCH}={batch}")
         self._write(table, df.withColumn(BATCH, F.lit(batch).cast("long")), (BATCH, *by), "append", "append")
@@ -289,7 +300,7 @@ class Lake:
         The number of buckets grows with the table, by doubling, so that a bucket stays below MOST_ROWS rows and a batch
         with few keys writes little of a large table; in the batch that doubles it, the whole table is dealt anew."""
         self.recover(table)
-        layout = self._get(f"{self.root}/_schemas/{table}.buckets.json") or {"n": BUCKETS, "full": False}
+        layout = self.note(table, "buckets") or {"n": BUCKETS, "full": False}
         stored = self.read(table) if self.exists(table) else None
         n = layout["n"] * (2 if layout["full"] and stored is not None else 1)
         bucket = F.pmod(F.xxhash64(*key), F.lit(n)).cast("int")
@@ -301,8 +312,8 @@ class Lake:
         out = rule(df.limit(0) if stored is None else stored.drop(BUCKET), df)
         counts = self._rewrite(table, touched, out.withColumn(BUCKET, bucket), (BUCKET,))
         full = any(r["count"] > MOST_ROWS for r in counts or ()) or (layout["full"] and n == layout["n"])
-        if counts is not None and (n, full) != (layout["n"], layout["full"]):
-            self._put(f"{self.root}/_schemas/{table}.buckets.json", {"n": n, "full": full})
+        if counts is not None:
+            self.keep_note(table, "buckets", {"n": n, "full": full})
 
     def rows(self, table: str) -> DataFrame:
         """A merged table without its bucket."""
@@ -311,7 +322,7 @@ class Lake:
     def drop(self, *tables: str) -> None:
         """The tables, with what is kept beside them."""
         for t in tables:
-            for path in (t, f"_schemas/{t}.json", f"_schemas/{t}.buckets.json", f"_commits/{t}", f"_plans/{t}.json", f"_ledger/{t}", f"_next/{t}"):
+            for path in (t, f"_schemas/{t}.json", f"_schemas/{t}.buckets.json", f"_schemas/{t}.types.json", f"_commits/{t}", f"_plans/{t}.json", f"_ledger/{t}", f"_next/{t}"):
                 self._delete(f"{self.root}/{path}")
 
     # --- files and upkeep

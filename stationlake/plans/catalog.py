@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationlake.operators import availability as av
-from stationlake.operators import cdc, documents, episodes, feed, fleet, health, marts, quality
+from stationlake.operators import cdc, digests, documents, episodes, feed, fleet, health, marts, quality
 from stationlake.operators.tables import Lake
 from stationlake.plans import feeds, replica, reports
 from stationlake.plans.fragments import ALERTS, APPLIED, CHANGES, DAILY, EPISODES, FRAMES, HOURLY, JOBS, LIVE, MEANS, REBALANCING, SERIES, STATIONS, STATUS, TRIPS, WINDOWS, local
@@ -100,6 +100,20 @@ def _layout(spark: SparkSession, d: str) -> DataFrame:
     return fleet.layout(out)
 
 
+def _due(spark: SparkSession, d: str) -> DataFrame:
+    """Episodes that get a job, and when; one in seven has been handled before."""
+    found = episodes.episodes(src.status(spark, d))
+    return fleet.due(found, src.dispatch_jobs(spark, d), found.where("start_ts % 7 = 0"))
+
+
+def _differences(spark: SparkSession, d: str) -> DataFrame:
+    """The replica as it would be without deletions against the one with them, from stored hashes."""
+    lake, log = Lake(spark, jobs.shared_dir(spark)), src.changelog(spark, d)
+    digests.stored(lake, "left", cdc.newest(log.where("op <> 'd'")), cdc.KEY, ["lsn", "op", "quantity"], digits=1)
+    digests.stored(lake, "right", cdc.newest(log), cdc.KEY, ["lsn", "op", "quantity"], digits=1)
+    return digests.difference(lake, "left", "right", cdc.KEY)
+
+
 def _batches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Micro-batches of one table by the second they were processed in, and the commits that took them: a commit in 50 was lost."""
     b = src.status(spark, d).groupBy(F.lit("status").alias("table_name"), F.col("processed_ts").alias("batch_ts")).agg(F.count(F.lit(1)).alias("n"))
@@ -120,7 +134,6 @@ g AS (SELECT *, max(f - i) OVER (PARTITION BY n ORDER BY i) + i AS k FROM f), t
 pairs AS (SELECT 'status' AS table_name, batch_ts, n, CASE WHEN coalesce(commit_ts > max(commit_ts) OVER (ORDER BY batch_ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) THEN commit_ts END AS commit_ts FROM t)"""
 
 
-FIRSTS = "firsts AS (SELECT station_id, snapshot_ts, arg_min(state, event_id) AS state FROM status GROUP BY ALL)"
 STREAM_SHARES = ", ".join(f"round(avg(CASE WHEN state = '{x}' THEN 1.0 ELSE 0 END), 6) AS share_{x}" for x in ("empty", "full", "offline"))
 HOURS = ", ".join(f"max(CASE WHEN hour_of_day = {h} THEN share_empty END) AS h{h:02d}" for h in range(24))
 END_LATE = "(epoch_us((start_clock + to_seconds(duration_s)) AT TIME ZONE 'America/Los_Angeles') // 1000000)"
@@ -135,10 +148,13 @@ ENTRIES: dict[str, tuple[Query, str]] = {
     "station_dimension": (lambda s, d: feed.first_of(src.messages(s, d).select("key", "event_id", "partition", "kafka_ts"), "key", "event_id", ["partition", "kafka_ts"]), f'WITH {STATUS} SELECT station_id AS "key", arg_min(part, event_id) AS "partition", arg_min(kafka_ts, event_id) AS kafka_ts FROM status GROUP BY 1'),
     "latest_per_key": (lambda s, d: feed.latest_per_key(src.messages(s, d)).select("key", "kafka_ts", "partition", "offset", F.get_json_object("value", "$.num_bikes_available").cast("long").alias("bikes")), f'WITH {STATUS} SELECT station_id AS "key", kafka_ts, part AS "partition", off AS "offset", bikes FROM status QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY kafka_ts DESC, part DESC, off DESC) = 1'),
     "archive_slice": (lambda s, d: feed.slice_(src.status(s, d), 100, 50).select("event_id", "snapshot_ts", F.col("place").cast("long").alias("place")), f"WITH {STATUS} SELECT event_id, snapshot_ts, place FROM (SELECT event_id, snapshot_ts, dense_rank() OVER (ORDER BY snapshot_ts) AS place FROM status) WHERE place BETWEEN 101 AND 150"),
-    "unchanged_days": (lambda s, d: feed.unchanged(src.status(s, d)), f"WITH {STATUS}, c AS (SELECT station_id, snapshot_ts // 86400 AS day, sha256(string_agg(lpad(CAST(snapshot_ts % 86400 AS VARCHAR), 5, '0') || ',' || bikes, ';' ORDER BY lpad(CAST(snapshot_ts % 86400 AS VARCHAR), 5, '0') || ',' || bikes)) AS content FROM status GROUP BY 1, 2) SELECT *, coalesce(content = lag(content) OVER (PARTITION BY station_id ORDER BY day), false) AS unchanged FROM c"),
+    "unchanged_days": (lambda s, d: feed.unchanged(src.status(s, d)), f"""WITH {STATUS}, c AS (SELECT station_id, snapshot_ts // 86400 AS day, count(*) AS n, CAST(sum(CAST('0x' || substr(sha256((snapshot_ts % 86400) || ',' || bikes), 1, 15) AS BIGINT)) % 1152921504606846976 AS BIGINT) AS content FROM status GROUP BY 1, 2)
+      SELECT *, coalesce(content = lag(content) OVER w AND n = lag(n) OVER w, false) AS unchanged FROM c WINDOW w AS (PARTITION BY station_id ORDER BY day)"""),
     "availability_5m": (lambda s, d: _rounded(av.windows(src.status(s, d))), f"WITH {WINDOWS} SELECT window_start, window_end, station_id, samples, min_bikes, round(avg_bikes, 6) AS avg_bikes, max_bikes, round(avg_docks, 6) AS avg_docks, capacity, round(share_empty, 6) AS share_empty, round(share_full, 6) AS share_full, round(share_offline, 6) AS share_offline FROM w"),
     "episodes_batch": (lambda s, d: episodes.episodes(src.status(s, d)), f"WITH {STATUS}, {EPISODES} SELECT * FROM episodes"),
-    "availability_5m_stream": (_availability_stream, f"WITH {STATUS}, {FIRSTS} SELECT snapshot_ts - snapshot_ts % 300 AS window_start, station_id, count(*) AS samples, {STREAM_SHARES} FROM firsts GROUP BY 1, 2 HAVING window_start + 300 <= (SELECT max(snapshot_ts) - 600 FROM status)"),
+    "availability_5m_stream": (_availability_stream, f"""WITH {STATUS}, f AS (SELECT * FROM status QUALIFY row_number() OVER (PARTITION BY station_id, snapshot_ts ORDER BY event_id) = 1)
+      SELECT snapshot_ts - snapshot_ts % 300 AS window_start, snapshot_ts - snapshot_ts % 300 + 300 AS window_end, station_id, count(*) AS samples, min(bikes) AS min_bikes, round(avg(bikes), 6) AS avg_bikes, max(bikes) AS max_bikes, round(avg(docks), 6) AS avg_docks, max(capacity) AS capacity, {STREAM_SHARES}
+      FROM f GROUP BY 1, 2, 3 HAVING max(snapshot_ts - snapshot_ts % 300) + 300 <= (SELECT max(snapshot_ts) - 600 FROM status)"""),
     "episodes_stream": (_episodes_stream, f"WITH {STATUS}, {EPISODES} SELECT * FROM episodes"),
     "dedupe_stream": (_deduped_stream, f"WITH {STATUS} SELECT station_id, count(DISTINCT snapshot_ts) AS n, max(snapshot_ts) AS newest FROM status GROUP BY 1"),
     "alerts": (lambda s, d: episodes.alerts(src.status(s, d)), f"WITH {STATUS}, {EPISODES}, {ALERTS} SELECT * FROM alerts"),
@@ -169,7 +185,7 @@ ENTRIES: dict[str, tuple[Query, str]] = {
     "alert_texts": (lambda s, d: episodes.alert_texts(episodes.alerts(src.status(s, d)), src.stations(s, d)), f"WITH {STATUS}, {STATIONS}, {EPISODES}, {ALERTS} SELECT alert_id, left(coalesce(station_name, 'Station ' || station_id) || ' is ' || kind || ' for ' || CAST(round(duration_s / 60.0) AS BIGINT) || ' min', 100) AS subject, 'since ' || strftime({local('start_ts')}, '%H:%M') AS body FROM alerts LEFT JOIN stations USING (station_id) WHERE action = 'raised'"),
     "cdc_op_counts": (lambda s, d: cdc.op_counts(src.changelog(s, d)), f"WITH {CHANGES} SELECT status, count(*) FILTER (op = 'c') AS c, count(*) FILTER (op = 'u') AS u, count(*) FILTER (op = 'd') AS d, count(*) FILTER (op = 'r') AS r FROM log GROUP BY 1"),
     "table_checksum": (lambda s, d: cdc.checksum(src.changelog(s, d), ["order_id", "line", "lsn", "op", "quantity"]), f"WITH {CHANGES} SELECT count(*) AS n, CAST(sum(CAST(('0x' || substr(sha256(concat_ws(chr(31), order_id, line, lsn, op, quantity)), 1, 15)) AS BIGINT)) % 1152921504606846976 AS BIGINT) AS digest FROM log"),
-    "replica_diff": (lambda s, d: cdc.difference(src.changelog(s, d).where("op <> 'd'").transform(cdc.newest), cdc.newest(src.changelog(s, d)), cdc.KEY, ["lsn", "op", "quantity"]), f"WITH {CHANGES}, l AS (SELECT * FROM log WHERE op <> 'd' QUALIFY row_number() OVER (PARTITION BY order_id, line ORDER BY lsn DESC, off DESC) = 1) SELECT coalesce(l.order_id, r.order_id) AS order_id, coalesce(l.line, r.line) AS line, CASE WHEN l.lsn IS NULL THEN 'only right' WHEN r.lsn IS NULL THEN 'only left' ELSE 'differs' END AS problem FROM l FULL OUTER JOIN newest r ON l.order_id = r.order_id AND l.line = r.line WHERE l.lsn IS DISTINCT FROM r.lsn OR l.op IS DISTINCT FROM r.op OR l.quantity IS DISTINCT FROM r.quantity"),
+    "replica_diff": (lambda s, d: _differences(s, d), f"WITH {CHANGES}, l AS (SELECT * FROM log WHERE op <> 'd' QUALIFY row_number() OVER (PARTITION BY order_id, line ORDER BY lsn DESC, off DESC) = 1) SELECT coalesce(l.order_id, r.order_id) AS order_id, coalesce(l.line, r.line) AS line, CASE WHEN l.lsn IS NULL THEN 'only right' WHEN r.lsn IS NULL THEN 'only left' ELSE 'differs' END AS problem FROM l FULL OUTER JOIN newest r ON l.order_id = r.order_id AND l.line = r.line WHERE l.lsn IS DISTINCT FROM r.lsn OR l.op IS DISTINCT FROM r.op OR l.quantity IS DISTINCT FROM r.quantity"),
     "changed_upsert": (lambda s, d: cdc.changed(src.jobs(s, d), src.jobs(s, d).withColumn("status", F.when(F.col("priority").startswith("1"), "done").otherwise(F.col("status"))), ["job_id"], ["status", "priority"]), f"WITH {JOBS} SELECT job_id, station_id, 'done' AS status, opened_at, priority FROM jobs WHERE priority LIKE '1%' AND status <> 'done'"),
     "expectations": (lambda s, d: quality.expectations(src.status(s, d)), f"WITH {STATUS}, day AS (SELECT * FROM status WHERE snapshot_ts > (SELECT max(snapshot_ts) FROM status) - 86400), n AS (SELECT count(*) AS n FROM day), u AS (SELECT coalesce(CAST(sum(c) FILTER (c > 1) AS BIGINT), 0) AS x, CAST(sum(c) AS BIGINT) AS n FROM (SELECT count(*) AS c FROM day GROUP BY station_id, snapshot_ts)), r AS (SELECT * FROM (VALUES ('row count'), ('station_id not null'), ('snapshot_ts not null'), ('state domain'), ('bikes not negative'), ('docks not negative'), ('bikes and docks within capacity')) v(rule)) SELECT rule, CAST(0 AS BIGINT) AS unexpected, n AS elements, true AS passed FROM r, n UNION ALL SELECT 'unique station and snapshot', x, n, x = 0 FROM u"),
     "unique_grain": (lambda s, d: quality.repeated(src.status(s, d), ["station_id", "snapshot_ts"]), f"WITH {STATUS} SELECT station_id, snapshot_ts, count(*) AS n FROM status GROUP BY 1, 2 HAVING count(*) > 1"),
@@ -196,7 +212,10 @@ ENTRIES: dict[str, tuple[Query, str]] = {
     "insights_encode": (lambda s, d: documents.encode(_daily(s, d)), f"WITH {DAILY} SELECT dense_rank() OVER (ORDER BY station_id) - 1 AS s, dense_rank() OVER (ORDER BY service_date) - 1 AS d, round(share_empty, 3) AS e, round(share_full, 3) AS f FROM daily"),
     "day_stats": (lambda s, d: fleet.day_stats(src.status(s, d)), f"WITH {STATUS} SELECT snapshot_ts // 86400 AS day, count(*) AS n, count(DISTINCT snapshot_ts // 3600) AS hours FROM status GROUP BY 1"),
     "day_pick": (lambda s, d: fleet.pick_days(fleet.day_stats(src.status(s, d))), f"WITH {STATUS}, t AS (SELECT snapshot_ts // 86400 AS day, count(*) AS n, count(DISTINCT snapshot_ts // 3600) AS hours FROM status GROUP BY 1), e AS (SELECT count(*) >= 2 AS enough FROM t WHERE hours >= 20) SELECT day, n, hours FROM t, e ORDER BY CASE WHEN enough AND hours >= 20 THEN 1 ELSE 0 END DESC, CASE WHEN enough THEN day ELSE n END DESC, day DESC LIMIT 2"),
-    "jobs_due": (lambda s, d: fleet.due(episodes.episodes(src.status(s, d)), src.dispatch_jobs(s, d)), f"WITH {STATUS}, {EPISODES}, {JOBS} SELECT episode_id, station_id, start_ts, duration_s FROM episodes e WHERE kind = 'empty' AND duration_s >= 1200 AND NOT EXISTS (SELECT 1 FROM djobs j WHERE j.station_id = e.station_id AND j.opened_at < e.start_ts + e.duration_s AND coalesce(j.closed_at, 9000000000000) > e.start_ts)"),
+    "jobs_due": (_due, f"""WITH {STATUS}, {EPISODES}, {JOBS}, e AS (SELECT * FROM episodes WHERE kind = 'empty' AND duration_s > 1200 AND start_ts % 7 <> 0),
+      t AS (SELECT *, unnest(range((start_ts + 1259) // 60 * 60, start_ts + duration_s, 60)) AS tick FROM e),
+      held AS (SELECT DISTINCT episode_id, tick FROM t JOIN djobs j ON j.station_id = t.station_id AND j.opened_at <= tick AND coalesce(j.closed_at, 9000000000000) > tick)
+      SELECT episode_id, station_id, start_ts, duration_s, min(tick) AS due_at FROM t ANTI JOIN held USING (episode_id, tick) GROUP BY 1, 2, 3, 4"""),
     "assign_vans": (lambda s, d: fleet.assign(src.jobs(s, d), src.vans(s, d)), f"WITH {JOBS}, w AS (SELECT *, row_number() OVER (ORDER BY opened_at, station_id, job_id) AS n FROM jobs WHERE status = 'open'), v AS (SELECT *, row_number() OVER (ORDER BY plate) AS n FROM vans WHERE status = 'idle') SELECT job_id, station_id, opened_at, van_id, plate FROM w JOIN v USING (n)"),
     "unfinished_jobs": (lambda s, d: fleet.unfinished(src.jobs(s, d)), f"WITH {JOBS} SELECT station_id, count(*) AS jobs, min(opened_at) AS oldest FROM jobs WHERE status IN ('open', 'assigned') GROUP BY 1"),
 }

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationlake.operators import feed, snapshots, trips
-from stationlake.plans.fragments import STATUS, TRIPS, local
+from stationlake.operators.tables import Lake
+from stationlake.plans.fragments import ALERTS, EPISODES, STATUS, TRIPS, local
 from stationlake.sources import adapters as src
+from stationlake.streaming import feeds as live
+from stationlake.streaming import jobs
 from stationlake.streaming.jobs import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,9 +108,42 @@ SILVER_SQL = f"""WITH {MESSAGES}, c AS (SELECT *, bikes + disabled + docks + doc
   is_installed, is_renting, is_returning, CASE WHEN NOT is_installed OR NOT is_renting OR snapshot_ts - last_reported_ts > 1800 THEN 'offline' WHEN bikes = 0 THEN 'empty' WHEN docks = 0 THEN 'full' WHEN bikes <= 2 OR bikes <= cap * 0.1 THEN 'low' WHEN docks <= 2 OR docks <= cap * 0.1 THEN 'high' ELSE 'ok' END AS state,
   fetched_ts + 0.25 AS fetched_ts, kafka_ts, kafka_ts + 60 AS processed_ts, event_id % 4 AS num_scooters_available FROM c"""
 
+
+
+def _streamed(s: SparkSession, d: str, *only: str) -> Lake:
+    """The status topic as files in order of time, read by the four queries, or by ``only`` some of them."""
+    raw = src.status_messages(s, d)
+    at = F.coalesce(F.get_json_object("value", "$.feed_last_updated").cast("long"), "timestamp")
+    folder, per_trigger = jobs.as_files(raw.withColumn("at", at), ("at", "event_id"))
+    path = shared_dir(s)
+    lake = Lake(s, f"{path}/lake")
+    live.drain(live.start(lambda: live.files(s, folder, per_trigger), lake, f"{path}/checkpoints", F.col("kafka_ts") + 60, only=only))
+    return lake
+
+
+def _four(s: SparkSession, d: str) -> DataFrame:
+    """Of each table of the four queries, run at the same time: rows, and the newest time in it."""
+    lake, out = _streamed(s, d), None
+    tables = {"bronze_status": (live.read(lake, "bronze"), "kafka_ts"), "silver_status": (live.read(lake, "silver"), "snapshot_ts"), "availability_5m": (live.read(lake, "availability"), "window_start"), "station_episodes": (lake.rows("station_episodes"), "start_ts"), "alerts": (lake.rows("alerts"), "ts")}
+    for name, (rows, at) in tables.items():
+        line = rows.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n"), F.max(at).alias("newest"), F.sum(at).alias("total"))
+        out = line if out is None else out.unionByName(line)
+    return out
+
+
+#: The first row of each station and snapshot, as the streams keep it.
+SILVER_ONCE = SILVER_SQL + " QUALIFY row_number() OVER (PARTITION BY station_id, snapshot_ts ORDER BY event_id) = 1"
+TOTALS = "SELECT '{0}' AS table_name, count(*) AS n, max({1}) AS newest, CAST(sum({1}) AS BIGINT) AS total FROM {2}"
+
 ENTRIES: dict[str, tuple[Query, str]] = {
     "bronze_status": (lambda s, d: feed.bronze(src.status_messages(s, d)).select(*BRONZE), BRONZE_SQL),
     "silver_from_bronze": (lambda s, d: feed.silver(feed.bronze(src.status_messages(s, d)), F.col("kafka_ts") + 60), SILVER_SQL),
+    "stream_bronze": (lambda s, d: live.read(_streamed(s, d, "bronze"), "bronze").select(*BRONZE), BRONZE_SQL),
+    "stream_silver": (lambda s, d: live.read(_streamed(s, d, "silver"), "silver"), SILVER_ONCE),
+    "stream_four_tables": (_four, f"""WITH bronze AS ({BRONZE_SQL}), silver AS ({SILVER_ONCE}), status AS (SELECT station_id, snapshot_ts, state, 0 AS event_id FROM silver), {EPISODES}, {ALERTS},
+      w AS (SELECT DISTINCT station_id, snapshot_ts - snapshot_ts % 300 AS window_start FROM silver WHERE snapshot_ts - snapshot_ts % 300 + 300 <= (SELECT max(snapshot_ts) - 600 FROM silver))
+      {TOTALS.format('bronze_status', 'kafka_ts', 'bronze')} UNION ALL {TOTALS.format('silver_status', 'snapshot_ts', 'silver')} UNION ALL {TOTALS.format('availability_5m', 'window_start', 'w')}
+      UNION ALL {TOTALS.format('station_episodes', 'start_ts', 'episodes')} UNION ALL {TOTALS.format('alerts', 'ts', 'alerts')}"""),
     "snapshot_messages": (lambda s, d: snapshots.messages(src.envelopes(s, d)), f"""WITH {ROWS} SELECT sid AS "key", event_id, n_bikes AS num_bikes_available, docks AS num_docks_available, true AS is_installed, is_renting, last_reported_ts AS last_reported, snapshot_ts AS feed_last_updated, '2.3' AS feed_version, round(fetched_at, 3) AS fetched_at, 'station_status:' || snapshot_ts AS snapshot_id FROM listed WHERE errors = ''"""),
     "snapshot_rejects": (lambda s, d: snapshots.rejects(src.envelopes(s, d)).select("key", "snapshot_id", "errors", F.get_json_object("payload", "$.num_bikes_available").cast("long").alias("bikes")), f"""WITH {ROWS} SELECT coalesce(sid, 'station_status:' || snapshot_ts) AS "key", 'station_status:' || snapshot_ts AS snapshot_id, errors, n_bikes AS bikes FROM listed WHERE errors <> '' UNION ALL SELECT DISTINCT 'station_status:' || snapshot_ts, 'station_status:' || snapshot_ts, 'stations missing', CAST(NULL AS BIGINT) FROM env WHERE snapshot_ts % 86400 = 0"""),
     "snapshot_counts": (lambda s, d: snapshots.counts(src.envelopes(s, d)), f"""WITH {ROWS} SELECT 'station_status:' || snapshot_ts AS snapshot_id, count(*) FILTER (errors = '') AS messages, count(*) FILTER (errors <> '') AS rejects FROM listed GROUP BY 1 UNION ALL SELECT DISTINCT 'station_status:' || snapshot_ts, 0, 1 FROM env WHERE snapshot_ts % 86400 = 0"""),

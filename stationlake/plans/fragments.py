@@ -62,7 +62,8 @@ LIVE = f"""latest AS (SELECT * FROM status QUALIFY row_number() OVER (PARTITION
 live AS (SELECT l.station_id, coalesce(station_name, 'Unknown station') AS name, {VIEW} AS view, state, bikes, docks,
   CASE WHEN s.station_id IS NULL THEN capacity ELSE 15 END AS capacity, snapshot_ts, list_position(['empty', 'low', 'ok', 'high', 'full', 'offline'], state) AS place FROM latest l LEFT JOIN stations s USING (station_id))"""
 JOBS = """jobs AS (SELECT o_orderkey AS job_id, CAST(o_custkey % 30 AS VARCHAR) AS station_id, CASE o_orderstatus WHEN 'P' THEN 'open' WHEN 'O' THEN 'assigned' ELSE 'done' END AS status, epoch_us(o_orderdate) // 1000000 AS opened_at, o_orderpriority AS priority FROM orders),
-djobs AS (SELECT job_id, station_id, status, 1704067200 + (job_id * 7919) % 2678400 AS opened_at, CASE WHEN status = 'done' THEN 1704067200 + (job_id * 7919) % 2678400 + 3600 + job_id % 7200 END AS closed_at, CASE WHEN status <> 'open' THEN job_id % 40 END AS van_id, CASE WHEN status = 'done' THEN job_id % 20 END AS bikes_moved FROM jobs WHERE station_id NOT IN ('3', '7', '11', '20')),
+djobs AS (SELECT *, CASE WHEN status = 'done' THEN opened_at + 300 + job_id % 900 END AS closed_at, CASE WHEN status <> 'open' THEN job_id % 40 END AS van_id, CASE WHEN status = 'done' THEN job_id % 20 END AS bikes_moved
+  FROM (SELECT job_id, station_id, 1704067200 + (job_id * 7919) % 2678400 AS opened_at, CASE WHEN (job_id * 7919) % 2678400 < 2505600 THEN 'done' ELSE status END AS status FROM jobs)),
 vans AS (SELECT s_suppkey AS van_id, s_name AS plate, CASE WHEN s_acctbal > 0 THEN 'idle' ELSE 'busy' END AS status FROM supplier)"""
 SERIES = """ends AS (SELECT max(processed_ts - processed_ts % 60) AS m1 FROM status), spine AS (SELECT unnest(range(m1 - 86340, m1 + 60, 60)) AS minute FROM ends),
 ev AS (SELECT kafka_ts - kafka_ts % 60 AS minute, count(*) AS n FROM status GROUP BY 1),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationlake.functions.exprs import row_hash
-from stationlake.operators import cdc
+from stationlake.operators import cdc, digests
 from stationlake.operators.tables import Lake
 from stationlake.plans.fragments import ALERTS, CHANGES, EPISODES, JOBS, STATIONS, STATUS
 from stationlake.sources import adapters as src
@@ -49,6 +49,16 @@ def _report(s: SparkSession, d: str) -> DataFrame:
     return cdc.replica_report({"jobs": j, "stations": st}, {"jobs": missed, "stations": st.withColumn("_lsn", F.lit(1))}, {"jobs": "priority"})
 
 
+def _evolving(s: SparkSession, d: str) -> DataFrame:
+    """The replica of the lines after three triggers; their messages have one column more from the second on."""
+    path, files = jobs.shared_dir(s), 4
+    for part in src.evolving_messages(s, d):
+        part.repartition(files).write.mode("append").parquet(f"{path}/in")
+    lake = Lake(s, f"{path}/lake")
+    cdc.replicate(cdc.source(s, f"{path}/in", files), lake, f"{path}/checkpoint")
+    return lake.rows("lines").select("order_id", "line", "quantity", "status", "priority", "lsn")
+
+
 def _expected(s: SparkSession, d: str) -> DataFrame:
     """Events of each table by operation, against what the tables themselves say."""
     log = src.changelog(s, d)
@@ -81,10 +91,15 @@ def _episodes(s: SparkSession, d: str) -> DataFrame:
 DIGEST = "CAST(sum(CAST(('0x' || substr(sha256(concat_ws(chr(31), {0})), 1, 15)) AS BIGINT)) % 1152921504606846976 AS BIGINT)"
 HASH = "sha256(concat_ws(chr(31), order_id, line, lsn, op, quantity))"
 
+#: A tree over the rows' hashes: leaves of four hex digits, each row's hash with its count.
+TREE = """h AS (SELECT {0} AS h, count(*) AS c FROM {1} GROUP BY 1), l4 AS (SELECT substr(h, 1, 4) AS p, sum(c) AS n, sha256(string_agg(h || ':' || c, chr(10) ORDER BY h || ':' || c)) AS d FROM h GROUP BY 1),
+  """ + ",\n  ".join(f"l{k} AS (SELECT substr(p, 1, {k}) AS p, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(p || '=' || d, chr(10) ORDER BY p || '=' || d)) AS d FROM l{k + 1} GROUP BY 1)" for k in (3, 2, 1, 0))
+
 ENTRIES: dict[str, tuple[Query, str]] = {
     "cdc_many_tables": (_many, f"""WITH {CHANGES}, {JOBS}, {STATIONS}, kept AS (SELECT * FROM newest WHERE op <> 'd') SELECT 'lines' AS table_name, count(*) AS n, {DIGEST.format('order_id, line, quantity, status')} AS digest FROM kept UNION ALL SELECT 'jobs', count(*), {DIGEST.format('job_id, station_id, status')} FROM jobs WHERE status <> 'done' UNION ALL SELECT 'stations', count(*), {DIGEST.format('station_id, station_name')} FROM stations"""),
     "cdc_decoded": (_decoded, f'WITH {CHANGES} SELECT order_id, line, quantity, status, op, lsn, off AS "offset" FROM log'),
-    "table_digest": (lambda s, d: cdc.digest(src.changelog(s, d), ["order_id", "line", "lsn", "op", "quantity"]), f"WITH {CHANGES} SELECT count(*) AS n, sha256(string_agg({HASH}, chr(10) ORDER BY {HASH})) AS digest FROM log"),
+    "table_digest": (lambda s, d: digests.digest(src.changelog(s, d), ["order_id", "line", "lsn", "op", "quantity"]), f"WITH {CHANGES}, {TREE.format(HASH, 'log')} SELECT n, d AS digest FROM l0"),
+    "cdc_evolving": (_evolving, f"WITH {CHANGES}, t AS (SELECT max(lsn) AS top FROM log) SELECT order_id, line, quantity, status, CASE WHEN lsn * 3 // top >= 1 THEN line END AS priority, lsn FROM newest, t WHERE op <> 'd'"),
     "replica_report": (_report, f"""WITH {JOBS}, {STATIONS}, m AS (SELECT * FROM jobs WHERE status <> 'assigned') SELECT 'jobs' AS table_name, (SELECT count(*) FROM jobs) AS source_rows, (SELECT count(*) FROM m) AS replica_rows, '' AS missing_columns, (SELECT count(*) FROM m WHERE status = 'open') AS evolved_rows, false AS equal UNION ALL SELECT 'stations', count(*), count(*), '', CAST(NULL AS BIGINT), true FROM stations"""),
     "cdc_expected": (_expected, f"WITH {CHANGES}, {JOBS}, e AS (SELECT 'lines' AS table_name, op, count(*) AS found FROM log GROUP BY 2 UNION ALL SELECT 'jobs', 'c', count(*) FROM jobs) SELECT table_name, op, found, CASE WHEN op <> 'd' THEN found ELSE 0 END AS expected, op <> 'd' AS ok FROM e"),
     "canonical_hashes": (lambda s, d: src.jobs(s, d).select("job_id", row_hash(F.col("job_id"), F.col("status"), F.when(F.col("status") == "done", F.col("opened_at")), F.col("status") == "open", F.timestamp_seconds("opened_at"), (F.col("opened_at") % 7 / 4).cast("double"), (F.col("opened_at") % 100).cast("decimal(10,2)")).alias("h")), f"WITH {JOBS} SELECT job_id, sha256(concat_ws(chr(31), job_id, status, CASE WHEN status = 'done' THEN CAST(opened_at AS VARCHAR) ELSE '\\N' END, CASE WHEN status = 'open' THEN 't' ELSE 'f' END, strftime(make_timestamp(opened_at * 1000000), '%Y-%m-%dT%H:%M:%S.%f+00:00'), CAST(opened_at % 7 / 4 AS VARCHAR), opened_at % 100)) AS h FROM jobs"),

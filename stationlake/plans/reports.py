@@ -74,9 +74,10 @@ def _components(s: SparkSession, d: str) -> DataFrame:
 
 
 def _coverage(s: SparkSession, d: str) -> DataFrame:
-    """A crash: bronze lost each partition's offsets from 1,500 on, and one in 70 is there twice."""
+    """A crash: bronze lost the last tenth of each partition's offsets, and one in 70 is there twice."""
     rows = src.status(s, d)
-    bronze = rows.where(F.col("offset") < 1500)
+    ends = rows.groupBy("partition").agg(F.max("offset").alias("last"))
+    bronze = rows.join(F.broadcast(ends), "partition").where(F.col("offset") * 10 <= F.col("last") * 9).drop("last")
     twice = bronze.unionByName(bronze.where(F.col("offset") % 70 == 0))
     published = rows.groupBy("partition").agg((F.max("offset") + 1).alias("end_offset"))
     return health.coverage(twice, rows.dropDuplicates(["station_id", "snapshot_ts"]), published)
@@ -151,7 +152,7 @@ ENTRIES: dict[str, tuple[Query, str]] = {
       UNION ALL SELECT 'partitions', count(*), count(*) = 6 FROM bp UNION ALL SELECT 'silver behind', late, late <= 300 FROM m UNION ALL SELECT 'commit age ' || t, a, a <= 3600 FROM c"""),
     "share_violations": (lambda s, d: _violations(s, d), f"SELECT * FROM (WITH {DAILY} SELECT 'daily' AS mart, station_id, share_empty * 3 AS share_empty, share_full * 3 AS share_full FROM daily) WHERE share_empty > 1 OR share_full > 1 UNION ALL SELECT * FROM (WITH {HOURLY} SELECT 'hourly' AS mart, station_id, share_empty * 3 AS share_empty, share_full * 3 AS share_full FROM hourly) WHERE share_empty > 1 OR share_full > 1"),
     "hour_range": (lambda s, d: _hourly(s, d).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("hour_of_day").between(0, 23)).alias("bad"), F.count_distinct("station_id", "hour_of_day").alias("keys")), f"WITH {HOURLY} SELECT count(*) AS n, count(*) FILTER (hour_of_day NOT BETWEEN 0 AND 23) AS bad, count(DISTINCT (station_id, hour_of_day)) AS keys FROM hourly"),
-    "crash_coverage": (_coverage, f"WITH {STATUS}, x AS (SELECT part, count(*) FILTER (off < 1500 AND off % 70 = 0) AS again, max(off) AS hi, max(off) FILTER (off < 1500) AS held FROM status GROUP BY 1) SELECT CAST(sum(again) AS BIGINT) AS duplicates, CAST(sum(hi - held) AS BIGINT) AS missing, sum(again) = 0 AND sum(hi - held) = 0 AS zero_loss FROM x"),
+    "crash_coverage": (_coverage, f"WITH {STATUS}, m AS (SELECT part, max(off) AS hi FROM status GROUP BY 1), x AS (SELECT part, count(*) FILTER (off * 10 <= hi * 9 AND off % 70 = 0) AS again, max(hi) AS hi, max(off) FILTER (off * 10 <= hi * 9) AS held FROM status JOIN m USING (part) GROUP BY 1) SELECT CAST(sum(again) AS BIGINT) AS duplicates, CAST(sum(hi - held) AS BIGINT) AS missing, sum(again) = 0 AND sum(hi - held) = 0 AS zero_loss FROM x"),
     "timed_median": (_median, f"WITH {STATUS} SELECT state AS query, median((processed_ts - fetched_ts) / 8) AS median_s, min((processed_ts - fetched_ts) / 8) AS least_s, max((processed_ts - fetched_ts) / 8) AS most_s, count(*) AS runs FROM status GROUP BY 1"),
     "busiest_partition": (lambda s, d: fleet.busiest_partition(src.table_files(s, d)), f"WITH {STATUS}, f AS (SELECT 'status' AS table_name, CAST(snapshot_ts // 86400 AS VARCHAR) AS p, CAST(snapshot_ts // 600 AS VARCHAR) AS file FROM status UNION SELECT 'trips', strftime(l_shipdate, '%Y-%m'), strftime(l_shipdate, '%Y-%m-%d') FROM lineitem), n AS (SELECT table_name, p, count(*) AS files FROM f GROUP BY 1, 2 HAVING count(*) > 1) SELECT table_name, files, p AS \"partition\" FROM n QUALIFY row_number() OVER (PARTITION BY table_name ORDER BY files DESC, p) = 1"),
     "open_tickets": (lambda s, d: fleet.open_tickets(src.tickets(s, d)), f"WITH {TICKETS} SELECT station_id, dock_no, count(*) AS tickets, arg_min(ticket_id, (opened_at, ticket_id)) AS oldest_ticket, min(opened_at) AS oldest, (SELECT max(opened_at) FROM tickets) - min(opened_at) AS open_s FROM tickets WHERE status = 'open' GROUP BY 1, 2"),

@@ -197,14 +197,29 @@ def change_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(s.select(F.lit("ops.public.stations").alias("topic"), key.alias("key"), value.alias("value"), F.col("n").alias("offset")))
 
 
+def evolving_messages(spark: SparkSession, sf_dir: str, parts: int = 3) -> list[DataFrame]:
+    """Change messages of the lines' topic in ``parts`` portions by lsn; from the second on the rows have a priority as well."""
+    log = changelog(spark, sf_dir).withColumn("priority", F.col("line").cast("int"))
+    old = {"order_id": "int64", "line": "int64", "quantity": "int64", "status": "string"}
+    top = log.agg(F.max("lsn").alias("top"))
+    placed = log.join(F.broadcast(top)).withColumn("part", F.least(F.lit(parts - 1), F.floor(F.col("lsn") * parts / F.col("top")).cast("int")))
+    out = []
+    for i in range(parts):
+        columns = old if i == 0 else old | {"priority": "int32"}
+        key, value = _change(columns, ["order_id", "line"], F.col("op"), F.col("lsn"), F.col("lsn"), {c: F.col(c) for c in columns})
+        out.append(placed.where(F.col("part") == i).select(F.lit("ops.public.lines").alias("topic"), key.alias("key"), value.alias("value"), "offset"))
+    return out
+
+
 def dispatch_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rebalancing jobs of January 2024, the month of the status rows: done ones closed an hour or more after they were
-    opened. Four stations are not served."""
-    j = jobs(spark, sf_dir).where(~F.col("station_id").isin("3", "7", "11", "20"))
+    """Rebalancing jobs of January 2024, the month of the status rows: those opened before its last two days are done, five to
+    twenty minutes later; later ones have their own status."""
+    j = jobs(spark, sf_dir)
     opened = F.lit(1704067200) + F.pmod(F.col("job_id") * 7919, F.lit(2678400))
+    rows = j.select("job_id", "station_id", opened.alias("opened_at"), F.when(opened < 1704067200 + 2505600, "done").otherwise(F.col("status")).alias("status"))
     done = F.col("status") == "done"
-    return j.select(
-        "job_id", "station_id", "status", opened.alias("opened_at"), F.when(done, opened + 3600 + F.pmod("job_id", F.lit(7200))).alias("closed_at"),
+    return rows.select(
+        "job_id", "station_id", "status", "opened_at", F.when(done, F.col("opened_at") + 300 + F.pmod("job_id", F.lit(900))).alias("closed_at"),
         F.when(F.col("status") != "open", F.pmod("job_id", F.lit(40))).alias("van_id"), F.when(done, F.pmod("job_id", F.lit(20))).alias("bikes_moved"),
     )
 

@@ -5,6 +5,7 @@ output has a checkpoint of its own; ``drain`` runs a query over all that is ther
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stationlake.functions.exprs import PROBLEMS, Thresholds
-from stationlake.operators.availability import SHARES, shares
+from stationlake.operators.availability import SHARES, measures, shares
 
 STATUS = "event_id long, station_id string, snapshot_ts long, state string, bikes long, docks long, capacity long"
 EVENT = "kind string, row_type string, start_ts long, end_ts long, ts long, alerted boolean"
@@ -30,18 +31,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{(base or '/tmp/checkpoints').rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def as_files(status: DataFrame, parts: int = 4, rows_per_file: int = 2_000_000) -> tuple[str, int]:
-    """status written in ``parts`` portions in order of time, each of equally many files; the folder's path, and
-    that number, which a trigger is to read."""
-    path = shared_dir(status.sparkSession)
-    edges = status.agg(F.min("snapshot_ts").alias("a"), F.max("snapshot_ts").alias("b"), F.count(F.lit(1)).alias("n")).first()
-    step = max(1, ((edges["b"] or 0) - (edges["a"] or 0)) // parts + 1)
-    files = max(1, edges["n"] // parts // rows_per_file)
-    for i in range(parts):
-        low = (edges["a"] or 0) + i * step
-        chunk = status.where((F.col("snapshot_ts") >= low) & (F.col("snapshot_ts") < low + step)).select(*(f.name for f in T._parse_datatype_string(STATUS).fields))
-        chunk.repartition(files).sortWithinPartitions("snapshot_ts", "event_id").write.mode("append").parquet(path)
-    return path, files
+def as_files(df: DataFrame, order: tuple[str, ...] = ("snapshot_ts", "event_id"), rows_per_file: int = 1_000_000, parts: int = 4) -> tuple[str, int]:
+    """df written as files in order of time, ``parts`` or more, each of about ``rows_per_file`` rows at most; the folder's path,
+    and how many a trigger is to read: one, so that what a trigger holds does not grow with the history.
+
+    One pass writes them, dealt by ranges of the first column of ``order``; a stream reads files by their age, so they get theirs by range."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    n = max(parts, -(-df.count() // rows_per_file))
+    df.repartitionByRange(n, order[0]).sortWithinPartitions(*order).write.option("maxRecordsPerFile", 0).parquet(path)
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    made = sorted((s.getPath() for s in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part-*"))), key=lambda f: f.getName())
+    first = int(time.time()) - len(made)
+    for i, file in enumerate(made):
+        fs.setTimes(file, 1000 * (first + i), -1)
+    return path, 1
 
 
 def source(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
@@ -60,10 +63,11 @@ def distinct_rows(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
 
 
 def availability(stream: DataFrame, size: str = "5 minutes") -> DataFrame:
-    """Windows that are final: the watermark has passed their end."""
-    per_state = [F.count_if(F.col("state") == s).alias(f"n_{s}") for s in SHARES]
-    counted = distinct_rows(stream).groupBy(F.window("time", size).alias("w"), "station_id").agg(F.count(F.lit(1)).alias("samples"), *per_state)
-    return counted.withColumns(shares()).select(F.unix_timestamp("w.start").alias("window_start"), "station_id", "samples", *(f"share_{s}" for s in SHARES))
+    """Windows that are final: the watermark has passed their end. The same columns as ``availability.windows`` gives in batch."""
+    w = F.window("time", size)
+    grouped = distinct_rows(stream).groupBy(w.alias("w"), "station_id").agg(*measures(), *(F.count_if(F.col("state") == s).alias(f"n_{s}") for s in SHARES)).withColumns(shares())
+    start, end = F.unix_timestamp("w.start").alias("window_start"), F.unix_timestamp("w.end").alias("window_end")
+    return grouped.select(start, end, "station_id", "samples", "min_bikes", "avg_bikes", "max_bikes", "avg_docks", "capacity", *(f"share_{s}" for s in SHARES))
 
 
 def _episode_rows(station: str, rows: pd.DataFrame, kept: tuple, after_s: int) -> tuple[list[tuple], tuple]:

@@ -37,6 +37,41 @@ def test_decode_types_tombstones_and_errors(spark):
         cdc.decode(frame(spark, message("c", 1, dock(1, "ok")), message("c", 2, dock(2, "ok"), columns=[("dock_id", "string", None)])))
 
 
+@pytest.mark.parametrize("bad", [message("d", 2), message("c", 3), message("u", 4, before=dock(1, "x")), json.dumps({"payload": {"op": "c", "after": {}, "source": {"lsn": 1}}})])
+def test_an_event_without_its_image_or_schema_is_refused(spark, bad):
+    with pytest.raises(ValueError, match="1 messages without"):
+        cdc.decode(frame(spark, message("c", 1, dock(1, "ok")), bad))
+
+
+@pytest.mark.parametrize("text", ["2024-01-15", "2024-01-15T10:00:00", "15-01-2024T10:00:00Z", "2024-01-15T10:00:00+0200", "soon-0800"])
+def test_a_time_without_a_zone_is_refused(spark, text):
+    with pytest.raises(Exception, match="not a zoned timestamp"):
+        cdc.decode(frame(spark, message("c", 1, dock(1, "ok", text)))).collect()
+
+
+def test_nine_digits_of_a_second_and_offsets(spark):
+    made = spark.createDataFrame([("2024-01-15T10:00:00.123456789Z",), ("2024-01-15T10:00:00.5-08:00",), ("2024-01-15T10:00Z",)], "t string")
+    got = [str(r[0]) for r in made.select(cdc.zoned(made.t)).collect()]
+    assert got == ["2024-01-15 10:00:00.123456", "2024-01-15 18:00:00.500000", "2024-01-15 10:00:00"]
+
+
+def test_types_are_kept_between_batches(spark, tmp_path):
+    """A column that arrives in a later batch is null before; one that changes its type there is refused, and nothing is written."""
+    lake = Lake(spark, str(tmp_path / "lake"))
+    send = lambda *values: cdc.apply_all(lake, spark.createDataFrame([("o.p.docks", key("dock_id", dock_id=1), v, i) for i, v in enumerate(values)], "topic string, key string, value string, offset long"))
+    wide = [*COLUMNS, ("priority", "int32", None)]
+    send(message("c", 1, dock(1, "ok")))
+    send(message("c", 2, dock(2, "ok", priority=7), columns=wide))
+    assert {r.dock_id: r.priority for r in lake.rows("docks").collect()} == {1: None, 2: 7}
+    with pytest.raises(TypeError, match="priority"):
+        send(message("u", 3, dock(1, "gone", priority="high"), columns=[*COLUMNS, ("priority", "string", None)]))
+    with pytest.raises(TypeError, match="made"):
+        send(message("u", 3, dock(1, "gone"), columns=[*COLUMNS[:3], ("made", "int64", None)]))
+    assert rows(lake.rows("docks")) == [(1, "ok"), (2, "ok")]
+    send(message("u", 4, dock(1, "back")))
+    assert rows(lake.rows("docks")) == [(1, "back"), (2, "ok")]
+
+
 def test_apply_evolves_and_replays(spark, tmp_path):
     lake = Lake(spark, str(tmp_path))
     first = frame(spark, message("c", 1, dock(1, "ok")), message("c", 2, dock(2, "ok")), message("u", 3, dock(1, "out")))
