@@ -110,11 +110,11 @@ def verdict(problems: DataFrame, tests: DataFrame, expectations: DataFrame, run:
     return listed.join(F.broadcast(tally)).withColumn("passed", F.col("n_problems") == 0)
 
 
-def lake_check(bronze: DataFrame, silver: DataFrame, commits: DataFrame, now: int, partitions: int = 6, behind_s: int = 300, most_age_s: int = 3600) -> DataFrame:
+def lake_check(bronze: DataFrame, silver: DataFrame, commits: DataFrame, now: int, tables: tuple[str, ...] = ("bronze", "silver"), partitions: int = 6, behind_s: int = 300, most_age_s: int = 3600) -> DataFrame:
     """(check, found, passed): repeats in silver, repeated and missing offsets and partitions in bronze, silver's
-    distance from bronze, and the age of each table's newest commit (table_name, committed_at, operation) that is
-    no mere rewriting of files."""
-    one = lambda d, name, found, good: d.select(F.lit(name).alias("check"), found.cast("long").alias("found"), good.alias("passed"))
+    distance from bronze, and the age of the newest commit (table_name, committed_at, operation), that is no mere rewriting of
+    files, of each of ``tables``. What can't be told, of an empty table or one without a commit, has not passed."""
+    one = lambda d, name, found, good: d.select(F.lit(name).alias("check"), found.cast("long").alias("found"), F.coalesce(good, F.lit(False)).alias("passed"))
     keys = silver.groupBy("station_id", "snapshot_ts").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("v"))
     by = bronze.groupBy("partition").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("offset").alias("d"), (F.max("offset") - F.min("offset") + 1).alias("span"))
     offsets = by.agg(F.sum(F.col("n") - F.col("d")).alias("repeated"), F.sum(F.col("span") - F.col("d")).alias("missing"), F.count_if(F.col("partition").between(0, partitions - 1)).alias("seen"), F.count(F.lit(1)).alias("all"))
@@ -122,9 +122,10 @@ def lake_check(bronze: DataFrame, silver: DataFrame, commits: DataFrame, now: in
     out = one(keys, "silver repeats", F.col("v"), F.col("v") == 0)
     out = out.unionByName(one(offsets, "offsets repeated", F.col("repeated"), F.col("repeated") == 0)).unionByName(one(offsets, "offsets missing", F.col("missing"), F.col("missing") == 0))
     out = out.unionByName(one(offsets, "partitions", F.col("seen"), (F.col("seen") == partitions) & (F.col("all") == partitions)))
-    out = out.unionByName(one(ends, "silver behind", F.col("b") - F.col("s"), F.coalesce(F.col("b") - F.col("s") <= behind_s, F.lit(False))))
+    out = out.unionByName(one(ends, "silver behind", F.col("b") - F.col("s"), F.col("b") - F.col("s") <= behind_s))
     real = commits.where(F.col("operation") != "replace").groupBy("table_name").agg((F.lit(now) - F.max("committed_at")).alias("age"))
-    aged = real.select(F.concat(F.lit("commit age "), "table_name").alias("check"), F.col("age").cast("long").alias("found"), (F.col("age") <= most_age_s).alias("passed"))
+    expected = commits.sparkSession.createDataFrame([(t,) for t in tables], "table_name string")
+    aged = expected.join(real, "table_name", "left").select(F.concat(F.lit("commit age "), "table_name").alias("check"), F.col("age").cast("long").alias("found"), F.coalesce(F.col("age") <= most_age_s, F.lit(False)).alias("passed"))
     return out.unionByName(aged)
 
 

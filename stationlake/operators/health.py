@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationlake.functions.exprs import age_text, freshness
+from stationlake.operators.tables import Lake
 
 
 def minute(c: str):
@@ -40,6 +41,22 @@ def series(status: DataFrame, minutes: int = 1440) -> DataFrame:
     return out.join(first).where(F.col("minute") >= F.col("m0")).drop("m0")
 
 
+def write_minutes(lake: Lake, status: DataFrame, minutes: int = 1440, table: str = "pipeline_minutely") -> None:
+    """The newest minutes of the series take the place of what the table has from the first of them on: rows that came late change older
+    minutes, and a run that is repeated changes nothing. Days before are not touched. Refused if the window has not all its minutes."""
+    window = series(status, minutes).withColumn("day", F.floor(F.col("minute") / 86400).cast("int"))
+    kept = window.persist()
+    try:
+        n, first = kept.agg(F.count(F.lit(1)), F.min("minute")).first()
+        if n == 0:
+            return
+        if n != minutes:
+            raise ValueError(f"{n} minutes in a window of {minutes}")
+        lake.replace_where(table, kept, F.col("minute") >= first, ("day",))
+    finally:
+        kept.unpersist()
+
+
 def tiles(lines: DataFrame) -> DataFrame:
     """The last active hour: up to the newest minute with processed rows."""
     last = lines.agg(F.max(F.when(F.col("processed") > 0, F.col("minute"))).alias("top"), F.max_by("lag_records", "minute").alias("lag_records"))

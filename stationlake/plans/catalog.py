@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stationlake.operators import availability as av
 from stationlake.operators import cdc, digests, documents, episodes, feed, fleet, health, marts, quality
 from stationlake.operators.tables import Lake
-from stationlake.plans import feeds, replica, reports
+from stationlake.plans import feeds, lakes, replica, reports
 from stationlake.plans.fragments import ALERTS, APPLIED, CHANGES, DAILY, EPISODES, FRAMES, HOURLY, JOBS, LIVE, MEANS, REBALANCING, SERIES, STATIONS, STATUS, TRIPS, WINDOWS, local
 from stationlake.sources import adapters as src
 from stationlake.streaming import jobs
@@ -220,7 +220,7 @@ ENTRIES: dict[str, tuple[Query, str]] = {
     "unfinished_jobs": (lambda s, d: fleet.unfinished(src.jobs(s, d)), f"WITH {JOBS} SELECT station_id, count(*) AS jobs, min(opened_at) AS oldest FROM jobs WHERE status IN ('open', 'assigned') GROUP BY 1"),
 }
 
-ENTRIES |= feeds.ENTRIES | replica.ENTRIES | reports.ENTRIES
+ENTRIES |= feeds.ENTRIES | lakes.ENTRIES | replica.ENTRIES | reports.ENTRIES
 QUERIES: dict[str, Query] = {name: query for name, (query, _) in ENTRIES.items()}
 #: Without SQL: sizes of files.
 ORACLES: dict[str, str] = {name: sql for name, (_, sql) in ENTRIES.items() if sql}

@@ -66,7 +66,7 @@ def _lake(s: SparkSession, d: str) -> DataFrame:
     silver = bronze.join(F.broadcast(last), F.col("snapshot_ts") <= F.col("top") - 600)
     times = bronze.groupBy(F.when(F.col("partition") < 3, "bronze").otherwise("silver").alias("table_name")).agg(F.max("processed_ts").alias("t"))
     commits = times.select("table_name", F.explode(F.array(F.struct(F.col("t").alias("committed_at"), F.lit("append").alias("operation")), F.struct((F.col("t") + 9000).alias("committed_at"), F.lit("replace").alias("operation")))).alias("c")).select("table_name", "c.*")
-    return gate.lake_check(bronze, silver, commits, NOW)
+    return gate.lake_check(bronze, silver, commits, NOW, ("bronze", "silver", "availability"))
 
 
 def _components(s: SparkSession, d: str) -> DataFrame:
@@ -149,7 +149,7 @@ ENTRIES: dict[str, tuple[Query, str]] = {
     "lake_check": (_lake, f"""WITH {STATUS}, top AS (SELECT max(snapshot_ts) AS t FROM status), silver AS (SELECT * FROM status WHERE snapshot_ts <= (SELECT t - 600 FROM top)), bp AS (SELECT part, count(*) AS n, count(DISTINCT off) AS d, max(off) - min(off) + 1 AS span FROM status GROUP BY 1),
       m AS (SELECT (SELECT t FROM top) - max(snapshot_ts) AS late, count(*) - count(DISTINCT (station_id, snapshot_ts)) AS twice FROM silver), c AS (SELECT CASE WHEN part < 3 THEN 'bronze' ELSE 'silver' END AS t, {NOW} - max(processed_ts) AS a FROM status GROUP BY 1)
       SELECT 'silver repeats' AS "check", twice AS found, twice = 0 AS passed FROM m UNION ALL SELECT 'offsets repeated', CAST(sum(n - d) AS BIGINT), sum(n - d) = 0 FROM bp UNION ALL SELECT 'offsets missing', CAST(sum(span - d) AS BIGINT), sum(span - d) = 0 FROM bp
-      UNION ALL SELECT 'partitions', count(*), count(*) = 6 FROM bp UNION ALL SELECT 'silver behind', late, late <= 300 FROM m UNION ALL SELECT 'commit age ' || t, a, a <= 3600 FROM c"""),
+      UNION ALL SELECT 'partitions', count(*), count(*) = 6 FROM bp UNION ALL SELECT 'silver behind', late, late <= 300 FROM m UNION ALL SELECT 'commit age ' || t, a, a <= 3600 FROM c UNION ALL SELECT 'commit age availability', NULL, false"""),
     "share_violations": (lambda s, d: _violations(s, d), f"SELECT * FROM (WITH {DAILY} SELECT 'daily' AS mart, station_id, share_empty * 3 AS share_empty, share_full * 3 AS share_full FROM daily) WHERE share_empty > 1 OR share_full > 1 UNION ALL SELECT * FROM (WITH {HOURLY} SELECT 'hourly' AS mart, station_id, share_empty * 3 AS share_empty, share_full * 3 AS share_full FROM hourly) WHERE share_empty > 1 OR share_full > 1"),
     "hour_range": (lambda s, d: _hourly(s, d).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("hour_of_day").between(0, 23)).alias("bad"), F.count_distinct("station_id", "hour_of_day").alias("keys")), f"WITH {HOURLY} SELECT count(*) AS n, count(*) FILTER (hour_of_day NOT BETWEEN 0 AND 23) AS bad, count(DISTINCT (station_id, hour_of_day)) AS keys FROM hourly"),
     "crash_coverage": (_coverage, f"WITH {STATUS}, m AS (SELECT part, max(off) AS hi FROM status GROUP BY 1), x AS (SELECT part, count(*) FILTER (off * 10 <= hi * 9 AND off % 70 = 0) AS again, max(hi) AS hi, max(off) FILTER (off * 10 <= hi * 9) AS held FROM status JOIN m USING (part) GROUP BY 1) SELECT CAST(sum(again) AS BIGINT) AS duplicates, CAST(sum(hi - held) AS BIGINT) AS missing, sum(again) = 0 AND sum(hi - held) = 0 AS zero_loss FROM x"),
