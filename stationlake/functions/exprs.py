@@ -91,14 +91,40 @@ def age_text(s: Column) -> Column:
     return F.when(s < 120, unit(1, "s")).when(s < 7200, unit(60, "min")).when(s < 172800, unit(3600, "h")).otherwise(unit(86400, "days"))
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once, however often ``then`` names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def double_text(x: Column) -> Column:
+    """The shortest text that reads as the same double: 0.1, 1e-05, 1e+16, 1234567890123456.0, -0.0, nan, inf. The exponent's form begins below
+    1e-4 and at 1e16. Digits are the JVM's: before Java 19 a few in ten thousand doubles above 1e17 end in another last digit."""
+    e15, e16, e17 = (F.format_string(f"%.{n}e", x) for n in (14, 15, 16))
+
+    def spelt(p: Column) -> Column:
+        digits, e = p["digits"], p["e"]
+        rest = lambda n: F.substring(digits, n, F.lit(20))
+        whole = F.concat(F.rpad(F.substring(digits, F.lit(1), e + 1), e + 1, F.lit("0")), F.lit("."), F.coalesce(F.nullif(rest(e + 2), F.lit("")), F.lit("0")))
+        power = F.concat(F.when(e < 0, "e-").otherwise("e+"), F.when(F.abs(e) < 10, "0").otherwise(""), F.abs(e).cast("string"))
+        many = F.concat(F.substring(digits, 1, 1), F.when(F.length(digits) > 1, F.concat(F.lit("."), rest(F.lit(2)))).otherwise(""), power)
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
+        return F.when(e.between(0, 15), whole).when(e.between(-4, -1), small).otherwise(many)
+
+    parts = lambda t: F.struct(F.rtrim(F.regexp_replace(F.substring_index(t, "e", 1), "[-.]", ""), F.lit("0")).alias("digits"), F.substring_index(t, "e", -1).cast("int").alias("e"))
+    text = F.when(e15.cast("double") == x, e15).when(e16.cast("double") == x, e16).otherwise(e17)
+    sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
+    known = F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.concat(sign, F.lit("inf"))).when(x == 0, F.concat(sign, F.lit("0.0")))
+    return known.otherwise(F.concat(sign, _let(text, lambda t: _let(parts(t), spelt))))
+
+
 def canonical(x: Column) -> Column:
     """A value's text in checksums, the same whatever engine holds it: booleans as t and f, instants in ISO form with
-    microseconds and zone, decimals without trailing zeros, NULL as a text of its own; all else as Spark writes it."""
+    microseconds and zone, decimals without trailing zeros, doubles by ``double_text``, NULL as a text of its own; all else as Spark writes it."""
     text = x.cast("string")
     instant = F.concat(F.date_format(F.try_to_timestamp(text), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
     plain = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    kind = F.typeof(x)
-    by_kind = F.when(kind == "boolean", F.when(text == "true", "t").otherwise("f")).when(kind == "timestamp", instant).when(kind.startswith("decimal"), plain).otherwise(text)
+    of = F.typeof(x)
+    by_kind = F.when(of == "boolean", F.when(text == "true", "t").otherwise("f")).when(of == "timestamp", instant).when(of.startswith("decimal"), plain).when(of.isin("double", "float"), double_text(text.try_cast("double"))).otherwise(text)
     return F.coalesce(by_kind, F.lit("\\N"))
 
 

@@ -59,9 +59,19 @@ def alerts(status: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     return each.select(F.concat_ws(":", "episode_id", "w.action").alias("alert_id"), "episode_id", "station_id", "kind", "w.action", "start_ts", (F.col("w.ts") - F.col("start_ts")).alias("duration_s"), "w.ts")
 
 
+#: What an alert of a kind is about.
+SAID = {"empty": "no bikes", "full": "no free docks"}
+
+
 def alert_texts(alerts: DataFrame, stations: DataFrame) -> DataFrame:
-    """Subject (100 characters at most) and body of each raised alert, with Pacific clock time."""
-    named = alerts.where("action = 'raised'").join(stations.select("station_id", "station_name"), "station_id", "left")
-    name = F.coalesce("station_name", F.concat(F.lit("Station "), "station_id"))
-    subject = F.concat(name, F.lit(" is "), "kind", F.lit(" for "), F.round(F.col("duration_s") / 60).cast("long").cast("string"), F.lit(" min"))
-    return named.select("alert_id", F.substring(subject, 1, 100).alias("subject"), F.concat(F.lit("since "), F.date_format(wall(F.col("start_ts"), PACIFIC), "HH:mm")).alias("body"))
+    """Subject (100 characters at most) and body of each alert, raised or resolved; minutes are rounded half to even, clocks are Pacific."""
+    named = alerts.join(stations.select("station_id", "station_name"), "station_id", "left")
+    name = F.coalesce("station_name", "station_id")
+    what = F.element_at(F.create_map(*(F.lit(x) for pair in SAID.items() for x in pair)), F.col("kind"))
+    minutes = F.concat(F.bround(F.col("duration_s") / 60).cast("long").cast("string"), F.lit(" min"))
+    clock = F.concat(F.date_format(wall(F.col("start_ts"), PACIFIC), "h:mm a"), F.lit(" Pacific"))
+    raised = F.col("action") == "raised"
+    subject = F.when(raised, F.concat(name, F.lit(": "), what, F.lit(" for "), minutes)).otherwise(F.concat(name, F.lit(": back in order")))
+    body = F.when(raised, F.concat(F.lit("Since "), clock, F.lit(" there are "), what, F.lit(" at "), name, F.lit(": "), minutes, F.lit(" up to now.")))
+    body = body.otherwise(F.concat(F.lit("What began at "), clock, F.lit(" at "), name, F.lit(" is over after "), minutes, F.lit(".")))
+    return named.select("alert_id", F.substring(subject, 1, 100).alias("subject"), body.alias("body"))

@@ -15,7 +15,7 @@ STATION = (
     " is_installed int, is_renting int, is_returning int, last_reported bigint"
 )
 ENVELOPE = f"last_updated bigint, ttl int, version string, data struct<stations: array<struct<{', '.join(x.strip().replace(' ', ': ', 1) for x in STATION.split(','))}>>>"
-REQUIRED = ("station_id", "num_bikes_available", "num_docks_available", "last_reported")
+REQUIRED = ("station_id", "num_bikes_available", "num_docks_available", "is_installed", "is_renting", "is_returning", "last_reported")
 
 
 def read_archive(spark: SparkSession, root: str, feed: str, days: list[str] | None = None) -> DataFrame:
@@ -85,11 +85,19 @@ def published(envelopes: DataFrame) -> DataFrame:
     return marked.select("feed", "last_updated", "fetched_at", repeated.alias("repeated"), (~repeated & F.coalesce(F.col("content") == last("content"), F.lit(False))).alias("unchanged"))
 
 
-def replayed(messages: DataFrame, skip: int, limit: int) -> DataFrame:
-    """Messages of the snapshots number skip + 1 to skip + limit, in order of time, as a replay sends them again:
-    key, place of the snapshot, and a JSON value that says so."""
-    times = messages.select("feed_last_updated").distinct().orderBy("feed_last_updated").limit(skip + limit)
-    # no more snapshots than the slice asks for
+def replayed(messages: DataFrame, day: int, skip: int = 0, limit: int | None = None) -> DataFrame:
+    """Messages of one UTC day's snapshots (day: days since 1970), of those number skip + 1 to skip + limit in order of time, as a
+    replay sends them again: key, place of the snapshot, and a JSON value that says so. Refused if that leaves none."""
+    if skip < 0 or (limit is not None and limit < 1):
+        raise ValueError("skip must be 0 or more, and limit 1 or more")
+    of_day = F.col("feed_last_updated").between(day * 86400, day * 86400 + 86399)
+    messages = messages.where(of_day)
+    times = messages.select("feed_last_updated").distinct()  # a day's snapshots, so not many
+    n = times.count()
+    if n <= skip:
+        raise ValueError(f"{n} snapshots on day {day}, {skip} of them to be left out")
+    if limit is not None:
+        times = times.orderBy("feed_last_updated").limit(skip + limit)
     placed = times.withColumn("place", F.row_number().over(Window.partitionBy().orderBy("feed_last_updated")).cast("long")).where(F.col("place") > skip)
     value = F.to_json(F.struct(*(c for c in messages.columns if c != "key"), F.lit(True).alias("replay")))
     return messages.join(F.broadcast(placed), "feed_last_updated").select("key", "place", value.alias("value"))

@@ -182,7 +182,10 @@ ENTRIES: dict[str, tuple[Query, str]] = {
       SELECT 'status' AS table_name, (SELECT count(*) FROM pairs) AS batches, (SELECT count(*) FROM pairs WHERE commit_ts IS NULL) AS unpaired, CAST(quantile_disc(s, 0.5) AS BIGINT) AS batch_p50_s, CAST(quantile_disc(s, 0.95) AS BIGINT) AS batch_p95_s, max(s) AS batch_max_s,
         (SELECT CAST(quantile_disc(s, 0.5) AS BIGINT) FROM l) AS commit_p50_s, (SELECT CAST(quantile_disc(s, 0.95) AS BIGINT) FROM l) AS commit_p95_s, (SELECT count(*) FROM pairs WHERE commit_ts IS NULL) = 0 AND max(s) < 60 AS sustained FROM d"""),
     "live_document": (lambda s, d: documents.document(documents.live(src.status(s, d), src.stations(s, d)), ["station_id", "name", "view", "state", "bikes", "docks"], ["place", "name", "station_id"], {"format": "1"}), f"""WITH {STATUS}, {STATIONS}, {LIVE}, t AS (SELECT '{{"format":"1","columns":["station_id","name","view","state","bikes","docks"],"rows":[' || string_agg('["' || concat_ws('","', station_id, name, view, state, bikes, docks) || '"]', ',' ORDER BY place, name, station_id) || ']}}' AS document FROM live) SELECT document, CAST(strlen(document) AS INTEGER) AS bytes FROM t"""),
-    "alert_texts": (lambda s, d: episodes.alert_texts(episodes.alerts(src.status(s, d)), src.stations(s, d)), f"WITH {STATUS}, {STATIONS}, {EPISODES}, {ALERTS} SELECT alert_id, left(coalesce(station_name, 'Station ' || station_id) || ' is ' || kind || ' for ' || CAST(round(duration_s / 60.0) AS BIGINT) || ' min', 100) AS subject, 'since ' || strftime({local('start_ts')}, '%H:%M') AS body FROM alerts LEFT JOIN stations USING (station_id) WHERE action = 'raised'"),
+    "alert_texts": (lambda s, d: episodes.alert_texts(episodes.alerts(src.status(s, d)), src.stations(s, d)), f"""WITH {STATUS}, {STATIONS}, {EPISODES}, {ALERTS},
+      t AS (SELECT alert_id, action, coalesce(station_name, station_id) AS name, CASE kind WHEN 'empty' THEN 'no bikes' ELSE 'no free docks' END AS what, CAST(round_even(duration_s / 60.0, 0) AS BIGINT) || ' min' AS m, strftime({local('start_ts')}, '%-I:%M %p') || ' Pacific' AS clock FROM alerts LEFT JOIN stations USING (station_id))
+      SELECT alert_id, left(CASE action WHEN 'raised' THEN name || ': ' || what || ' for ' || m ELSE name || ': back in order' END, 100) AS subject,
+        CASE action WHEN 'raised' THEN 'Since ' || clock || ' there are ' || what || ' at ' || name || ': ' || m || ' up to now.' ELSE 'What began at ' || clock || ' at ' || name || ' is over after ' || m || '.' END AS body FROM t"""),
     "cdc_op_counts": (lambda s, d: cdc.op_counts(src.changelog(s, d)), f"WITH {CHANGES} SELECT status, count(*) FILTER (op = 'c') AS c, count(*) FILTER (op = 'u') AS u, count(*) FILTER (op = 'd') AS d, count(*) FILTER (op = 'r') AS r FROM log GROUP BY 1"),
     "table_checksum": (lambda s, d: cdc.checksum(src.changelog(s, d), ["order_id", "line", "lsn", "op", "quantity"]), f"WITH {CHANGES} SELECT count(*) AS n, CAST(sum(CAST(('0x' || substr(sha256(concat_ws(chr(31), order_id, line, lsn, op, quantity)), 1, 15)) AS BIGINT)) % 1152921504606846976 AS BIGINT) AS digest FROM log"),
     "replica_diff": (lambda s, d: _differences(s, d), f"WITH {CHANGES}, l AS (SELECT * FROM log WHERE op <> 'd' QUALIFY row_number() OVER (PARTITION BY order_id, line ORDER BY lsn DESC, off DESC) = 1) SELECT coalesce(l.order_id, r.order_id) AS order_id, coalesce(l.line, r.line) AS line, CASE WHEN l.lsn IS NULL THEN 'only right' WHEN r.lsn IS NULL THEN 'only left' ELSE 'differs' END AS problem FROM l FULL OUTER JOIN newest r ON l.order_id = r.order_id AND l.line = r.line WHERE l.lsn IS DISTINCT FROM r.lsn OR l.op IS DISTINCT FROM r.op OR l.quantity IS DISTINCT FROM r.quantity"),

@@ -19,7 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 MESSAGES = f"""{STATUS}, msg AS (SELECT *, event_id % 2 AS docks_out, bikes // 2 AS ebikes, event_id % 89 <> 0 AS is_installed, event_id % 83 <> 0 AS is_returning, 'station_status:' || snapshot_ts AS snapshot_id FROM status WHERE event_id % 301 <> 0)"""
 #: Rows of an envelope, with what is broken in them.
 ROWS = f"""{STATUS}, env AS (SELECT *, CASE WHEN event_id % 211 <> 0 THEN station_id END AS sid, CASE WHEN event_id % 197 = 0 THEN -1 - bikes ELSE bikes END AS n_bikes, max(fetched_ts) OVER (PARTITION BY snapshot_ts) + 0.123 AS fetched_at FROM status),
-listed AS (SELECT *, concat_ws('; ', CASE WHEN sid IS NULL THEN 'station_id missing' END, CASE WHEN n_bikes < 0 THEN 'num_bikes_available negative' END) AS errors FROM env WHERE snapshot_ts % 86400 <> 0)"""
+listed AS (SELECT *, concat_ws('; ', CASE WHEN sid IS NULL THEN 'station_id missing' END, CASE WHEN event_id % 223 = 0 THEN 'is_installed missing' END, CASE WHEN n_bikes < 0 THEN 'num_bikes_available negative' END) AS errors FROM env WHERE snapshot_ts % 86400 <> 0)"""
 PATHS = f"""{STATUS}, t AS (SELECT DISTINCT snapshot_ts AS t FROM status), p AS (SELECT 'station_status' AS feed, t FROM t UNION ALL SELECT 'station_information', t FROM t WHERE t % 3600 = 0),
 listing AS (SELECT feed, t AS epoch, CAST(make_timestamp(t * 1000000) AS DATE) AS dt, 'raw/gbfs/' || feed || '/dt=' || strftime(make_timestamp(t * 1000000), '%Y-%m-%d') || '/' || strftime(make_timestamp(t * 1000000), '%H') || '/' || t || '.json.gz' AS path FROM p),
 days AS (SELECT CAST({local("epoch")} AS DATE) AS day, count(*) AS files, min(epoch) AS first, max(epoch) AS last FROM listing WHERE feed = 'station_status' GROUP BY 1),
@@ -95,7 +95,7 @@ def _day(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _replay(spark: SparkSession, d: str) -> DataFrame:
-    sent = snapshots.replayed(snapshots.messages(src.envelopes(spark, d)), 100, 50)
+    sent = snapshots.replayed(snapshots.messages(src.envelopes(spark, d)), 19732, 20, 50)
     at = lambda p, t: F.get_json_object("value", p).cast(t)
     return sent.select("key", "place", at("$.feed_last_updated", "long").alias("snapshot_ts"), at("$.num_bikes_available", "int").alias("bikes"), at("$.replay", "boolean").alias("replay"))
 
@@ -144,11 +144,11 @@ ENTRIES: dict[str, tuple[Query, str]] = {
       w AS (SELECT DISTINCT station_id, snapshot_ts - snapshot_ts % 300 AS window_start FROM silver WHERE snapshot_ts - snapshot_ts % 300 + 300 <= (SELECT max(snapshot_ts) - 600 FROM silver))
       {TOTALS.format('bronze_status', 'kafka_ts', 'bronze')} UNION ALL {TOTALS.format('silver_status', 'snapshot_ts', 'silver')} UNION ALL {TOTALS.format('availability_5m', 'window_start', 'w')}
       UNION ALL {TOTALS.format('station_episodes', 'start_ts', 'episodes')} UNION ALL {TOTALS.format('alerts', 'ts', 'alerts')}"""),
-    "snapshot_messages": (lambda s, d: snapshots.messages(src.envelopes(s, d)), f"""WITH {ROWS} SELECT sid AS "key", event_id, n_bikes AS num_bikes_available, docks AS num_docks_available, true AS is_installed, is_renting, last_reported_ts AS last_reported, snapshot_ts AS feed_last_updated, '2.3' AS feed_version, round(fetched_at, 3) AS fetched_at, 'station_status:' || snapshot_ts AS snapshot_id FROM listed WHERE errors = ''"""),
+    "snapshot_messages": (lambda s, d: snapshots.messages(src.envelopes(s, d)), f"""WITH {ROWS} SELECT sid AS "key", event_id, n_bikes AS num_bikes_available, docks AS num_docks_available, true AS is_installed, is_renting, event_id % 83 <> 0 AS is_returning, last_reported_ts AS last_reported, snapshot_ts AS feed_last_updated, '2.3' AS feed_version, round(fetched_at, 3) AS fetched_at, 'station_status:' || snapshot_ts AS snapshot_id FROM listed WHERE errors = ''"""),
     "snapshot_rejects": (lambda s, d: snapshots.rejects(src.envelopes(s, d)).select("key", "snapshot_id", "errors", F.get_json_object("payload", "$.num_bikes_available").cast("long").alias("bikes")), f"""WITH {ROWS} SELECT coalesce(sid, 'station_status:' || snapshot_ts) AS "key", 'station_status:' || snapshot_ts AS snapshot_id, errors, n_bikes AS bikes FROM listed WHERE errors <> '' UNION ALL SELECT DISTINCT 'station_status:' || snapshot_ts, 'station_status:' || snapshot_ts, 'stations missing', CAST(NULL AS BIGINT) FROM env WHERE snapshot_ts % 86400 = 0"""),
     "snapshot_counts": (lambda s, d: snapshots.counts(src.envelopes(s, d)), f"""WITH {ROWS} SELECT 'station_status:' || snapshot_ts AS snapshot_id, count(*) FILTER (errors = '') AS messages, count(*) FILTER (errors <> '') AS rejects FROM listed GROUP BY 1 UNION ALL SELECT DISTINCT 'station_status:' || snapshot_ts, 0, 1 FROM env WHERE snapshot_ts % 86400 = 0"""),
     "snapshots_published": (_published, f"""WITH {STATUS}, t AS (SELECT DISTINCT snapshot_ts AS t FROM status) SELECT 'station_status' AS feed, t AS last_updated, false AS repeated, false AS unchanged FROM t UNION ALL SELECT 'station_status', t, true, false FROM t WHERE t % 3600 = 0 UNION ALL SELECT 'station_status', t + 1, false, t % 86400 <> 0 FROM t WHERE t % 600 = 0"""),
-    "replay_messages": (_replay, f"""WITH {ROWS}, r AS (SELECT *, dense_rank() OVER (ORDER BY snapshot_ts) AS place FROM listed WHERE errors = '') SELECT sid AS "key", place, snapshot_ts, n_bikes AS bikes, true AS replay FROM r WHERE place BETWEEN 101 AND 150"""),
+    "replay_messages": (_replay, f"""WITH {ROWS}, r AS (SELECT *, dense_rank() OVER (ORDER BY snapshot_ts) AS place FROM listed WHERE errors = '' AND snapshot_ts // 86400 = 19732) SELECT sid AS "key", place, snapshot_ts, n_bikes AS bikes, true AS replay FROM r WHERE place BETWEEN 21 AND 70"""),
     "archive_read": (_archived, f"""WITH {ROWS}, two AS (SELECT DISTINCT snapshot_ts // 86400 AS day FROM listed ORDER BY 1 LIMIT 2) SELECT 'station_status:' || snapshot_ts AS snapshot_id, count(*) FILTER (errors = '') AS messages, count(*) FILTER (errors <> '') AS rejects FROM listed WHERE snapshot_ts // 86400 IN (SELECT day FROM two) GROUP BY 1"""),
     "archive_listing": (lambda s, d: snapshots.listed(src.archive(s, d)), f"WITH {PATHS} SELECT path, feed, dt, epoch FROM listing"),
     "archive_days": (lambda s, d: snapshots.local_days(snapshots.listed(src.archive(s, d)), "station_status"), f"WITH {PATHS} SELECT day, files, first, last, (b - a) // 3600 AS day_hours FROM bounds"),

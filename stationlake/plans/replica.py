@@ -88,6 +88,15 @@ def _episodes(s: SparkSession, d: str) -> DataFrame:
     return _tables(s, d).rows("station_episodes").select("episode_id", "station_id", "kind", "start_ts", "end_ts", "duration_s", "status", "alerted")
 
 
+def _odd_double():
+    """Doubles whose text is no plain decimal everywhere, and quotients."""
+    odd = {0: "NaN", 1: "-0.0", 2: "1e-5", 3: "1e16", 4: "-Infinity", 5: "0.0001", 6: "1234567890123456"}
+    out = F.col("job_id") / 7.0
+    for k, text in odd.items():
+        out = F.when(F.col("job_id") % 8 == k, F.lit(text).cast("double")).otherwise(out)
+    return out
+
+
 DIGEST = "CAST(sum(CAST(('0x' || substr(sha256(concat_ws(chr(31), {0})), 1, 15)) AS BIGINT)) % 1152921504606846976 AS BIGINT)"
 HASH = "sha256(concat_ws(chr(31), order_id, line, lsn, op, quantity))"
 
@@ -102,7 +111,9 @@ ENTRIES: dict[str, tuple[Query, str]] = {
     "cdc_evolving": (_evolving, f"WITH {CHANGES}, t AS (SELECT max(lsn) AS top FROM log) SELECT order_id, line, quantity, status, CASE WHEN lsn * 3 // top >= 1 THEN line END AS priority, lsn FROM newest, t WHERE op <> 'd'"),
     "replica_report": (_report, f"""WITH {JOBS}, {STATIONS}, m AS (SELECT * FROM jobs WHERE status <> 'assigned') SELECT 'jobs' AS table_name, (SELECT count(*) FROM jobs) AS source_rows, (SELECT count(*) FROM m) AS replica_rows, '' AS missing_columns, (SELECT count(*) FROM m WHERE status = 'open') AS evolved_rows, false AS equal UNION ALL SELECT 'stations', count(*), count(*), '', CAST(NULL AS BIGINT), true FROM stations"""),
     "cdc_expected": (_expected, f"WITH {CHANGES}, {JOBS}, e AS (SELECT 'lines' AS table_name, op, count(*) AS found FROM log GROUP BY 2 UNION ALL SELECT 'jobs', 'c', count(*) FROM jobs) SELECT table_name, op, found, CASE WHEN op <> 'd' THEN found ELSE 0 END AS expected, op <> 'd' AS ok FROM e"),
-    "canonical_hashes": (lambda s, d: src.jobs(s, d).select("job_id", row_hash(F.col("job_id"), F.col("status"), F.when(F.col("status") == "done", F.col("opened_at")), F.col("status") == "open", F.timestamp_seconds("opened_at"), (F.col("opened_at") % 7 / 4).cast("double"), (F.col("opened_at") % 100).cast("decimal(10,2)")).alias("h")), f"WITH {JOBS} SELECT job_id, sha256(concat_ws(chr(31), job_id, status, CASE WHEN status = 'done' THEN CAST(opened_at AS VARCHAR) ELSE '\\N' END, CASE WHEN status = 'open' THEN 't' ELSE 'f' END, strftime(make_timestamp(opened_at * 1000000), '%Y-%m-%dT%H:%M:%S.%f+00:00'), CAST(opened_at % 7 / 4 AS VARCHAR), opened_at % 100)) AS h FROM jobs"),
+    "canonical_hashes": (lambda s, d: src.jobs(s, d).select("job_id", row_hash(F.col("job_id"), F.col("status"), F.when(F.col("status") == "done", F.col("opened_at")), F.col("status") == "open", F.timestamp_seconds("opened_at"), (F.col("opened_at") % 7 / 4).cast("double"), (F.col("opened_at") % 100).cast("decimal(10,2)"), _odd_double()).alias("h")),
+      f"""WITH {JOBS} SELECT job_id, sha256(concat_ws(chr(31), job_id, status, CASE WHEN status = 'done' THEN CAST(opened_at AS VARCHAR) ELSE '\\N' END, CASE WHEN status = 'open' THEN 't' ELSE 'f' END, strftime(make_timestamp(opened_at * 1000000), '%Y-%m-%dT%H:%M:%S.%f+00:00'), CAST(opened_at % 7 / 4 AS VARCHAR), opened_at % 100,
+        CASE job_id % 8 WHEN 0 THEN 'nan' WHEN 1 THEN '-0.0' WHEN 2 THEN '1e-05' WHEN 3 THEN '1e+16' WHEN 4 THEN '-inf' WHEN 5 THEN '0.0001' WHEN 6 THEN '1234567890123456.0' ELSE CAST(job_id / 7.0 AS VARCHAR) END)) AS h FROM jobs"""),
     "stream_latest_state": (_state, f"""WITH {STATUS}, {EPISODES}, l AS (SELECT station_id, max(snapshot_ts) AS snapshot_ts FROM status GROUP BY 1), r AS (SELECT station_id, snapshot_ts, arg_min(state, event_id) AS state, arg_min(bikes, event_id) AS bikes, arg_min(docks, event_id) AS docks FROM status GROUP BY 1, 2)
       SELECT station_id, snapshot_ts, r.state, bikes, docks, e.kind AS open_kind, e.start_ts AS open_start_ts FROM l JOIN r USING (station_id, snapshot_ts) LEFT JOIN (SELECT station_id, kind, start_ts FROM episodes WHERE status = 'open') e USING (station_id)"""),
     "stream_alerts": (_alerts, f"WITH {STATUS}, {EPISODES}, {ALERTS} SELECT * FROM alerts"),

@@ -108,13 +108,14 @@ def status_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots of the status feed as they are fetched: feed, last_updated, version, fetched_at, and the
-    stations of that minute. One row in 211 lacks its id, one in 197 has a negative count; the snapshots of
+    stations of that minute. One row in 211 lacks its id, one in 223 a flag, one in 197 has a negative count; the snapshots of
     midnight have no list."""
     s = status(spark, sf_dir)
     row = F.struct(
         "event_id", F.when(F.pmod("event_id", F.lit(211)) != 0, F.col("station_id")).alias("station_id"),
         F.when(F.pmod("event_id", F.lit(197)) == 0, -1 - F.col("bikes")).otherwise(F.col("bikes")).alias("num_bikes_available"), F.col("docks").alias("num_docks_available"),
-        F.lit(1).alias("is_installed"), F.col("is_renting").cast("int").alias("is_renting"), F.col("last_reported_ts").alias("last_reported"),
+        F.when(F.pmod("event_id", F.lit(223)) != 0, 1).alias("is_installed"), F.col("is_renting").cast("int").alias("is_renting"), (F.pmod("event_id", F.lit(83)) != 0).cast("int").alias("is_returning"),
+        F.col("last_reported_ts").alias("last_reported"),
     )
     grouped = s.groupBy(F.lit("station_status").alias("feed"), F.col("snapshot_ts").alias("last_updated")).agg(F.array_sort(F.collect_list(row)).alias("stations"), (F.max("fetched_ts") + 0.12345).alias("fetched_at"))
     midnight = F.pmod("last_updated", F.lit(86400)) == 0
