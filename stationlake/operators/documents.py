@@ -83,6 +83,27 @@ def document(rows: DataFrame, columns: list[str], order: list[str], meta: dict[s
     return body.select(text.alias("document"), F.octet_length(text).alias("bytes"))
 
 
+def in_order(mart: DataFrame, order: list) -> DataFrame:
+    """A mart's rows with their place in a document: a document has a bounded number of stations, dates and hours."""
+    return mart.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+def nested(parts: dict[str, DataFrame], lists: dict[str, tuple[DataFrame, list[str]]], head: dict[str, str | int], most_bytes: int) -> DataFrame:
+    """One JSON text of nested parts: constants, one-row frames as objects, and frames as lists of objects in the order of some of their columns.
+    A text over ``most_bytes`` fails the query. Lists are a document's: of as many rows as a page shows."""
+    made = [d.agg(F.first(F.struct(*d.columns)).alias(name)) for name, d in parts.items()]
+    for name, (d, order) in lists.items():
+        rows = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), F.struct(*d.columns).alias("r"))))
+        made.append(d.agg(F.transform(rows, lambda x: x["r"]).alias(name)))
+    all_ = made[0]
+    for one_row in made[1:]:
+        all_ = all_.join(F.broadcast(one_row))
+    text = all_.select(F.to_json(F.struct(*(F.lit(v).alias(k) for k, v in head.items()), *parts, *lists)).alias("document"))
+    size = F.octet_length("document")
+    fits = F.when(size <= most_bytes, F.col("document")).otherwise(F.raise_error(F.concat(size.cast("string"), F.lit(f" bytes, more than {most_bytes}"))).cast("string"))
+    return text.select(fits.alias("document"), size.alias("bytes"))
+
+
 def export(spark: SparkSession, folder: str, documents: dict[str, DataFrame], data_as_of: int, generated_at: int, most_bytes: int = 1_000_000) -> dict:
     """Writes site documents (one row each: document, bytes) and, last, their manifest; the manifest.
 

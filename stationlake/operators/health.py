@@ -151,22 +151,27 @@ def newest_run(runs: DataFrame) -> DataFrame:
 
 
 def components(status: DataFrame, gate: DataFrame, runs: DataFrame, now: int) -> DataFrame:
-    """(name, status, detail) of stream, quality and maintenance, and the worst of them as ``overall``.
+    """(name, status, detail) of stream, quality and maintenance, and the worst of them as ``overall``. A detail is what was measured,
+    as name=value pairs; it is empty where there is nothing to measure.
 
     gate: one row (passed, rules_passed, rules_failed, problems), or none; runs: all maintenance runs' rows."""
-    when = lambda s: F.concat(age_text(s), F.lit(" ago"))
-    age = F.lit(now) - F.col("newest")
-    stream = status.agg(F.max("processed_ts").alias("newest")).select(F.lit("stream").alias("name"), freshness(age).alias("status"), F.coalesce(F.concat(F.lit("newest row reached silver "), when(age)), F.lit("no silver rows yet")).alias("detail"))
-    told = gate.agg(F.first("passed").alias("passed"), F.first("rules_passed").alias("good"), F.first("rules_failed").alias("bad"), F.first("problems").alias("problems"))
-    tests = F.concat((F.col("good") + F.col("bad")).cast("string"), F.lit(" rules, "), F.col("bad").cast("string"), F.lit(" failed"))
-    quality = told.select(F.lit("quality").alias("name"), F.when(F.col("passed").isNull(), "warn").when(F.col("passed"), "ok").otherwise("fail").alias("status"),
-                          F.when(F.col("passed").isNull(), "no quality gate yet").when(F.col("passed"), tests).otherwise(F.concat(F.lit("quality gate failed: "), F.substring("problems", 1, 300))).alias("detail"))
-    last = newest_run(runs).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "error").alias("bad"), F.max("finished_at").alias("end"))
-    since = F.lit(now) - F.col("end")
-    done = F.when(F.col("n") == 0, "warn").when(F.col("bad") > 0, "fail").when(F.coalesce(since <= TWO_DAYS_S, F.lit(False)), "ok").otherwise("warn")
-    text = F.concat(F.col("bad").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" tables failed, "), F.coalesce(F.concat(F.lit("finished "), when(since)), F.lit("not finished")))
-    upkeep = last.select(F.lit("maintenance").alias("name"), done.alias("status"), F.when(F.col("n") == 0, "no maintenance run yet").otherwise(text).alias("detail"))
-    parts = stream.unionByName(quality).unionByName(upkeep)
+    c = F.col
+
+    def line(one_row: DataFrame, name: str, word: Column, known: Column, **measured: Column) -> DataFrame:
+        pairs = F.concat_ws(" ", *(F.concat(F.lit(f"{k}="), v.cast("string")) for k, v in measured.items()))
+        return one_row.select(F.lit(name).alias("name"), word.alias("status"), F.when(known, pairs).otherwise("").alias("detail"))
+
+    stream = status.agg((F.lit(now) - F.max("processed_ts")).alias("age"))
+    told = gate.agg(*(F.first(x).alias(x) for x in ("passed", "rules_passed", "rules_failed", "problems")))
+    judged = F.when(c("passed").isNull(), "warn").when(c("passed"), "ok").otherwise("fail")
+    last = newest_run(runs).agg(F.count(F.lit(1)).alias("n"), F.count_if(c("status") == "error").alias("bad"), (F.lit(now) - F.max("finished_at")).alias("age"))
+    fresh = F.coalesce(c("age") <= TWO_DAYS_S, F.lit(False))
+    kept = F.when(c("n") == 0, "warn").when(c("bad") > 0, "fail").when(fresh, "ok").otherwise("warn")
+    parts = (
+        line(stream, "stream", freshness(c("age")), c("age").isNotNull(), age_s=c("age"))
+        .unionByName(line(told, "quality", judged, c("passed").isNotNull(), rules=c("rules_passed") + c("rules_failed"), failed=c("rules_failed"), problems=F.nullif(F.substring("problems", 1, 300), F.lit(""))))
+        .unionByName(line(last, "maintenance", kept, c("n") > 0, tables=c("n"), failed=c("bad"), age_s=c("age")))
+    )
     return parts.unionByName(parts.agg(F.collect_list("status").alias("s")).select(F.lit("overall").alias("name"), worst(F.col("s")).alias("status"), F.lit("").alias("detail")))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stationlake.functions.exprs import local_date
 from stationlake.operators import availability, documents, episodes, fleet, gate, health, marts, quality
-from stationlake.plans.fragments import ALERTS, DAILY, EPISODES, FRAMES, HOURLY, JOBS, LIVE, REBALANCING, STATIONS, STATUS, VIEW, local
+from stationlake.plans.fragments import ALERTS, DAILY, EPISODES, FRAMES, HOURLY, JOBS, LIVE, REBALANCING, SERIES, STATIONS, STATUS, VIEW, local
 from stationlake.session import ask
 from stationlake.sources import adapters as src
 
@@ -73,6 +73,41 @@ def _components(s: SparkSession, d: str) -> DataFrame:
     return health.components(src.status(s, d), _verdict(s, d), src.maintenance_runs(s, d), NOW)
 
 
+def _health_document(s: SparkSession, d: str) -> DataFrame:
+    """The health document as one text, read back: components, tiles, minutes, tables, the gate and the newest compactions."""
+    status, jobs = src.status(s, d), src.jobs(s, d)
+    series = health.series(status)
+    runs = health.newest_run(src.maintenance_runs(s, d))
+    tables = health.table_freshness({"status": (status, "snapshot_ts"), "jobs": (jobs, "opened_at")}, NOW)
+    parts = {"tiles": health.tiles(series), "gate": _verdict(s, d)}
+    lists = {"components": (_components(s, d), ["name"]), "minutes": (series, ["minute"]), "tables": (tables, ["table_name"]), "compaction": (runs, ["table_name"])}
+    text = documents.nested(parts, lists, {"format": 1, "generated_at": NOW}, most_bytes=1_000_000)
+    kinds = {name: part.schema.simpleString() for name, part in parts.items()} | {name: f"array<{rows.schema.simpleString()}>" for name, (rows, _) in lists.items()}
+    p = text.select(F.from_json("document", "format int, generated_at long, " + ", ".join(f"{n} {k}" for n, k in kinds.items())).alias("p")).select("p.*")
+    told = lambda section, name, value: F.struct(F.lit(section).alias("section"), name.cast("string").alias("name"), value.cast("string").alias("value"))
+    each = F.concat(
+        F.array(told("head", F.lit("generated_at"), F.col("generated_at")), told("tiles", F.lit("lag_records"), F.col("tiles.lag_records")), told("gate", F.lit("n_problems"), F.col("gate.n_problems"))),
+        F.transform("components", lambda c: told("component", c["name"], c["status"])), F.transform("minutes", lambda m: told("minute", m["minute"], m["events"])),
+        F.transform("tables", lambda t: told("table", t["table_name"], t["n"])), F.transform("compaction", lambda r: told("compaction", r["table_name"], r["status"])),
+    )
+    return p.select(F.explode(each).alias("e")).select("e.*")
+
+
+def _live_nested(s: SparkSession, d: str) -> DataFrame:
+    """The live document as one text, read back: totals and counts by view, and the stations in their order."""
+    live = _live(s, d)
+    lists = {"totals": (documents.live_totals(live), ["view"]), "counts": (documents.live_counts(live), ["view", "state"]), "stations": (live, ["place", "name", "station_id"])}
+    text = documents.nested({}, lists, {"format": 1, "unit": "bikes"}, most_bytes=4_000_000)
+    kinds = ", ".join(f"{n} array<{rows.schema.simpleString()}>" for n, (rows, _) in lists.items())
+    p = text.select(F.from_json("document", f"format int, unit string, {kinds}").alias("p")).select("p.*")
+    told = lambda section, place, name, value: F.struct(F.lit(section).alias("section"), place.cast("long").alias("place"), name.alias("name"), value.cast("string").alias("value"))
+    each = F.concat(
+        F.transform("totals", lambda t, i: told("total", i + 1, t["view"], t["bikes"])), F.transform("counts", lambda c, i: told("count", i + 1, F.concat_ws("/", c["view"], c["state"]), c["n"])),
+        F.transform("stations", lambda x, i: told("station", i + 1, x["station_id"], x["state"])), F.array(told("head", F.lit(0), F.lit("unit"), F.col("unit"))),
+    )
+    return p.select(F.explode(each).alias("e")).select("e.*")
+
+
 def _coverage(s: SparkSession, d: str) -> DataFrame:
     """A crash: bronze lost the last tenth of each partition's offsets, and one in 70 is there twice."""
     rows = src.status(s, d)
@@ -99,6 +134,16 @@ def _labels(s: SparkSession, d: str) -> DataFrame:
     return e.select("episode_id", documents.duration_text(F.col("duration_s")).alias("duration"), documents.hour_label(hour).alias("hours"), documents.iso(F.col("start_ts")).alias("started"), documents.freshness_word(F.pmod("duration_s", F.lit(600))).alias("word"))
 
 
+def _exports(s: SparkSession, d: str) -> DataFrame:
+    """The order in which the three marts are exported: each row's place."""
+    made = {"daily": (documents.newest_dates(_daily(s, d)), [F.desc("service_date"), "station_id"], "service_date"), "rebalancing": (_rebalancing(s, d), ["need_rank", "station_id"], "need_rank"), "hourly": (_hourly(s, d), ["station_id", "hour_of_day"], "hour_of_day")}
+    out = None
+    for name, (mart, order, k) in made.items():
+        line = documents.in_order(mart, order).select(F.lit(name).alias("mart"), "place", "station_id", F.col(k).cast("string").alias("k"))
+        out = line if out is None else out.unionByName(line)
+    return out
+
+
 def _adhoc(s: SparkSession, d: str) -> DataFrame:
     return ask(s, "SELECT state, count(*) AS n, max(bikes) AS most FROM status_rows GROUP BY state ORDER BY state", {"status_rows": src.status(s, d)})
 
@@ -128,12 +173,11 @@ VERDICT = f"""every AS (SELECT problem FROM problems UNION ALL SELECT 'test ' ||
 verdict AS (SELECT (SELECT string_agg(problem, '; ' ORDER BY problem) FROM every) AS problems, (SELECT count(*) FROM every) AS n_problems, count(*) FILTER (status = 'ok') AS rules_passed, count(*) FILTER (status = 'warn') AS warnings, count(*) FILTER (status = 'fail') AS rules_failed, (SELECT count(*) FROM every) = 0 AS passed FROM results)"""
 RUNS = """runs AS (SELECT 'run-' || day AS run_id, lower(r_name) AS table_name, CASE WHEN (day + r_regionkey) % 11 = 0 THEN 'error' ELSE 'ok' END AS status, day * 86400 + 90000 + r_regionkey * 60 AS finished_at FROM (SELECT DISTINCT snapshot_ts // 86400 AS day FROM status), region),
 lastrun AS (SELECT * FROM runs WHERE run_id = (SELECT arg_max(run_id, finished_at) FROM runs))"""
-AGO = "CASE WHEN {0} < 120 THEN ({0}) || ' s' WHEN {0} < 7200 THEN (({0}) // 60) || ' min' WHEN {0} < 172800 THEN (({0}) // 3600) || ' h' ELSE (({0}) // 86400) || ' days' END || ' ago'"
 COMPONENTS = f"""st AS (SELECT {NOW} - max(processed_ts) AS a FROM status), mt AS (SELECT count(*) AS n, count(*) FILTER (status = 'error') AS bad, {NOW} - max(finished_at) AS a FROM lastrun),
-comp AS (SELECT 'stream' AS name, CASE WHEN a <= 300 THEN 'ok' WHEN a <= 86400 THEN 'warn' ELSE 'fail' END AS status, 'newest row reached silver ' || {AGO.format('a')} AS detail FROM st
-  UNION ALL SELECT 'quality', CASE WHEN passed THEN 'ok' ELSE 'fail' END, CASE WHEN passed THEN (rules_passed + rules_failed) || ' rules, ' || rules_failed || ' failed' ELSE 'quality gate failed: ' || left(problems, 300) END FROM verdict
-  UNION ALL SELECT 'maintenance', CASE WHEN bad > 0 THEN 'fail' WHEN a <= 172800 THEN 'ok' ELSE 'warn' END, bad || ' of ' || n || ' tables failed, finished ' || {AGO.format('a')} FROM mt)
-SELECT * FROM comp UNION ALL SELECT 'overall', CASE WHEN count(*) FILTER (status = 'fail') > 0 THEN 'fail' WHEN count(*) FILTER (status = 'warn') > 0 THEN 'warn' ELSE 'ok' END, '' FROM comp"""
+comp AS (SELECT 'stream' AS name, CASE WHEN a <= 300 THEN 'ok' WHEN a <= 86400 THEN 'warn' ELSE 'fail' END AS status, 'age_s=' || a AS detail FROM st
+  UNION ALL SELECT 'quality', CASE WHEN passed THEN 'ok' ELSE 'fail' END, 'rules=' || (rules_passed + rules_failed) || ' failed=' || rules_failed || coalesce(' problems=' || nullif(left(problems, 300), ''), '') FROM verdict
+  UNION ALL SELECT 'maintenance', CASE WHEN bad > 0 THEN 'fail' WHEN a <= 172800 THEN 'ok' ELSE 'warn' END, 'tables=' || n || ' failed=' || bad || ' age_s=' || a FROM mt),
+components AS (SELECT * FROM comp UNION ALL SELECT 'overall', CASE WHEN count(*) FILTER (status = 'fail') > 0 THEN 'fail' WHEN count(*) FILTER (status = 'warn') > 0 THEN 'warn' ELSE 'ok' END, '' FROM comp)"""
 ISO = "strftime(make_timestamp(({0}) * 1000000), '%Y-%m-%dT%H:%M:%SZ')"
 STATE_AT = "list_position(['empty', 'low', 'ok', 'high', 'full', 'offline'], state) - 1"
 PAD = "CAST(station_id AS INTEGER)"
@@ -144,7 +188,15 @@ ENTRIES: dict[str, tuple[Query, str]] = {
     "ops_constraints": (lambda s, d: gate.ops_rules(src.dispatch_jobs(s, d), src.tickets(s, d), src.stations(s, d)), f"WITH {JOBS}, {STATIONS}, {TICKETS}, {OPS} SELECT * FROM ops"),
     "mart_problems": (_problems, f"WITH {DAILY}, {LAST} SELECT * FROM problems"),
     "quality_gate": (_verdict, f"WITH {DAILY}, {JOBS}, {TICKETS}, {OPS}, {LAST}, {RESULTS}, {VERDICT} SELECT * FROM verdict"),
-    "health_components": (_components, f"WITH {DAILY}, {JOBS}, {TICKETS}, {OPS}, {LAST}, {RESULTS}, {VERDICT}, {RUNS}, {COMPONENTS}"),
+    "health_components": (_components, f"WITH {DAILY}, {JOBS}, {TICKETS}, {OPS}, {LAST}, {RESULTS}, {VERDICT}, {RUNS}, {COMPONENTS} SELECT * FROM components"),
+    "health_document": (_health_document, f"""WITH {DAILY}, {JOBS}, {TICKETS}, {OPS}, {LAST}, {RESULTS}, {VERDICT}, {RUNS}, {COMPONENTS}, {SERIES} SELECT 'head' AS section, 'generated_at' AS name, '{NOW}' AS value UNION ALL SELECT 'tiles', 'lag_records', CAST(arg_max(lag_records, minute) AS VARCHAR) FROM series
+      UNION ALL SELECT 'gate', 'n_problems', CAST(n_problems AS VARCHAR) FROM verdict UNION ALL SELECT 'component', name, status FROM components UNION ALL SELECT 'minute', CAST(minute AS VARCHAR), CAST(events AS VARCHAR) FROM series
+      UNION ALL SELECT 'table', 'status', CAST(count(*) AS VARCHAR) FROM status UNION ALL SELECT 'table', 'jobs', CAST(count(*) AS VARCHAR) FROM jobs UNION ALL SELECT 'compaction', table_name, status FROM lastrun"""),
+    "live_document_nested": (_live_nested, f"""WITH {STATUS}, {STATIONS}, {LIVE}, b AS (SELECT * FROM live UNION ALL SELECT * REPLACE ('all' AS view) FROM live), v AS (SELECT DISTINCT view FROM b), g AS (SELECT view, unnest(['empty', 'low', 'ok', 'high', 'full', 'offline']) AS state FROM v), c AS (SELECT g.view, g.state, count(b.view) AS n FROM g LEFT JOIN b ON g.view = b.view AND g.state = b.state GROUP BY 1, 2)
+      SELECT 'total' AS section, row_number() OVER (ORDER BY view) AS place, view AS name, CAST(sum(bikes) AS VARCHAR) AS value FROM b GROUP BY view UNION ALL SELECT 'count', row_number() OVER (ORDER BY view, state), view || '/' || state, CAST(n AS VARCHAR) FROM c
+      UNION ALL SELECT 'station', row_number() OVER (ORDER BY place, name, station_id), station_id, state FROM live UNION ALL SELECT 'head', 0, 'unit', 'bikes'"""),
+    "mart_exports": (_exports, f"""SELECT * FROM (WITH {DAILY} SELECT 'daily' AS mart, row_number() OVER (ORDER BY service_date DESC, station_id) AS place, station_id, CAST(service_date AS VARCHAR) AS k FROM daily WHERE service_date > (SELECT max(service_date) FROM daily) - INTERVAL 30 DAY)
+      UNION ALL SELECT * FROM (WITH {REBALANCING} SELECT 'rebalancing', row_number() OVER (ORDER BY need_rank, station_id), station_id, CAST(need_rank AS VARCHAR) FROM rebalancing) UNION ALL SELECT * FROM (WITH {HOURLY} SELECT 'hourly', row_number() OVER (ORDER BY station_id, hour_of_day), station_id, CAST(hour_of_day AS VARCHAR) FROM hourly)"""),
     "maintenance_newest_run": (lambda s, d: health.newest_run(src.maintenance_runs(s, d)), f"WITH {STATUS}, {RUNS} SELECT * FROM lastrun"),
     "lake_check": (_lake, f"""WITH {STATUS}, top AS (SELECT max(snapshot_ts) AS t FROM status), silver AS (SELECT * FROM status WHERE snapshot_ts <= (SELECT t - 600 FROM top)), bp AS (SELECT part, count(*) AS n, count(DISTINCT off) AS d, max(off) - min(off) + 1 AS span FROM status GROUP BY 1),
       m AS (SELECT (SELECT t FROM top) - max(snapshot_ts) AS late, count(*) - count(DISTINCT (station_id, snapshot_ts)) AS twice FROM silver), c AS (SELECT CASE WHEN part < 3 THEN 'bronze' ELSE 'silver' END AS t, {NOW} - max(processed_ts) AS a FROM status GROUP BY 1)
