@@ -59,30 +59,29 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("inferSchema", False).csv(path)
 
 
-def _text(c: str) -> Column:
-    return F.nullif(F.trim(F.regexp_replace(F.col(c), r"^\s+|\s+$", "")), F.lit(""))
-
-
-def _clock(c: str) -> Column:
-    return F.try_to_timestamp(_text(c)).cast("timestamp_ntz")
+#: What is white space at the ends of a text.
+BLANK = " \t\n\x0b\f\r"
 
 
 def mapped(raw: DataFrame, layout: str | None = None) -> DataFrame:
     """Text columns of either layout as rows of the trips' table. Blank text is null, so is what can't be read;
-    times are Pacific clock times, given as epoch seconds."""
+    times are Pacific clock times, given as epoch seconds.
+
+    In three steps, so that nothing is done twice: texts without their blanks, times read and converted, and their difference."""
     layout = layout or layout_of(raw.columns)
     at = list(LAYOUTS).index(layout)
-    text = lambda pair: F.lit(None).cast("string") if pair[at] is None else _text(pair[at])
-    begin, end = ("started_at", "ended_at") if layout == "ride" else ("start_time", "end_time")
-    started, ended = local_epoch(_clock(begin)), local_epoch(_clock(end))
-    if layout == "ride":
-        seconds, rider = ended - started, F.lower(_text("member_casual"))
-    else:
-        known = F.create_map(*(F.lit(x) for pair in RIDERS.items() for x in pair))
-        seconds, rider = _text("duration_sec").try_cast("bigint"), F.element_at(known, _text("user_type"))
-    whole = {**{name: text(pair) for name, pair in SOURCE.items()}, **{name: _text(pair[at]).try_cast("double") for name, pair in PLACES.items()}}
     kept = [c for c in ("trip_month",) if c in raw.columns]
-    return raw.select(*kept, F.lit(layout).alias("schema_version"), *(c.alias(n) for n, c in whole.items()), started.alias("started_at"), ended.alias("ended_at"), seconds.alias("duration_s"), rider.alias("member_type"))
+    clean = raw.select(*kept, *(F.nullif(F.trim(F.col(c), F.lit(BLANK)), F.lit("")).alias(c) for c in LAYOUTS[layout]))
+    begin, end = ("started_at", "ended_at") if layout == "ride" else ("start_time", "end_time")
+    clock = lambda c: local_epoch(F.col(c).try_cast("timestamp_ntz"))
+    text = {name: F.lit(None).cast("string") if pair[at] is None else F.col(pair[at]) for name, pair in SOURCE.items()}
+    places = {name: F.col(pair[at]).try_cast("double") for name, pair in PLACES.items()}
+    known = F.create_map(*(F.lit(x) for pair in RIDERS.items() for x in pair))
+    rider = F.lower("member_casual") if layout == "ride" else F.element_at(known, F.col("user_type"))
+    seconds = F.lit(None).cast("bigint") if layout == "ride" else F.col("duration_sec").try_cast("bigint")
+    named = {**text, **places, "started_at": clock(begin), "ended_at": clock(end), "duration_s": seconds, "member_type": rider}
+    read = clean.select(*kept, F.lit(layout).alias("schema_version"), *(c.alias(n) for n, c in named.items()))
+    return read.withColumn("duration_s", F.col("ended_at") - F.col("started_at")) if layout == "ride" else read
 
 
 def checked(trips: DataFrame) -> DataFrame:
