@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stationlake.operators import health, refresh
+from stationlake.operators import catalogue, health, refresh
 from stationlake.operators.tables import Lake
-from stationlake.plans.fragments import DAILY, SERIES, STAGED, STATUS, local
+from stationlake.plans.fragments import DAILY, SERIES, STAGED, STATUS, TRIPS, local
+from stationlake.session import JobConfig
 from stationlake.sources import adapters as src
 from stationlake.streaming.jobs import shared_dir
 
@@ -92,6 +94,20 @@ def _minutes(s: SparkSession, d: str) -> DataFrame:
     return lake.read("pipeline_minutely").drop("day")
 
 
+def _catalogued(s: SparkSession, d: str) -> DataFrame:
+    """The declared tables, created twice in the session's catalog and filled by name."""
+    config = JobConfig(prefix=f"t{uuid.uuid4().hex}_", checkpoints="lab", status_topic="lab.status", alerts_topic="lab.alerts", state_topic="lab.state").validate()
+    root = shared_dir(s)
+    made = catalogue.create(s, root, config)
+    if len(made) != len(catalogue.TABLES) or catalogue.create(s, root, config):
+        raise ValueError("tables that were there have been made again")
+    status = src.status(s, d).withColumn("day", _day())
+    catalogue.append(status, "silver.station_status", config)
+    catalogue.append(status.select("station_id", "snapshot_ts", F.col("partition").alias("kafka_partition"), F.col("offset").alias("kafka_offset"), "kafka_ts", F.lit(None).cast("string").alias("raw_json"), "day"), "bronze.station_status", config)
+    catalogue.append(src.trips(s, d).withColumn("month", F.date_format("trip_month", "yyyy-MM")).repartition("month"), "silver.trips", config)
+    return catalogue.layout(s, config)
+
+
 FIRST = "snapshot_ts < 1705795200 AND NOT (event_id % 50 = 0 AND (snapshot_ts // 86400) % 5 = 0)"
 UP_TO = STATUS.replace("status AS (", "everything AS (", 1) + ", status AS (SELECT * FROM everything WHERE processed_ts <= (SELECT max(processed_ts) FROM everything) - {0})"
 
@@ -108,5 +124,7 @@ ENTRIES: dict[str, tuple[Query, str]] = {
     "mart_profile_refreshed": (lambda s, d: refresh.profile(_refreshed(s, d)[0]), f"WITH {STAGED} SELECT station_id, hour_of_day, round(least(greatest(avg(share_empty), 0), 1), 6) AS share_empty, round(least(greatest(avg(share_full), 0), 1), 6) AS share_full, count(DISTINCT service_date) AS live_days FROM staged GROUP BY 1, 2"),
     "mart_refresh_cost": (_cost, f"""WITH {STATUS}, s AS (SELECT *, CAST({local('snapshot_ts')} AS DATE) AS day, {FIRST} AS early FROM status)
       SELECT 0 AS arrival, CAST(count(DISTINCT day) AS INTEGER) AS days, count(*) AS rows_read FROM s WHERE early UNION ALL SELECT 1, CAST(count(DISTINCT day) AS INTEGER), count(*) FROM s WHERE day IN (SELECT day FROM s WHERE NOT early)"""),
+    "catalog_tables": (_catalogued, f"""WITH {STATUS}, {TRIPS} SELECT 'bronze.station_status' AS table_name, count(*) AS n, count(DISTINCT snapshot_ts // 86400) AS parts FROM status UNION ALL SELECT 'silver.station_status', count(*), count(DISTINCT snapshot_ts // 86400) FROM status
+      UNION ALL SELECT 'silver.trips', count(*), count(DISTINCT trip_month) FROM trips UNION ALL SELECT 'silver.availability_5m', 0, 0 UNION ALL SELECT 'metrics.maintenance_runs', 0, 0"""),
     "minutes_window": (_minutes, f"""SELECT * FROM (WITH {UP_TO.format(0)}, {SERIES} SELECT * FROM series) UNION ALL SELECT * FROM (WITH {UP_TO.format(3600)}, {SERIES} SELECT * FROM series WHERE minute < (SELECT max(processed_ts - processed_ts % 60) - 86340 FROM everything))"""),
 }

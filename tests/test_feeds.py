@@ -14,7 +14,7 @@ def rows(df):
 
 
 def station(i, bikes=1, docks=2, reported=5, **more):
-    return {"station_id": i, "num_bikes_available": bikes, "num_docks_available": docks, "is_installed": 1, "is_renting": 0, "last_reported": reported} | more
+    return {"station_id": i, "num_bikes_available": bikes, "num_docks_available": docks, "is_installed": 1, "is_renting": 0, "is_returning": 1, "last_reported": reported} | more
 
 
 def test_archive_explode_and_rejects(spark, tmp_path):
@@ -37,6 +37,23 @@ def test_archive_explode_and_rejects(spark, tmp_path):
     assert rows(snapshots.counts(some)) == [("station_status:100", 1, 3), ("station_status:200", 0, 1)]
 
 
+def test_flags_are_required_and_a_replay_is_of_one_day(spark, tmp_path):
+    base = tmp_path / "station_status" / "dt=1970-01-03" / "00"
+    base.mkdir(parents=True)
+    for t, more in ((172_800, {}), (172_860, {"is_returning": None}), (172_920, {"is_renting": None, "is_installed": None}), (259_200, {})):
+        (base / f"{t}.json.gz").write_bytes(gzip.compress(json.dumps({"last_updated": t, "version": "2.3", "data": {"stations": [station("a"), station("b", **more)]}}).encode()))
+    every = snapshots.read_archive(spark, str(tmp_path), "station_status").withColumn("fetched_at", F.lit(7.0))
+    assert rows(snapshots.rejects(every).select("key", "errors")) == [("b", "is_installed missing; is_renting missing"), ("b", "is_returning missing")]
+    sent = snapshots.messages(every)
+    places = lambda **k: rows(snapshots.replayed(sent, 2, **k).select("key", "place"))
+    assert places() == [("a", 1), ("a", 2), ("a", 3), ("b", 1)] and places(skip=1, limit=1) == [("a", 2)]
+    for bad in ({"skip": 3}, {"skip": -1}, {"limit": 0}):
+        with pytest.raises(ValueError):
+            snapshots.replayed(sent, 2, **bad)
+    with pytest.raises(ValueError):
+        snapshots.replayed(sent, 5)
+
+
 def test_repeats_and_unchanged_content_in_any_order(spark):
     schema = "feed string, last_updated long, fetched_at double, stations array<struct<station_id: string, n: int>>"
     made = spark.createDataFrame([("f", 1, 1.0, [("a", 1), ("b", 2)]), ("f", 1, 2.0, [("a", 1), ("b", 2)]), ("f", 2, 3.0, [("b", 2), ("a", 1)]), ("f", 3, 4.0, [("a", 2)])], schema)
