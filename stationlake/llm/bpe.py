@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from stationlake.llm.common import KEEPERS
+
 #: What a worker keeps, at most; when full, it starts anew. This bounds memory and changes no result.
 KEPT_STATES, KEPT_PAIRS, KEPT_PIECES = 100_000, 400_000, 250_000
 
@@ -262,6 +264,14 @@ def _decoder(path: str) -> Decoder:
     return Decoder(read_ranks(path))
 
 
+def _forget() -> None:
+    _encoder.cache_clear()
+    _decoder.cache_clear()
+
+
+KEEPERS["tokens"] = _forget
+
+
 def _with(df: DataFrame, fields: list[T.StructField], of: str, make: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
     """df with more columns, which ``make`` makes from some hundred rows of the column ``of`` at a time."""
     names = [f.name for f in fields]

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +15,31 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: What operators keep in a Python worker from task to task, and how it goes.
+KEEPERS: dict[str, Callable[[], None]] = {}
+
+
+def relieve() -> None:
+    """For the start of a task in a Python worker: what other operators keep there goes, and the memory that is free goes back to
+    the machine, so that workers of a long session hold no more than the operator at hand needs."""
+    for forget in KEEPERS.values():
+        forget()
+    gc.unfreeze()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def slices(frames: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same batches in slices of some rows, so that a task holds what is made of few texts at once."""
+    relieve()
+    for b in frames:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+    relieve()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stationlake.llm.common import slices
+
 SIZE = 4096
 #: Families by language code. A code that is not here is a family of its own.
 FAMILIES = {
@@ -140,7 +142,7 @@ def learn(docs: DataFrame, use: Column, per_language: int = 1000, seed: int = 11
     schema = "lang string, x binary, doc_id long"
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in frames:
+        for b in slices(frames):
             made = [(lang.as_py(), sparse(v), i.as_py()) for text, lang, i in zip(b.column("text"), b.column("lang"), b.column("doc_id"), strict=True) if (v := vector(text.as_py())) is not None]
             yield pa.RecordBatch.from_pylist([dict(zip(("lang", "x", "doc_id"), m, strict=True)) for m in made], pa.schema([("lang", pa.string()), ("x", pa.binary()), ("doc_id", pa.int64())]))
 
@@ -156,7 +158,7 @@ def predict(df: DataFrame, tree: Tree | None, text: str = "text", lang: str = "l
     schema = T.StructType([*(df.schema[c] for c in rest), T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in frames:
+        for b in slices(frames):
             vectors = [vector(x.as_py()) if tree else None for x in b.column(text)]
             made = [("und", 0.0) if v is None else tree.predict(v) for v in vectors]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], [*rest, lang, score])
