@@ -4,8 +4,9 @@ Documents with the same set of sources are one node with their total size as its
 copy: the first costs nothing, the next ones more and more. A source asks for its target. The flow of
 least cost tells how many words of each set go to each source; so how many copies a set gives in all.
 Whole copies go to all documents of the set. What remains is filled along a seeded order of its documents:
-each that still fits is taken, each that does not is passed over. So a set stays behind what it owes by
-less than its smallest document without a further copy, and reruns agree.
+each that still fits is taken, each that does not is passed over; what is left then is filled by a further copy of those
+that fit, up to the most. So a set stays behind what it owes by less than its smallest document that may be taken once more, and reruns
+agree: documents are drawn by a hash of their ``order`` columns, so only rows that are equal in these may change places.
 
 The network has as many nodes as there are sets and sources; these numbers are all that reaches the
 driver, and tables of them are broadcast up to a number of rows only. The order is cut in slices by the
@@ -134,10 +135,10 @@ def route(supply: Mapping[frozenset, int], quota: Mapping[str | None, float], mo
     return dict(given)
 
 
-def _filled(base: DataFrame, rest: dict[int, int]) -> list[tuple[int, int, tuple | None, tuple | None]]:
+def _filled(base: DataFrame, rest: dict[int, int]) -> tuple[list[tuple[int, int, tuple | None, tuple | None]], dict[int, int]]:
     """(set, room, from, to): within its open interval (of slice, draw, uid) of the order, a set takes all documents
-    of up to ``room`` words. base: set, slice, draw, uid, words."""
-    spark, done = base.sparkSession, []
+    of up to ``room`` words; and the words that each set has left. base: set, slice, draw, uid, words."""
+    spark, done, left = base.sparkSession, [], {}
     state = {s: (room, None) for s, room in rest.items() if room > 0}
     at = F.struct("slice", "draw", "uid")
     while state:
@@ -147,6 +148,8 @@ def _filled(base: DataFrame, rest: dict[int, int]) -> list[tuple[int, int, tuple
         fits = fits.where(F.col("low_slice").isNull() | (at > F.struct(F.col("low_slice").alias("slice"), F.col("low_draw").alias("draw"), F.col("low_uid").alias("uid"))))
         sums = fits.groupBy("set", "slice", "room").agg(F.sum("words").alias("w"))
         sums = sums.withColumn("upto", F.sum("w").over(Window.partitionBy("set").orderBy("slice")))
+        sums = cut(sums)  # of a set 4,096 rows at most
+        whole = {r["set"]: r["w"] for r in sums.groupBy("set").agg(F.sum("w").alias("w")).collect()}
         over = {r["set"]: (r["slice"], r["before"]) for r in sums.where(F.col("upto") > F.col("room")).groupBy("set").agg(F.min("slice").alias("slice"), F.min(F.col("upto") - F.col("w")).alias("before")).collect()}
         cuts = {}
         if over:
@@ -160,10 +163,11 @@ def _filled(base: DataFrame, rest: dict[int, int]) -> list[tuple[int, int, tuple
             r = cuts.get(s)
             high = None if r is None else (r["slice"], r["draw"], r["uid"])
             done.append((s, room, low, high))
-            if r is not None and room > r["taken"]:
-                following[s] = (room - r["taken"], high)
+            left[s] = room - (whole.get(s, 0) if r is None else r["taken"])
+            if r is not None and left[s] > 0:
+                following[s] = (left[s], high)
         state = following
-    return done
+    return done, left
 
 
 def mix(df: DataFrame, size: str, sources: str, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, order: list[str] | None = None, seed: int = 1) -> tuple[DataFrame, dict[str | None, int], dict[str | None, float]]:
@@ -192,14 +196,22 @@ def mix(df: DataFrame, size: str, sources: str, weights: tuple[int, ...] = (5, 2
     # the ids within are kept with the rows
     base = cut(base)
     narrow = base.select(F.col(set_).alias("set"), F.col(slice_).alias("slice"), F.col(draw).alias("draw"), F.col(uid).alias("uid"), F.col(words).alias("words"))
+    least = {r["set"]: r["w"] for r in narrow.where("words > 0").groupBy("set").agg(F.min("words").alias("w")).collect()}
+    # a pass gives each document one further copy at most
     ranges: dict[int, list] = defaultdict(list)
-    for s, room, low, high in _filled(narrow, {i: parts[g][1] for i, g in enumerate(sets)}):
-        ranges[s].append((room, low, high))
+    left = {i: parts[g][1] for i, g in enumerate(sets)}
+    for k in range(most):
+        wanted = {i: n for i, n in left.items() if parts[sets[i]][0] + k < most and n >= least.get(i, n + 1)}
+        if not wanted:
+            break
+        found, left = _filled(narrow, wanted)
+        for s, room, low, high in found:
+            ranges[s].append((k, room, low, high))
     key = "struct<slice:int,draw:bigint,uid:bigint>"
-    taken = small(spark.createDataFrame([(s, x) for s, x in ranges.items()], f"s int, ranges array<struct<room:bigint,low:{key},high:{key}>>"), len(ranges))
+    taken = small(spark.createDataFrame([(s, x) for s, x in ranges.items()], f"s int, ranges array<struct<pass:int,room:bigint,low:{key},high:{key}>>"), len(ranges))
     at = F.struct(F.col(slice_).alias("slice"), F.col(draw).alias("draw"), F.col(uid).alias("uid"))
-    inside = lambda x: (F.col(words) <= x["room"]) & F.coalesce(at > x["low"], F.lit(True)) & F.coalesce(at < x["high"], F.lit(True))
-    more = F.coalesce(F.exists("ranges", inside), F.lit(False)).cast("int")
+    inside = lambda x: (F.col(words) > 0) & (F.col(words) <= x["room"]) & F.coalesce(at > x["low"], F.lit(True)) & F.coalesce(at < x["high"], F.lit(True))
+    more = F.coalesce(F.size(F.array_distinct(F.transform(F.filter("ranges", inside), lambda x: x["pass"]))), F.lit(0))
     copies = F.least(F.col("whole") + more, F.lit(most)).cast("int")
     joined = base.join(taken, F.col(set_) == F.col("s"), "left").select(row, copies.alias("copies"))
     return joined.select(*(F.col(row)[c].alias(c) for c in df.columns if c != "copies"), "copies"), dict(sizes), quota

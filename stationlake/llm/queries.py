@@ -63,7 +63,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document, and its source's size and target."""
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     docs = cut(documents(spark, sf_dir).select("doc_id", words.alias("size"), F.array("source").alias("sources")))
-    mixed, sizes, quota = mixing.mix(docs, "size", "sources", order=["doc_id"])
+    mixed, sizes, quota = mixing.mix(docs, "size", "sources", order=["doc_id", "size", "sources"])
     rows = [(s, n, float(quota[s])) for s, n in sizes.items()]
     of = spark.createDataFrame(rows, "s string, source_size long, target double")
     source = F.element_at("sources", 1)

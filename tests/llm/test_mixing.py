@@ -53,7 +53,7 @@ def test_flow_of_thousands_of_sources_is_quick():
 
 
 def plain_mix(rows, order, copies_at_most=3):
-    """Copies of each (id, size, source): whole ones, then a walk in the given order that takes what still fits."""
+    """Copies of each (id, size, source): whole ones, then walks in the given order that take what still fits, once more each."""
     sizes = {}
     for _, n, s in rows:
         sizes[s] = sizes.get(s, 0) + n
@@ -62,10 +62,13 @@ def plain_mix(rows, order, copies_at_most=3):
     for s, total in sizes.items():
         owed = min(round(quota[s]), copies_at_most * total)
         whole, rest = divmod(owed, total) if total else (0, 0)
-        for i, n, of in sorted((r for r in rows if r[2] == s), key=lambda r: order[r[0]]):
-            takes = 0 < n <= rest
-            rest -= n if takes else 0
-            out[i] = whole + takes
+        walk = sorted((r for r in rows if r[2] == s), key=lambda r: order[r[0]])
+        out |= {r[0]: whole for r in walk}
+        for _ in range(copies_at_most - whole):  # a walk gives each document one further copy at most
+            for i, n, of in walk:
+                if 0 < n <= rest:
+                    rest -= n
+                    out[i] += 1
     return out
 
 
@@ -117,3 +120,23 @@ def test_registered_query_meets_its_contract(spark, sf):
         assert taken[s] <= quota[s] + 1
         # behind its target by less than its smallest document that could come once more
         assert quota[s] - taken[s] <= least.get(s, 1), s
+
+
+def test_a_source_with_one_document_above_its_target(spark):
+    """What the long document leaves is filled by further copies of the short ones, up to three of each."""
+    rows = [(1, 3000, ["a"])] + [(i, 61, ["a"]) for i in range(2, 7)] + [(100 + i, 10, ["b"]) for i in range(20)] + [(200 + i, 10, ["c"]) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, size long, sources array<string>").repartition(3)
+    mixed, sizes, quota = mixing.mix(df, "size", "sources", weights=(1, 40, 40), order=["doc_id"])
+    got = {r.doc_id: r.copies for r in mixed.collect()}
+    taken = lambda s: sum(got[i] * n for i, n, of in rows if of == [s])
+    assert quota["a"] > 915 and quota["a"] < 3000
+    assert got[1] == 0 and taken("a") == 915 and max(got.values()) <= 3
+    again, _, _ = mixing.mix(df.repartition(7), "size", "sources", weights=(1, 40, 40), order=["doc_id"])
+    assert {r.doc_id: r.copies for r in again.collect()} == got
+
+
+def test_rows_that_share_an_id_are_drawn_apart(spark):
+    rows = [(5, 10 + i % 7, ["a"] if i % 2 else ["b"]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, size long, sources array<string>")
+    told = lambda d: sorted((r.size, tuple(r.sources), r.copies) for r in mixing.mix(d, "size", "sources", order=["doc_id", "size", "sources"])[0].collect())
+    assert told(df.repartition(2)) == told(df.repartition(9))
