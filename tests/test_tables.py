@@ -52,6 +52,15 @@ def test_upsert_and_replays(spark, lake):
     assert rows(lake.rows("e").select("id", "updated", "status")) == [("a", 5, "closed"), ("b", 5, "open"), ("c", 1, "open")]
 
 
+def test_upsert_without_rows_leaves_a_table_that_can_be_read(spark, lake):
+    e = "id string, updated long, status string"
+    for _ in range(2):
+        lake.upsert("none", spark.createDataFrame([], e), ["id"], "updated")
+    assert lake.rows("none").select("id", "updated", "status").collect() == [] and not lake.exists("none")
+    lake.upsert("none", spark.createDataFrame([("a", 5, "open")], e), ["id"], "updated")
+    assert rows(lake.rows("none").select("id", "updated", "status")) == [("a", 5, "open")]
+
+
 def test_compaction_keeps_rows_and_records_its_run(spark, lake):
     lake.append("s", spark.range(1000).withColumn("station", F.col("id") % 7).repartition(8))
     lake.append("d", spark.range(60).withColumn("day", (F.col("id") % 3).cast("int")).repartition(6), ("day",))
