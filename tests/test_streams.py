@@ -79,6 +79,15 @@ def test_four_tables_and_a_query_that_dies(spark, topic, tmp_path, monkeypatch):
     assert everything(lake) == want
 
 
+def test_a_stream_without_an_alert(spark, tmp_path):
+    """No problem lasts long enough: the table of alerts is there, and empty."""
+    rows = [("a", status("a", m, 3 * (m % 2)), "t", 0, m, 60 * m + 6) for m in range(1000, 1020)]
+    spark.createDataFrame(rows, feeds.RAW).coalesce(1).write.parquet(str(tmp_path / "in"))
+    lake, queries = run(spark, str(tmp_path / "in"), tmp_path, only=("episodes",))
+    feeds.drain(queries)
+    assert lake.rows("alerts").select("alert_id", "episode_id", "ts").collect() == [] and lake.rows("station_episodes").count() == 10
+
+
 def test_processing_time_trigger(spark, topic, tmp_path):
     lake, queries = run(spark, topic, tmp_path, every="1 second", only=("bronze", "silver"))
     try:
