@@ -74,6 +74,21 @@ def test_compaction_keeps_rows_and_records_its_run(spark, lake):
     assert {r.partition for r in lake.files("d").collect()} == {"day=0", "day=1", "day=2"}
 
 
+def test_compaction_deals_rows_to_tasks(spark, lake, monkeypatch):
+    """Many rows in few bytes are sorted by several tasks, within one partition as well; order and rows stay."""
+    from stationlake.operators import tables
+
+    monkeypatch.setattr(tables, "TASK_ROWS", 250)
+    of = spark.range(1000).withColumn("day", F.when(F.col("id") < 900, 1).otherwise(2))
+    lake.append("x", of.drop("day"))
+    lake.append("y", of, ("day",))
+    lake.compact("x", ["id"])
+    lake.compact("y", ["id"], ("day",))
+    for name in "xy":
+        n = [r.n for r in lake.files(name).collect()]
+        assert sum(n) == 1000 == lake.read(name).distinct().count() and len(n) >= 4 and max(n) < 500
+
+
 def test_every_write_is_a_commit(spark, lake):
     day = "day int, n int"
     lake.append("c", spark.createDataFrame([(1, 1), (1, 2), (2, 3)], day).repartition(1), ("day",))
