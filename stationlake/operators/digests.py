@@ -27,10 +27,16 @@ def _folded(lines: Column) -> Column:
 
 
 def _leaves(hashes: DataFrame, depth: int) -> DataFrame:
-    """(node, n, digest) of the leaves of a column ``h`` of hashes."""
-    each = hashes.groupBy("h").agg(F.count(F.lit(1)).alias("c"))
-    line = F.concat_ws(":", "h", F.col("c").cast("string"))
-    return each.groupBy(F.substring("h", 1, depth).alias("node")).agg(F.sum("c").alias("n"), _folded(line).alias("digest"))
+    """(node, n, digest) of the leaves of a column ``h`` of hashes, as text or as bytes: they are shuffled as bytes, and are text again in their leaf."""
+    bytes_ = F.col("h") if dict(hashes.dtypes)["h"] == "binary" else F.unhex("h")
+    each = hashes.groupBy(bytes_.alias("h")).agg(F.count(F.lit(1)).alias("c"))
+    found = each.groupBy(F.substring(_text(F.col("h")), 1, depth).alias("node")).agg(F.sum("c").alias("n"), F.array_sort(F.collect_list(F.struct("h", "c"))).alias("of"))
+    lines = F.transform("of", lambda x: F.concat_ws(":", _text(x["h"]), x["c"].cast("string")))
+    return found.select("node", "n", F.sha2(F.array_join(lines, "\n"), 256).alias("digest"))
+
+
+def _text(h: Column) -> Column:
+    return F.lower(F.hex(h))
 
 
 def _parents(nodes: DataFrame, digits: int) -> DataFrame:
@@ -39,7 +45,11 @@ def _parents(nodes: DataFrame, digits: int) -> DataFrame:
 
 def tree(hashes: DataFrame, depth: int = DEPTH) -> list[DataFrame]:
     """The levels of a column ``h`` of hashes, from the root (one row, or none for an empty table) to the leaves."""
-    levels = [_leaves(hashes, depth)]
+    return _above(_leaves(hashes, depth), depth)
+
+
+def _above(leaves: DataFrame, depth: int) -> list[DataFrame]:
+    levels = [leaves]
     for digits in range(depth - 1, -1, -1):
         levels.append(_parents(levels[-1], digits))
     return levels[::-1]
@@ -54,14 +64,18 @@ def digest(df: DataFrame, columns: list[str] | None = None, depth: int = DEPTH)
 def stored(lake: Lake, name: str, df: DataFrame, key: list[str], columns: list[str], depth: int = DEPTH, digits: int = 2) -> None:
     """The row hashes of df with their keys, partitioned by the first ``digits`` of the hash, and its tree, each level a partition.
     The two sides of a comparison have the same digits."""
-    rows = df.select(*key, hashed(df, columns).alias("h"))
-    lake.replace(f"{name}_hashes", rows.withColumn("range", F.substring("h", 1, digits)).repartition("range"), ("range",))
+    # the range is told by the hash as text; rows go to their folder from where they are
+    rows = df.select(*key, hashed(df, columns).alias("h")).withColumns({"range": F.substring("h", 1, digits), "h": F.unhex("h")})
+    lake.replace(f"{name}_hashes", rows, ("range",))
     lake.keep_note(f"{name}_hashes", "layout", {"digits": digits})
-    levels = tree(lake.read(f"{name}_hashes").select("h"), depth)
+    # leaves are made of all hashes once, and the levels above of what is staged: 16^depth rows at most
+    leaves, _, path = lake._stage(f"{name}_tree", _leaves(lake.read(f"{name}_hashes").select("h"), depth))
+    levels = _above(leaves, depth)
     every = levels[0].withColumn("level", F.lit(0))
     for i, level in enumerate(levels[1:], 1):
         every = every.unionByName(level.withColumn("level", F.lit(i)))
     lake.replace(f"{name}_tree", every.repartition("level"), ("level",))
+    lake._delete(path)
 
 
 def differing(lake: Lake, left: str, right: str, depth: int = DEPTH) -> DataFrame:
@@ -86,6 +100,6 @@ def difference(lake: Lake, left: str, right: str, key: list[str], depth: int = D
     leaves = differing(lake, left, right, depth)
     digits = lake.note(f"{left}_hashes", "layout")["digits"]
     ranges = [r["range"] for r in leaves.select(F.substring("leaf", 1, digits).alias("range")).distinct().collect()]  # 16^digits at most
-    side = lambda t, n: lake.read(f"{t}_hashes").where(F.col("range").isin(ranges)).withColumn("leaf", F.substring("h", 1, depth)).join(leaves, "leaf", "left_semi").select(*key, F.col("h").alias(n))
+    side = lambda t, n: lake.read(f"{t}_hashes").where(F.col("range").isin(ranges)).withColumn("leaf", F.substring(_text(F.col("h")), 1, depth)).join(leaves, "leaf", "left_semi").select(*key, F.col("h").alias(n))
     both = side(left, "l").join(side(right, "r"), key, "full_outer").where(~F.col("l").eqNullSafe(F.col("r")))
     return both.select(*key, F.when(F.col("l").isNull(), "only right").when(F.col("r").isNull(), "only left").otherwise("differs").alias("problem"))
