@@ -51,7 +51,10 @@ def _stages(s: SparkSession, d: str) -> DataFrame:
     first hour, after the last, and after compaction."""
     lake, rows = Lake(s, shared_dir(s)), src.status(s, d).select("station_id", "snapshot_ts", "bikes")
     top = rows.agg(F.max(_day())).first()[0]
-    day = rows.where(_day() == top).withColumn("hour", F.floor(F.col("snapshot_ts") / 3600))
+    # the day is read from the source once; each hour is a folder of its own
+    arrived = f"{shared_dir(s)}/arrived"
+    rows.where(_day() == top).withColumn("hour", F.floor(F.col("snapshot_ts") / 3600)).write.partitionBy("hour").parquet(arrived)
+    day = s.read.schema("station_id string, snapshot_ts long, bikes long, hour long").parquet(arrived)
     hours = sorted(r[0] for r in day.select("hour").distinct().collect())  # 24 at most
     out = None
     for spec, size in (("by day", 86400), ("by hour", 3600)):
