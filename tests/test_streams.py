@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stationlake.operators import feed
 from stationlake.operators.tables import Lake
-from stationlake.streaming import feeds
+from stationlake.streaming import feeds, jobs
 
 
 def status(station, minute, bikes):
@@ -98,3 +98,14 @@ def test_processing_time_trigger(spark, topic, tmp_path):
         for query in queries.values():
             query.stop()
     assert feeds.read(lake, "bronze").count() == 126 and feeds.read(lake, "silver").count() == 120
+
+
+def test_a_file_is_smaller_than_a_trigger(spark):
+    """Files that one task sorts and reads; a trigger takes several, and rows of one time are in one file."""
+    df = spark.range(4000).select(F.col("id").alias("event_id"), (F.col("id") % 800).alias("snapshot_ts"))
+    path, files = jobs.as_files(df, rows_per_file=250, rows_per_trigger=1000)
+    read = spark.read.parquet(path).groupBy(F.col("_metadata.file_path"), F.col("_metadata.file_modification_time").alias("age"))
+    made = read.agg(F.count(F.lit(1)).alias("n"), F.min("snapshot_ts").alias("a"), F.max("snapshot_ts").alias("b")).orderBy("age").collect()
+    assert files == 4 and len(made) >= 12 and max(r.n for r in made) <= 500 and sum(r.n for r in made) == 4000
+    assert all(x.b < y.a for x, y in zip(made, made[1:], strict=False))
+    assert jobs.as_files(df)[1] == 1
