@@ -34,10 +34,13 @@ def rebalancing(staged: DataFrame, episodes: DataFrame, stations: DataFrame, nee
     )
 
 
+def _newest(trips: DataFrame, months: int) -> DataFrame:
+    return trips.select("trip_month").distinct().orderBy(F.desc("trip_month")).limit(months)
+
+
 def newest_months(trips: DataFrame, months: int = 12) -> DataFrame:
     """Trips of the newest loaded months, with Pacific start and end hours."""
-    kept = trips.select("trip_month").distinct().orderBy(F.desc("trip_month")).limit(months)
-    return trips.join(F.broadcast(kept), "trip_month", "left_semi").withColumns({"start_hour": local_hour(F.col("started")), "end_hour": local_hour(F.col("ended"))})
+    return trips.join(F.broadcast(_newest(trips, months)), "trip_month", "left_semi").withColumns({"start_hour": local_hour(F.col("started")), "end_hour": local_hour(F.col("ended"))})
 
 
 def trips_vs_availability(staged: DataFrame, trips: DataFrame, stations: DataFrame, months: int = 12) -> DataFrame:
@@ -46,7 +49,8 @@ def trips_vs_availability(staged: DataFrame, trips: DataFrame, stations: DataFra
     ends = F.array(*(F.struct(F.col(c).alias("short_name"), F.col(h).alias("hour_of_day"), F.lit(i).alias("i")) for i, (c, h) in enumerate((("start_code", "start_hour"), ("end_code", "end_hour")))))
     # starts and ends are counted in one pass, by month, code and hour, before any station is looked up
     counts = t.select("trip_month", F.explode(ends).alias("e")).groupBy("trip_month", "e.short_name", "e.hour_of_day").agg(F.count_if(F.col("e.i") == 0).alias("s"), F.count_if(F.col("e.i") == 1).alias("e"))
-    covered = counts.select("trip_month").distinct().agg(F.sum(F.dayofmonth(F.last_day("trip_month"))).alias("trip_days"), F.min("trip_month").alias("trip_first_month"), F.max("trip_month").alias("trip_last_month"))
+    # by the months alone: trips are mapped and counted once
+    covered = _newest(trips, months).agg(F.sum(F.dayofmonth(F.last_day("trip_month"))).alias("trip_days"), F.min("trip_month").alias("trip_first_month"), F.max("trip_month").alias("trip_last_month"))
     code = stations.select("station_id", "short_name")
     used = counts.join(code, "short_name").groupBy("station_id", "hour_of_day").agg(F.sum("s").alias("s"), F.sum("e").alias("e"))
     avail = staged.groupBy("station_id", "hour_of_day").agg(r6(clamp(F.avg("share_empty"))).alias("share_empty"), r6(clamp(F.avg("share_full"))).alias("share_full"), F.count_distinct("service_date").alias("live_days"))

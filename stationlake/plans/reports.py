@@ -12,6 +12,7 @@ from stationlake.operators import availability, documents, episodes, fleet, gate
 from stationlake.plans.fragments import ALERTS, DAILY, EPISODES, FRAMES, HOURLY, JOBS, LIVE, REBALANCING, SERIES, STATIONS, STATUS, VIEW, local
 from stationlake.session import ask
 from stationlake.sources import adapters as src
+from stationlake.streaming.jobs import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: A time after all status rows, and a run's name.
@@ -19,6 +20,13 @@ NOW, RUN = 1706700000, "run-1"
 EXPECTED = ["station_id", "snapshot_ts", "state", "bikes", "docks", "capacity", "processed_ts", "is_installed"]
 
 
+def _once(s: SparkSession, df: DataFrame) -> DataFrame:
+    """df, written to the shared folder, for what reads it more than once."""
+    path = f"{shared_dir(s)}/once"
+    df.write.parquet(path)
+    return s.read.schema(df.schema).parquet(path)
+
+
 def _daily(s: SparkSession, d: str) -> DataFrame:
     return marts.daily(availability.staged(availability.windows(src.status(s, d))), src.stations(s, d))
 
@@ -42,22 +50,26 @@ def _violations(s: SparkSession, d: str) -> DataFrame:
     return quality.share_violations({"daily": wrong(_daily(s, d)), "hourly": wrong(_hourly(s, d))})
 
 
-def _results(s: SparkSession, d: str) -> DataFrame:
+def _results(s: SparkSession, d: str, status: DataFrame | None = None) -> DataFrame:
     """The suite's results; a column is missing, and one rule is not reported."""
-    return gate.results(gate.measured(src.status(s, d), EXPECTED, NOW).where("rule != 'docks_not_negative'"))
+    status = src.status(s, d) if status is None else status
+    return gate.results(gate.measured(status, EXPECTED, NOW).where("rule != 'docks_not_negative'"))
 
 
-def _problems(s: SparkSession, d: str) -> DataFrame:
+def _problems(s: SparkSession, d: str, status: DataFrame | None = None) -> DataFrame:
     """Two of three marts, and a daily mart that ends three days before silver."""
-    status = src.status(s, d)
+    status = src.status(s, d) if status is None else status
+    live, stations = _once(s, availability.staged(availability.windows(status))), src.stations(s, d)
+    daily, hourly = marts.daily(live, stations), marts.trips_vs_availability(live, src.trips(s, d), stations)
     last = status.agg(local_date(F.max("snapshot_ts")).alias("day"))
-    short = _daily(s, d).join(F.broadcast(last), F.col("service_date") <= F.date_sub("day", 3)).agg(F.max("service_date").alias("day"))
-    return gate.mart_problems({"daily": _daily(s, d), "hourly": _hourly(s, d).where("live_days < 0")}, short, last)
+    short = daily.join(F.broadcast(last), F.col("service_date") <= F.date_sub("day", 3)).agg(F.max("service_date").alias("day"))
+    return gate.mart_problems({"daily": daily, "hourly": hourly.where("live_days < 0")}, short, last)
 
 
-def _verdict(s: SparkSession, d: str) -> DataFrame:
+def _verdict(s: SparkSession, d: str, status: DataFrame | None = None) -> DataFrame:
     tests = gate.ops_rules(src.dispatch_jobs(s, d), src.tickets(s, d), src.stations(s, d)).withColumnRenamed("rule", "name")
-    return gate.verdict(_problems(s, d), tests, _results(s, d).withColumn("run", F.lit(RUN)), RUN)
+    results = _results(s, d, status).withColumn("run", F.lit(RUN))
+    return gate.verdict(_problems(s, d, status), tests, results, RUN)
 
 
 def _lake(s: SparkSession, d: str) -> DataFrame:
@@ -74,13 +86,15 @@ def _components(s: SparkSession, d: str) -> DataFrame:
 
 
 def _health_document(s: SparkSession, d: str) -> DataFrame:
-    """The health document as one text, read back: components, tiles, minutes, tables, the gate and the newest compactions."""
-    status, jobs = src.status(s, d), src.jobs(s, d)
-    series = health.series(status)
-    runs = health.newest_run(src.maintenance_runs(s, d))
+    """The health document as one text, read back: components, tiles, minutes, tables, the gate and the newest compactions.
+
+    Status rows are typed once, and what has two places in the document is made once."""
+    status, jobs = _once(s, src.status(s, d)), src.jobs(s, d)
+    series, verdict, every = _once(s, health.series(status)), _once(s, _verdict(s, d, status)), _once(s, src.maintenance_runs(s, d))
+    runs = health.newest_run(every)
     tables = health.table_freshness({"status": (status, "snapshot_ts"), "jobs": (jobs, "opened_at")}, NOW)
-    parts = {"tiles": health.tiles(series), "gate": _verdict(s, d)}
-    lists = {"components": (_components(s, d), ["name"]), "minutes": (series, ["minute"]), "tables": (tables, ["table_name"]), "compaction": (runs, ["table_name"])}
+    parts = {"tiles": health.tiles(series), "gate": verdict}
+    lists = {"components": (health.components(status, verdict, every, NOW), ["name"]), "minutes": (series, ["minute"]), "tables": (tables, ["table_name"]), "compaction": (runs, ["table_name"])}
     text = documents.nested(parts, lists, {"format": 1, "generated_at": NOW}, most_bytes=1_000_000)
     kinds = {name: part.schema.simpleString() for name, part in parts.items()} | {name: f"array<{rows.schema.simpleString()}>" for name, (rows, _) in lists.items()}
     p = text.select(F.from_json("document", "format int, generated_at long, " + ", ".join(f"{n} {k}" for n, k in kinds.items())).alias("p")).select("p.*")

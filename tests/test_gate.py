@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from stationlake.operators import documents, gate, health
 from stationlake.operators.tables import Lake
+from stationlake.plans import reports
 from stationlake.session import JobConfig, ask
 from stationlake.streaming import jobs, sinks
 
@@ -96,3 +97,12 @@ def test_state_machine_over_triggers_and_redelivery(spark, tmp_path):
         assert rows(lake.rows("station_episodes").select("episode_id", "end_ts", "status", "alerted")) == [("a:empty:0", 1200, "closed", True), ("a:full:1200", 1260, "closed", False), ("b:full:60", None, "open", False)]
     state = lake.rows("latest_state").withColumn("p", F.from_json("payload", sinks.PAYLOADS["state"]))
     assert rows(state.select("p.station_id", "p.snapshot_ts", "p.state", "p.open_kind", "p.open_start_ts")) == [("a", 1260, "offline", None, None), ("b", 120, "full", "full", 60)]
+
+
+def test_health_document_maps_trips_and_status_once(spark, monkeypatch):
+    """What has two places in the document is made once: its plan reads no table but jobs, and trips are mapped once."""
+    mapped, real = [], reports.src.trips
+    monkeypatch.setattr(reports.src, "trips", lambda s, d: mapped.append(d) or real(s, d))
+    made = reports._health_document(spark, "/root/testdata/sf0.001")
+    assert len(mapped) == 1 and not [f for f in made.inputFiles() if "/events.parquet" in f or "/lineitem.parquet" in f]
+    assert made.where("section = 'minute'").count() == 1440
