@@ -10,7 +10,8 @@ changes nothing. A query that dies goes on from its own checkpoint, whatever the
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,11 @@ RAW = "key string, value string, topic string, partition int, offset long, times
 #: Query, the table that it appends to, and the column whose day partitions it.
 APPENDS = {"bronze": ("bronze_status", "kafka_ts"), "silver": ("silver_status", "snapshot_ts"), "availability": ("availability_5m", "window_start")}
 TABLES = [*(table for table, _ in APPENDS.values()), "station_episodes", "alerts", "latest_state"]
+#: What a trigger holds does not grow, and neither do the partitions of a query's state: each is a file or more in every batch.
+#: They are kept in the checkpoint, so a later change holds for new checkpoints only.
+STATE_PARTS = 24
+#: A day of a batch is dealt to so many tasks, and becomes as many files.
+DAY_PARTS = 4
 
 
 def files(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFrame:
@@ -60,7 +66,27 @@ def episodes(raw: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
 def _append(lake: Lake, name: str):
     table, at = APPENDS[name]
     day = F.floor(F.col(at) / 86400).cast("int")
-    return lambda rows, batch: lake.append_once(table, rows.withColumn("day", day), name, batch, ("day",))
+
+    def write(rows: DataFrame, batch: int) -> None:
+        placed = rows.withColumn("day", day)
+        if name != "bronze":
+            # each partition of the state has rows of all days: a few tasks write a day, not every one of them; bronze comes by time
+            placed = placed.repartition(STATE_PARTS, "day", F.pmod(F.xxhash64("station_id", at), F.lit(DAY_PARTS)))
+        lake.append_once(table, placed, name, batch, ("day",))
+
+    return write
+
+
+@contextmanager
+def _state_parts(spark: SparkSession) -> Iterator[None]:
+    """Queries that start within get no more state partitions than ``STATE_PARTS``; a query takes its settings when it starts."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), STATE_PARTS)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def start(raw: Callable[[], DataFrame], lake: Lake, checkpoints: str, processed: Column, every: str | None = None, only: tuple[str, ...] = (), t: Thresholds = Thresholds()) -> dict[str, StreamingQuery]:
@@ -74,7 +100,8 @@ def start(raw: Callable[[], DataFrame], lake: Lake, checkpoints: str, processed:
     for name in only or made:
         rows, write = made[name]()
         writer = rows.writeStream.foreachBatch(write).queryName(name).outputMode("append").option("checkpointLocation", f"{checkpoints}/{name}")
-        out[name] = (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+        with _state_parts(lake.spark):
+            out[name] = (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
     return out
 
 

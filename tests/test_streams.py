@@ -88,6 +88,25 @@ def test_a_stream_without_an_alert(spark, tmp_path):
     assert lake.rows("alerts").select("alert_id", "episode_id", "ts").collect() == [] and lake.rows("station_episodes").count() == 10
 
 
+def test_files_of_state_and_tables_do_not_grow_with_the_shuffle(spark, topic, tmp_path):
+    """A session with many shuffle partitions: neither the state nor a day of a batch is cut in as many files, and the session is left as it was."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "60")
+    try:
+        lake, queries = run(spark, topic, tmp_path, only=("silver", "availability"))
+        assert spark.conf.get(name) == "60"
+        feeds.drain(queries)
+    finally:
+        spark.conf.set(name, before)
+    for query in queries:
+        state = {p.name for p in (tmp_path / "checkpoints" / query / "state" / "0").iterdir() if p.name.isdigit()}
+        assert 0 < len(state) <= feeds.STATE_PARTS
+    files = [str(p.parent) for p in (tmp_path / "lake" / "silver_status").rglob("part-*")]
+    assert max(files.count(p) for p in set(files)) <= feeds.DAY_PARTS
+    assert feeds.read(lake, "silver").count() == 120 and feeds.read(lake, "availability").count() == 2 * 9
+
+
 def test_processing_time_trigger(spark, topic, tmp_path):
     lake, queries = run(spark, topic, tmp_path, every="1 second", only=("bronze", "silver"))
     try:
