@@ -35,8 +35,8 @@ def _languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def _near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest doc_id of each group that five-word Jaccard similarities of 0.8 or more connect.
 
-    SimHash and multi-index hashing are the first of three steps that find them, and wide SimHash fingerprints sift all
-    candidates; most pairs come from bands of least shingles, as ``overlap`` says and why."""
+    Multi-index hashing of SimHash fingerprints finds them; bands of least shingles follow for those that it misses, and whole
+    sets are compared, as ``overlap`` says."""
     key = fresh("key")
     keyed = docs.withColumn(key, _key(docs))
     found = overlap.near_copies(keyed.select(key, "text"), doc_id=key)

@@ -1,13 +1,15 @@
 """Near copies: texts whose sets of word shingles have a Jaccard similarity of ``LEAST`` or more.
 
 Texts with one set are one class; all work below is on one text of each. No two classes are linked before
-their whole sets of 64-bit shingle hashes have been compared. Candidates are found in three steps:
-
-SimHash: the fingerprints of 64 bits are searched by multi-index hashing (``simhash.leaders``), and each class
-is compared with the first one of its own fingerprint and of each match. Most pairs of such similarity lie too
-far apart for that: at 0.8, each bit differs with probability 0.15, and a search of wider fingerprints
-that finds 99 of 100 such pairs takes 42 segments of 24 bits and 25 probes in each, over 1,000 rows a text.
-Bands: a class enters ``BANDS`` tables by the least of its shingles under ``ROWS`` orders each; sets of similarity
+their whole sets of 64-bit shingle hashes have been compared. Candidates are found in four steps:
+
+Sift: a set of similarity 0.8 to any other has four fifths of its shingles in others. Counted are those of a set whose hash ends in
+``level`` zero bits, some ``SIFTED`` or more, and all of small sets; a text with fewer in others than ``least_shared`` has no link.
+SimHash: of each class that is left, the fingerprint of 64 bits is searched by multi-index hashing (``simhash.leaders``), and a wide one by
+``SEGMENTS`` tables of ``BITS`` bits. At similarity 0.8 each bit differs with probability 0.15, mostly one whose sum was near zero, so a class
+enters each table by its segment with every choice of its ``FLIPS`` least sure bits turned: two classes meet if their bits differ only where
+either is least sure, which more than 99 of 100 pairs of similarity 0.8 do in one of the tables. In each entry, all are compared with ``LEADERS`` of them.
+Bands: the exact way for the rest. A class also enters ``BANDS`` tables by the least of its shingles under ``ROWS`` orders each; sets of similarity
 0.8 miss each other in all of them with probability 6e-5. In each entry, all are compared with ``LEADERS`` of them, and in one
 of more than ``PROBES`` classes also with its centre: the class whose wide fingerprint is nearest to those of ``PROBES`` others
 together. Copies that were edited one by one are nearer to what they were made of than to each other, so the centre
@@ -28,6 +30,8 @@ others. Other columns are not read. The component id is the smallest doc_id of t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +50,12 @@ BANDS, ROWS, LEADERS, PROBES = 32, 6, 2, 8
 #: Of the least shingles under all orders, so many are the same in sets of similarity 0.8, less 4.2 standard deviations.
 AGREE = 130
 WIDE, FAR = 4, 62
+SIFTED, SEGMENTS, BITS, FLIPS = 16, 12, 24, 4
 #: Texts that are fetched by a broadcast of their ids, if no more.
 BROADCAST_ROWS = 400_000
 _ODD = np.random.default_rng(17).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_NAMED = np.random.default_rng(23).integers(0, 1 << 63, -(-SEGMENTS * BITS // 64), np.uint64) * np.uint64(2) + np.uint64(1)
+_CHOICES = (np.arange(1 << FLIPS)[:, None] >> np.arange(FLIPS)) & 1
 _TURN = np.random.default_rng(19).integers(0, 1 << 63, WIDE, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -76,10 +83,57 @@ def bands(shingles: np.ndarray) -> list[int]:
     return [int(np.uint64(xxhash.xxh64_intdigest(raw[i * 8 * ROWS : (i + 1) * 8 * ROWS], i)).view(np.int64)) for i in range(BANDS)]
 
 
+def _turned(shingles: np.ndarray, by: np.uint64) -> np.ndarray:
+    """Further hashes of the shingles."""
+    x = (shingles ^ (shingles >> np.uint64(33))) * by
+    return x ^ (x >> np.uint64(31))
+
+
 def wide(shingles: np.ndarray) -> list[int]:
     """``WIDE`` SimHash fingerprints of a set, with hashes of their own."""
-    turned = lambda c: (lambda x: x ^ (x >> np.uint64(31)))((shingles ^ (shingles >> np.uint64(33))) * c)
-    return [fold(turned(c)) for c in _TURN]
+    return [fold(_turned(shingles, c)) for c in _TURN]
+
+
+def names(shingles: np.ndarray) -> list[int]:
+    """The entries of a set's wide SimHash fingerprint: each segment, with every choice of its least sure bits turned."""
+    if not len(shingles):
+        return []
+    total = np.zeros((len(_NAMED), 64), np.int64)
+    for part in np.array_split(shingles, len(shingles) // 16384 + 1):
+        for i, c in enumerate(_NAMED):
+            total[i] += np.unpackbits(_turned(part, c).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    sums = (2 * total - len(shingles)).reshape(-1)[: SEGMENTS * BITS].reshape(SEGMENTS, BITS)
+    value = ((sums > 0) << np.arange(BITS)).sum(axis=1)
+    unsure = 1 << np.argsort(np.abs(sums), axis=1, kind="stable")[:, :FLIPS]
+    return ((np.arange(SEGMENTS) << BITS)[:, None] | (value[:, None] ^ (unsure @ _CHOICES.T))).reshape(-1).tolist()
+
+
+def level(n: float) -> int:
+    """Of sets of n shingles those whose hash ends in so many zero bits are counted."""
+    return max(0, int(np.floor(np.log2(max(n, 1) / SIFTED))))
+
+
+@cache
+def least_shared(m: int) -> int:
+    """Of m counted shingles of a set of similarity 0.8, so many are in the other, but for one set in 30,000."""
+    p, below = LEAST[0] / LEAST[1], 0.0
+    if m > 400:
+        return int(m * p - 4.2 * (m * p * (1 - p)) ** 0.5)
+    for k in range(m + 1):
+        below += comb(m, k) * p**k * (1 - p) ** (m - k)
+        if below > 1 / 30_000:
+            return k
+    return m
+
+
+def counted(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The shingles of a set that are counted in others, those that it has for smaller sets' sake, and how many of the first must be in others."""
+    n = len(shingles)
+    own, low = level(n), level(n * LEAST[0] / LEAST[1])
+    ends = lambda k: (shingles & np.uint64((1 << k) - 1)) == 0
+    mine = ends(own)
+    m = int(mine.sum())
+    return shingles[mine], shingles[ends(low) & ~mine], least_shared(m) if own else -(-n * LEAST[0] // LEAST[1])
 
 
 def _sets(df: DataFrame, text: str, size: int, signed: bool = False) -> DataFrame:
@@ -100,19 +154,20 @@ def _sets(df: DataFrame, text: str, size: int, signed: bool = False) -> DataFram
 
 
 def _sketches(df: DataFrame, text: str, size: int) -> DataFrame:
-    """df without its text, with its class, number of shingles, fingerprints and bands."""
+    """df without its text, with its class, number of shingles, fingerprints, and the shingles that are counted."""
     rest = [c for c in df.columns if c != text]
     longs = T.ArrayType(T.LongType())
-    schema = T.StructType([*(df.schema[c] for c in rest), *(T.StructField(c, T.LongType()) for c in ("class", "n", "fp")), *(T.StructField(c, longs) for c in ("wide", "bands"))])
+    schema = T.StructType([*(df.schema[c] for c in rest), *(T.StructField(c, T.LongType()) for c in ("class", "n", "fp", "need")), *(T.StructField(c, longs) for c in ("wide", "own", "low"))])
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(frames):
             hashed = [hashes(x.as_py(), size) for x in b.column(text)]
             sets = [shingle_set(x) for x in hashed]
-            numbers = [[class_of(x) for x in sets], [len(x) for x in sets], [fold(x) for x in hashed]]
-            arrays = [[wide(x) for x in sets], [bands(x) for x in sets]]
+            own, low, need = zip(*map(counted, sets), strict=True) if sets else ((), (), ())
+            numbers = [[class_of(x) for x in sets], [len(x) for x in sets], [fold(x) for x in hashed], need]
+            arrays = [[wide(x) for x in sets], [x.view("<i8") for x in own], [x.view("<i8") for x in low]]
             made = [*(pa.array(x, pa.int64()) for x in numbers), *(pa.array(x, pa.list_(pa.int64())) for x in arrays)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *made], [*rest, "class", "n", "fp", "wide", "bands"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *made], schema.names)
 
     return df.mapInArrow(batches, schema)
 
@@ -130,12 +185,37 @@ def _near(a: Column, b: Column) -> Column:
     return _apart(a, b) <= FAR
 
 
-def _fetched(used: DataFrame, df: DataFrame, classed: DataFrame, doc_id: str, text: str, size: int, signed: bool = False) -> DataFrame:
-    """The shingle sets (of, shingles) of the classes ``used``, and with ``signed`` their signs."""
+def _texts(used: DataFrame, df: DataFrame, classed: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One text (of, text) or more of each of the classes ``used``."""
     ids = cut(used.join(classed.select("class", F.col("least").alias("id")), "class"))
     # a class's text is that of its smallest doc_id: of several rows with it, any one of this class
-    texts = df.join(small(ids, ids.count(), BROADCAST_ROWS), F.col(doc_id) == F.col("id")).select("class", text)
-    return _sets(texts.withColumnRenamed("class", "of"), text, size, signed).dropDuplicates(["of"])
+    return df.join(small(ids, ids.count(), BROADCAST_ROWS), F.col(doc_id) == F.col("id")).select(F.col("class").alias("of"), text)
+
+
+def _fetched(used: DataFrame, df: DataFrame, classed: DataFrame, doc_id: str, text: str, size: int, signed: bool = False) -> DataFrame:
+    """The shingle sets (of, shingles) of the classes ``used``, and with ``signed`` their signs."""
+    return _sets(_texts(used, df, classed, doc_id, text), text, size, signed).dropDuplicates(["of"])
+
+
+def _entries(texts: DataFrame, text: str, size: int) -> DataFrame:
+    """(of, names, bands): the entries of each class."""
+
+    def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(frames):
+            sets = [shingle_set(hashes(x.as_py(), size)) for x in b.column(text)]
+            yield pa.RecordBatch.from_arrays([b.column("of"), *(pa.array([f(x) for x in sets], pa.list_(pa.int64())) for f in (names, bands))], ["of", "names", "bands"])
+
+    return texts.mapInArrow(batches, "of long, names array<long>, bands array<long>").dropDuplicates(["of"])
+
+
+def _sifted(classed: DataFrame) -> DataFrame:
+    """The classes that can have a link: enough of their counted shingles are in other classes too."""
+    each = classed.select("class", F.explode("own").alias("x"), F.lit(1).alias("mine")).union(classed.select("class", F.explode("low"), F.lit(0)))
+    # a shingle of one class only is found without keeping its classes: the least and the greatest are the same
+    lone = each.groupBy("x").agg(F.min("class").alias("of"), F.max("class").alias("last"), F.max("mine").alias("mine")).where("of = last and mine = 1")
+    alone = lone.groupBy("of").agg(F.count(F.lit(1)).alias("alone"))
+    left = classed.join(alone, F.col("class") == F.col("of"), "left").where(F.size("own") - F.coalesce("alone", F.lit(0)) >= F.col("need"))
+    return left.select("class", "least", "n", "fp", "wide")
 
 
 def _shared(apart: DataFrame, sets: DataFrame) -> DataFrame:
@@ -185,11 +265,19 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     df = df.select(doc_id, text)
     known = cut(_sketches(df, text, size))
     first = lambda c: F.first(c).alias(c)
-    classed = cut(known.groupBy("class").agg(F.min(doc_id).alias("least"), *map(first, ("n", "fp", "wide", "bands"))))
-    each = classed.select("class", "n", F.explode("bands").alias("band"))
+    every = cut(known.groupBy("class").agg(F.min(doc_id).alias("least"), *map(first, ("n", "fp", "wide", "need", "own", "low"))))
+    classed = cut(_sifted(every))
+    entered = cut(_entries(_texts(classed.select("class"), df, classed, doc_id, text), text, size))
+    sized = entered.join(classed.select(F.col("class").alias("of"), "n"), "of")
     entry = Window.partitionBy("band")
     chance = [F.min(F.struct(F.xxhash64("class", F.lit(k)).alias("rank"), "class", "n")).over(entry) for k in range(LEADERS)]
-    met = cut(each.withColumn("met", F.count(F.lit(1)).over(entry)).where("met > 1").withColumn("leaders", F.array(*chance)))
+
+    def meeting(entries: str) -> DataFrame:
+        """Classes with the entries where they are not alone, and those that lead there."""
+        each = sized.select(F.col("of").alias("class"), "n", F.explode(entries).alias("band"))
+        return each.withColumn("met", F.count(F.lit(1)).over(entry)).where("met > 1").withColumn("leaders", F.array(*chance))
+
+    met = cut(meeting("bands"))
     # wide fingerprints go along with the rows of crowded entries only
     crowd = met.where(F.col("met") > PROBES).select("class", "n", "band").join(classed.select("class", "wide"), "class")
     probe = [F.min(F.struct(F.xxhash64("class", F.lit(-1 - k)).alias("rank"), "wide")).over(entry) for k in range(PROBES)]
@@ -201,9 +289,10 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     own = classed.select("class", "fp").join(heads, "fp").select(F.col("class").alias("a"), F.col("head").alias("b"))
     found = matches(heads).join(heads.withColumnRenamed("head", "a"), "fp").select("a", F.col("lead").alias("fp")).join(heads, "fp")
     by_hash = own.union(found.select("a", F.col("head").alias("b")))
-    led = met.select("class", "n", F.explode("leaders").alias("leader")).union(central)
-    by_band = led.where(_may(F.col("n"), F.col("leader.n"))).select(F.col("class").alias("a"), F.col("leader.class").alias("b"))
-    near = _near_pairs(by_hash.union(by_band).where("a != b").distinct(), classed)
+    of_each = lambda rows: rows.select("class", "n", F.explode("leaders").alias("leader"))
+    led = of_each(meeting("names")).union(of_each(met)).union(central)
+    by_entry = led.where(_may(F.col("n"), F.col("leader.n"))).select(F.col("class").alias("a"), F.col("leader.class").alias("b"))
+    near = _near_pairs(by_hash.union(by_entry).where("a != b").distinct(), classed)
     links = _similar(near, _fetched(near.select(F.col("a").alias("class")).union(near.select("b")).distinct(), df, classed, doc_id, text, size))
 
     joined = cut(_joined(links))
@@ -211,7 +300,7 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     apart = rows.withColumn("least", F.min("component").over(entry)).withColumn("most", F.max("component").over(entry)).where("least != most").drop("least", "most")
     apart = cut(apart)
     sets = cut(_fetched(apart.select("class").distinct(), df, classed, doc_id, text, size, signed=True))
-    known_of = classed.select("class", "wide", "bands").join(sets.select(F.col("of").alias("class"), "sign"), "class")
+    known_of = classed.select("class", "wide").join(sets.select(F.col("of").alias("class"), "sign"), "class").join(entered.select(F.col("of").alias("class"), "bands"), "class")
     apart = cut(_shared(apart, sets).join(known_of, "class"))
     other = apart.select("band", *(F.col(x).alias(y) for x, y in (("class", "b"), ("n", "m"), ("wide", "b_wide"), ("sign", "b_sign"), ("bands", "b_bands"), ("component", "c"), ("in_others", "b_others"))))
     may = _may(F.col("n"), F.col("m")) & _enough(F.least("in_others", "b_others"), F.col("n"), F.col("m")) & _near(F.col("wide"), F.col("b_wide")) & _agree(F.col("sign"), F.col("b_sign"))
@@ -219,7 +308,7 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     pairs = apart.join(other, "band").where((F.col("component") < F.col("c")) & may & once)
     more = _similar(cut(pairs.select(F.col("class").alias("a"), "b").distinct()), sets)
 
-    of = classed.select("class", "least").join(joined, "class", "left").select("class", "least", F.coalesce("component", "class").alias("component"))
+    of = every.select("class", "least").join(joined, "class", "left").select("class", "least", F.coalesce("component", "class").alias("component"))
     if more.limit(1).count():
         # links between components join them
         name = apart.select("class", "component").distinct()

@@ -4,6 +4,7 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -119,3 +120,43 @@ def test_stage_drops_near_copies_of_similarity_from_80_to_95(spark):
     docs = spark.createDataFrame([(k, x, "en", "s", len(x)) for k, x in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "")
     assert sorted(r.doc_id for r in kept.collect()) == [0, 5]
+
+
+def pairs_of_80(n, many, seed=1):
+    """Pairs of sets of n hashes each, of similarity 0.8 or just above."""
+    rng = np.random.default_rng(seed)
+    same = -(-8 * n // 9)
+    for _ in range(many):
+        x = rng.permutation(rng.integers(0, 1 << 64, 2 * n - same, np.uint64))
+        yield np.unique(x[:n]), np.unique(x[n - same :])
+
+
+@pytest.mark.parametrize("n", [20, 60, 300])
+def test_simhash_tables_find_pairs_of_80(n):
+    found = [bool(set(overlap.names(a)) & set(overlap.names(b))) for a, b in pairs_of_80(n, 500)]
+    assert sum(found) >= 0.98 * len(found)
+    strangers = [x for x, _ in pairs_of_80(n, 100, 2)]
+    assert sum(bool(set(overlap.names(a)) & set(overlap.names(b))) for a, b in combinations(strangers, 2)) <= 5
+
+
+@pytest.mark.parametrize("n", [5, 20, 60, 300])
+def test_the_sift_keeps_pairs_of_80(n):
+    for a, b in pairs_of_80(n, 300):
+        for one, other in ((a, b), (b, a)):
+            own, _, need = overlap.counted(one)
+            more = overlap.counted(other)
+            assert np.isin(own, np.concatenate(more[:2])).sum() >= need
+
+
+def test_simhash_alone_links_near_copies(spark, monkeypatch):
+    """Without entries by least shingles, the tables of the wide fingerprint make nearly all links."""
+    rng = random.Random(7)
+    rows = []
+    for _ in range(40):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice((60, 150, 300)))]
+        rows += [" ".join(base), " ".join(edited(rng, base, max(1, len(base) // 60)))]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    monkeypatch.setattr(overlap, "bands", lambda shingles: [])
+    got, want = {r.doc_id: r.component_id for r in overlap.near_copies(docs).collect()}, brute(rows)
+    links = [k for k, top in want.items() if top != k]
+    assert len(links) > 30 and sum(got[k] == want[k] for k in links) >= 0.97 * len(links) and all(got[k] in (k, want[k]) for k in want)
