@@ -10,15 +10,16 @@ SimHash: of each class that is left, the fingerprint of 64 bits is searched by m
 enters each table by its segment with every choice of its ``FLIPS`` least sure bits turned: two classes meet if their bits differ only where
 either is least sure, which more than 99 of 100 pairs of similarity 0.8 do in one of the tables. In each entry, all are compared with ``LEADERS`` of them.
 Bands: the exact way for the rest. A class also enters ``BANDS`` tables by the least of its shingles under ``ROWS`` orders each; sets of similarity
-0.8 miss each other in all of them with probability 6e-5. In each entry, all are compared with ``LEADERS`` of them, and in one
-of more than ``PROBES`` classes also with its centre: the class whose wide fingerprint is nearest to those of ``PROBES`` others
-together. Copies that were edited one by one are nearer to what they were made of than to each other, so the centre
-links those that chance leaders miss.
-Rest: where two components meet in an entry, a class can have further links only if four fifths of its shingles occur in
-another class of such entries, and with a class of n and one of m shingles only if (n + m) 4/9 of either's do: counted shingle by
-shingle, over all of them. Those that can, and whose least shingles agree in ``AGREE`` of 192 orders, are compared pair by pair with the other components of the entry. So neither a group of near copies nor one of texts that were all edited too much meets in pairs, and
-no link is lost for want of a leader. What is left to meet in pairs are texts that share four fifths of their shingles with
-others, but not with one leader of theirs.
+0.8 miss each other in all of them with probability 6e-5.
+Leaders: in each entry of either kind, all are compared with ``LEADERS`` of them: those that meet the most classes over all their entries.
+Copies that were edited one by one are nearer to what they were made of than to each other, and so is their crowd: one class leads
+it in most of its entries, so that a class of it is compared with few leaders, not with some of its own in each entry.
+Rest: where two components meet in an entry of the bands, a class can have further links only if four fifths of its shingles occur in
+another class of such entries. All pairs of those that can are found by prefixes, without a miss: shingles are ordered by the number of classes that have them, fewest first,
+and two sets that must share t shingles share one of the first n - t + 1 of one and m - t + 1 of the other. t depends on both sizes, so a class
+is listed once by its own size, and among larger ones once for each range of sizes that it may be similar to (``RANGES`` to a factor of e). The first shingles of a text
+that was edited too much are its edits, which no other has, so it does not meet the crowd that it was made from. In each list
+the component with most classes does not meet itself. What is left to meet in pairs are texts of different components that share shingles as rare as the rarest of either.
 
 Before whole sets are fetched, the complete distance of wide SimHash fingerprints (``WIDE`` words of 64 bits) must be
 at most ``FAR``: 4.2 standard deviations above what a similarity of 0.8 gives, and below that of half as similar sets.
@@ -46,9 +47,9 @@ from stationlake.llm.simhash import leaders as matches
 
 #: The least similarity, as a fraction.
 LEAST = (4, 5)
-BANDS, ROWS, LEADERS, PROBES = 32, 6, 2, 8
-#: Of the least shingles under all orders, so many are the same in sets of similarity 0.8, less 4.2 standard deviations.
-AGREE = 130
+BANDS, ROWS, LEADERS, CHOSEN = 32, 6, 2, 4
+#: Ranges of sizes to a factor of e.
+RANGES = 32
 WIDE, FAR = 4, 62
 SIFTED, SEGMENTS, BITS, FLIPS = 16, 12, 24, 4
 #: Texts that are fetched by a broadcast of their ids, if no more.
@@ -136,19 +137,16 @@ def counted(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return shingles[mine], shingles[ends(low) & ~mine], least_shared(m) if own else -(-n * LEAST[0] // LEAST[1])
 
 
-def _sets(df: DataFrame, text: str, size: int, signed: bool = False) -> DataFrame:
-    """df without its text, with its shingles and, if ``signed``, a byte of the least one under each order."""
+def _sets(df: DataFrame, text: str, size: int) -> DataFrame:
+    """df without its text, with its shingles."""
     rest = [c for c in df.columns if c != text]
-    more = [T.StructField("sign", T.ArrayType(T.ByteType()))] if signed else []
-    schema = T.StructType([*(df.schema[c] for c in rest), T.StructField("shingles", T.ArrayType(T.LongType())), *more])
+    schema = T.StructType([*(df.schema[c] for c in rest), T.StructField("shingles", T.ArrayType(T.LongType()))])
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(frames):
             sets = [shingle_set(hashes(x.as_py(), size)) for x in b.column(text)]
-            made = [pa.array([x.view("<i8") for x in sets], pa.list_(pa.int64()))]
-            if signed:
-                made.append(pa.array([(firsts(x) >> np.uint64(17)).astype(np.uint8).view(np.int8) for x in sets], pa.list_(pa.int8())))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *made], schema.names)
+            made = pa.array([x.view("<i8") for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), made], schema.names)
 
     return df.mapInArrow(batches, schema)
 
@@ -192,9 +190,9 @@ def _texts(used: DataFrame, df: DataFrame, classed: DataFrame, doc_id: str, text
     return df.join(small(ids, ids.count(), BROADCAST_ROWS), F.col(doc_id) == F.col("id")).select(F.col("class").alias("of"), text)
 
 
-def _fetched(used: DataFrame, df: DataFrame, classed: DataFrame, doc_id: str, text: str, size: int, signed: bool = False) -> DataFrame:
-    """The shingle sets (of, shingles) of the classes ``used``, and with ``signed`` their signs."""
-    return _sets(_texts(used, df, classed, doc_id, text), text, size, signed).dropDuplicates(["of"])
+def _fetched(used: DataFrame, df: DataFrame, classed: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
+    """The shingle sets (of, shingles) of the classes ``used``."""
+    return _sets(_texts(used, df, classed, doc_id, text), text, size).dropDuplicates(["of"])
 
 
 def _entries(texts: DataFrame, text: str, size: int) -> DataFrame:
@@ -218,25 +216,62 @@ def _sifted(classed: DataFrame) -> DataFrame:
     return left.select("class", "least", "n", "fp", "wide")
 
 
-def _shared(apart: DataFrame, sets: DataFrame) -> DataFrame:
-    """The rows of ``apart`` (class, n, other columns) that can be similar to any other: with ``in_others``, how many of
-    the class's shingles are in other sets too."""
-    each = sets.select("of", F.explode("shingles").alias("x"))
-    # a shingle of one class only is found without keeping its classes: the least and the greatest are the same
-    lone = each.groupBy("x").agg(F.min("of").alias("of"), F.max("of").alias("last")).where("of = last").groupBy("of").agg(F.count(F.lit(1)).alias("lone"))
-    counted = apart.join(lone, F.col("class") == F.col("of"), "left").withColumn("in_others", F.col("n") - F.coalesce("lone", F.lit(0)))
-    return counted.where(F.col("in_others") * LEAST[1] >= F.col("n") * LEAST[0]).drop("of", "lone")
-
-
 def _enough(shared: Column, n: Column, m: Column) -> Column:
     """Whether sets of n and m that share so many are similar: shared / (n + m - shared) >= LEAST."""
     return shared * sum(LEAST) >= (n + m) * LEAST[0]
 
 
-def _agree(a: Column, b: Column) -> Column:
-    """Whether two signs agree in ``AGREE`` places or more."""
-    same = F.zip_with(a, b, lambda x, y: (x == y).cast("int"))
-    return F.aggregate(same, F.lit(0), lambda n, x: n + x) >= AGREE
+def _over(x: Column, y: int) -> Column:
+    """x / y, rounded up."""
+    return F.ceil(x / y)
+
+
+def _least_common(n: Column, m: Column) -> Column:
+    """So many shingles similar sets of n and m share at least."""
+    return _over((n + m) * LEAST[0], sum(LEAST))
+
+
+def _range(n: Column) -> Column:
+    return F.floor(F.log(n) * RANGES)
+
+
+def _listed(apart: DataFrame, sets: DataFrame) -> DataFrame:
+    """(x, range, smaller, class, n, component, rank): the first shingles of those of ``apart`` (class, n, component) that can be similar to
+    any other, once as the smaller set of a pair and once for each range of sizes of sets that are no larger; lists of one component are left out."""
+    of_x, of_list = Window.partitionBy("x"), Window.partitionBy("x", "range")
+    each = sets.select("of", F.explode("shingles").alias("x")).withColumn("many", F.count(F.lit(1)).over(of_x))
+    # what one class only has comes first and meets nothing: it is counted, not listed
+    common = each.where("many > 1").groupBy("of").agg(F.sort_array(F.collect_list(F.struct("many", "x"))).alias("common"))
+    can = apart.join(common, F.col("class") == F.col("of")).where(F.size("common") * LEAST[1] >= F.col("n") * LEAST[0])
+    n, lone = F.col("n"), F.col("n") - F.size("common")
+    least = _over(n * LEAST[0], LEAST[1])
+    smaller = F.struct(_range(n).alias("range"), F.lit(True).alias("smaller"), (n - _least_common(n, n) + 1).alias("upto"))
+
+    def larger(k: Column) -> Column:
+        low = F.greatest(least, F.floor(F.exp(k / RANGES)))
+        return F.struct(k.alias("range"), F.lit(False).alias("smaller"), (n - _least_common(low, n) + 1).alias("upto"))
+
+    parts = F.concat(F.array(smaller), F.transform(F.sequence(_range(least), _range(n)), larger))
+    first = F.slice("common", 1, F.greatest(F.lit(0), n - _least_common(least, n) + 1 - lone).cast("int"))
+    ranked = F.transform(first, lambda y, i: F.struct(y["x"].alias("x"), (lone + i + 1).alias("rank")))
+    rows = can.select("class", "n", "component", F.explode(F.flatten(F.transform(parts, lambda p: F.transform(
+        F.filter(ranked, lambda y: y["rank"] <= p["upto"]), lambda y: F.struct(y["x"].alias("x"), y["rank"].alias("rank"), p["range"].alias("range"), p["smaller"].alias("smaller")))))).alias("e"))
+    rows = rows.select("class", "n", "component", "e.*").withColumn("least", F.min("component").over(of_list)).withColumn("most", F.max("component").over(of_list))
+    return rows.where("least != most").drop("least", "most")
+
+
+def _possible(listed: DataFrame) -> DataFrame:
+    """Pairs of classes (a, b) of different components that share one of their first shingles."""
+    of_list, of_part = Window.partitionBy("x", "range"), Window.partitionBy("x", "range", "component")
+    counted = listed.withColumn("home", F.struct(F.count(F.lit(1)).over(of_part).alias("many"), "component"))
+    rows = cut(counted.withColumn("home", F.max("home").over(of_list)["component"]))
+    other = rows.select("x", "range", *(F.col(c).alias(f"o_{c}") for c in ("smaller", "class", "n", "component", "rank")))
+    before = F.struct("n", "class") < F.struct("o_n", "o_class")
+    least = _least_common(F.col("n"), F.col("o_n"))
+    may = (F.col("rank") <= F.col("n") - least + 1) & (F.col("o_rank") <= F.col("o_n") - least + 1) & _may(F.col("n"), F.col("o_n"))
+    met = (F.col("component") != F.col("o_component")) & (F.col("smaller") != F.col("o_smaller")) & (F.col("smaller") == before)
+    pairs = rows.where("component != home").join(other, ["x", "range"]).where(met & may)
+    return pairs.select(F.least("class", "o_class").alias("a"), F.greatest("class", "o_class").alias("b")).distinct()
 
 
 def _near_pairs(pairs: DataFrame, classed: DataFrame) -> DataFrame:
@@ -269,49 +304,34 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     classed = cut(_sifted(every))
     entered = cut(_entries(_texts(classed.select("class"), df, classed, doc_id, text), text, size))
     sized = entered.join(classed.select(F.col("class").alias("of"), "n"), "of")
-    entry = Window.partitionBy("band")
-    chance = [F.min(F.struct(F.xxhash64("class", F.lit(k)).alias("rank"), "class", "n")).over(entry) for k in range(LEADERS)]
-
-    def meeting(entries: str) -> DataFrame:
-        """Classes with the entries where they are not alone, and those that lead there."""
-        each = sized.select(F.col("of").alias("class"), "n", F.explode(entries).alias("band"))
-        return each.withColumn("met", F.count(F.lit(1)).over(entry)).where("met > 1").withColumn("leaders", F.array(*chance))
-
-    met = cut(meeting("bands"))
-    # wide fingerprints go along with the rows of crowded entries only
-    crowd = met.where(F.col("met") > PROBES).select("class", "n", "band").join(classed.select("class", "wide"), "class")
-    probe = [F.min(F.struct(F.xxhash64("class", F.lit(-1 - k)).alias("rank"), "wide")).over(entry) for k in range(PROBES)]
-    far = sum((_apart(F.col("wide"), F.col("probes")[k]["wide"]) for k in range(1, PROBES)), _apart(F.col("wide"), F.col("probes")[0]["wide"]))
-    placed = crowd.withColumn("probes", F.array(*probe)).select("class", "n", "band", far.cast("long").alias("rank"))
-    central = placed.withColumn("leader", F.min(F.struct("rank", "class", "n")).over(entry)).select("class", "n", "leader")
+    entry, own_entries = Window.partitionBy("band"), Window.partitionBy("class")
+    each = sized.select(F.col("of").alias("class"), "n", F.explode(F.concat("names", "bands")).alias("band"))
+    met = each.withColumn("met", F.count(F.lit(1)).over(entry)).where("met > 1")
+    placed = met.withColumn("weight", F.sum("met").over(own_entries)).withColumn("place", F.row_number().over(entry.orderBy(F.desc("weight"), "class")))
+    leading = F.collect_list(F.when(F.col("place") <= LEADERS, F.struct("class", "n"))).over(entry)
+    led = placed.withColumn("leaders", leading).select("class", "n", F.explode("leaders").alias("leader")).where(_may(F.col("n"), F.col("leader.n")))
+    often = led.select(F.col("class").alias("a"), F.col("leader.class").alias("b")).where("a != b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("often"))
+    by_entry = often.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("often"), "b"))).where(F.col("place") <= CHOSEN).select("a", "b")
 
     heads = cut(classed.groupBy("fp").agg(F.min("class").alias("head")))
     own = classed.select("class", "fp").join(heads, "fp").select(F.col("class").alias("a"), F.col("head").alias("b"))
     found = matches(heads).join(heads.withColumnRenamed("head", "a"), "fp").select("a", F.col("lead").alias("fp")).join(heads, "fp")
     by_hash = own.union(found.select("a", F.col("head").alias("b")))
-    of_each = lambda rows: rows.select("class", "n", F.explode("leaders").alias("leader"))
-    led = of_each(meeting("names")).union(of_each(met)).union(central)
-    by_entry = led.where(_may(F.col("n"), F.col("leader.n"))).select(F.col("class").alias("a"), F.col("leader.class").alias("b"))
     near = _near_pairs(by_hash.union(by_entry).where("a != b").distinct(), classed)
     links = _similar(near, _fetched(near.select(F.col("a").alias("class")).union(near.select("b")).distinct(), df, classed, doc_id, text, size))
 
     joined = cut(_joined(links))
-    rows = met.drop("leaders", "met").join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    apart = rows.withColumn("least", F.min("component").over(entry)).withColumn("most", F.max("component").over(entry)).where("least != most").drop("least", "most")
-    apart = cut(apart)
-    sets = cut(_fetched(apart.select("class").distinct(), df, classed, doc_id, text, size, signed=True))
-    known_of = classed.select("class", "wide").join(sets.select(F.col("of").alias("class"), "sign"), "class").join(entered.select(F.col("of").alias("class"), "bands"), "class")
-    apart = cut(_shared(apart, sets).join(known_of, "class"))
-    other = apart.select("band", *(F.col(x).alias(y) for x, y in (("class", "b"), ("n", "m"), ("wide", "b_wide"), ("sign", "b_sign"), ("bands", "b_bands"), ("component", "c"), ("in_others", "b_others"))))
-    may = _may(F.col("n"), F.col("m")) & _enough(F.least("in_others", "b_others"), F.col("n"), F.col("m")) & _near(F.col("wide"), F.col("b_wide")) & _agree(F.col("sign"), F.col("b_sign"))
-    once = F.array_min(F.array_intersect("bands", "b_bands")) == F.col("band")  # a pair meets in the first of its entries
-    pairs = apart.join(other, "band").where((F.col("component") < F.col("c")) & may & once)
-    more = _similar(cut(pairs.select(F.col("class").alias("a"), "b").distinct()), sets)
+    now = sized.join(joined, F.col("of") == F.col("class"), "left").withColumn("component", F.coalesce("component", "of"))
+    rows = now.select(F.col("of").alias("class"), "n", "component", F.explode(F.concat("names", "bands")).alias("band"))
+    apart = rows.withColumn("least", F.min("component").over(entry)).withColumn("most", F.max("component").over(entry)).where("least != most")
+    apart = cut(apart.select("class", "n", "component").distinct())
+    sets = cut(_fetched(apart.select("class"), df, classed, doc_id, text, size))
+    more = _similar(_near_pairs(_possible(_listed(apart, sets)), classed), sets)
 
     of = every.select("class", "least").join(joined, "class", "left").select("class", "least", F.coalesce("component", "class").alias("component"))
     if more.limit(1).count():
         # links between components join them
-        name = apart.select("class", "component").distinct()
+        name = apart.select("class", "component")
         both = more.join(name.toDF("a", "ca"), "a").join(name.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
         tops = _joined(both).toDF("component", "top")
         of = of.join(tops, "component", "left").select("class", "least", F.coalesce("top", "component").alias("component"))

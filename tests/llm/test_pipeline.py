@@ -160,3 +160,55 @@ def test_simhash_alone_links_near_copies(spark, monkeypatch):
     got, want = {r.doc_id: r.component_id for r in overlap.near_copies(docs).collect()}, brute(rows)
     links = [k for k, top in want.items() if top != k]
     assert len(links) > 30 and sum(got[k] == want[k] for k in links) >= 0.97 * len(links) and all(got[k] in (k, want[k]) for k in want)
+
+
+def edited_too_much(many):
+    """A text with ``many`` copies of one edit, and ``many`` pairs of texts with five edits and with these and five more: no text of a pair
+    is similar to any other text, but nearly all its shingles are in others."""
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(150)]
+    texts = [base, *(edited(rng, base, 1) for _ in range(many))]
+    for _ in range(many):
+        one = edited(rng, base, 5)
+        texts += [one, edited(rng, one, 5)]
+    return [" ".join(x) for x in texts]
+
+
+def test_texts_that_were_edited_too_much_do_not_meet_their_crowd_in_pairs(spark, monkeypatch):
+    compared, similar = [0, 0], overlap._similar
+
+    def counting(near, sets):
+        compared[-1] += near.count()
+        return similar(near, sets)
+
+    monkeypatch.setattr(overlap, "_similar", counting)
+    for many in (40, 120):
+        compared = [*compared[-1:], 0]
+        rows = edited_too_much(many)
+        docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+        got = {r.doc_id: r.component_id for r in overlap.near_copies(docs).collect()}
+        assert got == {k: 0 if k <= many else k for k in range(len(rows))}
+        if many == 40:
+            assert got == brute(rows)
+    assert compared[1] <= 4 * compared[0] and compared[1] <= 8 * len(rows), compared
+
+
+def test_first_shingles_find_all_pairs_of_80(spark):
+    """Of sets of many sizes, on both sides of 0.8, some of one component already."""
+    rng, sets = np.random.default_rng(5), []
+    for n in (5, 9, 10, 40, 146, 500):
+        for _ in range(4):
+            base = rng.integers(1, 1 << 62, n)
+            sets.append(np.unique(base))
+            for _ in range(8):
+                less = base[rng.random(n) > rng.choice((0, 0.05, 0.15))]
+                sets.append(np.unique(np.concatenate([less, rng.integers(1, 1 << 62, int(n * rng.choice((0, 0.05, 0.15, 0.2))))])))
+    kept = {x.tobytes(): x for x in sets if len(x)}
+    sets = list(kept.values())
+    component = [k if k % 3 else 0 for k in range(len(sets))]
+    apart = spark.createDataFrame([(k, len(x), component[k]) for k, x in enumerate(sets)], "class long, n long, component long")
+    held = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(sets)], "of long, shingles array<long>")
+    got = {(r.a, r.b) for r in overlap._possible(overlap._listed(apart, held)).collect()}
+    pairs = [(a, b) for a, b in combinations(range(len(sets)), 2) if component[a] != component[b]]
+    want = {(a, b) for a, b in pairs if similarity(set(sets[a].tolist()), set(sets[b].tolist())) >= 0.8}
+    assert len(want) > 100 and want <= got and len(got) < len(pairs) / 10
