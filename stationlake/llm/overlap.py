@@ -11,10 +11,10 @@ enters each table by its segment with every choice of its ``FLIPS`` least sure b
 either is least sure, which more than 99 of 100 pairs of similarity 0.8 do in one of the tables. In each entry, all are compared with ``LEADERS`` of them.
 Bands: the exact way for the rest. A class also enters ``BANDS`` tables by the least of its shingles under ``ROWS`` orders each; sets of similarity
 0.8 miss each other in all of them with probability 6e-5.
-Leaders: in each entry of either kind, all are compared with ``LEADERS`` of them: those that meet the most classes over all their entries.
+Leaders: each entry of either kind has ``LEADERS``: those of it that meet the most classes over all their entries. A class is compared with the ``CHOSEN`` that lead it in most entries.
 Copies that were edited one by one are nearer to what they were made of than to each other, and so is their crowd: one class leads
 it in most of its entries, so that a class of it is compared with few leaders, not with some of its own in each entry.
-Rest: where two components meet in an entry of the bands, a class can have further links only if four fifths of its shingles occur in
+Rest: where two components meet in an entry of either kind, a class can have further links only if four fifths of its shingles occur in
 another class of such entries. All pairs of those that can are found by prefixes, without a miss: shingles are ordered by the number of classes that have them, fewest first,
 and two sets that must share t shingles share one of the first n - t + 1 of one and m - t + 1 of the other. t depends on both sizes, so a class
 is listed once by its own size, and among larger ones once for each range of sizes that it may be similar to (``RANGES`` to a factor of e). The first shingles of a text
